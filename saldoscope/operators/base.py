@@ -55,9 +55,17 @@ def cp_salary() -> Column:
     return first_text(F.trim("counterparty"), F.trim("merchant_name"), F.trim("description"))
 
 
+def word_pattern(words) -> str:
+    """One pattern for a word list, grouped by first letter so most positions fail at once."""
+    groups: dict[str, list[str]] = {}
+    for w in words:
+        groups.setdefault(w[0], []).append(w[1:])
+    return "|".join("\\Q%s\\E(?:%s)" % (c, "|".join("\\Q%s\\E" % t if t else "" for t in tails)) for c, tails in groups.items())
+
+
 def has_any(text: Column, words) -> Column:
     """True if any word occurs in the text as a substring."""
-    return text.rlike("|".join("\\Q%s\\E" % w for w in words))
+    return text.rlike(word_pattern(words))
 
 
 def first_word(text: Column, words) -> Column:

@@ -1,11 +1,13 @@
 """Shared frames of one run over a book of accounts. Every frame is lazy."""
 
-from functools import cached_property
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config.limits import ACCOUNT_TYPES, TYPE_LIMITS
+from ..operators import flows as W
+from ..operators import habits as H
 from ..operators import profile as P
 from ..operators import structuring as S
 from ..operators import velocity as V
@@ -14,13 +16,27 @@ from ..session import durable
 from ..sources.book import load_txn, table
 
 _OPEN: dict = {}
+_LOCK = threading.RLock()
+
+
+class shared:
+    """A frame of the book that is built once, also when several threads ask for it."""
+
+    def __init__(self, build):
+        self.build, self.name = build, build.__name__
+
+    def __get__(self, book, owner=None):
+        with _LOCK:
+            if self.name not in book.__dict__:
+                book.__dict__[self.name] = self.build(book)
+            return book.__dict__[self.name]
 
 
 class Book:
     def __init__(self, spark: SparkSession, sf_dir: str, txn: DataFrame | None = None):
         self.spark, self.sf_dir = spark, sf_dir
         if txn is not None:
-            self.txn = txn
+            self.__dict__["txn"] = txn
 
     @classmethod
     def open(cls, spark: SparkSession, sf_dir: str) -> "Book":
@@ -34,20 +50,20 @@ class Book:
     def table(self, name: str) -> DataFrame:
         return table(self.spark, self.sf_dir, name)
 
-    @cached_property
+    @shared
     def txn(self) -> DataFrame:
         return load_txn(self.spark, self.sf_dir)
 
-    @cached_property
+    @shared
     def profile(self) -> DataFrame:
         """One row per account, written once: every detector reads it."""
         return durable(P.profile(self.txn))
 
-    @cached_property
+    @shared
     def accounts(self) -> DataFrame:
         return self.txn.select(KEY).distinct()
 
-    @cached_property
+    @shared
     def limits(self) -> DataFrame:
         """Profile with the thresholds of its account type; the type table has seven rows."""
         out = self.profile
@@ -59,17 +75,17 @@ class Book:
             out = out.withColumn(name, arms)
         return out
 
-    @cached_property
+    @shared
     def clean(self) -> DataFrame:
         """Rows that scoring looks at: everything outside the whitelist. Written once, since
         every detector reads it and the keyword tests should not run ten times."""
         return durable(P.apply_whitelist(self.txn, self.profile))
 
-    @cached_property
+    @shared
     def structuring_limits(self) -> DataFrame:
         return S.structuring_limits(self.profile)
 
-    @cached_property
+    @shared
     def structuring_rows(self) -> DataFrame:
         return durable(S.structuring_rows(self.clean))
 
@@ -77,34 +93,155 @@ class Book:
         from ..operators.velocity import big_enough
         return big_enough(frame, self.clean, least)
 
-    @cached_property
+    @shared
     def bursts(self):
         return V.velocity_bursts(self.clean, self.limits)
 
-    @cached_property
+    @shared
     def spikes(self):
         return V.daily_spikes(self.clean)
 
-    @cached_property
+    @shared
     def outflows(self):
         return V.outflow_24h(self.clean, self.limits)
 
-    @cached_property
+    @shared
     def velocity_score(self):
         return V.velocity_score(self.accounts, self.bursts, self.spikes, self.outflows, V.counterparty_churn(self.clean))
 
-    @cached_property
+    @shared
     def just_under(self):
         return self._evidence(S.just_under(self.structuring_rows, self.structuring_limits), 5)
 
-    @cached_property
+    @shared
     def split_groups(self):
         return self._evidence(S.split_groups(self.structuring_rows, self.structuring_limits), 5)
 
-    @cached_property
+    @shared
     def smurfing(self):
         return self._evidence(S.smurfing(self.structuring_rows, self.structuring_limits), 5)
 
-    @cached_property
+    @shared
     def structuring_score(self):
         return S.structuring_score(self.accounts, self.clean, self.just_under, self.split_groups, self.smurfing)
+
+    @shared
+    def pass_pairs(self):
+        return self._evidence(W.pass_through_pairs(self.clean, self.profile), 5)
+
+    @shared
+    def pass_through(self):
+        return W.pass_through(self.pass_pairs, self.clean)
+
+    @shared
+    def cross_score(self):
+        return W.cross_reference_score(
+            self.accounts, self.clean, W.income_expense_ratio(self.clean), self.pass_through, W.peer_income(self.clean, self.profile))
+
+    @shared
+    def merchant_hits(self):
+        return W.merchant_hits(self.clean)
+
+    @shared
+    def shells(self):
+        return W.shell_companies(self.clean)
+
+    @shared
+    def merchant_totals(self):
+        return W.merchant_totals(self.accounts, self.clean, self.merchant_hits, self.shells)
+
+    @shared
+    def merchant_score(self):
+        return W.merchant_score(self.merchant_totals, self.profile)
+
+    @shared
+    def edges(self):
+        return W.graph_edges(self.clean)
+
+    @shared
+    def nodes(self):
+        return W.graph_nodes(self.edges)
+
+    @shared
+    def hubs(self):
+        return W.graph_hubs(self.nodes)
+
+    @shared
+    def graph_score(self):
+        return W.graph_score(self.accounts, self.nodes, self.hubs, self.limits)
+
+    @shared
+    def times(self):
+        return H.time_data(self.clean)
+
+    @shared
+    def night(self):
+        return H.night_rows(self.clean, self.times)
+
+    @shared
+    def large_night(self):
+        return H.large_night(self.night)
+
+    @shared
+    def night_clusters(self):
+        return H.night_clusters(self.night)
+
+    @shared
+    def night_score(self):
+        return H.night_score(self.accounts, H.night_summary(self.night, self.times), self.large_night, self.night_clusters)
+
+    @shared
+    def dups(self):
+        return H.dup_candidates(self.clean)
+
+    @shared
+    def exact_duplicates(self):
+        return H.exact_duplicates(self.dups)
+
+    @shared
+    def broadcasts(self):
+        return H.amount_broadcast(self.dups)
+
+    @shared
+    def duplicate_score(self):
+        return H.duplicate_score(self.accounts, self.exact_duplicates, self.broadcasts)
+
+    @shared
+    def rounds(self):
+        return H.round_rows(H.round_relevant(self.clean), self.clean)
+
+    @shared
+    def round_runs(self):
+        return H.consecutive_rounds(self.rounds)
+
+    @shared
+    def round_score(self):
+        return H.round_score(self.accounts, self.rounds, self.round_runs)
+
+    @shared
+    def oversized(self):
+        return self._evidence(H.oversized(self.clean, self.limits), 5)
+
+    @shared
+    def unexpected(self):
+        return self._evidence(H.unexpected_activity(self.clean, self.limits), 5)
+
+    @shared
+    def income_anomalies(self):
+        return self._evidence(H.income_anomalies(self.clean, self.limits), 5)
+
+    @shared
+    def mismatch_score(self):
+        return H.mismatch_score(self.accounts, self.oversized, self.unexpected, self.income_anomalies)
+
+    @shared
+    def trend(self):
+        return self._evidence(H.spending_trend(self.clean, self.limits), 10)
+
+    @shared
+    def category_odd(self):
+        return self._evidence(H.category_anomalies(self.clean), 10)
+
+    @shared
+    def behavioral_score(self):
+        return H.behavioral_score(self.accounts, self.trend, self.category_odd)

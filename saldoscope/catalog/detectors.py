@@ -203,7 +203,7 @@ query("unexpected_activity", f"""select * from (select account_id, seq, amount::
   from {{{{clean}}}} join (select account_id, account_type, avg_monthly_income from {{{{profile}}}}) using (account_id)) where reason is not null and {gate(5)}""")(lambda b: b.unexpected)
 query("income_anomalies", f"""select account_id, seq, amount::double amount, {O.rnd('amount::double/avg_monthly_income', 2)} excess_ratio from {{{{clean}}}} join (select account_id, avg_monthly_income from {{{{profile}}}}) using (account_id)
   where amount > 0 and not is_salary and not is_pension_benefit and avg_monthly_income > 0 and amount::double > avg_monthly_income*2 and {gate(5)}""")(lambda b: b.income_anomalies)
-query("mismatch_list", """select * from (select account_id, 'oversized' kind, row_number() over (partition by account_id order by abs(amount) desc, seq) rank_in_account, seq, amount from {{oversized}} union all
+query("mismatch_list", """select account_id, kind, rank_in_account::int rank_in_account, seq, amount from (select account_id, 'oversized' kind, row_number() over (partition by account_id order by abs(amount) desc, seq) rank_in_account, seq, amount from {{oversized}} union all
   select account_id, 'unexpected', row_number() over (partition by account_id order by seq), seq, amount from {{unexpected_activity}} union all
   select account_id, 'income_anomaly', row_number() over (partition by account_id order by amount desc, seq), seq, amount from {{income_anomalies}}) where rank_in_account <= 5""")(
     lambda b: H.mismatch_list(b.oversized, b.unexpected, b.income_anomalies))

@@ -70,7 +70,10 @@ def pass_through_pairs(clean: DataFrame, prof: DataFrame, hours: int = 24, tol:
     big = clean.filter(F.abs("amount") >= PASS_THROUGH_FLOOR).join(prof.select(KEY, "account_type"), KEY)
     excused = _out() & F.col("account_type").isin("freelancer", "business_owner") & B.has_any(F.upper(B.cp_desc()), K.PASS_THROUGH_MERCHANT)
     rows = big.filter(~excused).select(KEY, F.floor(B.us() / F.lit(SLICE_US)).alias("slice"), B.us().alias("t"), "seq", B.dbl("amount").alias("amount"))
-    rows = durable(rows)
+    # an income matters only where an expense can follow: in its slice or the next one
+    spent = rows.filter("amount < 0").select(KEY, "slice").distinct()
+    near = spent.select(KEY, F.explode(F.array(F.col("slice"), F.col("slice") - 1)).alias("slice")).distinct()
+    rows = durable(rows.join(near, [KEY, "slice"], "left_semi"))
     run = _match_slice(hours * B.HOUR_US, tol)
     key = [KEY, "slice"]
 

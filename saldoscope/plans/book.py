@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..config.limits import ACCOUNT_TYPES, TYPE_LIMITS
 from ..operators import flows as W
 from ..operators import habits as H
+from ..operators import patterns as N
 from ..operators import profile as P
+from ..operators import scoring as R
 from ..operators import structuring as S
 from ..operators import velocity as V
 from ..operators.base import KEY
@@ -61,7 +63,7 @@ class Book:
 
     @shared
     def accounts(self) -> DataFrame:
-        return self.txn.select(KEY).distinct()
+        return self.profile.select(KEY)
 
     @shared
     def limits(self) -> DataFrame:
@@ -245,3 +247,73 @@ class Book:
     @shared
     def behavioral_score(self):
         return H.behavioral_score(self.accounts, self.trend, self.category_odd)
+
+    @shared
+    def layering(self):
+        return N.layering(self.txn, self.profile)
+
+    @shared
+    def structuring_pattern(self):
+        return N.structuring_pattern(self.txn, self.structuring_limits)
+
+    @shared
+    def carding(self):
+        return N.carding(self.txn)
+
+    @shared
+    def pyramid(self):
+        return N.pyramid(self.txn)
+
+    @shared
+    def many_payouts(self):
+        return N.many_payouts(self.txn, self.profile)
+
+    @shared
+    def untraced_cash(self):
+        return N.untraced_cash(self.txn)
+
+    @shared
+    def patterns(self):
+        return durable(N.all_patterns([
+            self.layering, self.structuring_pattern, self.carding, self.pyramid, self.many_payouts, self.untraced_cash]))
+
+    @shared
+    def score_frames(self) -> dict:
+        """One small row per account and module, each written once: scores and counts."""
+        frames = {
+            "velocity": self.velocity_score, "graph": self.graph_score, "behavioral": self.behavioral_score,
+            "structuring": self.structuring_score, "cross_reference": self.cross_score, "merchant_risk": self.merchant_score,
+            "night_transactions": self.night_score, "duplicate_payments": self.duplicate_score,
+            "round_amounts": self.round_score, "profile_mismatch": self.mismatch_score,
+        }
+        return {m: durable(df) for m, df in frames.items()}
+
+    @shared
+    def module_scores(self):
+        return R.module_scores(self.accounts, self.score_frames, self.patterns)
+
+    @shared
+    def scored(self):
+        return durable(R.composite(self.module_scores, self.profile))
+
+    @shared
+    def evidence_counts(self):
+        return R.counts_wide(self.accounts, self.score_frames)
+
+    @shared
+    def txn_flags(self):
+        pairs = self.pass_pairs
+        mismatch = self.oversized.select(KEY, "seq").unionByName(self.unexpected.select(KEY, "seq")).unionByName(self.income_anomalies.select(KEY, "seq"))
+        both = pairs.select(KEY, "seq").unionByName(pairs.select(KEY, F.col("seq2").alias("seq")))
+        return R.txn_flags({"structuring": self.just_under, "night_transactions": self.large_night, "profile_mismatch": mismatch,
+                            "cross_reference": both, "pattern_detector": self.patterns})
+
+    @shared
+    def report(self):
+        from ..operators import base as B
+        ranked = B.topk(self.patterns, [KEY], [F.desc("confidence"), "pattern", "seq"], 15)
+        night = B.topk(self.large_night, [KEY], [F.desc("amount"), "seq"], 10)
+        return R.assemble_report(self.scored, self.profile, {
+            "bursts": (self.bursts.drop("t"), 10), "daily_spikes": (self.spikes, 10), "split_groups": (self.split_groups, 10),
+            "smurfing_patterns": (self.smurfing, 5), "pass_through": (self.pass_through, 10), "hub_nodes": (self.hubs, 15),
+            "large_night_transfers": (night, 10), "flagged_patterns": (ranked, 15)})

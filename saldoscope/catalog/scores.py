@@ -83,13 +83,13 @@ def flag_sql(module, needs, bound):
     counter = f"case account_type {counter} else '' end" if counter else "''"
     sev = f"case when {module} >= {bound} then 'critical' else 'warning' end" if bound else "'warning'"
     share = O.rnd(f"{module}*{O.rnd(WEIGHT[module], 4)}", 2)
-    return f"select account_id, null::bigint seq, '{module}' as module, {sev} severity, least(1.0::double, {module}/100) confidence, {share} contribution, {counter} counter_evidence from {{{{composite}}}} join {{{{evidence_counts}}}} using (account_id) where {module} > 0 and {needs} > 0"
+    return f"select account_id, '{module}' as module, {sev} severity, least(1.0::double, {module}/100) confidence, {share} contribution, {counter} counter_evidence from {{{{composite}}}} join {{{{evidence_counts}}}} using (account_id) where {module} > 0 and {needs} > 0"
 
 
 pc = "case pattern " + " ".join(f"when '{k}' then '{v}'" for k, v in L.PATTERN_COUNTER.items()) + " end"
 query("explained_flags", " union all ".join(flag_sql(m, *v) for m, v in S.FLAG_MODULES.items())
-      + f" union all select account_id, seq, 'pattern_detector', case when confidence >= 0.8 then 'critical' else 'warning' end, confidence, {O.rnd('contribution', 2)}, {pc} from {{{{patterns}}}}")(
-    lambda b: S.explained_flags(b.scored, b.evidence_counts, b.patterns))
+      + f" union all select account_id, 'pattern_detector', case when confidence >= 0.8 then 'critical' else 'warning' end, confidence, {O.rnd('contribution', 2)}, {pc} from {{{{patterns}}}}")(
+    lambda b: S.explained_flags(b.scored, b.evidence_counts, b.patterns).drop("seq"))
 pairs = [(m, k, t) for (m, k), t in L.COUNTER_EVIDENCE.items()]
 query("counter_evidence", " union all ".join(f"select account_id, '{m}' as module, '{t}' as counter_evidence from {{{{profile}}}} where account_type = '{k}'" for m, k, t in pairs))(
     lambda b: b.profile.select("account_id", F.explode(F.filter(F.array(*[F.when(F.col("account_type") == k, F.struct(F.lit(m).alias("module"), F.lit(t).alias("counter_evidence"))) for m, k, t in pairs]),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config.limits import ACCOUNT_TYPES, TYPE_LIMITS
+from ..operators import enrich as E
 from ..operators import flows as W
 from ..operators import habits as H
 from ..operators import patterns as N
@@ -15,7 +16,7 @@ from ..operators import structuring as S
 from ..operators import velocity as V
 from ..operators.base import KEY
 from ..session import durable
-from ..sources.book import load_txn, table
+from ..sources.book import load_accounts, load_analyses, load_logins, load_txn, table
 
 _OPEN: dict = {}
 _LOCK = threading.RLock()
@@ -317,3 +318,36 @@ class Book:
             "bursts": (self.bursts.drop("t"), 10), "daily_spikes": (self.spikes, 10), "split_groups": (self.split_groups, 10),
             "smurfing_patterns": (self.smurfing, 5), "pass_through": (self.pass_through, 10), "hub_nodes": (self.hubs, 15),
             "large_night_transfers": (night, 10), "flagged_patterns": (ranked, 15)})
+
+    @shared
+    def account(self):
+        return load_accounts(self.spark, self.sf_dir)
+
+    @shared
+    def analyses(self):
+        return load_analyses(self.spark, self.sf_dir)
+
+    @shared
+    def logins(self):
+        return load_logins(self.spark, self.sf_dir)
+
+    @shared
+    def classes(self):
+        """Class of every distinct counterparty name; the reference table is the supplier list."""
+        known = self.table("supplier").select(
+            F.col("s_name").alias("name"), F.lit("merchant").alias("known_kind"), F.concat("s_name", F.lit(" LLP")).alias("known_name"), F.lit("ТОО").alias("known_type"))
+        from ..operators import base as B
+        names = self.txn.select(F.trim(B.cp_desc()).alias("name")).filter("name <> ''")
+        return E.classify(names, known)
+
+    @shared
+    def salary_sources(self):
+        return E.salary_sources(self.txn)
+
+    @shared
+    def labelled(self):
+        return self.txn.withColumn("label", E.statement_label())
+
+    @shared
+    def cats(self):
+        return E.categorise(self.txn)

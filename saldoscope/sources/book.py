@@ -131,3 +131,38 @@ def load_txn(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     txn = event_txn(spark, sf_dir).unionByName(ledger_txn(spark, sf_dir))
     return txn.withColumn("ts", F.col("ts").cast("timestamp"))
+
+ACCOUNT_SQL = """
+select concat('C', cast(c_custkey as string)) as account_id, c_name as owner,
+  cast(c_acctbal as decimal(15,2)) as balance_start,
+  cast(case when c_custkey % 3 = 0 then 0 else c_acctbal + c_custkey end as decimal(15,2)) as balance_end from {customer}
+union all
+select distinct concat('U', cast(user_id % 8 as string)), 'Иванов Иван Иванович', cast(100000 as decimal(15,2)),
+  cast(250000 as decimal(15,2)) from {events}
+"""
+ANALYSIS_SQL = """
+select o_orderkey as analysis_id, o_custkey % 5 as user_id, concat('Statement ', o_orderpriority) as name,
+  cast(o_orderdate as timestamp) as created_at,
+  case o_orderstatus when 'F' then 'completed' when 'P' then 'processing' else 'pending' end as status,
+  case when o_orderstatus = 'F' then cast(cast(o_totalprice as bigint) % 101 as double) end as composite_score,
+  cast(cast(o_totalprice as bigint) % 11 as int) as risk_score,
+  cast(o_orderkey % 40 as bigint) as transaction_count, cast(o_totalprice as decimal(15,2)) as total_amount
+from {orders}
+"""
+LOGIN_SQL = """
+select event_id as login_id, user_id, cast(ts as timestamp) as login_at, event_type,
+  case when event_type <> 'error' then cast(cast(value as decimal(10,2)) * 60 as bigint) end as stayed
+from {events}
+"""
+
+
+def load_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _part(spark, sf_dir, ACCOUNT_SQL, "customer", "events")
+
+
+def load_analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _part(spark, sf_dir, ANALYSIS_SQL, "orders")
+
+
+def load_logins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _part(spark, sf_dir, LOGIN_SQL, "events")

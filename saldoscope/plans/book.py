@@ -10,6 +10,7 @@ from ..operators import enrich as E
 from ..operators import flows as W
 from ..operators import habits as H
 from ..operators import patterns as N
+from ..operators import privacy as PV
 from ..operators import profile as P
 from ..operators import scoring as R
 from ..operators import structuring as S
@@ -351,3 +352,11 @@ class Book:
     @shared
     def cats(self):
         return E.categorise(self.txn)
+
+    @shared
+    def person_tags(self):
+        return PV.person_tags(self.txn)
+
+    @shared
+    def owner_variants(self):
+        return PV.owner_variants(self.account)

@@ -78,7 +78,7 @@ _LEDGER_TAIL = """
 """
 
 LEDGER_INCOME_SQL = f"""
-select concat('C', cast(o_custkey as string)) as account_id, o_orderkey * 1000000 as seq,
+select concat('C', cast(o_custkey as string)) as account_id, o_orderkey * 10000000000 as seq,
   cast(o_orderdate as timestamp) as ts, cast(o_totalprice as decimal(15,2)) as amount,
   'income' as type, concat('Поступление ', o_orderpriority) as description,
   case when o_orderkey % 3 = 0 then 'Фонд Дружба'
@@ -89,7 +89,7 @@ from {{orders}}
 
 LEDGER_EXPENSE_SQL = f"""
 select concat('C', cast(o_custkey as string)) as account_id,
-  l_orderkey * 1000000 + l_linenumber * 100000 + (l_partkey * 7 + l_suppkey) % 100000 as seq,
+  ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey as seq,
   cast(l_shipdate as timestamp) as ts,
   cast(case when l_partkey % 10 = 0 then -(50000 + cast(l_quantity as decimal(10,2)) * 100)
     else -cast(l_extendedprice as decimal(15,2)) end as decimal(15,2)) as amount,

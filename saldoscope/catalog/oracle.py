@@ -10,7 +10,7 @@ FRAGMENTS: dict[str, str] = {}
 _REF = re.compile(r"\{\{(\w+)\}\}")
 
 
-_RANK = re.compile(r"row_number\(\) over (\([^()]*\))")
+_RANK = re.compile(r"row_number\(\) over (\((?:[^()]|\([^()]*\))*\))")
 
 
 def fragment(name: str, sql: str) -> None:

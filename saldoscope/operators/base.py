@@ -276,3 +276,15 @@ def exact_median(df: DataFrame, keys, value: str, out: str = "median", high: boo
     picked = near.groupBy(*keys).agg(F.max(F.when(at_lo, F.col("v"))).alias("_lo"), F.max(F.when(at_hi, F.col("v"))).alias("_hi"))
     mid = F.col("_hi") / 100.0 if high else (F.col("_lo") + F.col("_hi")) / 200.0
     return picked.select(*keys, mid.alias(out))
+
+
+def carry_last(df: DataFrame, keys, order: str, mark, out: str, slice_width: int) -> DataFrame:
+    """Last non-null ``mark`` up to each row along ``order``, slice by slice with a carry."""
+    df = df.withColumn("_mark", mark).withColumn("_slice", F.floor(F.col(order) / F.lit(slice_width)))
+    part = [*keys, "_slice"]
+    along = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    ends = df.groupBy(*part).agg(F.max_by(F.col("_mark"), F.when(F.col("_mark").isNotNull(), F.col(order))).alias("_end"))
+    ends = ends.select(*part, F.last("_end", ignorenulls=True).over(along).alias("_before"))
+    inside = Window.partitionBy(*part).orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
+    d = df.join(ends, part).withColumn(out, F.coalesce(F.last("_mark", ignorenulls=True).over(inside), F.col("_before")))
+    return d.drop("_mark", "_slice", "_before")

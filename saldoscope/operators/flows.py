@@ -4,13 +4,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..config import keywords as K
 from ..config.limits import PASS_THROUGH_FLOOR
-from ..session import durable
 from . import base as B
 from .base import KEY
+from .settle import ANSWER_COLUMNS, settle
 
 
 def _out():
@@ -28,10 +27,6 @@ def income_expense_ratio(clean: DataFrame) -> DataFrame:
 
 
 SLICE_US = 2 * B.DAY_US
-_MATCH = T.StructType([
-    T.StructField(KEY, T.StringType()), T.StructField("slice", T.LongType()), T.StructField("what", T.StringType()),
-    T.StructField("t", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("amount", T.DoubleType()),
-    T.StructField("t2", T.LongType()), T.StructField("seq2", T.LongType()), T.StructField("amount2", T.DoubleType())])
 
 
 def _match_slice(window_us: int, tol: float):
@@ -50,11 +45,11 @@ def _match_slice(window_us: int, tol: float):
             if len(fit):
                 i = lo + fit[0]
                 free[i] = False
-                out.append((key, sl, "pair", it[i], iseq[i], ia[i], t, seq, a))
+                out.append((key, sl, "done", it[i], iseq[i], ia[i], t, seq, a))
         end = (sl + 1) * SLICE_US
         for i in np.flatnonzero(free & (it >= end - window_us)):
             out.append((key, sl + 1, "open", it[i], iseq[i], ia[i], 0, 0, 0.0))
-        return pd.DataFrame(out, columns=[f.name for f in _MATCH])
+        return pd.DataFrame(out, columns=ANSWER_COLUMNS)
     return run
 
 
@@ -63,9 +58,7 @@ def pass_through_pairs(clean: DataFrame, prof: DataFrame, hours: int = 24, tol:
 
     Both sides rank each other by time, so taking incomes in order and taking expenses in
     order give the same one-to-one matching. That lets time be cut into slices: a slice
-    needs only the incomes still open at its start. Slices run in parallel from assumed
-    open incomes and only slices whose assumption proved wrong run again, until none is
-    left. The result equals one pass in time order.
+    needs only the incomes still open at its start.
     """
     big = clean.filter(F.abs("amount") >= PASS_THROUGH_FLOOR).join(prof.select(KEY, "account_type"), KEY)
     excused = _out() & F.col("account_type").isin("freelancer", "business_owner") & B.has_any(F.upper(B.cp_desc()), K.PASS_THROUGH_MERCHANT)
@@ -73,31 +66,9 @@ def pass_through_pairs(clean: DataFrame, prof: DataFrame, hours: int = 24, tol:
     # an income matters only where an expense can follow: in its slice or the next one
     spent = rows.filter("amount < 0").select(KEY, "slice").distinct()
     near = spent.select(KEY, F.explode(F.array(F.col("slice"), F.col("slice") - 1)).alias("slice")).distinct()
-    rows = durable(rows.join(near, [KEY, "slice"], "left_semi"))
-    run = _match_slice(hours * B.HOUR_US, tol)
-    key = [KEY, "slice"]
-
-    def match(part: DataFrame) -> DataFrame:
-        return durable(part.groupBy(*key).applyInPandas(run, _MATCH))
-
-    done = match(rows)
-    assumed = None
-    while True:
-        opened = done.filter("what = 'open'").select(*key, "t", "seq", "amount")
-        told = opened.groupBy(*key).agg(F.count("*").alias("n"), F.sum(F.xxhash64("t", "seq").cast("decimal(38,0)")).alias("h"))
-        if assumed is None:
-            wrong = told.select(*key)
-        else:
-            wrong = told.join(assumed, key, "full").filter(~(F.col("n").eqNullSafe(F.col("pn")) & F.col("h").eqNullSafe(F.col("ph")))).select(*key)
-        wrong = durable(wrong)
-        if wrong.isEmpty():
-            return done.filter("what = 'pair'").select(KEY, "t", "seq", "amount", "t2", "seq2", "amount2")
-        redo = match(rows.unionByName(opened).join(wrong, key, "left_semi"))
-        # an answer belongs to the slice that produced it: open incomes are filed one slice later
-        home = F.when(F.col("what") == "open", F.col("slice") - 1).otherwise(F.col("slice"))
-        keep = done.withColumn("home", home).join(wrong.withColumnRenamed("slice", "home"), [KEY, "home"], "left_anti").drop("home")
-        assumed = durable(told.withColumnRenamed("n", "pn").withColumnRenamed("h", "ph"))
-        done = durable(keep.unionByName(redo))
+    rows = rows.join(near, [KEY, "slice"], "left_semi")
+    done = settle(rows, [KEY], _match_slice(hours * B.HOUR_US, tol))
+    return done.select(KEY, "t", "seq", "amount", "t2", "seq2", "amount2")
 
 
 def pass_through(pairs: DataFrame, clean: DataFrame, k: int = 10) -> DataFrame:

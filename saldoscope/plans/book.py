@@ -360,3 +360,8 @@ class Book:
     @shared
     def owner_variants(self):
         return PV.owner_variants(self.account)
+
+    @shared
+    def subjects(self):
+        from ..sources import sinks
+        return sinks.subjects_of(self.txn)

@@ -144,14 +144,14 @@ ANALYSIS_SQL = """
 select o_orderkey as analysis_id, o_custkey % 5 as user_id, concat('Statement ', o_orderpriority) as name,
   cast(o_orderdate as timestamp) as created_at,
   case o_orderstatus when 'F' then 'completed' when 'P' then 'processing' else 'pending' end as status,
-  case when o_orderstatus = 'F' then cast(cast(o_totalprice as bigint) % 101 as double) end as composite_score,
-  cast(cast(o_totalprice as bigint) % 11 as int) as risk_score,
+  case when o_orderstatus = 'F' then cast(cast(floor(o_totalprice) as bigint) % 101 as double) end as composite_score,
+  cast(cast(floor(o_totalprice) as bigint) % 11 as int) as risk_score,
   cast(o_orderkey % 40 as bigint) as transaction_count, cast(o_totalprice as decimal(15,2)) as total_amount
 from {orders}
 """
 LOGIN_SQL = """
 select event_id as login_id, user_id, cast(ts as timestamp) as login_at, event_type,
-  case when event_type <> 'error' then cast(cast(value as decimal(10,2)) * 60 as bigint) end as stayed
+  case when event_type <> 'error' then cast(floor(cast(value as decimal(10,2)) * 60) as bigint) end as stayed
 from {events}
 """
 

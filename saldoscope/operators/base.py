@@ -94,9 +94,14 @@ def dbl(c) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("double")
 
 
+def cents(c) -> Column:
+    """Money as whole cents: long sums are exact, cheap, and fail loudly on overflow."""
+    return F.rint(dbl(c) * F.lit(100.0)).cast("long")
+
+
 def total(c) -> Column:
-    """Exact decimal sum as double; null-free."""
-    return F.coalesce(F.sum(c).cast("double"), F.lit(0.0))
+    """Exact sum of money per key as double; null-free."""
+    return F.coalesce(F.sum(cents(c)) / F.lit(100.0), F.lit(0.0))
 
 
 def us(c="ts") -> Column:
@@ -183,10 +188,9 @@ def sliced_cumsum(df: DataFrame, keys, t: str, order, values: dict, slice_us: in
 
 
 def by_instant(df: DataFrame, keys, amount=None) -> DataFrame:
-    """Collapse rows to one per (key, instant): count and exact sum. Combines map-side."""
-    aggs = [F.count("*").alias("n")]
-    aggs.append(F.sum(amount if amount is not None else F.lit(0)).alias("s"))
-    return df.groupBy(*keys, us().alias("t")).agg(*aggs)
+    """Collapse rows to one per (key, instant): count and sum in cents. Combines map-side."""
+    s = F.sum(cents(amount) if amount is not None else F.lit(0).cast("long")).alias("s")
+    return df.groupBy(*keys, us().alias("t")).agg(F.count("*").alias("n"), s)
 
 
 def forward_totals(instants: DataFrame, keys, width_us: int, slice_us: int = DAY_US) -> DataFrame:
@@ -288,3 +292,20 @@ def carry_last(df: DataFrame, keys, order: str, mark, out: str, slice_width: int
     inside = Window.partitionBy(*part).orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
     d = df.join(ends, part).withColumn(out, F.coalesce(F.last("_mark", ignorenulls=True).over(inside), F.col("_before")))
     return d.drop("_mark", "_slice", "_before")
+
+
+def prune_slots(instants: DataFrame, keys, width_us: int, measure: str, limits: DataFrame, limit: Column) -> DataFrame:
+    """Drop instants that cannot lie in a window reaching ``limit``.
+
+    A window of one slot width touches its own aligned slot and the next, so the two slot
+    totals bound it. Slots that pass are kept with their follower; on quiet data nearly
+    everything goes before the timeline is built, and no answer changes.
+    """
+    d = instants.withColumn("_slot", F.floor(F.col("t") / F.lit(width_us)))
+    slots = d.groupBy(*keys, "_slot").agg(F.sum(measure).alias("_m"))
+    w = Window.partitionBy(*keys).orderBy("_slot")
+    follows = F.lead("_slot").over(w) == F.col("_slot") + 1
+    both = F.col("_m") + F.when(follows, F.lead("_m").over(w)).otherwise(0)
+    ok = slots.withColumn("_both", both).join(limits, keys).filter(F.col("_both") >= limit)
+    keep = ok.select(*keys, F.explode(F.array(F.col("_slot"), F.col("_slot") + 1)).alias("_slot")).distinct()
+    return d.join(keep, [*keys, "_slot"], "left_semi").drop("_slot")

@@ -82,7 +82,7 @@ def portfolio_stats(analyses: DataFrame, subjects: DataFrame) -> DataFrame:
     n = lambda cond: F.count(F.when(cond, 1))
     g = analyses.agg(F.count("*").alias("total_analyses"), n(done).alias("completed"), n(done & ((c <= 30) | c.isNull())).alias("low_risk"), n(done & (c > 30) & (c <= 60)).alias("medium_risk"),
                      n(done & (c > 60)).alias("high_risk"), n(st == "failed").alias("failed"), n(st == "pending").alias("pending"), n(st.isin("parsing", "analyzing", "in_progress", "processing")).alias("in_progress"),
-                     (F.sum(c.cast("decimal(18,2)")).cast("double") / F.count(c)).alias("avg_composite"), F.sum("transaction_count").alias("transactions"), B.total("total_amount").alias("total_amount"))
+                     (F.sum(c.cast("decimal(18,2)")).cast("double") / F.count(c)).alias("avg_composite"), F.sum("transaction_count").alias("transactions"), F.sum("total_amount").cast("double").alias("total_amount"))
     g = g.withColumn("completion_rate", B.py_round(F.col("completed") / F.col("total_analyses") * 100.0, 2))
     return g.join(F.broadcast(subjects.agg(F.count("*").alias("total_subjects"))))  # one row each
 

@@ -44,7 +44,7 @@ def layering(txn: DataFrame, prof: DataFrame, hours: int = 72) -> DataFrame:
     inc = txn.filter(F.col("amount") >= LAYERING_FLOOR).select(KEY, "seq", B.us().alias("t"), B.dbl("amount").alias("income"))
     outs = txn.filter(_out()).select(KEY, "ts", F.abs("amount").alias("a"), B.cp_strict().alias("cp"))
     outs = outs.join(inc.select(KEY).distinct(), KEY, "left_semi")
-    inst = outs.groupBy(KEY, "cp", B.us().alias("t")).agg(F.count("*").alias("n"), F.sum("a").alias("s"))
+    inst = outs.groupBy(KEY, "cp", B.us().alias("t")).agg(F.count("*").alias("n"), F.sum(B.cents("a")).alias("s"))
     runs = B.islands(inst.filter("cp <> ''").select(KEY, "cp", "t"), [KEY, "cp"], width).groupBy(KEY, "cp", "run").agg(F.max("t").alias("last"))
     money = inst.schema["s"].dataType
     zero_n, zero_s, none = F.lit(0).cast("long"), F.lit(0).cast(money), F.lit(None).cast("long")
@@ -63,7 +63,7 @@ def layering(txn: DataFrame, prof: DataFrame, hours: int = 72) -> DataFrame:
     at, end = F.col("kind") == 1, F.col("kind") == 4
     got = line.filter(at | end).groupBy(KEY, F.col("t0").alias("t")).agg(
         (F.max(F.when(end, F.col("cn"))) - F.max(F.when(at, F.col("cn")))).alias("outflows"),
-        (F.max(F.when(end, F.col("cs"))) - F.max(F.when(at, F.col("cs")))).cast("double").alias("total_out"),
+        ((F.max(F.when(end, F.col("cs"))) - F.max(F.when(at, F.col("cs")))) / 100.0).alias("total_out"),
         F.max(F.when(at, F.col("cu"))).alias("destinations"))
     d = inc.join(got.filter("outflows >= 3 and destinations >= 3"), [KEY, "t"]).join(prof.select(KEY, "account_type"), KEY)
     d = d.withColumn("coverage", F.col("total_out") / F.col("income")).filter("coverage >= 0.70")

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import language as L
+from ..session import durable
 from . import base as B
 
 
@@ -57,7 +58,7 @@ def term_stats(post: DataFrame) -> DataFrame:
 
 def bm25(articles: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """Best ``k`` articles for every query of a table (query_id, query)."""
-    post = postings(articles)
+    post = durable(postings(articles))  # the index is read three times
     length = post.groupBy("code", "number").agg(F.sum("tf").alias("dl"))
     size = articles.agg(F.count("*").alias("n_docs"))
     avg = length.agg((F.sum("dl").cast("double")).alias("all_terms"))

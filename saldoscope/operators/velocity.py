@@ -20,11 +20,12 @@ def velocity_bursts(clean: DataFrame, limits: DataFrame, hours: int = 2, k: int
     Only the first row of an instant can open a window, so instants are enough.
     """
     width = hours * B.HOUR_US
-    fw = B.forward_totals(B.by_instant(clean, [KEY], F.abs("amount")), [KEY], width)
-    cand = fw.join(limits.select(KEY, "burst_rows"), KEY).filter(F.col("n_w") >= F.col("burst_rows"))
+    lim = limits.select(KEY, "burst_rows")
+    busy = B.prune_slots(B.by_instant(clean, [KEY], F.abs("amount")), [KEY], width, "n", lim, F.col("burst_rows"))
+    cand = B.forward_totals(busy, [KEY], width).join(lim, KEY).filter(F.col("n_w") >= F.col("burst_rows"))
     picks = big_enough(B.greedy_windows(cand, [KEY], width, k), clean, 5)
     return picks.select(KEY, "rank_in_account", B.stamp_us("t").alias("started_at"), F.col("t").alias("t"),
-                        F.col("n_w").alias("transaction_count"), B.dbl("s_w").alias("total_amount"))
+                        F.col("n_w").alias("transaction_count"), (F.col("s_w") / 100.0).alias("total_amount"))
 
 
 def daily_spikes(clean: DataFrame, z: float = 3.0, factor: float = 4.0, floor: int = 15, k: int = 10) -> DataFrame:
@@ -52,11 +53,12 @@ def outflow_24h(clean: DataFrame, limits: DataFrame, share=None, k: int = 10) ->
         KEY, F.when(F.col("avg_monthly_income") > 0, F.col("avg_monthly_income")).otherwise(F.col("_seen")).alias("_income"),
         (F.lit(share) if share is not None else F.col("outflow_share")).alias("_share"))
     lim = lim.filter("_income > 0").withColumn("_limit", F.greatest(F.col("_income") * F.col("_share"), F.lit(float(OUTFLOW_FLOOR))))
-    fw = B.forward_totals(B.by_instant(clean.filter("amount < 0"), [KEY], F.abs("amount")), [KEY], B.DAY_US)
-    cand = fw.join(lim, KEY).filter(B.dbl("s_w") >= F.col("_limit"))
+    spent = B.by_instant(clean.filter("amount < 0"), [KEY], F.abs("amount"))
+    heavy = B.prune_slots(spent, [KEY], B.DAY_US, "s", lim, F.col("_limit") * 99.999)  # cents, with room for rounding
+    cand = B.forward_totals(heavy, [KEY], B.DAY_US).join(lim, KEY).filter((F.col("s_w") / 100.0) >= F.col("_limit"))
     picks = big_enough(B.greedy_windows(cand, [KEY], B.DAY_US, k), clean, 5).join(lim, KEY)
-    return picks.select(KEY, "rank_in_account", B.stamp_us("t").alias("started_at"), B.dbl("s_w").alias("amount_24h"),
-                        (B.dbl("s_w") / F.col("_income") * 100.0).alias("pct_of_monthly_income"))
+    return picks.select(KEY, "rank_in_account", B.stamp_us("t").alias("started_at"), (F.col("s_w") / 100.0).alias("amount_24h"),
+                        ((F.col("s_w") / 100.0) / F.col("_income") * 100.0).alias("pct_of_monthly_income"))
 
 
 def counterparty_churn(clean: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Shared frames of one run over a book of accounts. Every frame is lazy."""
 
 import threading
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -276,8 +277,8 @@ class Book:
 
     @shared
     def patterns(self):
-        return durable(N.all_patterns([
-            self.layering, self.structuring_pattern, self.carding, self.pyramid, self.many_payouts, self.untraced_cash]))
+        parts = [self.layering, self.structuring_pattern, self.carding, self.pyramid, self.many_payouts, self.untraced_cash]
+        return durable(N.all_patterns(parts))
 
     @shared
     def score_frames(self) -> dict:
@@ -288,7 +289,8 @@ class Book:
             "night_transactions": self.night_score, "duplicate_payments": self.duplicate_score,
             "round_amounts": self.round_score, "profile_mismatch": self.mismatch_score,
         }
-        return {m: durable(df) for m, df in frames.items()}
+        with ThreadPoolExecutor(4) as pool:  # independent jobs; the cluster runs them side by side
+            return dict(zip(frames, pool.map(durable, frames.values())))
 
     @shared
     def module_scores(self):
@@ -355,7 +357,7 @@ class Book:
 
     @shared
     def person_tags(self):
-        return PV.person_tags(self.txn)
+        return durable(PV.person_tags(self.txn))
 
     @shared
     def owner_variants(self):

@@ -109,7 +109,16 @@ TXN_ORACLE_SQL = " union all ".join(
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores when the input comes in fewer pieces than there are cores.
+
+    A large folder has many splits and is left as it is, so no shuffle is added there.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def _part(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame:

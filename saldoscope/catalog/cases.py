@@ -216,9 +216,9 @@ def issuer_sql():
     return " union all ".join(cols)
 
 
-query("detect_issuer", f"""with texts_by_account as (select account_id, string_agg(distinct description || ' ' || counterparty, ' ') tx from {{{{txn}}}} group by 1)
+query("detect_issuer", f"""with texts_by_account as (select distinct description || ' ' || counterparty account_id, description || ' ' || counterparty tx from {{{{txn}}}})
   select account_id doc_id, case when p < 20 then 'unknown' else issuer end issuer, p/100.0::double confidence from (select *, row_number() over (partition by account_id order by p desc, o) k from ({issuer_sql()})) where k = 1""")(
-    lambda b: R.detect_issuer(b.txn.select("account_id", F.concat_ws(" ", "description", "counterparty").alias("x")).distinct().groupBy("account_id").agg(F.array_join(F.collect_set("x"), " ").alias("text")).withColumnRenamed("account_id", "doc_id")))
+    lambda b: R.detect_issuer(b.txn.select(F.concat_ws(" ", "description", "counterparty").alias("text")).distinct().withColumn("doc_id", F.col("text"))))
 
 # ---- sinks
 query("analyses_rows", "select account_id analysis_id, composite_score, risk_level, least(10, floor(composite_score/10)::int) risk_score from {{composite}}")(lambda b: SK.analyses_rows(b.report).drop("report"))

@@ -13,6 +13,10 @@ def tune(spark: SparkSession) -> SparkSession:
     conf.set("spark.sql.adaptive.enabled", "true")
     conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    first = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    if conf.get("spark.sql.shuffle.partitions") == "200" and conf.get(first, None) is None:
+        # untouched default: follow the size of the cluster; a chosen number is respected
+        conf.set(first, str(2 * spark.sparkContext.defaultParallelism))
     return spark
 
 

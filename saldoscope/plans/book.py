@@ -57,7 +57,9 @@ class Book:
 
     @shared
     def txn(self) -> DataFrame:
-        return load_txn(self.spark, self.sf_dir)
+        """Canonical rows, written once: reading a statement source again for every operator
+        would repeat its join and its text work each time."""
+        return durable(load_txn(self.spark, self.sf_dir))
 
     @shared
     def profile(self) -> DataFrame:

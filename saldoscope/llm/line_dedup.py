@@ -38,12 +38,13 @@ def line_runs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Da
 
 def fingerprints(runs: DataFrame) -> DataFrame:
     """doc_id, key, at, h and, on either side, the nearest REACH lines (h, w), nearest first."""
-    window = """transform(sequence(0, size(lines) - 1), i -> aggregate(slice(lines, i + 1, {n}),
+    window = """transform(if(size(lines) > 0, sequence(0, size(lines) - 1), cast(array() as array<int>)), i -> aggregate(slice(lines, i + 1, {n}),
         named_struct('w', 0, 'h', cast(null as bigint), 'at', -1, 'k', i),
         (acc, x) -> if(acc.w >= {m}, acc, named_struct('w', acc.w + x.w, 'h', if(acc.h is null or x.h < acc.h, x.h, acc.h), 'at', if(acc.h is null or x.h < acc.h, acc.k, acc.at), 'k', acc.k + 1)),
         acc -> if(acc.w >= {m}, acc.at, -1)))""".format(n=REACH, m=MIN_WORDS)
     at = F.array_distinct(F.filter(F.expr(window), lambda x: x >= 0))
-    chosen = runs.withColumn("_at", at).select("doc_id", "key", "lines", F.explode("_at").alias("at"))
+    # explode() would make Spark compute the windows a second time, to filter out empty arrays first
+    chosen = runs.select("doc_id", "key", "lines", F.explode_outer(at).alias("at")).where("at is not null")
     before = F.reverse(F.slice("lines", F.greatest(F.col("at") + 1 - REACH, F.lit(1)), F.least(F.col("at"), F.lit(REACH))))
     after = F.slice("lines", F.col("at") + 2, F.lit(REACH))
     here = F.get("lines", F.col("at"))

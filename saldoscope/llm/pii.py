@@ -132,7 +132,8 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, text: str = "text") -> D
     count = terms.count()
     if not count:
         return pairs.select("term", F.lit(1.0).alias("disclosure"))
-    every = docs.select(F.explode(_terms(F.coalesce(F.col(text), F.lit("")))).alias("term"))
+    # explode() would make Spark extract the terms a second time, to filter out empty arrays first
+    every = docs.select(F.explode_outer(_terms(F.coalesce(F.col(text), F.lit("")))).alias("term"))
     df = _among(every, terms, count).groupBy("term").agg(F.count("*").alias("df_t"))
     told = pairs.join(df, "term").withColumn("disclosure", 1 + F.log2(F.least(F.col("df_ct") / F.col("df_t"), F.lit(1.0))) / F.log2(F.lit(float(n)) / F.col("df_c")))
     return cut(told.groupBy("term").agg(F.max("disclosure").alias("disclosure")).where(f"disclosure >= {GENERALISE_AT}"))
@@ -149,7 +150,7 @@ def find_terms(docs: DataFrame, found: DataFrame, terms: DataFrame, text: str =
     count = terms.count()
     if not count:
         return found.select("doc_id", "key", F.expr(f"cast(array() as array<{_SPAN}>)").alias("extra")).where("false")
-    keyed = rows.select("doc_id", F.xxhash64("text").alias("key"), F.explode(_terms(F.col("text"))).alias("term"))
+    keyed = rows.select("doc_id", F.xxhash64("text").alias("key"), F.explode_outer(_terms(F.col("text"))).alias("term"))
     listed = cut(_among(keyed, terms.select("term"), count).groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("term")).alias("listed")))
     base = found.select("doc_id", "key", "base").dropDuplicates(["doc_id", "key"])
     held = rows.withColumn("key", F.xxhash64("text")).join(listed.join(base, ["doc_id", "key"]), ["doc_id", "key"]).dropDuplicates(["doc_id", "key"])

@@ -68,10 +68,9 @@ def features(texts: pa.Array) -> np.ndarray:
     out[np.arange(len(texts)), KINDS ** 3 + np.minimum(size, LENGTHS - 1).astype(int)] = 0.02
     starts, _, hashes = words(buf, word_bytes(), np.arange(256, dtype=np.uint8))
     first = np.searchsorted(starts, offsets)
-    again = np.zeros(len(hashes) + 1, np.int64)
-    again[2:] = np.cumsum(hashes[1:] == hashes[:-1])
-    count = np.diff(first)
-    out[:, -1] = 0.2 * np.maximum(again[np.maximum(first[1:], 1)] - again[np.minimum(first[:-1] + 1, len(hashes))], 0) / np.maximum(count, 1)
+    again = np.concatenate([[0, 0], np.cumsum(hashes[1:] == hashes[:-1])])
+    a, b = first[:-1], first[1:]
+    out[:, -1] = 0.2 * (again[b] - again[np.minimum(a + 1, b)]) / np.maximum(b - a, 1)
     return np.sqrt(out)
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, line_dedup, merkle, minhash, pieces, pii, quality, token_counts, warc
+from . import chat, decontaminate, line_dedup, merkle, minhash, pieces, pii, quality, sql, token_counts, warc
 from .base import table
 
 
@@ -73,4 +73,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_pii_disclosure, op2_token_counts, op3_quality_knn, op4_sentencepiece, op5_line_winnowing, op6_warc_salvage,
                                    op7_minhash, op8_decontamination, op9_chat_format, op10_merkle, pipeline)}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op6_warc_salvage": sql.OP6, "op7_minhash": sql.OP7, "op8_decontamination": sql.OP8, "op9_chat_format": sql.OP9}

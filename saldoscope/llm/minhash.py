@@ -239,6 +239,9 @@ def near_links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """Verified links between class representatives that connect all that is alike."""
     sizes = reps.select(F.col("doc_id").alias("uid"), "n_shingles")
     pairs = _pivot_pairs(reps)
+    # the texts that may be needed for verification, written once
+    members = pairs.select("uid").union(pairs.select("pivot")).distinct()
+    docs = cut(docs.join(members, docs.doc_id == members.uid, "left_semi"))
     sig = reps.select("doc_id", "sig")
     signed = (pairs.join(sig.select(F.col("doc_id").alias("uid"), F.col("sig").alias("sa")), "uid")
               .join(sig.select(F.col("doc_id").alias("pivot"), F.col("sig").alias("sb")), "pivot"))

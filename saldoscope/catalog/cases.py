@@ -128,7 +128,7 @@ query("find_header", "select account_id, 1::bigint header_row, true has_names fr
 query("infer_layout", "select account_id, 0 date_col, 0 amount_col from {{accounts}}")(lambda b: (lambda s: R.infer_layout(s[0].unionByName(s[2])))(sheet(b)))
 query("validate_layout", "select account_id, true date_ok, true amount_ok from {{accounts}}")(lambda b: R.validate_layout(sheet(b)[0], {"date": 0, "amount": 1}))
 query("attach_continuations", """select account_id, seq*2+2 tx_row, seq % 18 = 0 is_blocked, case when seq % 9 = 0 then 2 else 1 end::bigint "rows" from {{txn}}""")(
-    lambda b: (lambda s: R.attach_continuations(s[0].unionByName(s[1]), 1 << 40))(sheet(b)))
+    lambda b: (lambda s: R.attach_continuations(s[0].unionByName(s[1])))(sheet(b)))
 
 ALIASES = {"Покупка": ["Покупка", "Сатып алу", "Purchase"], "Перевод": ["Перевод", "Аударым", "Transfer"], "Пополнение": ["Пополнение", "Толықтыру", "Replenishment"], "Снятие": ["Снятие", "Ақша алу", "Withdrawal"], "Разное": ["Разное", "Басқа", "Other"]}
 

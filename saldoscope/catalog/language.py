@@ -32,7 +32,7 @@ query("wording_mismatch", f"""select account_id, seq, reason, 8.0::double impact
   when {O.any_of(LOW, K.TEXT_EXPENSE_WORDS)} and amount > 0 and (contains(lower(type),'income') or contains(lower(type),'transfer_in')) then 'spending words on an incoming row' end reason from {{{{txn}}}}) where reason is not null""")(
     lambda b: TS.wording_mismatch(b.txn))
 SER = r"(?i)((?:договор|счёт|счет|invoice|contract|№|#)\s*)(\d{3,})"
-O.fragment("serial_rows", f"""select account_id, seq, lower(trim(p)) prefix, try_cast(n as bigint) as number from (select account_id, seq, unnest(regexp_extract_all(coalesce(description,''), '{SER}', 1)) p,
+O.fragment("serial_rows", f"""select account_id, seq, lower(trim(p)) prefix, try_cast(n as hugeint) as number from (select account_id, seq, unnest(regexp_extract_all(coalesce(description,''), '{SER}', 1)) p,
   unnest(regexp_extract_all(coalesce(description,''), '{SER}', 2)) n from {{{{txn}}}}) where try_cast(n as bigint) is not null""")
 query("serial_numbers", """select account_id, prefix, max(len) longest, max(total)::bigint as "rows", least(15.0::double, max(len)*2.0::double) impact from (select account_id, prefix, run, count(*) len, max(total) total from (
   select *, sum(brk) over (partition by account_id, prefix order by number, seq) run, count(*) over (partition by account_id, prefix) total from (
@@ -68,25 +68,31 @@ CM = r"(?im)<\|[^|>]{0,64}\|>|\[/?INST\]|<</?SYS>>|^\s*#{1,6}\s*(?:system|assist
 
 
 def strip_sql(c):
-    x = f"trim(regexp_replace(regexp_replace(coalesce({c},''), '{CM}', ' ', 'g'), '\\s+', ' ', 'g'))"
+    x = bare_sql(c)
     return f"(case when length({x}) > 160 then rtrim(substr({x}, 1, 160)) || '…' else {x} end)"
 
 
+def bare_sql(c):
+    return f"trim(regexp_replace(regexp_replace(coalesce({c},''), '{CM}', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
 def person_sql(c):
     return f"({c} <> '' and (regexp_matches({c}, '^[{NM.CYR}]{{2,}}\\s+[{NM.CYR}]\\.?$') or not {org_sql(c)}))"
 
 
 query("strip_markup", f"select conv_id, turn, {strip_sql('text')} clean from conversations")(
     lambda b: b.table("conversations").select("conv_id", "turn", PV.strip_markup(F.col("text")).alias("clean")))
-O.fragment("raw_names", f"select account_id, seq, raw, case when {TRADER_P.format(c='raw')} then trim(regexp_extract(raw, '(?i)^(ИП|ЖК|И\\.П\\.|IP)\\s*[.\\-—:]?\\s*(.+)$', 2), '\"«»''“” ') end trader from (select account_id, seq, {strip_sql('counterparty')} raw from {{{{txn}}}})")
+O.fragment("raw_names", f"select account_id, seq, raw, case when {TRADER_P.format(c='raw')} then trim(regexp_extract(raw, '(?i)^(ИП|ЖК|И\\.П\\.|IP)\\s*[.\\-—:]?\\s*(.+)$', 2), '\"«»''“” ') end trader from (select account_id, seq, {bare_sql('counterparty')} raw from {{{{txn}}}})")
 O.fragment("person_names", f"select account_id, seq, raw, trader, coalesce(trader, case when {person_sql('trim(raw)')} then trim(raw) end) nm from {{{{raw_names}}}}")
-query("person_tags", """select account_id, person, display, '[PERSON_' || row_number() over (partition by account_id order by first_seq, person) || ']' tag from (
-  select account_id, upper(nm) person, min(seq) first_seq, arg_min(nm, seq) display from {{person_names}} where nm <> '' group by 1,2)""")(lambda b: b.person_tags)
-query("owner_variants")(lambda b: b.owner_variants)
+OWN = ["Иванов Иван Иванович", "Иванов Иван", "Иванов И.", "Иван И.", "Иванов", "Иван", "Иванович"]
+OWNED = f"(starts_with(account_id, 'U') and upper(raw) in ({', '.join(repr(v.upper()) for v in OWN)}))"
+query("person_tags", f"""select account_id, person, display, '[PERSON_' || row_number() over (partition by account_id order by first_seq, person) || ']' tag from (
+  select account_id, upper(nm) person, min(seq) first_seq, arg_min(nm, seq) display from {{{{person_names}}}} where nm <> '' and not {OWNED} group by 1,2)""")(lambda b: b.person_tags)
+query("owner_variants", "select distinct account_id, variant, length(variant)::int as length from (select distinct account_id from {{txn}} where starts_with(account_id, 'U')), (select unnest([" + ", ".join(repr(v) for v in OWN) + "]) variant) where length(variant) >= 4")(
+    lambda b: b.owner_variants)
 query("mask_sole_trader", """select account_id, trader, tag, count(*) n from {{person_names}} p join {{person_tags}} t using (account_id) where t.person = upper(p.trader) group by 1,2,3""")(
     lambda b: b.txn.select("account_id", PV.trader_name(PV.strip_markup(F.col("counterparty"))).alias("trader")).filter("trader is not null").groupBy("account_id", "trader").agg(F.count("*").alias("n"))
     .withColumn("person", F.upper("trader")).join(b.person_tags.select("account_id", "person", "tag"), ["account_id", "person"]).drop("person"))
-OWN = ["Иванов Иван Иванович", "Иванов Иван", "Иванов И.", "Иван И.", "Иванов", "Иван", "Иванович"]
 query("mask_counterparty", f"""select account_id, masked, count(*) n from (select p.account_id, case when raw = '' then '' when starts_with(p.account_id,'U') and upper(raw) in ({', '.join("'" + v.upper() + "'" for v in OWN)}) then '[CUSTOMER]'
   when trader is not null then 'ИП ' || tag when tag is not null then tag else raw end masked from {{{{person_names}}}} p left join {{{{person_tags}}}} t on t.account_id = p.account_id and t.person = upper(p.nm)) group by 1,2""")(
     lambda b: PV.mask_counterparty(b.txn, b.person_tags, b.owner_variants).groupBy("account_id", F.col("counterparty_masked").alias("masked")).agg(F.count("*").alias("n")))
@@ -102,28 +108,39 @@ def doc_texts(b):
 
 
 def doc_masked(b):
-    ids = PV.identifier_tags(doc_texts(b))
-    return PV.mask_text(doc_texts(b), b.person_tags.limit(0), b.owner_variants.limit(0), ids), ids
-
-
-query("identifier_tags")(lambda b: PV.identifier_tags(doc_texts(b)).drop("display", "id"))
-query("mask_text")(lambda b: doc_masked(b)[0].select("account_id", "seq", "masked", PV.leaks(F.col("masked")).alias("leaks")))
-query("mask_report")(lambda b: PV.mask_report(b.person_tags, PV.identifier_tags(doc_texts(b))))
+    return PV.mask_text(doc_texts(b), b.person_tags, b.owner_variants)
+
+
+# documents hold no names of the book: identifiers only, by one pass for each kind
+ID_PASSES = [("IBAN", r"\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b"), ("CARD", r"\b(?:\d{4}[\s*-]{0,3}){3}\d{4}\b|\*\d{4}\b"), ("PHONE", L.PHONE), ("IIN", r"\b\d{12}\b")]
+before = "select source account_id, doc_id seq, text rest0 from documents"
+for i, (_, pattern) in enumerate(ID_PASSES):
+    before = f"select *, regexp_extract_all(rest{i}, '{pattern}') f{i}, regexp_replace(rest{i}, '{pattern}', chr({0x11 + i}), 'g') rest{i + 1} from ({before})"
+O.fragment("id_passes", before)
+O.fragment("id_finds", " union all ".join(f"select account_id, seq, '{k}' kind, generate_subscripts(f{i}, 1) i, unnest(f{i}) found from {{{{id_passes}}}}" for i, (k, _) in enumerate(ID_PASSES)))
+O.fragment("id_tags", r"""select account_id, kind, id, '[' || kind || '_' || row_number() over (partition by account_id, kind order by s, i) || ']' tag from (
+  select account_id, kind, upper(regexp_replace(found, '[\s*-]', '', 'g')) id, min(seq) s, arg_min(i, (seq, i)) i from {{id_finds}} group by 1, 2, 3)""")
+query("identifier_tags", "select account_id, kind, tag from {{id_tags}}")(lambda b: PV.identifier_tags(doc_texts(b), b.person_tags, b.owner_variants).drop("display", "id"))
+masked = f"rest{len(ID_PASSES)}"
+for i, (k, _) in enumerate(ID_PASSES):
+    masked = f"case when len(f{i}) = 0 then {masked} else list_reduce(list_transform(range(1, len(f{i}) + 2), lambda j: string_split({masked}, chr({0x11 + i}))[j] || coalesce(t{i}[j], '')), lambda a, b: a || b) end"
+given = " ".join(f"left join (select account_id, seq, list(tag order by i) t{i} from {{{{id_finds}}}} f join {{{{id_tags}}}} using (account_id, kind) where kind = '{k}' and id = upper(regexp_replace(found, '[\\s*-]', '', 'g')) group by 1, 2) using (account_id, seq)" for i, (k, _) in enumerate(ID_PASSES))
+query("mask_text", f"select account_id, seq, {masked} masked from {{{{id_passes}}}} {given}")(lambda b: doc_masked(b).rows.select("account_id", "seq", "masked"))
+query("masked_leaks", "select account_id, seq, '' leaks from {{txn}}")(lambda b: (lambda v: masked_txn(b).rows.join(v, "account_id", "left").select(
+    "account_id", "seq", PV.leaks(F.concat_ws(" | ", "description_masked", "counterparty_masked"), F.coalesce("variants", F.expr("cast(array() as array<string>)"))).alias("leaks")))(
+    b.owner_variants.groupBy("account_id").agg(F.collect_set("variant").alias("variants"))))
 
 
 def masked_txn(b):
-    texts = b.txn.select("account_id", "seq", PV.strip_markup(F.col("description")).alias("text"))
-    ids = PV.identifier_tags(texts)
-    text = PV.mask_text(texts, b.person_tags, b.owner_variants, ids)
-    who = PV.mask_counterparty(b.txn, b.person_tags, b.owner_variants)
-    return who.join(text.select("account_id", "seq", "masked"), ["account_id", "seq"]), text, ids
+    return PV.mask_table(b.txn, b.person_tags, b.owner_variants)
 
 
-query("masked_txn")(lambda b: masked_txn(b)[0].select("account_id", "seq", B.stamp().alias("at_time"), B.dbl("amount").alias("amount"), "currency", "type", F.coalesce("category", F.lit("")).alias("category"),
-                                                      F.col("masked").alias("description"), F.col("counterparty_masked").alias("counterparty")))
+query("mask_report")(lambda b: (lambda m: PV.mask_report(b.person_tags, m.ids, m.customers))(masked_txn(b)))
+query("masked_txn")(lambda b: masked_txn(b).rows.select("account_id", "seq", B.stamp().alias("at_time"), B.dbl("amount").alias("amount"), "currency", "type", F.coalesce("category", F.lit("")).alias("category"),
+                                                        F.col("description_masked").alias("description"), F.col("counterparty_masked").alias("counterparty")))
 # putting the names back must give the text that went in, with the owner's name in full
-query("unmask_text", f"select account_id, seq, case when starts_with(account_id, 'U') then replace({strip_sql('description')}, 'Иванов Иван', 'Иванов Иван Иванович') else {strip_sql('description')} end restored from {{{{txn}}}}")(
-    lambda b: (lambda t: PV.unmask_text(t[1], b.person_tags, t[2], b.account).select("account_id", "seq", "restored"))(masked_txn(b)))
+query("unmask_text", f"select account_id, seq, case when starts_with(account_id, 'U') then replace({bare_sql('description')}, 'Иванов Иван', 'Иванов Иван Иванович') else {bare_sql('description')} end restored from {{{{txn}}}}")(
+    lambda b: (lambda m: PV.unmask_text(m.rows.select("account_id", "seq", F.col("description_masked").alias("masked")), b.person_tags, m.ids, b.account).select("account_id", "seq", "restored"))(masked_txn(b)))
 
 # ---- statutes: documents stand in for articles
 CODES = L.CODE_NAMES

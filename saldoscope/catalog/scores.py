@@ -86,9 +86,10 @@ def flag_sql(module, needs, bound):
     return f"select account_id, '{module}' as module, {sev} severity, least(1.0::double, {module}/100) confidence, {share} contribution, {counter} counter_evidence from {{{{composite}}}} join {{{{evidence_counts}}}} using (account_id) where {module} > 0 and {needs} > 0"
 
 
-pc = "case pattern " + " ".join(f"when '{k}' then '{v}'" for k, v in L.PATTERN_COUNTER.items()) + " end"
+pc = "case " + " ".join(f"when pattern = '{k}' and account_type in ('business_owner', 'freelancer') then '{v}'" for k, v in L.PATTERN_COUNTER_BUSINESS.items()) + " ".join(
+    f" when pattern = '{k}' then '{v}'" for k, v in L.PATTERN_COUNTER.items()) + " end"
 query("explained_flags", " union all ".join(flag_sql(m, *v) for m, v in S.FLAG_MODULES.items())
-      + f" union all select account_id, 'pattern_detector', case when confidence >= 0.8 then 'critical' else 'warning' end, confidence, {O.rnd('contribution', 2)}, {pc} from {{{{patterns}}}}")(
+      + f" union all select account_id, 'pattern_detector', case when confidence >= 0.8 then 'critical' else 'warning' end, confidence, {O.rnd('contribution', 2)}, {pc} from {{{{patterns}}}} join (select account_id, account_type from {{{{composite}}}}) using (account_id)")(
     lambda b: S.explained_flags(b.scored, b.evidence_counts, b.patterns).drop("seq"))
 pairs = [(m, k, t) for (m, k), t in L.COUNTER_EVIDENCE.items()]
 query("counter_evidence", " union all ".join(f"select account_id, '{m}' as module, '{t}' as counter_evidence from {{{{profile}}}} where account_type = '{k}'" for m, k, t in pairs))(

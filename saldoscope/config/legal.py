@@ -24,6 +24,10 @@ PATTERN_COUNTER = {
     "human_trafficking_payments": "выплата фрилансерам, погашение нескольких личных займов, субаренда жилья.",
     "tax_evasion_cash": "продажа личного имущества (авто, недвижимость), займ от родственников, ранее накопленные наличные сбережения.",
 }
+# for business owners and freelancers
+PATTERN_COUNTER_BUSINESS = {
+    "money_laundering_layering": "выплата зарплат сотрудникам, расчёты с подрядчиками, возврат займов нескольким кредиторам, групповая покупка или инвестиция.",
+}
 COUNTER_EVIDENCE = {
     ("velocity", "business_owner"): "Высокая скорость транзакций норма для бизнеса",
     ("velocity", "trader"): "Трейдеры совершают множество операций в день",

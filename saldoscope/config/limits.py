@@ -31,19 +31,36 @@ BASE_WEIGHTS = {
     "profile_mismatch": 0.09,
 }
 
-# module -> one multiplier per entry of ACCOUNT_TYPES
+# account type -> multiplier of each module's weight
 WEIGHT_MULTIPLIERS = {
-    "velocity": [1.0, 0.5, 0.7, 0.5, 1.0, 0.9, 1.0],
-    "graph": [1.0, 0.3, 0.8, 0.7, 1.0, 0.9, 1.0],
-    "behavioral": [0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0],
-    "structuring": [1.0, 0.8, 0.9, 0.7, 1.0, 0.9, 1.0],
-    "cross_reference": [1.0, 0.4, 0.6, 0.6, 1.0, 0.9, 1.0],
-    "merchant_risk": [1.0, 0.8, 0.9, 0.2, 1.0, 0.9, 1.0],
-    "pattern_detector": [1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0],
-    "night_transactions": [1.0, 0.3, 0.6, 0.2, 1.2, 0.5, 1.0],
-    "duplicate_payments": [1.0, 0.8, 0.9, 0.6, 1.0, 0.9, 1.0],
-    "round_amounts": [1.0, 0.4, 0.7, 0.3, 1.0, 0.8, 1.0],
-    "profile_mismatch": [1.0, 0.5, 0.7, 0.4, 1.2, 1.0, 1.0],
+    "salary_employee": {
+        "velocity": 1.0, "graph": 1.0, "behavioral": 0.0, "structuring": 1.0, "cross_reference": 1.0, "merchant_risk": 1.0,
+        "pattern_detector": 1.0, "night_transactions": 1.0, "duplicate_payments": 1.0, "round_amounts": 1.0, "profile_mismatch": 1.0,
+    },
+    "business_owner": {
+        "velocity": 0.5, "graph": 0.3, "behavioral": 0.0, "structuring": 0.8, "cross_reference": 0.4, "merchant_risk": 0.8,
+        "pattern_detector": 1.0, "night_transactions": 0.3, "duplicate_payments": 0.8, "round_amounts": 0.4, "profile_mismatch": 0.5,
+    },
+    "freelancer": {
+        "velocity": 0.7, "graph": 0.8, "behavioral": 0.0, "structuring": 0.9, "cross_reference": 0.6, "merchant_risk": 0.9,
+        "pattern_detector": 1.0, "night_transactions": 0.6, "duplicate_payments": 0.9, "round_amounts": 0.7, "profile_mismatch": 0.7,
+    },
+    "trader": {
+        "velocity": 0.5, "graph": 0.7, "behavioral": 0.0, "structuring": 0.7, "cross_reference": 0.6, "merchant_risk": 0.2,
+        "pattern_detector": 1.0, "night_transactions": 0.2, "duplicate_payments": 0.6, "round_amounts": 0.3, "profile_mismatch": 0.4,
+    },
+    "pensioner": {
+        "velocity": 1.0, "graph": 1.0, "behavioral": 0.0, "structuring": 1.0, "cross_reference": 1.0, "merchant_risk": 1.0,
+        "pattern_detector": 1.0, "night_transactions": 1.2, "duplicate_payments": 1.0, "round_amounts": 1.0, "profile_mismatch": 1.2,
+    },
+    "student": {
+        "velocity": 0.9, "graph": 0.9, "behavioral": 0.0, "structuring": 0.9, "cross_reference": 0.9, "merchant_risk": 0.9,
+        "pattern_detector": 1.0, "night_transactions": 0.5, "duplicate_payments": 0.9, "round_amounts": 0.8, "profile_mismatch": 1.0,
+    },
+    "unknown": {
+        "velocity": 1.0, "graph": 1.0, "behavioral": 0.0, "structuring": 1.0, "cross_reference": 1.0, "merchant_risk": 1.0,
+        "pattern_detector": 1.0, "night_transactions": 1.0, "duplicate_payments": 1.0, "round_amounts": 1.0, "profile_mismatch": 1.0,
+    },
 }
 
 REPORTING_THRESHOLD = 1000000  # sum that must be reported by law
@@ -59,8 +76,8 @@ LAYERING_FLOOR = 500000
 def effective_weights():
     """Weight per (account type, module): base times multiplier, scaled to sum to one."""
     rows = []
-    for i, kind in enumerate(ACCOUNT_TYPES):
-        raw = {m: BASE_WEIGHTS[m] * WEIGHT_MULTIPLIERS[m][i] for m in BASE_WEIGHTS}
+    for kind in ACCOUNT_TYPES:
+        raw = {m: BASE_WEIGHTS[m] * WEIGHT_MULTIPLIERS[kind][m] for m in BASE_WEIGHTS}
         total = sum(raw.values())
         rows += [(kind, m, w / total) for m, w in raw.items()]
     return rows

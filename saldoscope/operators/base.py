@@ -235,7 +235,7 @@ def greedy_windows(cand: DataFrame, keys, width_us: int, k: int) -> DataFrame:
         *keys, (F.col("pos") + 1).alias("rank_in_account"), "w.t", "w.n_w", "w.s_w")
 
 
-def islands(instants: DataFrame, keys, gap_us: int, slice_us: int = 30 * DAY_US) -> DataFrame:
+def islands(instants: DataFrame, keys, gap_us: int, slice_us: int = DAY_US) -> DataFrame:
     """Give each instant the start of its run, where a run breaks at a gap over ``gap_us``.
 
     Runs may cross slices: the last instant and the last run start of each slice are carried

@@ -36,7 +36,8 @@ def apply_classification(txn: DataFrame, classes: DataFrame) -> DataFrame:
     d = txn.withColumn("_key", _key()).join(c, "_key", "left")
     kind = F.when((F.col("counterparty_type") == "unknown") & F.col("kind").isNotNull(), F.col("kind")).otherwise(F.col("counterparty_type"))
     d = d.withColumn("counterparty_type", kind).withColumn("merchant_name", F.coalesce(B.blank_to_null("merchant_name"), F.col("_mn")))
-    return d.withColumn("merchant_type", F.col("_mt")).drop("_key", "kind", "_mn", "_mt")
+    kept = B.blank_to_null("merchant_type") if "merchant_type" in txn.columns else F.lit(None).cast("string")
+    return d.withColumn("merchant_type", F.coalesce(kept, F.col("_mt"))).drop("_key", "kind", "_mn", "_mt")
 
 
 def names_by_turnover(txn: DataFrame, k: int = 60) -> DataFrame:

@@ -139,7 +139,7 @@ NAMES = ["money_laundering_layering", "structuring", "carding", "pyramid_scheme"
 
 
 def all_patterns(parts) -> DataFrame:
-    """All schemes in one frame; rank by confidence within the account."""
+    """All schemes in one frame. Readers that show a few rank them by confidence."""
     out = None
     for name, df in zip(NAMES, parts):
         p = df.select(KEY, F.lit(name).alias("pattern"), "seq", "confidence", "contribution")

@@ -1,11 +1,14 @@
 """Bulk de-identification of a transaction table."""
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import language as L
 from ..config import names as NM
 from ..functions import names as N
+from ..session import durable
 from . import base as B
 from .base import KEY
 
@@ -13,10 +16,15 @@ CUSTOMER = "[CUSTOMER]"
 SEQ_SLICE = 1 << 20
 
 
-def strip_markup(c):
-    """No control markup of chat templates, one line, at most 160 characters."""
+def strip_markup(c, limit: int | None = L.MAX_NAME):
+    """No control markup of chat templates, one line, at most ``limit`` characters.
+
+    The limit is for single values that go into a prompt; whole tables pass None.
+    """
     out = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), L.CONTROL_MARKUP, " "), r"\s+", " "))
-    return F.when(F.length(out) > L.MAX_NAME, F.concat(F.rtrim(F.substring(out, 1, L.MAX_NAME)), F.lit("…"))).otherwise(out)
+    if limit is None:
+        return out
+    return F.when(F.length(out) > limit, F.concat(F.rtrim(F.substring(out, 1, limit)), F.lit("…"))).otherwise(out)
 
 
 def is_person(c):
@@ -31,15 +39,17 @@ def trader_name(c):
     return F.when(N.is_sole_trader_person(c), F.regexp_replace(rest, r'^["«»\'“” ]+|["«»\'“” ]+$', ""))
 
 
-def person_tags(txn: DataFrame) -> DataFrame:
+def person_tags(txn: DataFrame, owners: DataFrame) -> DataFrame:
     """People of an account numbered by first appearance; the first spelling is kept.
 
-    Numbers are running totals along the row order, taken slice by slice, so an account
-    with very many people is not numbered in one task.
+    The owner of the account has a tag of their own and gets no number. Numbers are running
+    totals along the row order, taken slice by slice, so an account with very many people is
+    not numbered in one task.
     """
-    raw = strip_markup(F.col("counterparty"))
+    raw = strip_markup(F.col("counterparty"), None)
     name = F.when(trader_name(raw).isNotNull(), trader_name(raw)).when(is_person(raw), F.trim(raw))
-    d = txn.select(KEY, "seq", name.alias("name")).filter("name is not null and name <> ''")
+    own = owners.select(KEY, F.upper("variant").alias("whole")).distinct()
+    d = txn.select(KEY, "seq", name.alias("name"), F.upper(raw).alias("whole")).filter("name is not null and name <> ''").join(own, [KEY, "whole"], "left_anti")
     d = d.groupBy(KEY, F.upper("name").alias("person")).agg(F.min("seq").alias("first_seq"), F.min_by("name", "seq").alias("display"))
     d = B.sliced_cumsum(d, [KEY], "first_seq", ["first_seq", "person"], {"k": F.lit(1)}, SEQ_SLICE)
     return d.select(KEY, "person", "display", F.concat(F.lit("[PERSON_"), F.col("k").cast("string"), F.lit("]")).alias("tag"))
@@ -59,65 +69,145 @@ def owner_variants(account: DataFrame) -> DataFrame:
     return d.withColumn("length", F.length("variant"))
 
 
-def mask_counterparty(txn: DataFrame, tags: DataFrame, owners: DataFrame) -> DataFrame:
-    """Owner, sole trader, person, else the organisation as it is."""
-    raw = strip_markup(F.col("counterparty"))
+def _counterparties(txn: DataFrame, tags: DataFrame, owners: DataFrame) -> DataFrame:
+    """``txn`` with the cleaned counterparty (_raw), its mask where it is owner or person
+    (_who), and else the organisation's name (_org)."""
     own = owners.select(KEY, F.upper("variant").alias("_u"), F.lit(True).alias("_own")).distinct()
     t = tags.select(KEY, F.col("person").alias("_p"), "tag")
-    d = txn.withColumn("_raw", raw).withColumn("_trader", trader_name(F.col("_raw"))).withColumn("_u", F.upper("_raw"))
+    d = txn.withColumn("_raw", strip_markup(F.col("counterparty"), None))
+    d = d.withColumn("_trader", trader_name(F.col("_raw"))).withColumn("_u", F.upper("_raw"))
     d = d.withColumn("_p", F.upper(F.coalesce("_trader", F.when(is_person(F.col("_raw")), F.trim("_raw")))))
     d = d.join(own, [KEY, "_u"], "left").join(t, [KEY, "_p"], "left")
     form = F.upper(F.regexp_extract("_raw", "(?u)" + N.SOLE_TRADER, 1))
     form = F.when(form.isin("И.П.", "IP"), "ИП").otherwise(form)
-    out = (F.when(F.col("_raw") == "", "").when(F.col("_own"), CUSTOMER).when(F.col("_trader").isNotNull(), F.concat_ws(" ", form, F.col("tag")))
-           .when(F.col("tag").isNotNull(), F.col("tag")).otherwise(F.col("_raw")))
-    return d.withColumn("counterparty_masked", out).drop("_raw", "_trader", "_u", "_p", "_own", "tag")
+    who = (F.when(F.col("_raw") == "", "").when(F.col("_own"), CUSTOMER).when(F.col("_trader").isNotNull(), F.concat_ws(" ", form, F.col("tag")))
+           .when(F.col("tag").isNotNull(), F.col("tag")))
+    d = d.withColumn("_who", who).withColumn("_org", F.when(F.col("_who").isNull(), F.col("_raw")))
+    return d.drop("_trader", "_u", "_p", "_own", "tag")
+
+
+def mask_counterparty(txn: DataFrame, tags: DataFrame, owners: DataFrame) -> DataFrame:
+    """Owner, sole trader, person; an organisation's name stays, cleaned of personal data."""
+    return mask_table(txn.withColumn("description", F.lit("")), tags, owners).rows.drop("description_masked")
 
 
 KINDS = [("IBAN", L.IBAN), ("CARD", L.CARD), ("PHONE", L.PHONE), ("IIN", L.IIN)]
-ANY_ID = "|".join(p for _, p in KINDS)
+PERSON_IN_TEXT = rf"[{NM.CYR}]{{2,}}\s+[{NM.CYR}]\.\s*(?:[{NM.CYR}]\.)?"
+#: Kinds in the order they are looked for, and a sign that stands for a find meanwhile.
+PASSES = [(kind, pattern, chr(0x11 + i)) for i, (kind, pattern) in enumerate([*KINDS, ("PERSON", PERSON_IN_TEXT)])]
+WORD = r"[\p{L}\p{N}_]+"
+
+
+def literal(c):
+    """Pattern of a name as it stands, in any case, not inside a longer word."""
+    quoted = F.replace(c, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
+    return F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}_])\Q"), quoted, F.lit(r"\E(?![\p{L}\p{N}_])"))
+
+
+def _without_names(texts: DataFrame, tags: DataFrame, owners: DataFrame) -> DataFrame:
+    """Distinct texts of each account (first_seq, first_field), with names replaced (named).
+
+    A name is looked up by its first word and then compared as a whole, so names may have any
+    number of words, hyphens and dots; owners come first, longer names before shorter ones.
+    """
+    d = texts.groupBy(KEY, "text").agg(F.min(F.struct("seq", "field")).alias("f")).select(KEY, "text", F.col("f.seq").alias("seq"), F.col("f.field").alias("field"))
+    names = owners.select(KEY, F.upper("variant").alias("name"), F.lit(CUSTOMER).alias("tag"), F.lit(1).alias("first"))
+    names = names.unionByName(tags.select(KEY, F.col("person").alias("name"), "tag", F.lit(0).alias("first")))
+    names = names.withColumn("word", F.regexp_extract("name", WORD, 0)).where("word <> ''")
+    seen = d.select(KEY, "text", F.explode_outer(F.array_distinct(F.regexp_extract_all(F.upper("text"), F.lit(WORD), F.lit(0)))).alias("word"))
+    hits = seen.join(names, [KEY, "word"]).where(F.rlike("text", literal(F.col("name"))))
+    hits = hits.groupBy(KEY, "text").agg(F.sort_array(F.collect_set(F.struct("first", F.length("name").alias("len"), "name", "tag")), asc=False).alias("names"))
+    d = d.join(hits, [KEY, "text"], "left")
+    blank = F.translate("text", "".join(mark for _, _, mark in PASSES), " " * len(PASSES))
+    return d.withColumn("named", F.when(F.col("names").isNull(), blank).otherwise(F.aggregate("names", blank, lambda t, x: F.regexp_replace(t, literal(x["name"]), x["tag"]))))
+
+
+def _finds(named: DataFrame) -> DataFrame:
+    """``named`` with ``rest`` (finds replaced by the sign of their kind) and the finds by kind.
+
+    The passes go one after the other, so a find never takes part of an earlier one.
+    """
+    d = named.withColumn("rest", F.col("named"))
+    for kind, pattern, mark in PASSES:
+        d = d.withColumn(kind, F.regexp_extract_all("rest", F.lit(pattern), F.lit(0))).withColumn("rest", F.regexp_replace("rest", pattern, mark))
+    return d
+
+
+def _numbered(found: DataFrame, tags: DataFrame) -> DataFrame:
+    """Tag per account, kind and value, numbered by first appearance; people that are known
+    by name keep their tag, others are counted on."""
+    g = found.groupBy(KEY, "kind", "id").agg(F.min(F.struct("seq", "field", "i", "found")).alias("f")).select(KEY, "kind", "id", "f.*")
+    known = tags.select(KEY, F.lit("PERSON").alias("kind"), F.col("person").alias("id"), F.col("tag").alias("given"))
+    g = g.join(known, [KEY, "kind", "id"], "left")
+    people = tags.groupBy(KEY).agg(F.count("*").alias("people"))
+    new = B.sliced_cumsum(g.where("given is null"), [KEY, "kind"], "seq", ["seq", "field", "i"], {"k": F.lit(1)}, SEQ_SLICE).join(people, KEY, "left")
+    k = F.col("k") + F.when(F.col("kind") == "PERSON", F.coalesce("people", F.lit(0))).otherwise(0)
+    new = new.select(KEY, "kind", "id", F.col("found").alias("display"), F.concat(F.lit("["), F.col("kind"), F.lit("_"), k.cast("string"), F.lit("]")).alias("tag"), F.lit(True).alias("new"))
+    return new.unionByName(g.where("given is not null").select(KEY, "kind", "id", F.col("found").alias("display"), F.col("given").alias("tag"), F.lit(False).alias("new")))
+
+
+def _found(finds: DataFrame) -> DataFrame:
+    def told(kind):
+        return F.transform(kind, lambda v, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), v.alias("found")))
+
+    each = [told(kind) for kind, _, _ in PASSES]
+    d = finds.select(KEY, "text", "seq", "field", F.explode(F.concat(*each)).alias("x")).select(KEY, "text", "seq", "field", "x.*")
+    return d.withColumn("id", F.upper(F.when(F.col("kind") == "PERSON", F.trim(F.regexp_replace("found", r"\s+", " "))).otherwise(F.regexp_replace("found", r"[\s*-]", ""))))
+
+
+def identifier_tags(texts: DataFrame, tags: DataFrame, owners: DataFrame) -> DataFrame:
+    """Tag per account, kind (IBAN, CARD, PHONE, IIN, and PERSON for names that stand in texts
+    only) and value."""
+    return _numbered(_found(_finds(_without_names(_fielded(texts), tags, owners))), tags).where("new").drop("new")
+
 
+def _fielded(texts: DataFrame) -> DataFrame:
+    return texts if "field" in texts.columns else texts.withColumn("field", F.lit(0))
 
-def identifier_tags(texts: DataFrame) -> DataFrame:
-    """Stable tag per account, kind and identifier, numbered by first appearance."""
-    d = texts.filter(F.col("text").rlike(ANY_ID)).select(KEY, "seq", F.posexplode(F.regexp_extract_all("text", F.lit(f"({ANY_ID})"), 1)).alias("pos", "found"))
-    kind = F.lit("IIN")
-    for name, pattern in reversed(KINDS):
-        kind = F.when(F.col("found").rlike(f"^(?:{pattern})$"), name).otherwise(kind)
-    d = d.withColumn("kind", kind).withColumn("id", F.upper(F.regexp_replace("found", r"[\s*-]", "")))
-    g = d.groupBy(KEY, "kind", "id").agg(F.min(F.struct("seq", "pos", "found")).alias("f")).select(KEY, "kind", "id", "f.seq", "f.pos", F.col("f.found").alias("display"))
-    g = B.sliced_cumsum(g, [KEY, "kind"], "seq", ["seq", "pos"], {"k": F.lit(1)}, SEQ_SLICE)
-    return g.select(KEY, "kind", "id", "display", F.concat(F.lit("["), F.col("kind"), F.lit("_"), F.col("k").cast("string"), F.lit("]")).alias("tag"))
 
+class Masked(NamedTuple):
+    """Masked rows and the tags given out: ``ids`` has those of identifiers and late names,
+    ``customers`` the accounts whose owner was masked."""
 
-def _ngrams(text):
-    """Runs of one to four words, for looking names up by equality."""
-    w = F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}_]+\.?)"), 1)
-    n = F.size(w)
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: F.when(
-        n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.array_join(F.slice(w, i, k), " "))).otherwise(F.array().cast("array<string>"))))
-    both = F.concat(grams, F.transform(grams, lambda g: F.rtrim(g, F.lit("."))))
-    return F.array_distinct(both)
+    rows: DataFrame
+    ids: DataFrame
+    customers: DataFrame
 
 
-def mask_text(texts: DataFrame, tags: DataFrame, owners: DataFrame, ids: DataFrame) -> DataFrame:
-    """Owner, registered names (longest first), then identifiers, replaced by tags.
+def mask_text(texts: DataFrame, tags: DataFrame, owners: DataFrame) -> Masked:
+    """Owner, registered names, identifiers, and names met for the first time, as tags.
 
-    Names are found by equality of word runs with the account's name table and identifiers
-    by their own pattern, so no text meets the whole table.
+    Every distinct text of an account is worked on once.
     """
-    names = owners.select(KEY, F.upper("variant").alias("gram"), F.lit(CUSTOMER).alias("tag"), F.lit(1).alias("first"))
-    names = names.unionByName(tags.select(KEY, F.col("person").alias("gram"), "tag", F.lit(0).alias("first")))
-    cand = texts.select(KEY, "seq", F.explode(_ngrams(F.upper("text"))).alias("gram")).join(names, [KEY, "gram"])
-    named = cand.groupBy(KEY, "seq").agg(F.sort_array(F.collect_set(F.struct("first", F.length("gram").alias("len"), "gram", "tag")), asc=False).alias("names"))
-    hit = texts.filter(F.col("text").rlike(ANY_ID)).select(KEY, "seq", F.explode(F.regexp_extract_all("text", F.lit(f"({ANY_ID})"), 1)).alias("found"))
-    hit = hit.withColumn("id", F.upper(F.regexp_replace("found", r"[\s*-]", ""))).join(ids.select(KEY, "id", "tag"), [KEY, "id"])
-    found = hit.groupBy(KEY, "seq").agg(F.sort_array(F.collect_set(F.struct(F.length("found").alias("len"), "found", "tag")), asc=False).alias("found"))
-    d = texts.join(named, [KEY, "seq"], "left").join(found, [KEY, "seq"], "left")
-    edge = lambda g: F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}_])\Q"), g, F.lit(r"\E(?![\p{L}\p{N}_])"))
-    out = F.when(F.col("names").isNull(), F.col("text")).otherwise(F.aggregate("names", F.col("text"), lambda t, x: F.regexp_replace(t, edge(x["gram"]), x["tag"])))
-    out = F.when(F.col("found").isNull(), out).otherwise(F.aggregate("found", out, lambda t, x: F.replace(t, x["found"], x["tag"])))
-    return d.withColumn("masked", out).drop("names", "found")
+    finds = durable(_finds(_without_names(_fielded(texts), tags, owners)))
+    found = _found(finds)
+    ids = durable(_numbered(found, tags))
+    told = found.join(ids, [KEY, "kind", "id"]).groupBy(KEY, "text").agg(F.sort_array(F.collect_list(F.struct("kind", "i", "tag"))).alias("told"))
+    d = finds.join(told, [KEY, "text"], "left")
+    def tags_of(kind):
+        return F.transform(F.filter("told", lambda x: x["kind"] == kind), lambda x: x["tag"])
+
+    out = F.col("rest")
+    for kind, _, mark in PASSES:
+        given = tags_of(kind)
+        out = F.when(F.size(kind) == 0, out).otherwise(F.array_join(F.zip_with(F.split(out, mark, -1), given, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), ""))
+    done = d.select(KEY, "text", out.alias("masked"))
+    customers = finds.where(F.exists("names", lambda x: x["first"] == 1)).select(KEY).distinct()
+    return Masked(texts.join(done, [KEY, "text"], "left"), ids.where("new").drop("new"), customers)
+
+
+def mask_table(txn: DataFrame, tags: DataFrame, owners: DataFrame) -> Masked:
+    """``txn`` with description_masked and counterparty_masked."""
+    d = _counterparties(txn, tags, owners).withColumn("_text", strip_markup(F.col("description"), None))
+    texts = d.select(KEY, "seq", F.explode(F.array(F.struct(F.lit(0).alias("field"), F.col("_text").alias("text")), F.struct(F.lit(1).alias("field"), F.col("_org").alias("text")))).alias("x"))
+    texts = texts.select(KEY, "seq", "x.field", "x.text").where("text is not null and text <> ''")
+    made = mask_text(texts, tags, owners)
+    masked = durable(made.rows.select(KEY, "text", "masked").distinct())
+    d = d.join(masked.select(KEY, F.col("text").alias("_text"), F.col("masked").alias("_d")), [KEY, "_text"], "left")
+    d = d.join(masked.select(KEY, F.col("text").alias("_org"), F.col("masked").alias("_o")), [KEY, "_org"], "left")
+    own = d.where(F.col("_who") == CUSTOMER).select(KEY).distinct()
+    out = d.withColumn("description_masked", F.coalesce("_d", F.lit(""))).withColumn("counterparty_masked", F.coalesce("_who", "_o", F.lit("")))
+    return Masked(out.drop("_raw", "_who", "_org", "_text", "_d", "_o"), made.ids, made.customers.union(own).distinct())
 
 
 def unmask_text(masked: DataFrame, tags: DataFrame, ids: DataFrame, account: DataFrame) -> DataFrame:
@@ -131,14 +221,19 @@ def unmask_text(masked: DataFrame, tags: DataFrame, ids: DataFrame, account: Dat
     return d.withColumn("restored", out).drop("back")
 
 
-def leaks(c):
-    """Classes of identifiers still present in a text."""
+def leaks(c, variants=None):
+    """Classes of identifiers still present in a text; ``variants``: spellings of the owner."""
     flags = [F.when(c.rlike(p), F.lit(k)) for k, p in (("IIN", L.IIN), ("IBAN", L.IBAN), ("CARD", L.CARD), ("PHONE", L.PHONE))]
+    if variants is not None:
+        flags.append(F.when(F.exists(variants, lambda v: F.rlike(c, literal(v))), F.lit("OWNER_NAME")))
     name = F.when(c.rlike(rf"(?<![\p{{L}}\p{{N}}_])[{NM.CYR}]{{2,}}\s+[{NM.CYR}]\."), F.lit("PERSON_NAME"))
     return F.array_join(F.filter(F.array(*flags, name), lambda x: x.isNotNull()), ",")
 
 
-def mask_report(tags: DataFrame, ids: DataFrame) -> DataFrame:
-    """Counts of masked values per account and class; no values."""
-    t = tags.select(KEY, F.lit("PERSON").alias("kind")).unionByName(ids.select(KEY, "kind"))
-    return t.groupBy(KEY, "kind").agg(F.count("*").alias("n"))
+def mask_report(tags: DataFrame, ids: DataFrame, customers: DataFrame) -> DataFrame:
+    """Per account: whether the owner was masked, masked values by class, and their total."""
+    t = tags.select(KEY, F.lit("PERSON").alias("kind")).unionByName(ids.select(KEY, "kind")).unionByName(customers.select(KEY, F.lit("CUSTOMER").alias("kind")))
+    of = lambda kind: F.count(F.when(F.col("kind") == kind, 1))
+    return t.groupBy(KEY).agg(
+        (of("CUSTOMER") > 0).alias("customer_masked"), of("PERSON").alias("counterparties_masked"), of("IIN").alias("iins_masked"), of("IBAN").alias("ibans_masked"),
+        of("CARD").alias("cards_masked"), of("PHONE").alias("phones_masked"), F.count("*").alias("total_replacements"))

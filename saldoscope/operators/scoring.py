@@ -112,7 +112,9 @@ def explained_flags(scored: DataFrame, counts: DataFrame, patterns: DataFrame) -
     counter = F.lit("")
     for name, text in L.PATTERN_COUNTER.items():
         counter = F.when(F.col("pattern") == name, text).otherwise(counter)
-    found = patterns.select(KEY, "seq", F.lit("pattern_detector").alias("module"), F.when(F.col("confidence") >= 0.8, "critical").otherwise("warning").alias("severity"),
+    for name, text in L.PATTERN_COUNTER_BUSINESS.items():
+        counter = F.when((F.col("pattern") == name) & F.col("account_type").isin("business_owner", "freelancer"), text).otherwise(counter)
+    found = patterns.join(scored.select(KEY, "account_type"), KEY).select(KEY, "seq", F.lit("pattern_detector").alias("module"), F.when(F.col("confidence") >= 0.8, "critical").otherwise("warning").alias("severity"),
                             "confidence", B.py_round(F.col("contribution"), 2).alias("contribution"), counter.alias("counter_evidence"))
     return flags.unionByName(found)
 

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import durable
+from ..session import drop, durable
 
 ANSWER_COLUMNS = ["account_id", "slice", "what", "t", "seq", "amount", "t2", "seq2", "amount2"]
 
@@ -45,5 +45,7 @@ def settle(rows: DataFrame, keys, run) -> DataFrame:
         redo = answer(rows.unionByName(opened).join(wrong, key, "left_semi"))
         home = F.when(F.col("what") == "open", F.col("slice") - 1).otherwise(F.col("slice"))
         keep = done.withColumn("home", home).join(wrong.withColumnRenamed("slice", "home"), [*keys, "home"], "left_anti").drop("home")
-        assumed = durable(told.withColumnRenamed("n", "pn").withColumnRenamed("h", "ph"))
-        done = durable(keep.unionByName(redo))
+        before = [done, wrong, redo] + ([assumed] if assumed is not None else [])
+        assumed, done = durable(told.withColumnRenamed("n", "pn").withColumnRenamed("h", "ph")), durable(keep.unionByName(redo))
+        for table in before:  # their rows are in the new tables
+            drop(table)

@@ -53,7 +53,7 @@ def serial_rows(txn: DataFrame) -> DataFrame:
     text = F.coalesce("description", F.lit(""))
     d = txn.select(KEY, "seq", F.regexp_extract_all(text, F.lit(pattern), 1).alias("p"), F.regexp_extract_all(text, F.lit(pattern), 2).alias("n"))
     d = d.filter(F.size("p") > 0).select(KEY, "seq", F.explode(F.arrays_zip("p", "n")).alias("z"))
-    return d.select(KEY, "seq", F.lower(F.trim("z.p")).alias("prefix"), F.expr("try_cast(z.n as bigint)").alias("number")).filter("number is not null")
+    return d.select(KEY, "seq", F.lower(F.trim("z.p")).alias("prefix"), F.expr("try_cast(z.n as decimal(38,0))").alias("number")).filter("number is not null")
 
 
 def serial_numbers(txn: DataFrame, least: int = 3) -> DataFrame:

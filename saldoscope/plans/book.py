@@ -17,7 +17,7 @@ from ..operators import scoring as R
 from ..operators import structuring as S
 from ..operators import velocity as V
 from ..operators.base import KEY
-from ..session import durable
+from ..session import durable, stamp
 from ..sources.book import load_accounts, load_analyses, load_logins, load_txn, table
 
 _OPEN: dict = {}
@@ -46,7 +46,7 @@ class Book:
     @classmethod
     def open(cls, spark: SparkSession, sf_dir: str) -> "Book":
         """The book of a folder; its written tables are shared by all queries of an application."""
-        key = (spark.sparkContext.applicationId, sf_dir)
+        key = (spark.sparkContext.applicationId, sf_dir, stamp(spark, sf_dir))
         if key not in _OPEN:
             _OPEN[key] = cls(spark, sf_dir)
         book = _OPEN[key]
@@ -359,7 +359,7 @@ class Book:
 
     @shared
     def person_tags(self):
-        return durable(PV.person_tags(self.txn))
+        return durable(PV.person_tags(self.txn, self.owner_variants))
 
     @shared
     def owner_variants(self):

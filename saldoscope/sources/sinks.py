@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import names as N
 from ..operators import base as B
 from ..operators import scoring as R
+from ..session import durable, exists
 
 
 def analyses_rows(report: DataFrame) -> DataFrame:
@@ -13,15 +14,36 @@ def analyses_rows(report: DataFrame) -> DataFrame:
     return report.select(F.col("account_id").alias("analysis_id"), "composite_score", "risk_level", R.legacy_risk_score(F.col("composite_score")).alias("risk_score"), "report")
 
 
+BUCKETS = 256
+
+
+def replace_by_id(rows: DataFrame, path: str, key: str, buckets: int = BUCKETS) -> None:
+    """Put ``rows`` in place of the stored rows with the same ids; all other ids stay.
+
+    The table is partitioned by a bucket of the id, whatever the number of ids; only buckets
+    that hold a new id are written again. The rows are written to the shared folder first, so
+    nothing is read from a folder while it is overwritten.
+    """
+    spark = rows.sparkSession
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets))
+    new = durable(rows.withColumn("bucket", bucket))
+    if exists(spark, path):
+        touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+        old = spark.read.parquet(path).where(F.col("bucket").isin(touched)).join(new.select(key).distinct(), key, "left_anti")
+        new = durable(old.unionByName(new, allowMissingColumns=True))
+    # rows of one id go to up to sixteen tasks, so a huge one is not written by one task
+    dealt = new.repartition("bucket", F.pmod(F.hash(*[c for c in new.columns if c != "bucket"]), F.lit(16)))
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
 def write_analyses(report: DataFrame, path: str) -> None:
-    analyses_rows(report).write.mode("overwrite").parquet(path)
+    """Replace the analyses at hand and leave the others as they are."""
+    replace_by_id(analyses_rows(report), path, "analysis_id")
 
 
 def write_txn(txn: DataFrame, path: str) -> None:
     """Replace the rows of the analyses at hand and leave the others as they are."""
-    spread = txn.withColumn("analysis_id", F.col("account_id")).withColumn("_part", F.pmod(F.xxhash64("seq"), F.lit(16)))
-    # rows of one analysis go to up to sixteen tasks, so a huge one is not written by one task
-    spread.repartition("analysis_id", "_part").drop("_part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("analysis_id").parquet(path)
+    replace_by_id(txn.withColumn("analysis_id", F.col("account_id")), path, "analysis_id")
 
 
 def subjects_of(txn: DataFrame) -> DataFrame:

@@ -11,6 +11,10 @@ from ..config import layouts as Y
 from ..operators import base as B
 
 
+#: Amounts as statements print them; wider than the canonical rows, so that nothing vanishes on the way.
+MONEY = "decimal(30,2)"
+
+
 def read_statements_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "utf-8") -> DataFrame:
     """All statements of one delimiter and encoding; the file is the account."""
     raw = spark.read.option("header", True).option("sep", sep).option("encoding", encoding).csv(path)
@@ -167,7 +171,7 @@ def canon_operation(c: Column) -> Column:
 
 def numeric(c: Column) -> Column:
     """Digits of '1 400,00 ₸' as a decimal."""
-    return F.coalesce(F.replace(F.regexp_replace(c, r"[^\d,.]", ""), F.lit(","), F.lit(".")).try_cast("decimal(15,2)"), F.lit(0).cast("decimal(15,2)"))
+    return F.coalesce(F.replace(F.regexp_replace(c, r"[^\d,.]", ""), F.lit(","), F.lit(".")).try_cast(MONEY), F.lit(0).cast(MONEY))
 
 
 def split_fx_amount(c: Column) -> Column:
@@ -202,7 +206,7 @@ def map_rows_card(rows: DataFrame) -> DataFrame:
     for p in reversed(Y.ENTITY_PREFIXES):
         hit = F.upper("details").startswith(p.upper())
         prefix = F.when(hit, p.strip().strip('"')).otherwise(prefix)
-        name = F.when(hit, F.trim(F.substring("details", len(p) + 1, 10000))).otherwise(name)
+        name = F.when(hit, F.trim(F.substr("details", F.lit(len(p) + 1)))).otherwise(name)
     rate = F.when(F.col("original_amount") != 0, B.py_round(F.abs(B.dbl("amount") / B.dbl("original_amount")), 4))
     return d.select("account_id", "seq", "ts", "amount", tx.alias("type"), F.col("details").alias("description"), "original_amount", "original_currency", rate.alias("exchange_rate"),
                     F.col("details").alias("counterparty"), kind.alias("counterparty_type"), name.alias("merchant_name"), prefix.alias("merchant_type"),
@@ -234,7 +238,7 @@ def fix_glued(c: Column) -> Column:
 def map_rows_ledger(rows: DataFrame) -> DataFrame:
     """Nine columns: date, processed, text, amount, currency, credit, debit, commission, card."""
     c = lambda i: F.trim(F.coalesce(F.get("cells", F.lit(i)), F.lit("")))
-    money = lambda i: F.coalesce(F.replace(F.regexp_replace(c(i), r"[₸$€\s ]", ""), F.lit(","), F.lit(".")).try_cast("decimal(15,2)"), F.lit(0).cast("decimal(15,2)"))
+    money = lambda i: F.coalesce(F.replace(F.regexp_replace(c(i), r"[₸$€\s ]", ""), F.lit(","), F.lit(".")).try_cast(MONEY), F.lit(0).cast(MONEY))
     d = rows.select("account_id", "seq", F.coalesce(F.try_to_timestamp(c(0), F.lit("dd.MM.yyyy")), two_digit_year(F.try_to_timestamp(c(0), F.lit("dd.MM.yy")))).alias("ts"),
                     fix_glued(F.replace(c(2), F.lit("\n"), F.lit(" "))).alias("description"), F.coalesce(B.blank_to_null(c(4)), F.lit("KZT")).alias("currency"),
                     money(5).alias("credit"), money(6).alias("debit"), money(7).alias("commission"), c(8).alias("reference"))
@@ -250,7 +254,7 @@ def map_rows_ledger(rows: DataFrame) -> DataFrame:
     cp = F.when(low.contains("комиссия"), "Halyk Bank").otherwise(cp)
     cp = F.when(text.contains("на другую карту"), "Карточный перевод").otherwise(cp)
     for p in reversed(["Поступление на счет ", "Перевод на счет ", "Оплата услуг "]):
-        cp = F.when(text.startswith(p), F.trim(F.substring(text, len(p) + 1, 10000))).otherwise(cp)
+        cp = F.when(text.startswith(p), F.trim(F.substr(text, F.lit(len(p) + 1)))).otherwise(cp)
     kind = (F.when(B.has_any(low, ["ао ", "нао ", "тоо ", "ип "]), "merchant").when(B.has_any(low, ["банк", "комисси"]), "bank").when(B.has_any(low, ["банкомат", "наличн"]), "atm")
             .when(B.has_any(low, ["пенси", "пособи"]), "government").when(low.contains("перевод"), "person").otherwise("unknown"))
     return d.select("account_id", "seq", "ts", "amount", tx.alias("type"), "description", "currency", cp.alias("counterparty"), kind.alias("counterparty_type"),

@@ -4,22 +4,72 @@ One job reads a folder of statements. Layouts come from the header row, which th
 resolves once per group of files; the rows themselves never leave the executors.
 """
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import layouts as Y
 from ..operators import base as B
+from ..session import durable
 
 
 #: Amounts as statements print them; wider than the canonical rows, so that nothing vanishes on the way.
 MONEY = "decimal(30,2)"
 
 
-def read_statements_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "utf-8") -> DataFrame:
-    """All statements of one delimiter and encoding; the file is the account."""
-    raw = spark.read.option("header", True).option("sep", sep).option("encoding", encoding).csv(path)
-    raw = raw.toDF(*[c.lstrip("﻿").strip() for c in raw.columns])
-    return raw.withColumn("account_id", F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]+)?$", 1))
+DELIMITERS = ",;\t|"
+_HIGH = "".join(map(chr, range(0x80, 0x100)))
+#: What the bytes 0x80 to 0xFF stand for in the Russian single-byte encoding (a rule of the platform).
+_CP1251 = bytes(range(0x80, 0x100)).decode("cp1251", errors="replace")
+
+
+def read_statement_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(account_id, seq, line) of all CSV files in a folder; the file is the account.
+
+    A file is UTF-8 if all of its lines are, else it is in the Russian single-byte encoding.
+    Lines are read by splits, so a file of any size is no single task; quoted cells may not
+    hold line ends.
+    """
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"))
+    kind = raw.groupBy("file").agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"))
+    latin = F.translate(F.decode(F.col("value").cast("binary"), "ISO-8859-1"), _HIGH, _CP1251)
+    line = F.regexp_replace(F.when(F.col("utf8"), F.col("value")).otherwise(latin), "^\ufeff|\r$", "")
+    account = F.regexp_extract("file", r"([^/]+?)(?:\.[^./]+)?$", 1)
+    return raw.join(kind, "file").select(account.alias("account_id"), "block", "i", line.alias("line")).where("trim(line) <> ''")
+
+
+def read_statements_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(txn, rejects) of a folder of CSV statements with mixed delimiters, encodings, headers.
+
+    The first line of each file is its header. The driver gets the distinct headers, as many
+    as there are export layouts; their delimiter is the one they hold most often. Files whose
+    header has no date or no amount are rejected with the reason, and so are rows whose date
+    or amount cannot be read; nothing vanishes.
+    """
+    lines = durable(read_statement_lines(spark, path))
+    first = lines.groupBy("account_id").agg(F.min_by("line", F.struct("block", "i")).alias("header"), F.min(F.struct("block", "i")).alias("at"))
+    rows = lines.join(first, "account_id").where(F.struct("block", "i") > F.col("at")).select("account_id", F.col("i").alias("seq"), "line", "header")
+    out, bad = None, []
+    for header in [r.header for r in first.select("header").distinct().collect()]:
+        sep = max(DELIMITERS, key=header.count)
+        cells = next(csv.reader([header], delimiter=sep))
+        mine = rows.where(F.col("header") == header)
+        roles, extras = resolve_layout(cells), resolve_extras(cells)
+        if "date" not in roles or not ({"amount", "amount_split"} & roles.keys()):
+            bad.append(mine.select("account_id", "seq", F.lit("no date or amount column").alias("reason"), "line"))
+            continue
+        schema = ", ".join(f"c{i} string" for i in range(len(cells)))
+        parsed = F.from_csv("line", schema, {"sep": sep, "mode": "PERMISSIVE"})
+        raw = mine.select("account_id", "seq", "line", F.array(*[F.coalesce(parsed[f"c{i}"], F.lit("")) for i in range(len(cells))]).alias("cells"))
+        txn = rows_to_txn(raw, roles, extras)
+        bad.append(raw.join(txn.select("account_id", "seq"), ["account_id", "seq"], "left_anti").select("account_id", "seq", F.lit("no date or amount in the row").alias("reason"), "line"))
+        out = txn if out is None else out.unionByName(txn, allowMissingColumns=True)
+    empty = spark.createDataFrame([], "account_id string, seq bigint, ts timestamp, amount decimal(30,2), description string, counterparty string, type string")
+    rejects = spark.createDataFrame([], "account_id string, seq bigint, reason string, line string")
+    for part in bad:
+        rejects = rejects.unionByName(part)
+    return (empty if out is None else out), rejects
 
 
 def resolve_layout(header) -> dict:
@@ -66,8 +116,8 @@ def parse_amount_any(c: Column) -> Column:
     minus = text.contains("-") | low.contains("списан") | low.contains("расход")
     digits = F.regexp_replace(text, r"[^\d,.]", "")
     both = digits.contains(",") & digits.contains(".")
-    v = F.when(both, F.replace(digits, F.lit(","), F.lit(""))).otherwise(F.replace(digits, F.lit(","), F.lit("."))).try_cast("decimal(15,2)")
-    v = F.coalesce(v, F.lit(0).cast("decimal(15,2)"))
+    v = F.when(both, F.replace(digits, F.lit(","), F.lit(""))).otherwise(F.replace(digits, F.lit(","), F.lit("."))).try_cast(MONEY)
+    v = F.coalesce(v, F.lit(0).cast(MONEY))
     return F.when(minus, -F.abs(v)).otherwise(F.abs(v))
 
 

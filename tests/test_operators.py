@@ -4,8 +4,10 @@ import random
 from datetime import datetime, timedelta
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
+from saldoscope import session
 from saldoscope.operators import base as B
 from saldoscope.operators import casework as C
 from saldoscope.operators import flows as W
@@ -121,8 +123,8 @@ def test_layout_words_and_csv(spark, tmp_path):
     assert roles == {"date": 0, "type": 1, "counterparty": 2, "amount": 3, "balance": 4}
     assert statements.resolve_layout(["Дата", "Приход", "Расход", "Остаток"])["amount_split"]
     (tmp_path / "acc7.csv").write_text("Дата,Сумма,Контрагент\n01.02.2024,\"-1 200,50\",ТОО А\n", encoding="utf-8")
-    row = statements.read_statements_csv(spark, str(tmp_path / "*.csv")).collect()[0]
-    assert row.account_id == "acc7" and row["Контрагент"] == "ТОО А"
+    row = statements.read_statements_csv(spark, str(tmp_path / "*.csv"))[0].collect()[0]
+    assert row.account_id == "acc7" and row.counterparty == "ТОО А" and float(row.amount) == -1200.5
 
 
 def test_replacing_one_analysis_keeps_the_other(spark, tmp_path):
@@ -133,6 +135,35 @@ def test_replacing_one_analysis_keeps_the_other(spark, tmp_path):
     assert got == {("A", 1.0), ("B", 5.0), ("B", 6.0)}
 
 
+def test_stored_analyses_of_many_accounts(spark, tmp_path):
+    path = str(tmp_path / "analyses")
+    def rows(lo, hi, score):
+        return spark.range(lo, hi).select(F.concat(F.lit("A"), "id").alias("account_id"), F.lit(score).alias("composite_score"), F.lit("low").alias("risk_level"), F.lit("{}").alias("report"))
+    sinks.write_analyses(rows(0, 1000, 1.0), path)
+    sinks.write_analyses(rows(990, 1010, 2.0), path)
+    got = {r.analysis_id: r.composite_score for r in spark.read.parquet(path).collect()}
+    assert len(got) == 1010 and sum(v == 2.0 for v in got.values()) == 20 and got["A0"] == 1.0
+    assert len(list((tmp_path / "analyses").glob("bucket=*"))) <= sinks.BUCKETS
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(ValueError):
+        session.checkpoint_dir(Session())
+
+
 def test_row_order_does_not_matter(spark):
     rnd = random.Random(13)
     rows = [(rnd.choice("AB"), T0 + timedelta(hours=rnd.randrange(0, 200)), -100000 * rnd.randrange(1, 4), "p") for _ in range(120)]

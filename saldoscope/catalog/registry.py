@@ -6,6 +6,8 @@ from . import oracle
 
 QUERIES: dict = {}
 CHECKED: list[str] = []
+#: Queries that also run on the book with one account for each user.
+BY_USER = ["velocity_bursts", "outflow_24h", "daily_spikes", "carding", "recurring_payments", "recurring_rows"]
 
 
 def query(name: str, sql: str | None = None):
@@ -17,6 +19,8 @@ def query(name: str, sql: str | None = None):
             return fn(Book.open(tune(spark), sf_dir))
 
         QUERIES[name] = run
+        if name in BY_USER:
+            QUERIES[f"{name}_by_user"] = lambda spark, sf_dir: fn(Book.open(tune(spark), sf_dir, by_user=True))
         if sql is not None:
             oracle.fragment(name, sql)
             CHECKED.append(name)

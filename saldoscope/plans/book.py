@@ -38,19 +38,20 @@ class shared:
 
 
 class Book:
-    def __init__(self, spark: SparkSession, sf_dir: str, txn: DataFrame | None = None):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, txn: DataFrame | None = None, by_user: bool = False):
+        """``by_user``: one account for each user of the events instead of eight busy ones."""
+        self.spark, self.sf_dir, self.by_user = spark, sf_dir, by_user
         if txn is not None:
             self.__dict__["txn"] = txn
 
     @classmethod
-    def open(cls, spark: SparkSession, sf_dir: str) -> "Book":
+    def open(cls, spark: SparkSession, sf_dir: str, by_user: bool = False) -> "Book":
         """The book of a folder; its written tables are shared by all queries of an application."""
-        key = (spark.sparkContext.applicationId, sf_dir, stamp(spark, sf_dir))
+        key = (spark.sparkContext.applicationId, sf_dir, by_user, stamp(spark, sf_dir))
         if key not in _OPEN:
-            _OPEN[key] = cls(spark, sf_dir)
+            _OPEN[key] = cls(spark, sf_dir, by_user=by_user)
         book = _OPEN[key]
-        return book if book.spark is spark else cls(spark, sf_dir)
+        return book if book.spark is spark else cls(spark, sf_dir, by_user=by_user)
 
     def table(self, name: str) -> DataFrame:
         return table(self.spark, self.sf_dir, name)
@@ -59,7 +60,7 @@ class Book:
     def txn(self) -> DataFrame:
         """Canonical rows, written once: reading a statement source again for every operator
         would repeat its join and its text work each time."""
-        return durable(load_txn(self.spark, self.sf_dir))
+        return durable(load_txn(self.spark, self.sf_dir, self.by_user))
 
     @shared
     def profile(self) -> DataFrame:

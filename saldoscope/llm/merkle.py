@@ -79,17 +79,23 @@ def compare_with_next(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     leaves of its tree travel to its predecessor.
     """
     tune(docs.sparkSession)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    # an id that needs no cast gets no alias: Spark shares a shuffle only between equal plans
+    plain = doc_id == "doc_id" and dict(docs.dtypes)[doc_id] == "bigint"
+    rows = docs.select(F.col(doc_id) if plain else F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     known = cut(rows.where("doc_id is not null").select("doc_id", F.length("text").cast("long").alias("n"), F.xxhash64("text").alias("h"))
                 .groupBy("doc_id").agg(F.floor(F.max("n") / 4).alias("k"), F.min("h").alias("h")))
     order = neighbours(known)
     asked = (order.join(known.select("doc_id", "k"), "doc_id").select(F.col("next_id").alias("id"), F.col("doc_id").alias("for_id"), "k")
              .join(known.select(F.col("doc_id").alias("id"), "h"), "id"))
     asked = cut(asked)
-    nexts = rows.join(asked, rows.doc_id == asked.id).where(F.xxhash64("text") == F.col("h"))
+    # both joins read the same rows by doc_id, so that they share one shuffle of the texts
+    present, absent = rows.where("doc_id is not null"), rows.where("doc_id is null")
+    # (a comparison by bits is no join key, so the shuffle stays one by doc_id)
+    nexts = present.join(asked, present.doc_id == asked.id).where(F.xxhash64("text").bitwiseXOR(F.col("h")) == 0)
     heads = with_tree(nexts, "text").select("for_id", F.left("text", F.col("k").cast("int")).alias("head"), F.col("leaves").alias("next_leaves"))
     heads = heads.dropDuplicates(["for_id"])
-    both = rows.join(heads, rows.doc_id == heads.for_id, "left").withColumn("n_chars", F.length("text").cast("long"))
+    paired = present.join(heads, present.doc_id == heads.for_id, "left").select("doc_id", "text", "head", "next_leaves")
+    both = paired.unionByName(absent, allowMissingColumns=True).withColumn("n_chars", F.length("text").cast("long"))
     k = F.floor(F.col("n_chars") / 4).cast("int")
     edited = F.concat(F.left("text", F.col("n_chars").cast("int") - k), F.left(F.coalesce("head", F.lit("")), k))
     both = with_tree(with_tree(both.withColumn("edited", edited), "text"), "edited", "edited_")

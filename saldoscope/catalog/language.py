@@ -88,7 +88,7 @@ OWN = ["Иванов Иван Иванович", "Иванов Иван", "Ив
 OWNED = f"(starts_with(account_id, 'U') and upper(raw) in ({', '.join(repr(v.upper()) for v in OWN)}))"
 query("person_tags", f"""select account_id, person, display, '[PERSON_' || row_number() over (partition by account_id order by first_seq, person) || ']' tag from (
   select account_id, upper(nm) person, min(seq) first_seq, arg_min(nm, seq) display from {{{{person_names}}}} where nm <> '' and not {OWNED} group by 1,2)""")(lambda b: b.person_tags)
-query("owner_variants", "select distinct account_id, variant, length(variant)::int as length from (select distinct account_id from {{txn}} where starts_with(account_id, 'U')), (select unnest([" + ", ".join(repr(v) for v in OWN) + "]) variant) where length(variant) >= 4")(
+query("owner_variants", "select 'C' || c_custkey account_id, c_name variant, length(c_name)::int as length from customer union all select distinct account_id, variant, length(variant)::int from (select distinct account_id from {{txn}} where starts_with(account_id, 'U')), (select unnest([" + ", ".join(repr(v) for v in OWN) + "]) variant) where length(variant) >= 4")(
     lambda b: b.owner_variants)
 query("mask_sole_trader", """select account_id, trader, tag, count(*) n from {{person_names}} p join {{person_tags}} t using (account_id) where t.person = upper(p.trader) group by 1,2,3""")(
     lambda b: b.txn.select("account_id", PV.trader_name(PV.strip_markup(F.col("counterparty"))).alias("trader")).filter("trader is not null").groupBy("account_id", "trader").agg(F.count("*").alias("n"))

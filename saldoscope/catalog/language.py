@@ -2,7 +2,6 @@
 
 from ..config import keywords as K
 from ..config import language as L
-from ..config import legal as LG
 from ..config import names as NM
 from ..functions import names as N
 from ..operators import base as B
@@ -206,22 +205,26 @@ query("attach_titles", "select code, number, coalesce(b.text, '') title_kk from
     lambda b: ST.attach_titles(articles(b).drop("title_kk"), articles(b).select("code", "number", "doc_id").join(
         b.table("benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("title_kk")), "doc_id")).select("code", "number", "title_kk"))
 CITED = r"(?i)(?:(ЗРК О ПОД/ФТ|УК РК|НК РК|ГК РК|КоАП РК)\s*)?ст(?:атья|\.)\s*(\d+(?:-\d+)?)"
-REFCASE = "(case pattern " + " ".join(f"when '{k}' then '{v}'" for k, v in LG.PATTERN_REFERENCE.items()) + " end)"
+# texts that cite: a bare number before any code, the article of the document, and one that may not exist
+CITING = "'ст. 5, ' || code || ' ст. ' || \"number\" || ', статья ' || (doc_id * 7 % 1500)::varchar || '; ' || text"
 O.fragment("cited", f"""select text_id, pos, code, number from (select text_id, pos::int pos, last_value(nullif(c,'') ignore nulls) over (partition by text_id order by pos rows unbounded preceding) code, n as number from (
-  select text_id, generate_subscripts(cs, 1) - 1 pos, unnest(cs) c, unnest(ns) n from (select text_id, regexp_extract_all(tx, '{CITED}', 1) cs, regexp_extract_all(tx, '{CITED}', 2) ns from (select distinct pattern text_id, {REFCASE} tx from {{{{patterns}}}})))) where code is not null""")
+  select text_id, generate_subscripts(cs, 1) - 1 pos, unnest(cs) c, unnest(ns) n from (select text_id, regexp_extract_all(tx, '{CITED}', 1) cs, regexp_extract_all(tx, '{CITED}', 2) ns from (select doc_id text_id, {CITING} tx from {{{{articles}}}})))) where code is not null""")
 
 
 def cited(b):
-    ref = F.create_map(*[F.lit(x) for kv in LG.PATTERN_REFERENCE.items() for x in kv])
-    return ST.parse_citations(b.patterns.select(F.col("pattern").alias("text_id")).distinct().withColumn("text", ref[F.col("text_id")]))
+    a = articles(b)
+    text = F.concat(F.lit("ст. 5, "), "code", F.lit(" ст. "), "number", F.lit(", статья "), (F.col("doc_id") * 7 % 1500).cast("string"), F.lit("; "), "text")
+    return ST.parse_citations(a.select(F.col("doc_id").alias("text_id"), text.alias("text")))
 
 
 query("parse_citations", "select * from {{cited}}")(lambda b: cited(b))
 query("get_article", "select text_id, code, number, title from {{cited}} join {{articles}} using (code, number)")(
     lambda b: ST.get_article(cited(b).drop("pos"), articles(b)).select("text_id", "code", "number", "title"))
 query("annotate_patterns", """select text_id, pos, c.code, c.number, case when a.url is null then 'article_not_found' else 'verified' end verdict, a.url is not null verified, coalesce(title,'') title, coalesce(url,'') url,
-  case when a.url is null then '' else trim(substr(text,1,500)) || case when length(text) > 500 then '…' else '' end end excerpt from {{cited}} c left join {{articles}} a on a.code = c.code and a.number = c.number""")(
+  case when a.url is null then '' else trim(substr(text,1,500)) || case when length(text) > 500 then '…' else '' end end excerpt, '' title_kk from {{cited}} c left join {{articles}} a on a.code = c.code and a.number = c.number""")(
     lambda b: ST.annotate(cited(b), articles(b)))
+query("annotation_counts", """select text_id, count(*) citations, count(a.url) verified, count(*) - count(a.url) unverified from {{cited}} c left join {{articles}} a on a.code = c.code and a.number = c.number group by 1""")(
+    lambda b: ST.annotation_counts(ST.annotate(cited(b), articles(b))))
 # claims about articles: the right title, a wrong one, a quote that may be missing, a number that does not exist
 CLAIM = """select code, case when doc_id % 4 = 3 then number || '9' else number end as number, case when doc_id % 4 = 1 then 'иное название нормы' else substr(title, 1, 20) end expected_title,
   case when doc_id % 4 = 2 then 'нет такой цитаты' else substr(text, 5, 30) end quote from {{articles}}"""

@@ -57,14 +57,18 @@ def term_stats(post: DataFrame) -> DataFrame:
 
 
 def bm25(articles: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """Best ``k`` articles for every query of a table (query_id, query)."""
+    """Best ``k`` articles for every query of a table (query_id, query and, optionally, code).
+
+    A query with a code gets articles of that code only; rarity is that of the whole corpus.
+    """
     post = durable(postings(articles))  # the index is read three times
     length = post.groupBy("code", "number").agg(F.sum("tf").alias("dl"))
     size = articles.agg(F.count("*").alias("n_docs"))
     avg = length.agg((F.sum("dl").cast("double")).alias("all_terms"))
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
+    within = F.col("code") if "code" in queries.columns else F.lit(None).cast("string")
+    asked = queries.select("query_id", within.alias("_within"), F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
     stats = term_stats(post.join(asked.select("term").distinct(), "term", "left_semi"))
-    hits = asked.join(post, "term").join(stats, "term").join(length, ["code", "number"])
+    hits = asked.join(post, "term").where(F.col("_within").isNull() | (F.col("_within") == F.col("code"))).join(stats, "term").join(length, ["code", "number"])
     hits = hits.join(F.broadcast(size)).join(F.broadcast(avg))  # one row each
     n, df, tf = F.col("n_docs"), F.col("df"), F.col("tf")
     idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
@@ -110,21 +114,32 @@ def _same(c):
 
 
 def verify_citations(refs: DataFrame, articles: DataFrame) -> DataFrame:
-    """Verdict per reference (code, number, expected_title, quote)."""
-    d = refs.join(articles.select("code", "number", "title", "text", "url"), ["code", "number"], "left")
+    """Verdict per reference (code, number, expected_title, quote).
+
+    Without any article nothing can be said: corpus_unavailable.
+    """
+    there = articles.agg((F.count("*") > 0).alias("_there"))  # one row
+    d = refs.join(F.broadcast(there)).join(articles.select("code", "number", "title", "text", "url"), ["code", "number"], "left")
     a, c = _same(F.col("title")), _same(F.col("expected_title"))
     title_off = (F.coalesce("expected_title", F.lit("")) != "") & ~a.contains(c) & ~c.contains(a)
     quote_off = (F.coalesce("quote", F.lit("")) != "") & ~_same(F.col("text")).contains(_same(F.col("quote")))
-    return d.withColumn("verdict", F.when(F.col("url").isNull(), "article_not_found").when(title_off, "title_mismatch").when(quote_off, "quote_not_found").otherwise("verified")).drop("text")
+    return d.withColumn("verdict", F.when(~F.col("_there"), "corpus_unavailable").when(F.col("url").isNull(), "article_not_found").when(title_off, "title_mismatch").when(quote_off, "quote_not_found").otherwise("verified")).drop("text", "_there")
 
 
 def annotate(refs: DataFrame, articles: DataFrame, excerpt: int = 500) -> DataFrame:
-    """References with the official title and, for verified ones, the start of the text."""
+    """References with the official titles (both languages, where the articles have them) and,
+    for verified ones, the start of the text."""
+    more = [c for c in ("title_kk", "url_kk") if c in articles.columns]
     blank = refs.withColumn("expected_title", F.lit("")).withColumn("quote", F.lit(""))
-    d = verify_citations(blank, articles).drop("expected_title", "quote", "title", "url").join(articles.select("code", "number", "title", "url", "text"), ["code", "number"], "left")
+    d = verify_citations(blank, articles).drop("expected_title", "quote", "title", "url").join(articles.select("code", "number", "title", "url", "text", *more), ["code", "number"], "left")
     ok = F.col("verdict") == "verified"
     cut = F.concat(F.trim(F.substring("text", 1, excerpt)), F.when(F.length("text") > excerpt, "…").otherwise(""))
-    return d.select(*[c for c in refs.columns], "verdict", ok.alias("verified"), F.coalesce("title", F.lit("")).alias("title"), F.coalesce("url", F.lit("")).alias("url"), F.when(ok, cut).otherwise("").alias("excerpt"))
+    return d.select(*[c for c in refs.columns], "verdict", ok.alias("verified"), F.coalesce("title", F.lit("")).alias("title"), F.coalesce("url", F.lit("")).alias("url"), F.when(ok, cut).otherwise("").alias("excerpt"), *[F.coalesce(c, F.lit("")).alias(c) for c in more])
+
+
+def annotation_counts(annotated: DataFrame) -> DataFrame:
+    """Per text: citations, and how many of them are verified."""
+    return annotated.groupBy("text_id").agg(F.count("*").alias("citations"), F.count(F.when(F.col("verified"), 1)).alias("verified"), F.count(F.when(~F.col("verified"), 1)).alias("unverified"))
 
 
 def unknown_citations(cited: DataFrame, known: DataFrame) -> DataFrame:

@@ -17,30 +17,35 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a quality score of 0.3 or more; learnt from the labelled documents here."""
+    docs = docs.select(*COLUMNS)
     space = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.score(docs, space, column="quality_score").where(F.col("quality_score") >= quality.THRESHOLD).select(*COLUMNS)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeated passages are deleted; a document with nothing left goes."""
+    docs = docs.select(*COLUMNS)
     out = line_dedup.deduplicate_lines(docs, drop_empty=True)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the smallest doc_id."""
+    docs = docs.select(*COLUMNS)
     out = minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(out, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go of which benchmark windows cover a twentieth of the words or more."""
+    docs = docs.select(*COLUMNS)
     hits = decontaminate.find_hits(docs, table(spark, sf_dir, "benchmark"))
     return decontaminate.judge(hits).where(~F.col("contaminated")).select(*COLUMNS)
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of each text, and whether they decode to it."""
+    docs = docs.select(*COLUMNS)
     back = pieces.decode(pieces.encode(docs))
     return back.select("doc_id", "lang", "source", "ids", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 

@@ -10,7 +10,8 @@ With more than one slice the texts are scanned once for each and the hits of a d
 merged by key, so a benchmark of any size is handled in full.
 
 Nulls and empty texts have no words and no hits. Items without words are never found.
-Repeated documents are answered row by row; item ids that repeat count once.
+Repeated documents are answered row by row; item ids that repeat count once. Columns of the
+input that have the name of a result column are replaced.
 """
 
 
@@ -116,6 +117,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: s
               n: int = N, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """``docs`` with n_words, hit_from, hit_to (spans of hit words) and items of every document."""
     spark = tune(docs.sparkSession)
+    docs = docs.drop(*[f for f in SCHEMA.fieldNames() if f != text])
     known = (benchmark.where(F.col(item_text).isNotNull() & F.col(item).isNotNull())
              .select(F.col(item).cast("long").alias("item"), F.col(item_text).alias("words"), F.size(F.split(item_text, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long").alias("w")))
     total = known.agg(F.sum("w")).first()[0] or 0

@@ -106,17 +106,17 @@ def repeated_runs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
 def deduplicate_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", drop_empty: bool = False) -> DataFrame:
     """``docs`` without later repeated runs, with n_deleted: how many lines were deleted."""
     runs = repeated_runs(docs, text, doc_id)
-    gone = runs.groupBy("doc_id", "key").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("first", "last")))).alias("_gone"))
-    gone = gone.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "_gone")
-    rows = docs.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(text) == F.col("_k")), "left")
-    rows = rows.withColumn("_lines", F.when(F.col("_gone").isNotNull(), F.split(F.col(text), "\n", -1)))
-    full = F.filter(F.transform("_lines", lambda l, i: F.when(F.trim(l) != "", i)), lambda i: i.isNotNull())
-    rows = rows.withColumn("_full", full)
-    dropped = F.transform("_gone", lambda k: F.get("_full", k))
-    keep = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), dropped)
-    left = F.array_join(F.transform(keep, lambda i: F.get("_lines", i)), "\n")
-    out = rows.withColumn("n_deleted", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
-    out = out.withColumn("n_deleted", F.when(F.col("_gone").isNull(), 0).otherwise(F.col("n_deleted")).cast("long"))
+    gone = runs.groupBy("doc_id", "key").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("first", "last")))).alias("__gone"))
+    gone = gone.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "__gone")
+    rows = docs.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__key")), "left")
+    rows = rows.withColumn("__lines", F.when(F.col("__gone").isNotNull(), F.split(F.col(text), "\n", -1)))
+    full = F.filter(F.transform("__lines", lambda l, i: F.when(F.trim(l) != "", i)), lambda i: i.isNotNull())
+    rows = rows.withColumn("__full", full)
+    dropped = F.transform("__gone", lambda k: F.get("__full", k))
+    keep = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), dropped)
+    left = F.array_join(F.transform(keep, lambda i: F.get("__lines", i)), "\n")
+    out = rows.withColumn("n_deleted", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
+    out = out.withColumn("n_deleted", F.when(F.col("__gone").isNull(), 0).otherwise(F.col("n_deleted")).cast("long"))
     if drop_empty:
-        out = out.where(F.col("_gone").isNull() | (F.size("_gone") < F.size("_full")))
-    return out.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(left)).drop("_d", "_k", "_gone", "_lines", "_full")
+        out = out.where(F.col("__gone").isNull() | (F.size("__gone") < F.size("__full")))
+    return out.withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(left)).drop("__id", "__key", "__gone", "__lines", "__full")

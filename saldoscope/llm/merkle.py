@@ -24,12 +24,12 @@ LEAF = r"(?:\S++\s*+){1,4}+|\s++"
 def with_tree(rows: DataFrame, text: str, prefix: str = "") -> DataFrame:
     """``rows`` with the tree of a text: <prefix>paragraphs and sections (hashes), leaves (ints), root."""
     p, s, v = f"{prefix}paragraphs", f"{prefix}sections", f"{prefix}leaves"
-    rows = rows.withColumn("_p", F.transform(F.split(F.col(text), "\n", -1), lambda l: F.transform(F.regexp_extract_all(l, F.lit(LEAF), F.lit(0)), lambda w: F.xxhash64(w))))
-    rows = rows.withColumn(p, F.transform("_p", lambda x: F.xxhash64(x)))
+    rows = rows.withColumn("__leaves", F.transform(F.split(F.col(text), "\n", -1), lambda l: F.transform(F.regexp_extract_all(l, F.lit(LEAF), F.lit(0)), lambda w: F.xxhash64(w))))
+    rows = rows.withColumn(p, F.transform("__leaves", lambda x: F.xxhash64(x)))
     rows = rows.withColumn(s, F.transform(F.sequence(F.lit(0), F.size(p) - 1, F.lit(SECTION)), lambda i: F.xxhash64(F.slice(p, i + 1, F.lit(SECTION)))))
-    rows = rows.withColumn(v, F.array_distinct(F.transform(F.flatten("_p"), lambda x: (x % 2147483647).cast("int"))))
+    rows = rows.withColumn(v, F.array_distinct(F.transform(F.flatten("__leaves"), lambda x: (x % 2147483647).cast("int"))))
     root = F.sha2(F.concat_ws(",", F.size(p).cast("string"), F.array_join(F.transform(s, lambda x: F.hex(x)), ",")), 256)
-    return rows.withColumn(f"{prefix}root", root).drop("_p")
+    return rows.withColumn(f"{prefix}root", root).drop("__leaves")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -49,7 +49,7 @@ def edited_paragraphs(old: str = "", new: str = "edited_") -> Column:
 def fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the tree of every text; ``root`` is the fingerprint."""
     tune(docs.sparkSession)
-    return with_tree(docs.withColumn("_t", F.coalesce(F.col(text), F.lit(""))), "_t").drop("_t")
+    return with_tree(docs.withColumn("__text", F.coalesce(F.col(text), F.lit(""))), "__text").drop("__text")
 
 
 def neighbours(ids: DataFrame) -> DataFrame:

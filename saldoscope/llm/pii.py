@@ -186,8 +186,8 @@ def sanitise(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     put = gone.select("doc_id", "key", F.struct("s.start", "s.stop", shape.alias("by")).alias("p"))
     base = found.select("doc_id", "key", F.explode("base").alias("s")).select("doc_id", "key", F.struct("s.start", "s.stop", F.concat(F.lit("["), "s.kind", F.lit("]")).alias("by")).alias("p"))
     edits = put.union(base).distinct().groupBy("doc_id", "key").agg(F.array_sort(F.collect_list("p")).alias("edits"))
-    edits = edits.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "edits")
-    whole = docs.join(edits, F.col(doc_id).cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("_k")), "left")
+    edits = edits.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("edits").alias("__edits"))
+    whole = docs.join(edits, F.col(doc_id).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("__key")), "left")
     t = F.col(text)
 
     def step(acc, e):
@@ -195,5 +195,5 @@ def sanitise(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
         return F.struct(F.greatest(acc["at"], e["stop"]).alias("at"), F.concat(acc["out"], F.array(part)).alias("out"))
 
     start = F.expr("named_struct('at', cast(0 as bigint), 'out', cast(array() as array<string>))")
-    done = F.aggregate("edits", start, step, lambda acc: F.array_join(F.concat(acc["out"], F.array(F.substring(t, (acc["at"] + 1).cast("int"), F.length(t)))), ""))
-    return whole.withColumn(text, F.coalesce(done, t)).drop("_d", "_k", "edits")
+    done = F.aggregate("__edits", start, step, lambda acc: F.array_join(F.concat(acc["out"], F.array(F.substring(t, (acc["at"] + 1).cast("int"), F.length(t)))), ""))
+    return whole.withColumn(text, F.coalesce(done, t)).drop("__id", "__key", "__edits")

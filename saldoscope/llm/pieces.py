@@ -31,7 +31,7 @@ MARKER = "▁"
 UNKNOWN_PENALTY = 10.0
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Larger slices repeat more chunks, and each distinct chunk is solved once.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -198,34 +198,35 @@ class PieceModel:
 
     def _edges(self, buf: np.ndarray, ends: np.ndarray):
         """All pieces in the chunks: (position, length, id), by lock-step walks of the trie."""
-        pos = np.flatnonzero((buf & 0xC0) != 0x80)
-        limit, state = ends[pos], np.zeros(len(pos), np.int64)
+        pos = np.flatnonzero((buf & 0xC0) != 0x80).astype(np.int32)
+        limit, state = ends[pos].astype(np.int32), np.zeros(len(pos), np.int32)
         out, depth = [], 0
         while len(pos):
             inside = pos + depth < limit
             pos, limit, state = pos[inside], limit[inside], state[inside]
-            nxt = self.base[state] + buf[pos + depth].astype(np.int64) + 1
+            nxt = self.base[state] + buf[pos + depth] + np.int32(1)
             ok = self.check[nxt] == state
             pos, limit, state = pos[ok], limit[ok], nxt[ok]
             depth += 1
             v = self.value[state]
             hit = v >= 0
-            out.append((pos[hit], np.full(int(hit.sum()), depth, np.int64), v[hit]))
-        return (np.concatenate([x[i] for x in out]) if out else np.zeros(0, np.int64) for i in range(3))
+            out.append((pos[hit], np.full(int(hit.sum()), depth, np.int32), v[hit]))
+        return (np.concatenate([x[i] for x in out]) if out else np.zeros(0, np.int32) for i in range(3))
 
     def _solve(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Best pieces of each chunk: ids one after the other, and where each chunk ends."""
         n = len(offsets) - 1
         if not len(buf):
             return np.zeros(0, np.int32), np.zeros(n, np.int64)
-        chunk = np.repeat(np.arange(n), np.diff(offsets))
+        offsets = offsets.astype(np.int64 if len(buf) + n >= 1 << 31 else np.int32)
+        chunk = np.repeat(np.arange(n, dtype=np.int32), np.diff(offsets))
         pos, size, piece = self._edges(buf, offsets[1:][chunk])
         score = self.scores[piece]
         # a character that is no piece of its own may be spelled in bytes
-        lead = np.flatnonzero((buf & 0xC0) != 0x80)
-        width = np.diff(np.append(lead, len(buf)))
+        lead = np.flatnonzero((buf & 0xC0) != 0x80).astype(np.int32)
+        width = np.diff(np.append(lead, np.int32(len(buf))))
         single = np.zeros(len(buf), bool)
-        width_at = np.zeros(len(buf), np.int64)
+        width_at = np.zeros(len(buf), np.int32)
         width_at[lead] = width
         single[pos[size == width_at[pos]]] = True
         bare = ~single[lead]
@@ -236,9 +237,10 @@ class PieceModel:
         steps = np.concatenate([[0], np.cumsum(np.bincount(rel))])
         node = pos + chunk[pos]
         node, size, piece, score = node[order], size[order], piece[order], score[order].astype(np.float32)
+        del pos, rel, order, single
         best = np.full(len(buf) + n, -np.inf, np.float32)
         best[offsets[:-1] + np.arange(n)] = 0
-        back, got = np.zeros(len(buf) + n, np.int64), np.full(len(buf) + n, -1, np.int32)
+        back, got = np.zeros(len(buf) + n, np.int32), np.full(len(buf) + n, -1, np.int32)
         for a, b in zip(steps[:-1].tolist(), steps[1:].tolist()):
             if a == b:
                 continue
@@ -259,6 +261,7 @@ class PieceModel:
             at = at - back[at]
             first.append(at - owner)
             who.append(owner)
+        del node, size, piece, score, best, back, got
         ids, first, who = np.concatenate(walked), np.concatenate(first), np.concatenate(who)
         spot = np.full(len(buf), -1, np.int64)
         spot[first] = np.arange(len(first))

@@ -26,10 +26,10 @@ from .base import by_slice, flat, tune, words
 from .minhash import word_bytes
 
 THRESHOLD = 0.3
-NEIGHBOURS = 25
+NEIGHBOURS = 5
 DIMENSIONS = 48
 MAX_LABELLED = 5000
-POWER = 4
+POWER = 16
 BLOCK = 256
 #: Signs that stand for themselves; every other sign is one kind.
 SIGNS = b".,!?*|#"

@@ -131,7 +131,8 @@ def open_ends(blocks: DataFrame, eod: int = EOD) -> DataFrame:
 
 def _summaries(blocks: DataFrame, eod: int) -> DataFrame:
     kind = dict(blocks.dtypes)["file"]
-    return tune(blocks.sparkSession) and cut(blocks.select("file", "block", "data").mapInArrow(_separators(eod), f"file {kind}, block long, tokens long, ends array<long>"))
+    tune(blocks.sparkSession)
+    return cut(blocks.select("file", "block", "data").mapInArrow(_separators(eod), f"file {kind}, block long, tokens long, ends array<long>"))
 
 
 def _stitched(summary: DataFrame) -> DataFrame:

@@ -1,15 +1,13 @@
 """Case and portfolio queries, time-driven queries, readers and sinks."""
 
-from ..config import keywords as K
 from ..config import layouts as Y
-from ..functions import names as N
 from ..operators import base as B
 from ..operators import casework as C
 from ..sources import sinks as SK
 from ..sources import statements as R
 from ..sources.book import ANALYSIS_SQL, LOGIN_SQL, TABLES
 from . import oracle as O
-from .finance import LABEL, subject_sql, squeeze
+from .finance import subject_sql, squeeze
 from .registry import query
 
 F = B.F

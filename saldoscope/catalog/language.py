@@ -9,7 +9,7 @@ from ..operators import privacy as PV
 from ..operators import statutes as ST
 from ..operators import text_signals as TS
 from . import oracle as O
-from .finance import TRADER, TRADER_P, org_sql
+from .finance import TRADER_P, org_sql
 from .registry import query
 
 F = B.F

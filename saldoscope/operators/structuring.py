@@ -7,7 +7,6 @@ from ..config import keywords as K
 from ..config.limits import REPORTING_THRESHOLD, SIGNIFICANT_FLOOR
 from . import base as B
 from .base import KEY
-from .velocity import big_enough
 
 
 def structuring_limits(prof: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ MARKER = "▁"
 UNKNOWN_PENALTY = 10.0
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Larger slices repeat more chunks, and each distinct chunk is solved once.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -303,7 +303,8 @@ def _encoded(model: PieceModel, texts: pa.Array) -> list[pa.Array]:
 def decode(docs: DataFrame, ids: str = "ids", decoded: str = "decoded", model_path: str = MODEL_PATH) -> DataFrame:
     """``docs`` with the text of each array of ids; null for null."""
     def texts_of(model: PieceModel, lists: pa.Array) -> list[pa.Array]:
-        return [pa.array([None if x is None else model.decode(x) for x in lists.to_pylist()], pa.string())]
+        # one text's ids at a time become Python numbers
+        return [pa.array([model.decode(x.values.to_pylist()) if x.is_valid else None for x in lists], pa.string())]
 
     return _with_model(docs, ids, model_path, [T.StructField(decoded, T.StringType())], texts_of, by_bytes=False)
 

@@ -75,7 +75,11 @@ def features(texts: pa.Array) -> np.ndarray:
 
 
 class Space:
-    """Weights, directions, labelled unit vectors and their labels."""
+    """Weights, directions, labelled unit vectors and their labels.
+
+    ``x`` may be 16-bit; it is read in blocks, so the driver holds little beside it. The
+    leading directions come from subspace iteration on the weighted cross-product matrix.
+    """
 
     def __init__(self, x: np.ndarray, labels: np.ndarray, dimensions: int = DIMENSIONS):
         self.labels = labels.astype(np.float32)
@@ -83,12 +87,19 @@ class Space:
         if not len(labels):
             self.weights, self.directions, self.vectors = np.ones(WIDTH, np.float32), np.zeros((WIDTH, 1), np.float32), np.zeros((0, 1), np.float32)
             return
-        seen = (x > 0).sum(axis=0)
+        blocks = [slice(at, at + BLOCK) for at in range(0, len(x), BLOCK)]
+        seen = sum((x[b] > 0).sum(axis=0) for b in blocks)
         self.weights = (np.log((1 + len(x)) / (1 + seen)) + 1).astype(np.float32)
-        w = x * self.weights
-        values, vectors = np.linalg.eigh((w.T @ w).astype(np.float64))
-        self.directions = np.ascontiguousarray(vectors[:, ::-1][:, :dimensions]).astype(np.float32)
-        self.vectors = self.unit(w @ self.directions)
+        product = np.zeros((WIDTH, WIDTH), np.float32)
+        for b in blocks:
+            w = x[b].astype(np.float32) * self.weights
+            product += w.T @ w
+        basis = np.random.default_rng(1).standard_normal((WIDTH, dimensions + 16)).astype(np.float32)
+        for _ in range(20):
+            basis = np.linalg.qr(product @ basis)[0]
+        _, turn = np.linalg.eigh(basis.T @ product @ basis)
+        self.directions = np.ascontiguousarray(basis @ turn[:, ::-1][:, :dimensions])
+        self.vectors = np.concatenate([self.unit((x[b].astype(np.float32) * self.weights) @ self.directions) for b in blocks])
 
     @staticmethod
     def unit(v: np.ndarray) -> np.ndarray:
@@ -137,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, text:
         if len(y) < max_labelled:
             x[len(y)] = np.frombuffer(row.x, np.float16)
             y.append(row.label)
-    return Space(x[:len(y)].astype(np.float32), np.array(y))
+    return Space(x[:len(y)], np.array(y))
 
 
 def score(docs: DataFrame, space: Space, text: str = "text", column: str = "score") -> DataFrame:

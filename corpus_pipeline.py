@@ -13,6 +13,8 @@ from saldoscope.llm import decontaminate, line_dedup, minhash, pieces, quality
 from saldoscope.llm.base import cut, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Similarity of word shingles from which documents are near copies, in hundredths.
+NEAR_PERCENT = 80
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +34,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the smallest doc_id."""
     docs = docs.select(*COLUMNS)
-    out = minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    out = minhash.near_duplicates(docs, percent=NEAR_PERCENT).where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(out, "doc_id", "left_anti").select(*COLUMNS)
 
 

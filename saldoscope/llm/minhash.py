@@ -2,12 +2,13 @@
 
 1. A document's set is its distinct 5-word shingles (A-Z lower-cased); documents with equal
    sets form one class, and the class goes on as its smallest doc_id.
-2. 120 multiply-add-shift minima of each set, in 24 bands of 5. Two sets at the threshold 0.85
-   share no band with a probability of (1 - 0.85**5)**24, less than one in a million.
+2. Multiply-add-shift minima of each set, in bands of 5: as many bands as it takes for two sets
+   at the threshold s to share none with a probability, (1 - s**5)**bands, of less than one in
+   a million. That is 24 bands (120 minima) at 0.85 and 35 bands (175 minima) at 0.8.
 3. In each band's bucket one central member is the pivot, and every other member is paired
    with it: as many pairs as rows, whatever the size of the bucket. Pairs whose signatures
-   agree in too few places are dropped (``SURE``: more than five standard deviations below the
-   threshold), the rest are verified on full sets.
+   agree in too few places are dropped (``sure_places``: more than five standard deviations below
+   the threshold), the rest are verified on full sets.
 4. Members that are alike without being like the pivot: bucket mates form families (components
    of all pivot pairs, verified or not). Families with more than one verified component are cut
    into blocks of bounded bytes by set size, and only blocks of compatible sizes are compared,
@@ -24,6 +25,7 @@ nothing and is kept.
 """
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,13 +37,25 @@ from .base import by_slice, cut, flat, grams, lower_ascii, mix, tune, words
 from .components import components
 
 SHINGLE = 5
+#: Default threshold; callers may ask for another one.
 PERCENT = 85
-BANDS, ROWS = 24, 5
-#: Of 120 minima, how many must agree; at similarity 0.85, 102 do on average, with a deviation of 3.9.
-SURE = 80
+ROWS = 5
+MISSED = 1e-6
 GROUP_SHINGLES = 1 << 16
 
 
+def band_count(percent: int) -> int:
+    """Bands of ROWS minima: two sets at the threshold share none less often than MISSED."""
+    return math.ceil(math.log(MISSED) / math.log1p(-(percent / 100) ** ROWS)) if percent < 100 else 1
+
+
+def sure_places(percent: int) -> int:
+    """Of all minima, how many must agree: 5.6 deviations less than agree on average at the
+    threshold. At 0.85, 102 of 120 agree, with a deviation of 3.9; at 0.8, 140 of 175 with 5.3."""
+    n, s = band_count(percent) * ROWS, percent / 100
+    return max(math.floor(n * s - 5.6 * math.sqrt(n * s * (1 - s))), 0)
+
+
 def word_bytes() -> np.ndarray:
     table = np.ones(256, bool)
     table[0x20] = False
@@ -91,21 +105,22 @@ def minima(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, block: int = 1
     return out
 
 
-def signatures(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def signatures(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, digest of the set, low 16 bits of the minima, and a key per band."""
     tune(docs.sparkSession)
-    a, b = coefficients(BANDS * ROWS)
+    bands = band_count(percent)
+    a, b = coefficients(bands * ROWS)
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(batch.column("text"))
         m = minima(sets, a, b)
-        keys = np.zeros((len(sets), BANDS), np.uint64)
+        keys = np.zeros((len(sets), bands), np.uint64)
         for r in range(ROWS):
-            keys = mix(keys + m[:, r::ROWS] + np.arange(1, BANDS + 1, dtype=np.uint64))
+            keys = mix(keys + m[:, r::ROWS] + np.arange(1, bands + 1, dtype=np.uint64))
         digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
         sigs = np.ascontiguousarray(m.astype(np.uint16))
         flat_keys = pa.array(keys.view(np.int64).ravel())
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat_keys) + 1, BANDS, dtype=np.int32)), flat_keys)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat_keys) + 1, bands, dtype=np.int32)), flat_keys)
         return pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()),
              pa.array([r.tobytes() for r in sigs], pa.binary()), lists],
@@ -115,23 +130,23 @@ def signatures(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     return rows.mapInArrow(by_slice(one, "text"), "doc_id long, n_shingles long, digest binary, sig binary, bands array<long>")
 
 
-def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keep pairs whose signatures agree in SURE places or more."""
+def _agree(batches: Iterator[pa.RecordBatch], sure: int) -> Iterator[pa.RecordBatch]:
+    """Keep pairs whose signatures agree in ``sure`` places or more."""
     for batch in batches:
         if batch.num_rows:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
-            enough = pa.array((x == y).sum(axis=1) >= SURE)
+            enough = pa.array((x == y).sum(axis=1) >= sure)
             yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("pivot")], names=["uid", "pivot"]).filter(enough)
 
 
-def alike(x: np.ndarray, y: np.ndarray) -> bool:
-    """100 * intersection >= PERCENT * union, for sorted distinct values."""
+def alike(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
+    """100 * intersection >= percent * union, for sorted distinct values."""
     small, large = (x, y) if len(x) <= len(y) else (y, x)
-    if 100 * len(small) < PERCENT * len(large) or not len(small):
+    if 100 * len(small) < percent * len(large) or not len(small):
         return False
     place = np.minimum(np.searchsorted(large, small), len(large) - 1)
     both = int((large[place] == small).sum())
-    return 100 * both >= PERCENT * (len(x) + len(y) - both)
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
 class _Forest:
@@ -150,7 +165,7 @@ class _Forest:
         return x != y
 
 
-def links_of_group(left: list, right: list | None) -> list[tuple[int, int]]:
+def links_of_group(left: list, right: list | None, percent: int = PERCENT) -> list[tuple[int, int]]:
     """Links that join different components. Members are (uid, component, set).
 
     With ``right`` None, all of ``left`` are compared with each other. For each member the
@@ -162,7 +177,7 @@ def links_of_group(left: list, right: list | None) -> list[tuple[int, int]]:
     sizes = np.array([len(s) for _, _, s in others])
     begins = np.cumsum(sizes) - sizes
     for i, (uid, comp, s) in enumerate(left):
-        low, high = PERCENT * len(s) / 100, 100 * len(s) / PERCENT
+        low, high = percent * len(s) / 100, 100 * len(s) / percent
         open_ = (sizes >= low) & (sizes <= high)
         if right is None:
             open_[:i + 1] = False
@@ -171,13 +186,13 @@ def links_of_group(left: list, right: list | None) -> list[tuple[int, int]]:
             continue
         place = np.minimum(np.searchsorted(s, joined), len(s) - 1)
         both = np.add.reduceat((s[place] == joined).astype(np.int64), begins)
-        for j in np.flatnonzero(open_ & (100 * both >= PERCENT * (len(s) + sizes - both))).tolist():
+        for j in np.flatnonzero(open_ & (100 * both >= percent * (len(s) + sizes - both))).tolist():
             if forest.join(comp, others[j][1]):
                 found.append((uid, others[j][0]))
     return found
 
 
-def _check_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _check_groups(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by group; each group is of bounded bytes and is compared when complete.
 
     side 0 and 1: the two sides to compare; side 2: members to compare with each other.
@@ -187,8 +202,8 @@ def _check_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     def close():
         if 2 in sides:
-            return links_of_group(sides[2], None)
-        return links_of_group(sides[0], sides[1]) if len(sides) == 2 else []
+            return links_of_group(sides[2], None, percent)
+        return links_of_group(sides[0], sides[1], percent) if len(sides) == 2 else []
 
     found: list[tuple[int, int]] = []
     for batch in batches:
@@ -205,7 +220,7 @@ def _check_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
 
-def _verified(docs: DataFrame, work: DataFrame) -> DataFrame:
+def _verified(docs: DataFrame, work: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) among the groups in ``work`` (uid, comp, grp, blk, side), on full sets."""
     sent = work.groupBy("uid").agg(F.first("comp").alias("comp"), F.collect_list(F.struct("grp", "blk", "side")).alias("to"))
     rows = docs.join(sent, docs.doc_id == sent.uid).select("uid", "text", "comp", "to")
@@ -218,7 +233,7 @@ def _verified(docs: DataFrame, work: DataFrame) -> DataFrame:
     sets = rows.mapInArrow(by_slice(one, "text"), "uid long, comp long, to array<struct<grp:long,blk:long,side:int>>, items binary")
     dealt = sets.select("uid", "comp", "items", F.explode("to").alias("t")).select("uid", "comp", "items", "t.*")
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(width, "grp", "blk").sortWithinPartitions("grp", "blk").mapInArrow(_check_groups, "a long, b long")
+    return dealt.repartition(width, "grp", "blk").sortWithinPartitions("grp", "blk").mapInArrow(lambda batches: _check_groups(batches, percent), "a long, b long")
 
 
 def _pivot_pairs(reps: DataFrame) -> DataFrame:
@@ -235,7 +250,7 @@ def _pivot_pairs(reps: DataFrame) -> DataFrame:
     return cut(member.join(pivot, "key").where("uid != pivot").select("uid", "pivot").distinct())
 
 
-def near_links(docs: DataFrame, reps: DataFrame) -> DataFrame:
+def near_links(docs: DataFrame, reps: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Verified links between class representatives that connect all that is alike."""
     sizes = reps.select(F.col("doc_id").alias("uid"), "n_shingles")
     pairs = _pivot_pairs(reps)
@@ -245,7 +260,8 @@ def near_links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     sig = reps.select("doc_id", "sig")
     signed = (pairs.join(sig.select(F.col("doc_id").alias("uid"), F.col("sig").alias("sa")), "uid")
               .join(sig.select(F.col("doc_id").alias("pivot"), F.col("sig").alias("sb")), "pivot"))
-    sure = cut(signed.select("uid", "pivot", "sa", "sb").mapInArrow(_agree, "uid long, pivot long"))
+    places = sure_places(percent)
+    sure = cut(signed.select("uid", "pivot", "sa", "sb").mapInArrow(lambda batches: _agree(batches, places), "uid long, pivot long"))
     # groups of a pivot and members of bounded bytes
     weighed = sure.join(sizes, "uid")
     blocks = weighed.groupBy("pivot").agg(F.ceil(F.sum("n_shingles") / GROUP_SHINGLES).alias("k"))
@@ -253,18 +269,18 @@ def near_links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     work = (dealt.select("uid", "grp", "blk", F.lit(1).alias("side"))
             .union(dealt.select(F.col("grp").alias("uid"), "grp", "blk", F.lit(0).alias("side")).distinct())
             .withColumn("comp", F.col("uid")))
-    links = cut(_verified(docs, work.select("uid", "comp", "grp", "blk", "side")))
+    links = cut(_verified(docs, work.select("uid", "comp", "grp", "blk", "side"), percent))
     done, family = components(links), components(pairs, "uid", "pivot")
-    return links.union(_rest(docs, sizes, done, family))
+    return links.union(_rest(docs, sizes, done, family, percent))
 
 
-def _rest(docs: DataFrame, sizes: DataFrame, done: DataFrame, family: DataFrame) -> DataFrame:
+def _rest(docs: DataFrame, sizes: DataFrame, done: DataFrame, family: DataFrame, percent: int) -> DataFrame:
     """Links between verified components of one family, found by comparing blocks."""
     member = (family.select(F.col("node").alias("uid"), F.col("component").alias("fam"))
               .join(done.select(F.col("node").alias("uid"), "component"), "uid", "left")
               .select("uid", "fam", F.coalesce("component", "uid").alias("comp")).join(sizes, "uid"))
     # sizes of alike sets differ by one class at most
-    member = cut(member.withColumn("cls", F.floor(F.log("n_shingles") / F.lit(float(np.log(100 / PERCENT))))))
+    member = cut(member.withColumn("cls", F.floor(F.log("n_shingles") / F.lit(float(np.log(100 / percent))))))
     comps = member.groupBy("fam", "comp").agg(F.count("*").alias("n"))
     main = comps.groupBy("fam").agg(F.max(F.struct("n", "comp")).alias("m"), F.count("*").alias("c")).where("c > 1").select("fam", F.col("m.comp").alias("big"))
     open_ = member.join(main, "fam").withColumn("rest", (F.col("comp") != F.col("big")).cast("int"))
@@ -280,17 +296,17 @@ def _rest(docs: DataFrame, sizes: DataFrame, done: DataFrame, family: DataFrame)
     placed = (open_.join(shape, ["fam", "cls", "rest"]).withColumn("id", F.xxhash64("fam", "cls", "rest", F.pmod(F.xxhash64("uid"), "k")))
               .select("uid", "comp", "id"))
     work = cut(placed.join(sides, "id").select("uid", "comp", "grp", "blk", "side"))
-    return cut(_verified(docs, work))
+    return cut(_verified(docs, work, percent))
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Per row: doc_id, n_shingles, class_id, component_id, kept."""
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT) -> DataFrame:
+    """Per row: doc_id, n_shingles, class_id, component_id, kept; linked from ``percent`` on."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sigs = cut(signatures(rows))
+    sigs = cut(signatures(rows, percent=percent))
     filled = sigs.where("n_shingles > 0 and doc_id is not null")
     classes = filled.groupBy("digest").agg(F.min("doc_id").alias("class_id"))
     reps = cut(filled.join(classes, "digest").where("doc_id = class_id").dropDuplicates(["doc_id", "digest"]).select("doc_id", "n_shingles", "sig", "bands"))
-    linked = components(near_links(rows, reps))
+    linked = components(near_links(rows, reps, percent))
     ids = sigs.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
     own = F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("doc_id"))
     out = ids.withColumn("class_id", F.coalesce(own, "doc_id")).join(linked, F.col("class_id") == F.col("node"), "left")

@@ -260,6 +260,23 @@ def test_rest_links_without_pivot(spark, monkeypatch):
     assert {d: (r.n_shingles, r.component_id) for d, r in got.items()} == brute.near_duplicates(texts)
 
 
+def test_near_duplicates_at_other_thresholds(spark):
+    """Pairs between 0.80 and 0.85: linked by the stage and at 80, not at the query's 85."""
+    texts = []
+    for f in range(40):
+        root = prose(3000 + f, 100 + f)
+        texts += [(3 * f, root), (3 * f + 1, edited(root, f, 2)), (3 * f + 2, edited(root, 500 + f, 4))]
+    docs = frame(spark, texts)
+    want = {p: brute.near_duplicates(texts, p) for p in (80, 85, 90)}
+    assert want[80] != want[85] != want[90]
+    for p in want:
+        got = by_id(minhash.near_duplicates(docs, percent=p))
+        assert {d: (r.n_shingles, r.component_id) for d, r in got.items()} == want[p]
+    kept = set(by_id(corpus_pipeline.near_duplicate_stage(spark, docs, "")))
+    assert kept == {d for d, (_, c) in want[80].items() if d == c}
+    assert minhash.band_count(85) == 24 and minhash.band_count(80) == 35 and minhash.sure_places(85) == 80
+
+
 def test_near_duplicates_of_odd_rows(spark, odd):
     got = minhash.near_duplicates(odd).collect()
     assert len(got) == len(ODD)

@@ -37,7 +37,6 @@ from .base import tune
 
 EMPTY_MEMBER = bytes([0x1F, 0x8B, 8, 0, 0, 0, 0, 0, 0, 0xFF, 3, 0, 0, 0, 0, 0, 0, 0, 0, 0])
 DATE = "2024-01-01T00:00:00Z"
-MAX_HEADER = 1 << 16
 
 
 def plan_records(pages: DataFrame, page_id: str = "page_id", payload: str = "html", url: str = "url", min_revisit_bytes: int = 0) -> DataFrame:
@@ -87,7 +86,10 @@ def write_archives(records: DataFrame, path: str | None = None, compressed: bool
 # -- reading ------------------------------------------------------------------------------
 
 _VERSION = re.compile(rb"WARC/\d+\.\d+\r?\n")
-_HEADER = re.compile(rb"([!-9;-~]+):[ \t]*(.*?)[ \t]*\r?$", re.M)
+#: What ends the headers, or shows that they have no end: the next version line.
+_STOP = re.compile(rb"\r\n\r\n|\nWARC/\d+\.\d+\r?\n")
+_NAME = re.compile(rb"[!-9;-~]+")
+_NEEDED = ("warc-type", "warc-record-id", "warc-date")
 
 
 class Broken(Exception):
@@ -99,10 +101,17 @@ def parse_record(data: bytes, at: int) -> tuple[dict, bytes, int]:
     version = _VERSION.match(data, at)
     if not version:
         raise Broken("no version line")
-    stop = data.find(b"\r\n\r\n", at, at + MAX_HEADER)
-    if stop < 0:
+    last = _STOP.search(data, version.end() - 2)  # headers may be of any length
+    if not last or last[0] != b"\r\n\r\n":
         raise Broken("no end of headers")
-    head = {k.decode("latin-1").lower(): v.decode("utf-8", "replace") for k, v in _HEADER.findall(data, version.end(), stop)}
+    stop = last.start()
+    head = {}
+    for line in data[version.end():stop].split(b"\n"):
+        name, colon, value = line.removesuffix(b"\r").partition(b":")
+        if colon and _NAME.fullmatch(name):
+            head[name.decode("latin-1").lower()] = value.strip(b" \t").decode("utf-8", "replace")
+    if not all(head.get(name) for name in _NEEDED):
+        raise Broken("a mandatory header is missing")
     size = head.get("content-length", "")
     if not size.isdigit():
         raise Broken("no content length")

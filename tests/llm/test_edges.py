@@ -222,6 +222,19 @@ def test_archive_round_trip_and_salvage(spark, tmp_path, compressed):
     assert [x[4] is None for x in mixed].count(True) == len(good) + 1
 
 
+def test_long_urls_come_back(spark, tmp_path):
+    long = "http://x/" + "a b" * 34_000
+    pages = [(1, long, "one"), (2, "u", "two"), (3, long + " " * 100_000 + "WARC/1.1", "one"), (4, "é" * 70_000, None)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert {r.page_id for r in warc.round_trip(df).collect()} == {1, 2, 3, 4}
+    for compressed in (True, False):
+        got = warc.read_archives(spark, warc.write_archives(warc.plan_records(df), str(tmp_path / str(compressed)), compressed))
+        assert {(r.gap, r.page_id, r.url) for r in got.collect()} == {(None, p, u) for p, u, _ in pages}
+    # headers without an end stop at the next version line
+    found = list(warc.salvage(b"WARC/1.1\r\nWARC-Type: response\r\n" + warc.record(5, long, b"five", None)))
+    assert [(x[2] or {}).get("warc-record-id") for x in found] == [None, "<urn:page:5>"] and found[0][4] == "no end of headers"
+
+
 def test_no_pages(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 

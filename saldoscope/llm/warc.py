@@ -16,11 +16,18 @@ failed check it searches for the next gzip member or version line that gives a v
 goes on there, and logs the bytes between as a quarantined gap (file, start, end, reason).
 Plain files, and files that change between plain and compressed, are read in the same way.
 
+A member may hold many records. The search for the next version line goes on inside it, also
+when the member fails its checksum, is cut off or cannot be unpacked to its end: what was
+unpacked until then is read like a plain file, and only the rest is given up. In such a member
+a record without a payload digest to check (a revisit) counts if all its headers are well
+formed. Bounds of gaps inside a member are those of the compressed pieces around them.
+
 Defined results: a null payload is empty. Rows repeated with the same id and payload are
 answered row by row. A record cut off at the end of a file is a gap.
 """
 
 import base64
+import bisect
 import gzip
 import hashlib
 import re
@@ -89,6 +96,7 @@ _VERSION = re.compile(rb"WARC/\d+\.\d+\r?\n")
 #: What ends the headers, or shows that they have no end: the next version line.
 _STOP = re.compile(rb"\r\n\r\n|\nWARC/\d+\.\d+\r?\n")
 _NAME = re.compile(rb"[!-9;-~]+")
+_LINE = re.compile(rb"(?:[!-9;-~]+:|[ \t])[^\x00-\x08\x0a-\x1f\x7f]*")
 _NEEDED = ("warc-type", "warc-record-id", "warc-date")
 
 
@@ -127,31 +135,81 @@ def parse_record(data: bytes, at: int) -> tuple[dict, bytes, int]:
     return head, block, end + 4
 
 
-def _records_at(data: bytes, at: int) -> tuple[list[tuple[dict, bytes]], int]:
-    """The records of the member or the plain record at ``at``, and its end, or Broken."""
-    if data[at:at + 2] == b"\x1f\x8b":
-        content, end = _member(data, at)
-        found, inner = [], 0
-        while inner < len(content):
-            head, block, inner = parse_record(content, inner)
-            found.append((head, block))
-        return found, end
-    head, block, end = parse_record(data, at)
-    return [(head, block)], end
+class Member:
+    """The gzip member at ``at``: its content as far as it can be unpacked, where it ends, and
+    what is wrong with it (null: nothing)."""
 
+    def __init__(self, data: bytes, at: int, step: int = 1 << 16):
+        self.fault, parts, pos, size = None, [], at, 0
+        self.marks = [(at, 0)]  # (place in the file, bytes of content until there)
+        unzip = zlib.decompressobj(31)
+        while not unzip.eof and pos < len(data):
+            before = unzip.copy() if pos > at else None
+            try:
+                part = unzip.decompress(data[pos:pos + step])
+            except zlib.error as e:
+                self.fault = f"gzip: {e}"[:80]
+                part, step = _until_error(before or zlib.decompressobj(31), data[pos:pos + step])
+            parts.append(part)
+            pos, size = min(pos + step, len(data)), size + len(part)
+            self.marks.append((pos, size))
+            if self.fault:
+                break
+        self.content = b"".join(parts)
+        if not unzip.eof and not self.fault:
+            self.fault = "gzip member is cut off"
+        self.end = pos if self.fault else pos - len(unzip.unused_data)
+        self.marks[-1] = (self.end, size)
+
+    def before(self, place: int) -> int:
+        """A place in the file at or before a place in the content."""
+        return self.marks[bisect.bisect_right(self.marks, place, key=lambda m: m[1]) - 1][0] if place else self.marks[0][0]
+
+
+def _until_error(unzip, piece: bytes) -> tuple[bytes, int]:
+    """What a piece gives before the byte that cannot be unpacked, and the bytes before that."""
+    out = []
+    for i in range(len(piece)):
+        try:
+            out.append(unzip.decompress(piece[i:i + 1]))
+        except zlib.error:
+            return b"".join(out), i
+    return b"".join(out), len(piece)
 
-def _member(data: bytes, at: int, step: int = 1 << 16) -> tuple[bytes, int]:
-    """Content and end of the gzip member at ``at``, checksum and length checked, or Broken."""
-    unzip, parts, pos = zlib.decompressobj(31), [], at
+
+def _well_formed(data: bytes, at: int, head: dict) -> bool:
+    """Whether a record proves itself: by its payload digest, or else by headers of the right form."""
+    if head["warc-type"] == "response" and head.get("warc-payload-digest", "").startswith("sha1:"):
+        return True  # compared by parse_record
+    lines = data[at:data.index(b"\r\n\r\n", at)].split(b"\r\n")[1:]
     try:
-        while not unzip.eof and pos < len(data):
-            parts.append(unzip.decompress(data[pos:pos + step]))
-            pos += step
-    except zlib.error as e:
-        raise Broken(f"gzip: {e}"[:80]) from None
-    if not unzip.eof:
-        raise Broken("gzip member is cut off")
-    return b"".join(parts), min(pos, len(data)) - len(unzip.unused_data)
+        return all(_LINE.fullmatch(x) and x.decode() for x in lines) and re.fullmatch(r"<[^<>]*>", head["warc-record-id"]) is not None
+    except UnicodeDecodeError:
+        return False
+
+
+def _records(content: bytes, whole: bool) -> Iterator[tuple[int, int, dict | None, bytes, str | None]]:
+    """(start, end, headers, block, None) of each record in the content of a member, and
+    (start, end, None, b"", reason) of what stands between."""
+    at, gap, why = 0, None, None
+    while at < len(content):
+        try:
+            head, block, end = parse_record(content, at)
+            if not whole and not _well_formed(content, at, head):
+                raise Broken("headers are damaged")
+        except Broken as e:
+            if gap is None:
+                gap, why = at, str(e)
+            nxt = _VERSION.search(content, at + 1)
+            at = nxt.start() if nxt else len(content)
+            continue
+        if gap is not None:
+            yield gap, at, None, b"", why
+            gap = None
+        yield at, end, head, block, None
+        at = end
+    if gap is not None:
+        yield gap, len(content), None, b"", why
 
 
 _START = re.compile(rb"\x1f\x8b\x08|WARC/\d+\.\d+\r?\n")
@@ -161,19 +219,43 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, bytes, str | N
     """(start, end, headers, block, None) of each record, (start, end, None, b"", reason) of each gap."""
     at, gap, why = 0, None, None
     while at < len(data):
+        if data[at:at + 2] == b"\x1f\x8b":
+            member = Member(data, at)
+            good = 0  # content until here is read
+            for start, end, head, block, reason in _records(member.content, not member.fault):
+                if head is None:
+                    if gap is None:
+                        gap, why = member.before(start), member.fault or reason
+                    continue
+                if gap is not None:
+                    yield gap, max(member.before(start), gap + 1) if start else at, None, b"", why
+                    gap = None
+                yield at, member.end, head, block, None
+                good = end
+            if not member.fault:
+                if gap is not None and not member.content and gap < at:
+                    yield gap, at, None, b"", why
+                    gap = None
+                at = member.end
+                continue
+            if gap is None:
+                gap, why = member.before(good), member.fault
+            # records that were read prove the bytes before them, the next member starts behind
+            nxt = _START.search(data, max(at + 1, member.before(good)))
+            at = nxt.start() if nxt else len(data)
+            continue
         try:
-            found, end = _records_at(data, at)
+            head, block, end = parse_record(data, at)
         except Broken as e:
             if gap is None:
                 gap, why = at, str(e)
             nxt = _START.search(data, at + 1)
             at = nxt.start() if nxt else len(data)
             continue
-        if gap is not None and (found or end > at):
+        if gap is not None:
             yield gap, at, None, b"", why
             gap = None
-        for head, block in found:
-            yield at, end, head, block, None
+        yield at, end, head, block, None
         at = end
     if gap is not None:
         yield gap, len(data), None, b"", why

@@ -222,6 +222,32 @@ def test_archive_round_trip_and_salvage(spark, tmp_path, compressed):
     assert [x[4] is None for x in mixed].count(True) == len(good) + 1
 
 
+def test_records_of_a_damaged_member():
+    """One gzip member for all records: a damaged record, damaged bytes, a lost tail, a wrong checksum."""
+    rows = [(i, f"http://x/{i}", prose(i, 3000), None if i % 5 else 7) for i in range(1, 61)]
+    made = [warc.record(p, u, h.encode(), r) for p, u, h, r in rows]
+    ids = lambda data: [int(x[2]["warc-record-id"][10:-1]) for x in warc.salvage(data) if x[2]]
+    gaps = lambda data: [x for x in warc.salvage(data) if x[2] is None]
+    whole = gzip.compress(b"".join(made), 6, mtime=0)
+    assert ids(whole) == list(range(1, 61)) and not gaps(whole)
+    # a record that was damaged before it was packed
+    packed = gzip.compress(b"".join([*made[:20], made[20].replace(b"WARC/1.1", b"WARX/1.1"), *made[21:30], made[30][:-900], *made[31:]]))
+    assert ids(packed) == [i for i in range(1, 61) if i not in (21, 31)] and len(gaps(packed)) == 2
+    assert all(0 <= a < b <= len(packed) for a, b, *_ in gaps(packed))
+    # bytes damaged afterwards: all before them are there, and the member behind
+    at = len(whole) // 2
+    broken = whole[:at] + b"#" * 40 + whole[at + 40:] + gzip.compress(warc.record(99, "z", b"late", None))
+    found = ids(broken)
+    assert found[:25] == list(range(1, 26)) and found[-1] == 99 and len(gaps(broken)) >= 1 and len(set(found)) == len(found)
+    assert all(a < b for a, b, *_ in gaps(broken))
+    texts = {p: h.encode() for p, _, h, _ in rows} | {99: b"late"}
+    assert all(x[3] == texts[int(x[2]["warc-record-id"][10:-1])] for x in warc.salvage(broken) if x[2] and x[2]["warc-type"] == "response")
+    # a lost tail, and a wrong checksum
+    found = ids(whole[:-len(whole) // 3])
+    assert found == list(range(1, len(found) + 1)) and 35 <= len(found) < 60 and gaps(whole[:-len(whole) // 3])[-1][1] == len(whole) - len(whole) // 3 - 1
+    assert ids(whole[:-8] + b"\0" * 8) == list(range(1, 61)) and len(gaps(whole[:-8] + b"\0" * 8)) == 1
+
+
 def test_long_urls_come_back(spark, tmp_path):
     long = "http://x/" + "a b" * 34_000
     pages = [(1, long, "one"), (2, "u", "two"), (3, long + " " * 100_000 + "WARC/1.1", "one"), (4, "é" * 70_000, None)]

@@ -64,13 +64,14 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Row ranges of ``batch`` with at most ``limit`` bytes of text each, one row at least."""
+def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES, rows: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Row ranges of ``batch`` with at most ``limit`` bytes of text and ``rows`` rows each, one row at least."""
     if not batch.num_rows:
         return
     size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
     group = np.cumsum(size) // limit
-    edges = np.flatnonzero(np.diff(group)) + 1
+    part = np.arange(batch.num_rows) // (rows or batch.num_rows)
+    edges = np.flatnonzero(np.diff(group) | np.diff(part)) + 1
     at = 0
     for end in [*edges.tolist(), batch.num_rows]:
         yield batch.slice(at, end - at)
@@ -171,23 +172,26 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - first, lengths)
 
 
-def gathered(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The rows of ``batches`` in batches of about ``limit`` bytes of text, or one longer row."""
-    held, size = [], 0
+def gathered(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES, rows: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in batches of about ``limit`` bytes of text, or one longer row,
+    and of less than twice ``rows`` rows."""
+    held, size, count = [], 0, 0
     for batch in batches:
-        for part in slices(batch, column, limit):
+        for part in slices(batch, column, limit, rows):
             held.append(part)
             size += part.column(column).nbytes
-            if size >= limit:
+            count += part.num_rows
+            if size >= limit or rows and count >= rows:
                 yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held, size = [], 0
+                held, size, count = [], 0, 0
     if held:
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
-def by_slice(fn: Callable[[pa.RecordBatch], pa.RecordBatch], column: str, limit: int = SLICE_BYTES):
-    """A ``mapInArrow`` function that applies ``fn`` to rows of bounded bytes of a column."""
+def by_slice(fn: Callable[[pa.RecordBatch], pa.RecordBatch], column: str, limit: int = SLICE_BYTES, rows: int | None = None):
+    """A ``mapInArrow`` function that applies ``fn`` to rows of bounded bytes of a column, and
+    to about ``rows`` rows at most if what ``fn`` needs grows with their number."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in gathered(batches, column, limit):
+        for part in gathered(batches, column, limit, rows):
             yield fn(part)
     return run

@@ -31,6 +31,8 @@ DIMENSIONS = 48
 MAX_LABELLED = 5000
 POWER = 16
 BLOCK = 256
+#: Rows whose features are held at once, however short their texts.
+SLICE_ROWS = 500
 #: Signs that stand for themselves; every other sign is one kind.
 SIGNS = b".,!?*|#"
 KINDS = 13
@@ -142,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, text:
         return pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), batch.column("label")], names=["x", "label"])
 
     tune(docs.sparkSession)
-    rows = labelled_rows(docs, labels, allowed, text, doc_id, max_labelled).mapInArrow(by_slice(one, "text"), "x binary, label double")
+    rows = labelled_rows(docs, labels, allowed, text, doc_id, max_labelled).mapInArrow(by_slice(one, "text", rows=SLICE_ROWS), "x binary, label double")
     x, y = np.zeros((max_labelled, WIDTH), np.float16), []
     for row in rows.collect():  # bounded: max_labelled rows
         if len(y) < max_labelled:
@@ -160,4 +162,4 @@ def score(docs: DataFrame, space: Space, text: str = "text", column: str = "scor
         scores = pa.array(sent.value.score(features(batch.column(text))), pa.float64())
         return pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, column])
 
-    return docs.select(*[f"`{f.name}`" for f in docs.schema.fields if f.name != column]).mapInArrow(by_slice(one, text), schema)
+    return docs.select(*[f"`{f.name}`" for f in docs.schema.fields if f.name != column]).mapInArrow(by_slice(one, text, rows=SLICE_ROWS), schema)

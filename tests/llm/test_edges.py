@@ -128,6 +128,13 @@ def test_quality_of_odd_rows(spark, odd):
     assert {r.score for r in quality.score(odd, none).collect()} == {0.5}
 
 
+def test_slices_are_bounded_by_rows():
+    batch = pa.RecordBatch.from_pydict({"text": pa.array([""] * 5000 + ["x" * 100] * 7)})
+    sizes = [b.num_rows for b in base.gathered(iter([batch] * 3), "text", rows=500)]
+    assert sum(sizes) == 3 * 5007 and max(sizes) < 1000
+    assert [b.num_rows for b in base.gathered(iter([batch]), "text")] == [5007]
+
+
 # -- 4 ---------------------------------------------------------------------------------------
 
 

@@ -128,6 +128,18 @@ def test_quality_of_odd_rows(spark, odd):
     assert {r.score for r in quality.score(odd, none).collect()} == {0.5}
 
 
+def test_quality_tells_texts_of_one_shape_by_their_words(spark):
+    """Good and junk texts with equal lengths of words, signs and capitals."""
+    words = {q: ["".join(random.Random(f"{q} {i}").choices("abcdefghij", k=6)) for i in range(300)] for q in (0, 1)}
+    texts = [(i, " ".join(random.Random(i).choices(words[i % 2], k=40))) for i in range(240)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(160)], "doc_id long, quality int")
+    docs = frame(spark, texts)
+    got = by_id(quality.score(docs, quality.fit(docs, labels)))
+    assert sum((got[i].score >= 0.5) == (i % 2 == 1) for i in range(160, 240)) >= 76
+    again = by_id(quality.score(docs.repartition(5), quality.fit(docs.repartition(7), labels)))
+    assert all(abs(again[i].score - got[i].score) < 1e-5 for i, _ in texts)
+
+
 def test_slices_are_bounded_by_rows():
     batch = pa.RecordBatch.from_pydict({"text": pa.array([""] * 5000 + ["x" * 100] * 7)})
     sizes = [b.num_rows for b in base.gathered(iter([batch] * 3), "text", rows=500)]

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, line_dedup, merkle, minhash, pieces, pii, quality, sql, token_counts, warc
+from . import chat, decontaminate, line_dedup, merkle, minhash, pieces, pii, quality, repair, shards, spelling, sql, token_counts, warc
 from .base import table
 
 
@@ -66,11 +66,30 @@ def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), F.col("root").alias("fingerprint"), F.col("edited_root").alias("edited_fingerprint"), "near_edited", "near_next")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents"), spoil=True)).select("word", "n", "n_near", "form", "form_n", "root")
+
+
+def op12_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shards.shard_documents(table(spark, sf_dir, "documents"), 8)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    fixed = repair.repair(repair.damage(turns)).withColumnRenamed("conv_id", "_conv")
+    every = turns.select(F.col("conv_id").cast("long").alias("conv_id")).distinct().join(fixed, F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES = {f.__name__: f for f in (op1_pii_disclosure, op2_token_counts, op3_quality_knn, op4_sentencepiece, op5_line_winnowing, op6_warc_salvage,
-                                   op7_minhash, op8_decontamination, op9_chat_format, op10_merkle, pipeline)}
-SQL: dict[str, str] = {"op6_warc_salvage": sql.OP6, "op7_minhash": sql.OP7, "op8_decontamination": sql.OP8, "op9_chat_format": sql.OP9}
+                                   op7_minhash, op8_decontamination, op9_chat_format, op10_merkle,
+                                   op11_spelling_variants, op12_slot_sharding, op13_conversation_repair, pipeline)}
+SQL: dict[str, str] = {"op6_warc_salvage": sql.OP6, "op7_minhash": sql.OP7, "op8_decontamination": sql.OP8, "op9_chat_format": sql.OP9,
+                       "op11_spelling_variants": sql.OP11, "op13_conversation_repair": sql.OP13}

@@ -63,3 +63,70 @@ select conv_id, count(*)::bigint as n_turns,
   sum(chars)::bigint as formatted_chars
 from f group by conv_id
 """
+
+_CRC_TABLE = "list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, b: xor(c >> 1, (c & 1) * 3988292384)))"
+
+
+def _crc(text: str, table: str) -> str:
+    """crc32 of a string's UTF-8 bytes; ``table`` is a column with _CRC_TABLE."""
+    digits = f"hex(encode({text}))"
+    data = f"list_transform(range(strlen({text})), lambda j: ('0x' || substr({digits}, 2 * j + 1, 2))::bigint)"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {data}), lambda c, b: xor(c >> 8, {table}[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+_WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+OP13 = f"""
+with recursive tab as (select {_CRC_TABLE} as tab),
+t as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as key from conversations),
+c as (select t.*, {_crc('key', 'tab')} % 20 as how from t, tab),
+d as (select conv_id, turn, case when how = 4 then 'user' else role end as role,
+  case how when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(range(case how when 3 then 2 else 1 end)) as copy from c where how != 0),
+o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as i,
+  row_number() over (partition by conv_id, role, text order by turn nulls first, copy) as k, left(role, 1) as x, rtrim(text, {_WS}) as bare from d),
+f as (select *, case when bare = '' then 'blank' when k > 1 then 'duplicate' when right(bare, 1) not in ('.', '!', '?') then 'truncated' else '' end as fault,
+  lag(x) over (partition by conv_id order by i) as before from o),
+pre(s, s1, ins) as (values (0, 0, ''), (0, 2, 'I'), (0, 3, 'II'), (1, 1, ''), (1, 2, 'I'), (1, 3, 'II'), (2, 2, ''), (2, 3, 'I'), (2, 2, 'II'), (3, 3, ''), (3, 2, 'I'), (3, 3, 'II')),
+keeps(s1, x, s2) as (values (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+moves as (select s, ins || 'D' as letters, 5 * length(ins) + 2 as cost, null::varchar as x, s1 as s2, true as any_row from pre
+  union all select s, ins || 'R', 5 * length(ins) + 1, null::varchar, case s1 when 2 then 3 else 2 end, false from pre
+  union all select s, ins || 'K', 5 * length(ins), x, s2, false from pre join keeps using (s1)),
+dp as (select distinct conv_id, 0::bigint as i, 0 as s, {{'cost': 0, 'audit': ''}} as best from f
+  union all select conv_id, i, s2, min(best) from (
+    select f.conv_id, f.i, m.s2, {{'cost': dp.best.cost + m.cost + case when f.fault = 'truncated' and not m.any_row then 5 else 0 end, 'audit': dp.best.audit || m.letters}} as best
+    from dp join f on f.conv_id is not distinct from dp.conv_id and f.i = dp.i + 1 join moves m on m.s = dp.s
+    where (m.any_row or f.fault not in ('blank', 'duplicate')) and (m.x is null or m.x = f.x)) group by all),
+n as (select conv_id, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank,
+  count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated,
+  count(*) filter (before is not null and before || x not in ('su', 'ua', 'au')) as illegal from f group by conv_id),
+e as (select dp.conv_id, min({{'cost': best.cost + case s when 1 then 10 when 2 then 5 else 0 end, 'audit': best.audit || case s when 1 then 'II' when 2 then 'I' else '' end}}) as best
+  from dp join n on dp.conv_id is not distinct from n.conv_id and dp.i = n.n group by dp.conv_id),
+l as (select conv_id, unnest(range(1, length(best.audit) + 1)) as p, substr(best.audit, p, 1) as letter from e),
+r as (select *, count(*) filter (letter != 'I') over w as i, count(*) filter (letter != 'D') over w as j from l window w as (partition by conv_id order by p)),
+g as (select r.*, f.role, f.text, max(case when j = 1 and letter = 'K' and f.x = 's' then 1 else 0 end) over (partition by r.conv_id) as led
+  from r left join f on f.conv_id is not distinct from r.conv_id and f.i = r.i and letter != 'I' where letter != 'D'),
+h as (select conv_id, string_agg(case letter when 'K' then role else case (j - led) % 2 when 1 then 'user' else 'assistant' end end || ':' || coalesce(text, ''), chr(10) order by p) as whole from g group by conv_id)
+select q.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated,
+  coalesce(illegal, 0)::bigint as illegal, coalesce(e.best.cost, 0)::bigint as cost, coalesce(e.best.audit, '') as audit, sha256(coalesce(whole, '')) as repaired_sha256
+from (select distinct conv_id from conversations) q left join n on q.conv_id is not distinct from n.conv_id
+left join e on q.conv_id is not distinct from e.conv_id left join h on q.conv_id is not distinct from h.conv_id
+"""
+
+_LETTERS = "[A-Za-z\\x{{C0}}-\\x{{FF}}]{{7,}}"
+OP11 = f"""
+with recursive tab as (select {_CRC_TABLE} as tab),
+r as (select doc_id, {_lower('unnest(regexp_extract_all(text, ' + "'" + _LETTERS.format() + "'" + '))')} as run from documents),
+g as (select doc_id, run, count(*) as c from r group by all),
+h as (select g.*, {_crc("coalesce(doc_id::varchar, '') || ':' || run", 'tab')} as h from g, tab),
+w as (select case when h % 31 = 0 then left(run, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, c from h),
+v as (select word, sum(c)::bigint as n from w where length(word) >= 7 group by word having sum(c) >= 2),
+p as (select word, n, unnest(range(length(word))) as i from v),
+subs as (select word, n, left(word, i) || '*' || substr(word, i + 2) as k from p),
+dels as (select distinct word, n, left(word, i) || substr(word, i + 2) as k from p),
+pairs as (select a.word, b.word as other, b.n as m from subs a join subs b on a.k = b.k and a.word != b.word
+  union select d.word, v.word, v.n from dels d join v on v.word = d.k
+  union select v.word, d.word, d.n from dels d join v on v.word = d.k),
+best as (select word, count(*) as n_near, min({{'m': -m, 'other': other}}) as b from pairs group by word),
+f as (select v.word, v.n, coalesce(n_near, 0)::bigint as n_near, case when -b.m >= 10 * v.n then b.other end as form, case when -b.m >= 10 * v.n then -b.m end as form_n from v left join best using (word)),
+chain as (select word, word as root, 0 as step from f union all select c.word, f.form, step + 1 from chain c join f on f.word = c.root where f.form is not null)
+select word, n, n_near, form, form_n, arg_max(chain.root, step) as root from f join chain using (word) group by all
+"""

@@ -41,15 +41,17 @@ O.fragment("mixed", """select account_id, seq from (select account_id, seq, leng
   select account_id, seq, trim(coalesce(description,'')) tx from {{txn}})) where len >= 10 and c > 0 and l > 0 and least(c,l)/(c+l) > 0.2""")
 query("language_mixing", "select account_id, count(*) n, 3.0::double impact from {{mixed}} group by 1 having count(*) >= 3")(lambda b: TS.language_mixing(b.txn))
 query("text_score", """select account_id, least(100.0::double, sum(i::decimal(18,2))::double) risk_score, count(*) findings from (select account_id, impact i from {{critical_keywords}} union all select account_id, impact from {{medium_keywords}}
-  union all select account_id, impact from {{copy_paste}} union all select account_id, impact from {{wording_mismatch}} union all select account_id, impact from {{serial_numbers}} union all select account_id, impact from {{language_mixing}}) group by 1""")(
-    lambda b: TS.text_score(b.txn))
+  union all select account_id, impact from {{copy_paste}} union all select account_id, impact from {{wording_mismatch}} union all select account_id, impact from {{serial_numbers}} union all select account_id, impact from {{language_mixing}}
+  union all select account_id, impact from {{template_clusters}}) group by 1""")(
+    lambda b: TS.text_score(b.txn, b.template_clusters))
 query("suspicious_rows", f"""select account_id, count(distinct seq) n_suspicious from (select account_id, seq from {{{{kw_crit}}}} union all
   select account_id, seq from (select *, row_number() over (partition by account_id, keyword order by seq) k from {{{{kw_med}}}}) where k <= 2 union all
   select t.account_id, t.seq from (select *, {LOW} tx from {{{{txn}}}}) t join {{{{copy_paste}}}} c on c.account_id = t.account_id and c.text = t.tx union all
+  select t.account_id, t.seq from (select *, {LOW} tx from {{{{txn}}}}) t join {{{{template_members}}}} m on m.account_id = t.account_id and m.text = t.tx join {{{{template_clusters}}}} c on c.account_id = m.account_id and c.cluster = m.cluster union all
   select account_id, seq from {{{{wording_mismatch}}}} union all
   select account_id, seq from (select *, row_number() over (partition by account_id, prefix order by number, seq) k from {{{{serial_rows}}}}) join {{{{serial_numbers}}}} using (account_id, prefix) where k <= longest union all
   select account_id, seq from (select *, row_number() over (partition by account_id order by seq) k from {{{{mixed}}}} where account_id in (select account_id from {{{{language_mixing}}}})) where k <= 10) group by 1""")(
-    lambda b: TS.suspicious_rows(b.txn))
+    lambda b: TS.suspicious_rows(b.txn, b.template_members.join(b.template_clusters, ["account_id", "cluster"], "left_semi")))
 
 
 def turns(b):

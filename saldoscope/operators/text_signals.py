@@ -82,8 +82,9 @@ def language_mixing(txn: DataFrame) -> DataFrame:
     return B.counts(mixed_rows(txn), "n").filter("n >= 3").withColumn("impact", F.lit(3.0))
 
 
-def text_score(txn: DataFrame) -> DataFrame:
-    parts = [critical_keywords(txn), medium_keywords(txn), copy_paste(txn), wording_mismatch(txn), serial_numbers(txn), language_mixing(txn)]
+def text_score(txn: DataFrame, templates: DataFrame) -> DataFrame:
+    """Sum of all impacts; ``templates`` are the flagged template clusters."""
+    parts = [critical_keywords(txn), medium_keywords(txn), templates, copy_paste(txn), wording_mismatch(txn), serial_numbers(txn), language_mixing(txn)]
     all_ = None
     for p in parts:
         x = p.select(KEY, F.col("impact").cast("decimal(18,2)").alias("impact"))
@@ -91,9 +92,9 @@ def text_score(txn: DataFrame) -> DataFrame:
     return all_.groupBy(KEY).agg(F.least(F.lit(100.0), F.sum("impact").cast("double")).alias("risk_score"), F.count("*").alias("findings"))
 
 
-def suspicious_rows(txn: DataFrame) -> DataFrame:
-    """Distinct rows named by any finding."""
-    paste = copy_paste(txn).select(KEY, "text")
+def suspicious_rows(txn: DataFrame, template_texts: DataFrame) -> DataFrame:
+    """Distinct rows named by any finding; ``template_texts`` are the texts of flagged template clusters."""
+    paste = copy_paste(txn).select(KEY, "text").union(template_texts.select(KEY, "text"))
     pasted = txn.withColumn("text", _low()).join(paste, [KEY, "text"], "left_semi").select(KEY, "seq")
     mixed = mixed_rows(txn).join(language_mixing(txn).select(KEY), KEY, "left_semi")
     runs = serial_numbers(txn).select(KEY, "prefix", "longest")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..config.limits import ACCOUNT_TYPES, TYPE_LIMITS
 from ..operators import enrich as E
+from ..operators import entities as EN
 from ..operators import flows as W
 from ..operators import habits as H
 from ..operators import patterns as N
@@ -15,10 +16,11 @@ from ..operators import privacy as PV
 from ..operators import profile as P
 from ..operators import scoring as R
 from ..operators import structuring as S
+from ..operators import templates as TP
 from ..operators import velocity as V
 from ..operators.base import KEY
 from ..session import durable, stamp
-from ..sources.book import load_accounts, load_analyses, load_logins, load_txn, table
+from ..sources.book import load_accounts, load_analyses, load_logins, load_transfers, load_txn, table
 
 _OPEN: dict = {}
 _LOCK = threading.RLock()
@@ -370,3 +372,23 @@ class Book:
     def subjects(self):
         from ..sources import sinks
         return sinks.subjects_of(self.txn)
+
+    @shared
+    def transfers(self):
+        return load_transfers(self.spark, self.sf_dir)
+
+    @shared
+    def entity_edges(self):
+        return durable(EN.entity_edges(self.transfers, self.account))
+
+    @shared
+    def strong_edges(self):
+        return self.entity_edges.filter(F.col("flow") >= EN.STRONG * 100)
+
+    @shared
+    def template_members(self):
+        return durable(TP.template_members(self.txn))
+
+    @shared
+    def template_clusters(self):
+        return durable(TP.template_clusters(self.txn, self.template_members))

@@ -161,6 +161,12 @@ select o_orderkey as analysis_id, o_custkey % 5 as user_id, concat('Statement ',
   cast(o_orderkey % 40 as bigint) as transaction_count, cast(o_totalprice as decimal(15,2)) as total_amount
 from {orders}
 """
+#: Payments between customers: what the graph across accounts is made of. Customer 7 gets a third of them.
+TRANSFER_SQL = """
+select concat('C', cast(o_custkey as string)) as account_id, o_orderkey as seq, cast(o_orderdate as timestamp) as ts,
+  cast(case when o_orderkey % 4 = 1 then o_totalprice else -o_totalprice end as decimal(15,2)) as amount, c_name as counterparty
+from {orders} join {customer} on c_custkey = case when o_orderkey % 3 = 0 then 7 else 1 + o_orderkey % 500 end
+"""
 LOGIN_SQL = """
 select event_id as login_id, user_id, cast(ts as timestamp) as login_at, event_type,
   case when event_type <> 'error' then cast(floor(cast(value as decimal(10,2)) * 60) as bigint) end as stayed
@@ -172,6 +178,10 @@ def load_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _part(spark, sf_dir, ACCOUNT_SQL, "customer", "events")
 
 
+def load_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _part(spark, sf_dir, TRANSFER_SQL, "orders", "customer")
+
+
 def load_analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _part(spark, sf_dir, ANALYSIS_SQL, "orders")
 

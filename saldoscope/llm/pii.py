@@ -7,8 +7,11 @@ corpus estimates how strongly a term t reveals one: with df counts of documents,
     PMI(c; t) = log2(N * df(c, t) / (df(c) * df(t)))    what t tells about c
     disclosure(c, t) = PMI(c; t) / IC(c)           1: t occurs nowhere without c
 
-df(c, t) counts documents with t near an occurrence of c (``CONTEXT`` characters on either
-side). A pair needs ``MIN_CONTEXTS`` different contexts, so copies of one text prove nothing.
+All counts are of whole documents, a repeated row as often as it stands. Pairs (c, t) to look at
+are named by contexts: t must stand near c (``CONTEXT`` characters on either side) in
+``MIN_CONTEXTS`` different contexts, so copies of one text prove nothing. Before df(c, t) is
+counted, pairs go that cannot reach ``GENERALISE_AT`` since t stands in too many documents, or in too many
+without any protected entity; what is counted then does not hold the common words.
 A term whose largest disclosure reaches ``REMOVE_AT`` is removed wherever it stands; from
 ``GENERALISE_AT`` on it is generalised to its kind (a capitalised word, a word, a number),
 which as a class discloses next to nothing.
@@ -18,15 +21,19 @@ the same pattern: lengths of what stands between matches and of matches give pos
 patterns are written so that each text is read in linear time: runs are possessive, and a
 match starts at the beginning of a run or where the last match ended.
 
-Terms are counted as distinct terms per document, combined before the shuffle; contexts exist
-only around base spans. The disclosing terms are sent to all tasks while there are
-``SEND_TERMS`` or fewer; beyond that they are joined by a shuffle.
+Terms are counted as distinct terms per document, combined before the shuffle, and counts are
+joined to pairs as one row a term; contexts exist only around base spans. Only the final
+disclosing terms meet the terms of all documents: they are sent to all tasks while there are
+``SEND_TERMS`` or fewer, and joined by a shuffle beyond that.
 
 Defined results: null and empty texts have no spans. Term spans that touch a base span are
-left out. Rows with the same doc_id and text are one document for the statistics and get the
-same answer.
+left out. Rows with the same doc_id and text get the same answer. An empty table gives no rows;
+other columns of the input take no part.
 """
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,8 +84,9 @@ def passes(kind: str, value: Column) -> Column:
 _SPAN = "struct<start:bigint,rank:int,stop:bigint,kind:string,value:string,near:string>"
 
 
-def _with_spans(rows: DataFrame, text: str, pattern: Column, kind: str, rank: int, may: Column, out: str, near: bool = True) -> DataFrame:
-    """``rows`` with the passing matches of a pattern in ``text``: sorted, with positions."""
+def _with_spans(rows: DataFrame, text: str, pattern: Column, kind: str, rank: int, may: Column, out: str, near: bool = True, ok=None) -> DataFrame:
+    """``rows`` with the matches of a pattern in ``text`` that pass (``ok``, or the rule of the kind): sorted, with positions."""
+    ok = ok or (lambda value: passes(kind, value))
     none = F.expr("cast(array() as array<string>)")
     rows = rows.withColumn("_found", F.when(may, F.regexp_extract_all(text, pattern, F.lit(0))).otherwise(none))
     rows = rows.withColumn("_gaps", F.when(F.size("_found") > 0, F.split(F.col(text), pattern, -1)).otherwise(none))
@@ -90,26 +98,26 @@ def _with_spans(rows: DataFrame, text: str, pattern: Column, kind: str, rank: in
         around = F.concat(F.regexp_replace(F.right(x["a"], F.lit(CONTEXT)), F.when(F.length(x["a"]) > CONTEXT, "^" + _CUT_WORD).otherwise("^$"), ""), F.lit(" "),
                           F.regexp_replace(F.left(x["b"], F.lit(CONTEXT)), F.when(F.length(x["b"]) > CONTEXT, r"(?<!\S)\S*+$").otherwise("^$"), "")) if near else F.lit(None).cast("string")
         span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), stop.alias("stop"), F.lit(kind).alias("kind"), x["m"].alias("value"), around.alias("near")).cast(_SPAN)
-        return F.struct(stop.alias("at"), F.when(passes(kind, x["m"]), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        return F.struct(stop.alias("at"), F.when(ok(x["m"]), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
     start = F.expr(f"named_struct('at', cast(0 as bigint), 'out', cast(array() as array<{_SPAN}>))")
     return rows.withColumn(out, F.aggregate(items, start, step, lambda acc: acc["out"])).drop("_found", "_gaps")
 
 
 def find_base(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, key (hash of the text), base: array of spans by start and kind."""
+    """doc_id, key (hash of the text), base: array of spans by start and kind; terms of documents with spans."""
     tune(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     t = F.col("text")
     may = {"email": F.contains(t, F.lit("@")), "ip": t.rlike(r"[0-9]\.[0-9]"), "card": F.lit(True), "phone": F.contains(t, F.lit("+"))}
     for rank, kind in enumerate(KINDS):
         rows = _with_spans(rows, "text", F.lit(PATTERNS[kind]), kind, rank, may[kind], kind)
-    return rows.select("doc_id", F.xxhash64("text").alias("key"), F.array_sort(F.concat(*KINDS)).alias("base"), *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS])
+    some = reduce(or_, [F.size(k) > 0 for k in KINDS])
+    return rows.select("doc_id", F.xxhash64("text").alias("key"), F.array_sort(F.concat(*KINDS)).alias("base"), *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], F.when(some, _terms(t)).alias("terms"))
 
 
-def _entities(found: DataFrame) -> DataFrame:
-    """(doc_id, key, entity, near) of every base span."""
-    return found.select("doc_id", "key", F.explode("base").alias("s")).select("doc_id", "key", F.concat_ws(":", "s.kind", "s.value").alias("entity"), "s.near")
+def _entity(span: Column) -> Column:
+    return F.concat_ws(":", span["kind"], span["value"])
 
 
 def _terms(text: Column) -> Column:
@@ -118,24 +126,26 @@ def _terms(text: Column) -> Column:
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
     """(term, disclosure): the strongest disclosure of any protected entity, if high enough."""
-    seen = _entities(found)
-    n = found.select("doc_id", "key").distinct().count()
-    often = seen.select("entity", "doc_id", "key").distinct().groupBy("entity").agg(F.count("*").alias("df_c")).where(f"df_c >= {MIN_CONTEXTS} and df_c < {n}")
+    n = found.count()
+    held = found.where("terms is not null").select("base", "terms", F.array_distinct(F.transform("base", _entity)).alias("entities"))
+    often = held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("df_c")).where(f"df_c >= {MIN_CONTEXTS} and df_c < {n}")
     # other personal data in a context is protected itself and is no term
     bare = F.col("near")
     for kind in KINDS:
         bare = F.regexp_replace(bare, PATTERNS[kind], " ")
-    pairs = seen.join(often, "entity").select("entity", "df_c", "doc_id", "key", F.xxhash64("near").alias("ctx"), F.explode(_terms(bare)).alias("term"))
-    pairs = pairs.groupBy("entity", "term", "df_c").agg(F.countDistinct("doc_id", "key").alias("df_ct"), F.countDistinct("ctx").alias("contexts")).where(f"contexts >= {MIN_CONTEXTS}")
-    pairs = cut(pairs)
-    terms = cut(pairs.select("term").distinct())
-    count = terms.count()
-    if not count:
-        return pairs.select("term", F.lit(1.0).alias("disclosure"))
+    spans = held.select(F.explode("base").alias("s")).select(_entity(F.col("s")).alias("entity"), "s.near")
+    near = spans.join(often, "entity").select("entity", "df_c", F.xxhash64("near").alias("ctx"), F.explode(_terms(bare)).alias("term"))
+    pairs = near.groupBy("entity", "term", "df_c").agg(F.countDistinct("ctx").alias("contexts")).where(f"contexts >= {MIN_CONTEXTS}")
     # explode() would make Spark extract the terms a second time, to filter out empty arrays first
     every = docs.select(F.explode_outer(_terms(F.coalesce(F.col(text), F.lit("")))).alias("term"))
-    df = _among(every, terms, count).groupBy("term").agg(F.count("*").alias("df_t"))
-    told = pairs.join(df, "term").withColumn("disclosure", 1 + F.log2(F.least(F.col("df_ct") / F.col("df_t"), F.lit(1.0))) / F.log2(F.lit(float(n)) / F.col("df_c")))
+    df_t = every.groupBy("term").agg(F.count("*").alias("df_t"))
+    df_e = held.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df_e"))
+    # least df(c, t) that is enough; t stands with c in df(c) documents at most, and only where there is some entity
+    least = F.col("df_t") * F.pow(F.col("df_c") / F.lit(float(n)), F.lit(1 - GENERALISE_AT)) * (1 - 1e-9)
+    hopeful = cut(pairs.join(df_t, "term").join(df_e, "term").where((F.col("df_e") >= least) & (F.col("df_c") >= least)).select("entity", "term", "df_c", "df_t"))
+    met = held.select("entities", F.explode("terms").alias("term")).join(hopeful, "term").where(F.array_contains("entities", F.col("entity")))
+    told = met.groupBy("entity", "term", "df_c", "df_t").agg(F.count("*").alias("df_ct"))
+    told = told.withColumn("disclosure", 1 + F.log2(F.col("df_ct") / F.col("df_t")) / F.log2(F.lit(float(n)) / F.col("df_c")))
     return cut(told.groupBy("term").agg(F.max("disclosure").alias("disclosure")).where(f"disclosure >= {GENERALISE_AT}"))
 
 
@@ -154,8 +164,7 @@ def find_terms(docs: DataFrame, found: DataFrame, terms: DataFrame, text: str =
     listed = cut(_among(keyed, terms.select("term"), count).groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("term")).alias("listed")))
     base = found.select("doc_id", "key", "base").dropDuplicates(["doc_id", "key"])
     held = rows.withColumn("key", F.xxhash64("text")).join(listed.join(base, ["doc_id", "key"]), ["doc_id", "key"]).dropDuplicates(["doc_id", "key"])
-    held = held.withColumn("pattern", F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join("listed", "|"), F.lit(r")(?![\p{L}\p{N}])")))
-    spans = _with_spans(held, "text", F.col("pattern"), "term", len(KINDS), F.lit(True), "extra", near=False)
+    spans = _with_spans(held, "text", F.lit(TERM), "term", len(KINDS), F.lit(True), "extra", near=False, ok=lambda word: F.array_contains("listed", F.lower(word)))
     alone = F.filter("extra", lambda s: ~F.exists("base", lambda b: (s["start"] < b["stop"]) & (b["start"] < s["stop"])))
     return spans.select("doc_id", "key", alone.alias("extra"))
 

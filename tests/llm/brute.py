@@ -4,6 +4,9 @@ import base64
 import hashlib
 import re
 import zlib
+from collections import Counter
+
+import regex
 
 sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
 
@@ -160,3 +163,40 @@ def line_dedup(rows, least=8):
 
 def held_out(doc_id):
     return zlib.crc32(str(doc_id).encode()) % 5 == 0
+
+
+def disclosures(texts, context=80, contexts_needed=3, at=0.9):
+    """term -> strongest PMI / IC over the protected values of texts; counts in dictionaries."""
+    import math
+    from collections import defaultdict
+    words = lambda t: set(regex.findall(r"[\p{L}\p{N}]+", t.lower()))
+    df_t, df_c, df_ct, near = Counter(), Counter(), Counter(), defaultdict(set)
+    for text in texts:
+        text = text or ""
+        df_t.update(words(text))
+        last, values = defaultdict(int), set()
+        spans = base_spans(text)
+        for start, _, kind, end in spans:
+            value = (kind, text[start:end])
+            values.add(value)
+            before = text[last[kind]:start]
+            later = [a for a, _, k, _ in spans if k == kind and a >= end]
+            after = text[end:later[0]] if later else text[end:]
+            last[kind] = end
+            left = regex.sub(r"^\S*", "", before[-context:]) if len(before) > context else before
+            right = regex.sub(r"(?<!\S)\S*$", "", after[:context]) if len(after) > context else after
+            around = f"{left} {right}"
+            bare = around
+            for a, _, _, b in reversed(base_spans(around)):
+                bare = bare[:a] + " " + bare[b:]
+            for w in words(bare):
+                near[(value, w)].add(around)
+        df_c.update(values)
+        df_ct.update((v, w) for v in values for w in words(text))
+    n, out = len(texts), {}
+    for (v, w), seen in near.items():
+        if len(seen) >= contexts_needed and contexts_needed <= df_c[v] < n:
+            told = 1 + math.log2(df_ct[(v, w)] / df_t[w]) / math.log2(n / df_c[v])
+            if told >= at - 1e-9:
+                out[w] = max(told, out.get(w, 0))
+    return out

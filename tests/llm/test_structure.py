@@ -8,10 +8,13 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from saldoscope.llm import queries as Q
-from saldoscope.llm import repair, shards, spelling
+from saldoscope.llm import pii, repair, shards, spelling
+
+from . import brute
 
 SF = "/root/testdata/sf0.001"
 WS = "\t\n\x0b\x0c\r "
@@ -261,3 +264,39 @@ def spelling_runs(text):
     import re
     lower = {c: c + 32 for c in range(65, 91)}
     return [r.translate(lower) for r in re.findall("[A-Za-zÀ-ÿ]+", text)]
+
+
+# -- disclosing terms
+
+def test_disclosing_terms_against_dictionaries(spark):
+    rng = random.Random(11)
+    common = [f"word{i}" for i in range(60)]
+    texts = []
+    for i in range(260):
+        body = rng.choices(common, k=rng.randint(5, 60))
+        who = rng.randint(0, 11)
+        if i % 3 == 0:
+            value = f"person{who}@mail.example.org" if who < 8 else f"10.0.0.{who}"
+            body.insert(rng.randint(0, len(body)), value)
+            body.insert(rng.randint(0, len(body)), rng.choice([f"Surname{who}", f"Стрит{who}", f"alias{who % 3}"]))
+            if who % 4 == 0:
+                body += [f"far{who}"] + rng.choices(common, k=40)
+        elif rng.random() < 0.05:
+            body.append(f"Surname{who}")
+        texts.append(" ".join(body))
+    texts += texts[:20] + [None, "", "person1@mail.example.org"]
+    docs = spark.createDataFrame([(i % 250, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumn("term", F.lit("t")).withColumn("terms", F.lit(1)).withColumn("base", F.lit("b"))
+    found = pii.find_base(docs)
+    got = {r.term: r.disclosure for r in pii.disclosing_terms(docs, found).collect()}
+    want = brute.disclosures(texts)
+    assert len(want) >= 5 and got == pytest.approx(want)
+    spans = pii.find_spans(docs).select("doc_id", "key", pii.listed("spans").alias("l"))
+    assert spans.count() == len(texts)
+    plain = Counter()
+    for t in texts:
+        base = brute.base_spans(t)
+        extra = [(m.start(), 4, "term", m.end()) for m in regex.finditer(r"[\p{L}\p{N}]+", t or "") if m.group().lower() in want]
+        alone = [x for x in extra if not any(a < x[3] and x[0] < b for a, _, _, b in base)]
+        plain[",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(base + alone))] += 1
+    assert Counter(r.l for r in spans.collect()) == plain
+    assert pii.find_spans(docs.limit(0)).count() == 0 and pii.sanitise(docs.limit(0)).count() == 0

@@ -1,8 +1,12 @@
 """Case and portfolio queries, time-driven queries, readers and sinks."""
 
+import uuid
+
 from ..config import layouts as Y
 from ..operators import base as B
 from ..operators import casework as C
+from ..session import checkpoint_dir
+from ..sources import csv_files as CF
 from ..sources import sinks as SK
 from ..sources import statements as R
 from ..sources.book import ANALYSIS_SQL, LOGIN_SQL, TABLES
@@ -91,6 +95,38 @@ def simple_cells(b):
 HEADER = ["Күні", "Сомасы", "Қарсы агент", "Толығырақ"]
 LOWTX = f"lower({O.text('description')})"
 TYPE_SQL = f"case when {O.any_of(LOWTX, Y.TRANSFER_WORDS)} then (case when amount > 0 then 'transfer_in' else 'transfer_out' end) when {O.any_of(LOWTX, Y.INCOME_WORDS)} then 'income' when {O.any_of(LOWTX, Y.EXPENSE_WORDS)} then 'expense' when amount > 0 then 'income' else 'expense' end"
+def csv_folder(b):
+    """Statements of the book as CSV files, one for each account: four delimiters, cells with quotes and line ends."""
+    t = b.txn.select("account_id", "seq", F.date_format("ts", "dd.MM.yyyy").alias("day"), F.col("amount").cast("string").alias("amount"), F.coalesce("counterparty", F.lit("")).alias("counterparty"), two_lines().alias("text"))
+    sep = F.element_at(F.array(*map(F.lit, CF.DELIMITERS)), (F.crc32(F.col("account_id").cast("binary")) % 4 + 1).cast("int"))
+
+    def cell(c):
+        return F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+
+    body = t.select("account_id", "seq", F.concat("day", sep, "amount", sep, cell(F.col("counterparty")), sep, cell(F.col("text"))).alias("value"))
+    head = t.select("account_id").distinct().select("account_id", F.lit(None).cast("long").alias("seq"), F.concat(*[x for h in HEADER for x in (sep, F.lit(h))][1:]).alias("value"))
+    path = f"{checkpoint_dir(b.spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    body.union(head).repartition("account_id").sortWithinPartitions("account_id", F.col("seq").asc_nulls_first()).drop("seq").write.partitionBy("account_id").text(path)
+    return path
+
+
+def two_lines():
+    text = F.coalesce("description", F.lit(""))
+    return F.when(F.col("seq") % 5 == 0, F.concat(text, F.lit('\n"второй" ряд; с, знаками|'))).otherwise(text)
+
+
+def csv_statements(b):
+    txn, rejects = CF.read_statements_csv(b.spark, csv_folder(b))
+    account = F.regexp_extract("account_id", "account_id=([^/]+)/", 1)
+    rows = txn.select(account.alias("account_id"), "seq", B.day().alias("day"), B.dbl("amount").alias("amount"), "description", "counterparty", "type")
+    # places in the file, from 1 on: the rows before are counted by slices
+    return B.sliced_cumsum(rows, ["account_id"], "seq", ["seq"], {"place": F.lit(1)}, CF.SLICE_LINES).drop("seq").unionByName(
+        rejects.select(account.alias("account_id"), F.lit("").alias("day"), F.lit(0.0).alias("amount"), F.lit("").alias("description"), F.lit("").alias("counterparty"), F.col("reason").alias("type"), F.lit(0).cast("long").alias("place")))
+
+
+query("csv_statements", f"""select account_id, {O.day()} as day, amount::double amount, trim(description) as description, nullif(counterparty, '') counterparty, {TYPE_SQL} as "type", row_number() over (partition by account_id order by seq)::bigint place
+  from (select account_id, seq, ts, amount, counterparty, coalesce(description, '') || case when seq % 5 = 0 then chr(10) || '"второй" ряд; с, знаками|' else '' end description from {{{{txn}}}}) where amount <> 0
+  union all select account_id, '', 0.0, '', '', 'no date or amount in the row', 0 from {{{{txn}}}} where amount = 0""")(csv_statements)
 query("rows_to_txn", f"select account_id, seq, {O.day()} as day, amount::double amount, description, counterparty, {TYPE_SQL} as \"type\" from {{{{txn}}}} where amount <> 0")(
     lambda b: R.rows_to_txn(simple_cells(b), R.resolve_layout(HEADER)).select("account_id", "seq", B.day().alias("day"), B.dbl("amount").alias("amount"), "description", "counterparty", "type"))
 

@@ -4,74 +4,17 @@ One job reads a folder of statements. Layouts come from the header row, which th
 resolves once per group of files; the rows themselves never leave the executors.
 """
 
-import csv
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import layouts as Y
 from ..operators import base as B
-from ..session import durable
 
 
 #: Amounts as statements print them; wider than the canonical rows, so that nothing vanishes on the way.
 MONEY = "decimal(30,2)"
 
 
-DELIMITERS = ",;\t|"
-_HIGH = "".join(map(chr, range(0x80, 0x100)))
-#: What the bytes 0x80 to 0xFF stand for in the Russian single-byte encoding (a rule of the platform).
-_CP1251 = bytes(range(0x80, 0x100)).decode("cp1251", errors="replace")
-
-
-def read_statement_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(account_id, seq, line) of all CSV files in a folder; the file is the account.
-
-    A file is UTF-8 if all of its lines are, else it is in the Russian single-byte encoding.
-    Lines are read by splits, so a file of any size is no single task; quoted cells may not
-    hold line ends.
-    """
-    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"))
-    kind = raw.groupBy("file").agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"))
-    latin = F.translate(F.decode(F.col("value").cast("binary"), "ISO-8859-1"), _HIGH, _CP1251)
-    line = F.regexp_replace(F.when(F.col("utf8"), F.col("value")).otherwise(latin), "^\ufeff|\r$", "")
-    account = F.regexp_extract("file", r"([^/]+?)(?:\.[^./]+)?$", 1)
-    return raw.join(kind, "file").select(account.alias("account_id"), "block", "i", line.alias("line")).where("trim(line) <> ''")
-
-
-def read_statements_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(txn, rejects) of a folder of CSV statements with mixed delimiters, encodings, headers.
-
-    The first line of each file is its header. The driver gets the distinct headers, as many
-    as there are export layouts; their delimiter is the one they hold most often. Files whose
-    header has no date or no amount are rejected with the reason, and so are rows whose date
-    or amount cannot be read; nothing vanishes.
-    """
-    lines = durable(read_statement_lines(spark, path))
-    first = lines.groupBy("account_id").agg(F.min_by("line", F.struct("block", "i")).alias("header"), F.min(F.struct("block", "i")).alias("at"))
-    rows = lines.join(first, "account_id").where(F.struct("block", "i") > F.col("at")).select("account_id", F.col("i").alias("seq"), "line", "header")
-    out, bad = None, []
-    for header in [r.header for r in first.select("header").distinct().collect()]:
-        sep = max(DELIMITERS, key=header.count)
-        cells = next(csv.reader([header], delimiter=sep))
-        mine = rows.where(F.col("header") == header)
-        roles, extras = resolve_layout(cells), resolve_extras(cells)
-        if "date" not in roles or not ({"amount", "amount_split"} & roles.keys()):
-            bad.append(mine.select("account_id", "seq", F.lit("no date or amount column").alias("reason"), "line"))
-            continue
-        schema = ", ".join(f"c{i} string" for i in range(len(cells)))
-        parsed = F.from_csv("line", schema, {"sep": sep, "mode": "PERMISSIVE"})
-        raw = mine.select("account_id", "seq", "line", F.array(*[F.coalesce(parsed[f"c{i}"], F.lit("")) for i in range(len(cells))]).alias("cells"))
-        txn = rows_to_txn(raw, roles, extras)
-        bad.append(raw.join(txn.select("account_id", "seq"), ["account_id", "seq"], "left_anti").select("account_id", "seq", F.lit("no date or amount in the row").alias("reason"), "line"))
-        out = txn if out is None else out.unionByName(txn, allowMissingColumns=True)
-    empty = spark.createDataFrame([], "account_id string, seq bigint, ts timestamp, amount decimal(30,2), description string, counterparty string, type string")
-    rejects = spark.createDataFrame([], "account_id string, seq bigint, reason string, line string")
-    for part in bad:
-        rejects = rejects.unionByName(part)
-    return (empty if out is None else out), rejects
-
-
 def resolve_layout(header) -> dict:
     """Column position of every role; balance is tested before amount."""
     roles: dict = {}
@@ -128,36 +71,36 @@ def infer_tx_type(text: Column, amount: Column) -> Column:
             .when(amount > 0, "income").otherwise("expense"))
 
 
-def rows_to_txn(raw: DataFrame, roles: dict, extras: dict | None = None) -> DataFrame:
-    """(account_id, seq, cells) -> canonical rows; rows without date or amount drop out."""
-    cell = lambda i: F.trim(F.coalesce(F.get("cells", F.lit(i)), F.lit("")))
-    used = {roles.get("date", 0)}
-    if "amount_split" in roles:
-        credit, debit = parse_amount_any(cell(roles["credit"])), parse_amount_any(cell(roles["debit"]))
-        amount = F.when(credit != 0, credit).otherwise(-F.abs(debit))
-        used |= {roles["credit"], roles["debit"]}
-    else:
-        amount = parse_amount_any(cell(roles.get("amount", 1)))
-        used.add(roles.get("amount", 1))
-    none = F.lit("")
-    cp = cell(roles["counterparty"]) if "counterparty" in roles else none
+def project_rows(raw: DataFrame, at: dict[str, Column], split: Column, extras: dict[str, Column], keep=()) -> DataFrame:
+    """(account_id, seq, cells) -> canonical columns of every row; unreadable dates are null, amounts 0.
+
+    ``at`` and ``extras`` give the position of each role, ``split`` whether credit and debit have columns of
+    their own. Positions may differ from row to row and are null where a layout has no such column.
+    """
+    cell = lambda i: F.trim(F.coalesce(F.get("cells", i), F.lit("")))
+    credit, debit = parse_amount_any(cell(at["credit"])), parse_amount_any(cell(at["debit"]))
+    amount = F.when(split, F.when(credit != 0, credit).otherwise(-F.abs(debit))).otherwise(parse_amount_any(cell(at["amount"])))
+    cp = cell(at["counterparty"])
     cp = F.when(cp.isin("—", "-", ""), F.lit(None)).otherwise(cp)
-    used |= {roles[r] for r in ("counterparty", "balance") if r in roles}
-    operation = cell(roles["type"]) if "type" in roles else none
-    if "description" in roles:
-        text = cell(roles["description"])
-    else:
-        kept = F.filter("cells", lambda x, i: ~i.isin(*used) & (x != ""))
-        text = F.array_join(F.transform(kept, lambda x: F.trim(x)), " ")
-    if extras and "payment_purpose" in extras:
+    operation = cell(at["type"])
+    used = F.array(at["date"], at["counterparty"], at["balance"], F.when(split, at["credit"]).otherwise(at["amount"]), F.when(split, at["debit"]))
+    kept = F.filter("cells", lambda x, i: ~F.coalesce(F.array_contains(F.array_compact(used), i), F.lit(False)) & (x != ""))
+    text = F.when(at["description"].isNotNull(), cell(at["description"])).otherwise(F.array_join(F.transform(kept, lambda x: F.trim(x)), " "))
+    if "payment_purpose" in extras:
         text = F.coalesce(B.blank_to_null(text), cell(extras["payment_purpose"]))
     text = F.coalesce(B.blank_to_null(text), F.trim(F.concat_ws(" ", B.blank_to_null(operation), cp)))
-    d = raw.select("account_id", "seq", parse_date_any(cell(roles.get("date", 0))).alias("ts"), amount.alias("amount"), text.alias("description"),
-                   cp.alias("counterparty"), operation.alias("operation"), *[B.blank_to_null(cell(i)).alias(r) for r, i in (extras or {}).items() if r != "counterparty"])
-    d = d.filter("ts is not null and amount <> 0")
+    d = raw.select("account_id", "seq", parse_date_any(cell(at["date"])).alias("ts"), amount.alias("amount"), text.alias("description"), cp.alias("counterparty"), operation.alias("operation"),
+                   *[B.blank_to_null(cell(i)).alias(r) for r, i in extras.items() if r != "counterparty"], *keep)
     return d.withColumn("type", infer_tx_type(F.concat_ws(" ", B.blank_to_null("operation"), F.col("description")), F.col("amount"))).drop("operation")
 
 
+def rows_to_txn(raw: DataFrame, roles: dict, extras: dict | None = None) -> DataFrame:
+    """(account_id, seq, cells) of one layout -> canonical rows; rows without date or amount drop out."""
+    roles = {"date": 0, "amount": 1} | roles
+    at = {r: F.lit(roles.get(r)).cast("int") for r, _ in Y.COLUMN_ALIASES}
+    return project_rows(raw, at, F.lit("amount_split" in roles), {r: F.lit(i) for r, i in (extras or {}).items()}).filter("ts is not null and amount <> 0")
+
+
 def text_to_txn(lines: DataFrame) -> DataFrame:
     """(account_id, seq, line): the amount is the last money figure after the date."""
     first = F.regexp_extract("line", Y.DATE_REGEX, 1)

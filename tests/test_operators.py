@@ -13,7 +13,7 @@ from saldoscope.operators import casework as C
 from saldoscope.operators import flows as W
 from saldoscope.operators import structuring as S
 from saldoscope.operators import velocity as V
-from saldoscope.sources import sinks, statements
+from saldoscope.sources import csv_files, sinks, statements
 from saldoscope.streaming import jobs
 
 T0 = datetime(2024, 1, 1)
@@ -123,7 +123,7 @@ def test_layout_words_and_csv(spark, tmp_path):
     assert roles == {"date": 0, "type": 1, "counterparty": 2, "amount": 3, "balance": 4}
     assert statements.resolve_layout(["Дата", "Приход", "Расход", "Остаток"])["amount_split"]
     (tmp_path / "acc7.csv").write_text("Дата,Сумма,Контрагент\n01.02.2024,\"-1 200,50\",ТОО А\n", encoding="utf-8")
-    row = statements.read_statements_csv(spark, str(tmp_path / "*.csv"))[0].collect()[0]
+    row = csv_files.read_statements_csv(spark, str(tmp_path / "*.csv"))[0].collect()[0]
     assert row.account_id == "acc7" and row.counterparty == "ТОО А" and float(row.amount) == -1200.5
 
 

@@ -1,39 +1,163 @@
-"""Structured Streaming twins of the time-driven queries."""
+"""Structured Streaming twins of the time-driven queries.
+
+Every job has a watermark: a row that is older than the newest row by more than ``late`` is left out, and state
+goes when the watermark has passed it. ``replayed`` and ``kept_by_id`` run a job over what a source
+holds now, the first into a growing table, the second into a table with one row for each id.
+"""
+
+import uuid
+from bisect import bisect_left
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-OUT = "account_id string, seq long, allowed boolean, retry_after long"
-STATE = "passed array<long>"
+from ..operators import base as B
+from ..operators.base import KEY
+from ..session import checkpoint_dir, exists
+from ..sources.sinks import replace_by_id
+
+
+# ---- limits on hits
+HITS = "account_id string, seq long, allowed boolean, retry_after long"
+HIT_STATE = "passed array<long>, waiting_t array<long>, waiting_seq array<long>"
 
 
-def rate_limit_stream(hits: DataFrame, limit: int, window_s: int) -> DataFrame:
-    """Keyed state holds at most ``limit`` passed times, so it stays small per key."""
+def rate_limit_stream(hits: DataFrame, limit: int, window_s: int, late: str = "10 minutes") -> DataFrame:
+    """(account_id, seq, allowed, retry_after), in append mode: a hit is answered once the watermark has passed it.
+
+    Hits wait in the state of their account until no earlier one can come, whatever the order
+    and the number of pieces they arrive in. The state also holds at most ``limit`` passed times;
+    it goes when the last of them is out of the window.
+    """
     window = window_s * 1_000_000
 
     def run(key, batches, state):
-        passed = list(state.get[0]) if state.exists else []
+        passed, times, seqs = (list(x) for x in state.get) if state.exists else ([], [], [])
         for pdf in batches:
-            out = []
-            for t, seq in pdf.sort_values(["t", "seq"])[["t", "seq"]].itertuples(index=False):
-                passed = [p for p in passed if t - p < window]
-                ok = len(passed) < limit
-                wait = 0 if ok else max(int((window - (t - passed[0])) / 1e6), 1)
-                out.append((key[0], seq, ok, wait))
-                if ok:
-                    passed.append(int(t))
+            times += pdf["t"].tolist()
+            seqs += pdf["seq"].tolist()
+        waiting, out = sorted(zip(times, seqs)), []
+        mark = state.getCurrentWatermarkMs() * 1000
+        ready = bisect_left(waiting, (mark,))
+        for t, seq in waiting[:ready]:
+            passed = [p for p in passed if t - p < window]
+            ok = len(passed) < limit
+            out.append((key[0], seq, ok, 0 if ok else max(int((window - (t - passed[0])) / 1e6), 1)))
+            if ok:
+                passed.append(t)
+        waiting, passed = waiting[ready:], [p for p in passed if mark - p < window]
+        if waiting or passed:
+            state.update((passed, [t for t, _ in waiting], [s for _, s in waiting]))
+            state.setTimeoutTimestamp(max((waiting[0][0] if waiting else passed[-1] + window) // 1000, mark // 1000 + 1))
+        elif state.exists:
+            state.remove()  # nothing of the account matters any more
+        if out:
             yield pd.DataFrame(out, columns=["account_id", "seq", "allowed", "retry_after"])
-        state.update((passed,))
 
-    rows = hits.select("account_id", "seq", F.unix_micros("ts").alias("t"))
-    return rows.groupBy("account_id").applyInPandasWithState(run, OUT, STATE, "append", "NoTimeout")
+    rows = hits.withWatermark("ts", late).select("account_id", "seq", "ts", F.unix_micros("ts").alias("t"))
+    return rows.groupBy("account_id").applyInPandasWithState(run, HITS, HIT_STATE, "append", "EventTimeTimeout")
 
 
+# ---- presence and progress
 def presence_stream(activity: DataFrame, gap: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     d = activity.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"))
     return d.select("user_id", F.col("w.start").alias("online_from"), F.col("w.end").alias("offline_at"), "n")
 
 
-def latest_progress_stream(steps: DataFrame) -> DataFrame:
-    return steps.groupBy("session_id").agg(F.max_by("step", F.struct("ts", "seq")).alias("step"), F.max("ts").alias("ts"))
+STEPS = "session_id string, step string, ts timestamp"
+STEP_STATE = "step string, t long, seq long"
+
+
+def latest_progress_stream(steps: DataFrame, late: str = "10 minutes", idle_s: int = 86_400) -> DataFrame:
+    """(session_id, step, ts), in update mode: the latest step of every session with new rows.
+
+    A session that was quiet for ``idle_s`` behind the watermark leaves the state.
+    """
+    def run(key, batches, state):
+        best = state.get if state.exists and not state.hasTimedOut else None
+        if state.hasTimedOut:
+            state.remove()
+            return
+        for pdf in batches:
+            top = max(zip(pdf["t"].tolist(), pdf["seq"].tolist(), pdf["step"].tolist()))
+            if best is None or top > (best[1], best[2], best[0]):
+                best = (top[2], top[0], top[1])
+        state.update(tuple(best))
+        state.setTimeoutTimestamp(max(best[1] // 1000, state.getCurrentWatermarkMs()) + idle_s * 1000)
+        yield pd.DataFrame([(key[0], best[0], pd.Timestamp(best[1] * 1000))], columns=["session_id", "step", "ts"])
+
+    rows = steps.withWatermark("ts", late).select(F.col("session_id").cast("string").alias("session_id"), "step", "seq", "ts", F.unix_micros("ts").alias("t"))
+    return rows.groupBy("session_id").applyInPandasWithState(run, STEPS, STEP_STATE, "update", "EventTimeTimeout")
+
+
+# ---- windows over transactions
+def daily_counts(txn: DataFrame, late: str = "1 day") -> DataFrame:
+    """(account_id, start, n, income, expense) of each day; as a stream, days that are over."""
+    g = txn.withWatermark("ts", late).groupBy(KEY, F.window("ts", "1 day").alias("w"))
+    money = B.cents("amount")
+    out = g.agg(F.count("*").alias("n"), F.sum(F.greatest(money, F.lit(0))).alias("plus"), F.sum(F.greatest(-money, F.lit(0))).alias("minus"))
+    return out.select(KEY, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", (F.col("plus") / 100.0).alias("income"), (F.col("minus") / 100.0).alias("expense"))
+
+
+def burst_counts(txn: DataFrame, width: str = "2 hours", step: str = "10 minutes", least: int = 8, late: str = "30 minutes") -> DataFrame:
+    """(account_id, start, n, total): windows of ``width``, one every ``step``, with ``least`` rows or more.
+
+    Every row lies in width / step windows; counts combine before the shuffle, so a burst of an
+    account of any size costs a task one row a window.
+    """
+    g = txn.withWatermark("ts", late).groupBy(KEY, F.window("ts", width, step).alias("w"))
+    out = g.agg(F.count("*").alias("n"), F.sum(F.abs(B.cents("amount"))).alias("s")).where(F.col("n") >= least)
+    return out.select(KEY, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", (F.col("s") / 100.0).alias("total"))
+
+
+def split_payments(txn: DataFrame, limits: DataFrame, late: str = "1 day", least: int = 3, share: float = 0.8) -> DataFrame:
+    """(id, account_id, counterparty, day, n, total): payments to one payee on one day that add up to most of the threshold.
+
+    In update mode, so a group shows as soon as it is large enough, and again when it grows.
+    Rows that a source delivers twice within the watermark count once.
+    """
+    rows = txn.withWatermark("ts", late).dropDuplicatesWithinWatermark([KEY, "seq"]).where("amount < 0")
+    g = rows.groupBy(KEY, B.cp_desc().alias("counterparty"), F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("n"), F.sum(F.abs(B.cents("amount"))).alias("s"))
+    g = g.where(F.col("n") >= least).join(limits.select(KEY, "threshold"), KEY).where(F.col("s") >= F.col("threshold") * 100 * share)
+    day = F.date_format("w.start", "yyyy-MM-dd")
+    return g.select(F.to_json(F.array(KEY, day, "counterparty")).alias("id"), KEY, "counterparty", day.alias("day"), "n", (F.col("s") / 100.0).alias("total"))
+
+
+# ---- running a job
+def _finish(query) -> None:
+    query.awaitTermination()
+    if query.exception():
+        raise query.exception()
+
+
+def source(frame: DataFrame, folder: str) -> DataFrame:
+    """The files of a folder as a stream; a frame with its columns gives the schema."""
+    return frame.sparkSession.readStream.schema(frame.schema).parquet(folder)
+
+
+def stored(frame: DataFrame) -> str:
+    """Write a frame to a folder of its own below the shared one, for a stream to read."""
+    folder = f"{checkpoint_dir(frame.sparkSession).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    frame.write.parquet(f"{folder}/in")
+    return folder
+
+
+def replayed(stream: DataFrame, folder: str) -> DataFrame:
+    """Everything an append-mode job gives for what its source holds now; going on later adds to it."""
+    _finish(stream.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start())
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def kept_by_id(stream: DataFrame, folder: str, key: str) -> DataFrame:
+    """The table of an update-mode job: a row takes the place of the stored one with its id, so a
+    batch that runs a second time after a restart changes nothing."""
+    def put(batch: DataFrame, _: int) -> None:
+        if not batch.isEmpty():
+            replace_by_id(batch, f"{folder}/table", key)
+
+    _finish(stream.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start())
+    spark = stream.sparkSession
+    if not exists(spark, f"{folder}/table"):
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.parquet(f"{folder}/table").select(*stream.columns)

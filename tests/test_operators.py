@@ -97,7 +97,7 @@ def test_rate_limit_batch_equals_stream_and_loop(spark, tmp_path):
             passed.append(us(t))
     assert got == want
     src = str(tmp_path / "in")
-    hits.coalesce(1).write.parquet(src)
+    hits.union(hits.sparkSession.createDataFrame([("end", 9999, T0 + timedelta(days=30))], hits.schema)).coalesce(1).write.parquet(src)
     stream = jobs.rate_limit_stream(spark.readStream.schema(hits.schema).parquet(src), 3, 3600)
     q = stream.writeStream.format("memory").queryName("rl").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)

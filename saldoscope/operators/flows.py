@@ -29,22 +29,84 @@ def income_expense_ratio(clean: DataFrame) -> DataFrame:
 SLICE_US = 2 * B.DAY_US
 
 
+class _Earliest:
+    """Numbers of open incomes by amount: the smallest number in a range of amounts, in logarithmic time."""
+
+    def __init__(self, amounts: np.ndarray):
+        order = np.argsort(amounts, kind="stable")
+        self.n = max(len(amounts), 1)
+        self.place = np.empty(len(amounts), np.int64)
+        self.place[order] = np.arange(len(amounts))
+        self.place = self.place.tolist()
+        self.values = np.unique(amounts)
+        self.edges = np.searchsorted(amounts[order], self.values, "left").tolist() + [len(amounts)]
+        self.none = len(amounts)
+        self.tree = [self.none] * (2 * self.n)
+
+    def put(self, i: int, value: int) -> None:
+        at = self.place[i] + self.n
+        self.tree[at] = value
+        at >>= 1
+        while at:
+            low = min(self.tree[2 * at], self.tree[2 * at + 1])
+            if self.tree[at] == low:
+                break
+            self.tree[at] = low
+            at >>= 1
+
+    def least(self, lo: int, hi: int) -> int:
+        """Smallest number among the amounts from the lo-th to before the hi-th distinct one."""
+        a, b, out = self.edges[lo] + self.n, self.edges[hi] + self.n, self.none
+        while a < b:
+            if a & 1:
+                out = min(out, self.tree[a])
+                a += 1
+            if b & 1:
+                b -= 1
+                out = min(out, self.tree[b])
+            a >>= 1
+            b >>= 1
+        return out
+
+
 def _match_slice(window_us: int, tol: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """One account, one slice: each expense takes the earliest open income that fits."""
+        """One account, one slice: each expense takes the earliest open income that fits.
+
+        Incomes are open from their time on until they are too old; both bounds only move on.
+        """
         key, sl = pdf[KEY].iat[0], pdf["slice"].iat[0]
         inc = pdf[pdf["amount"] > 0].sort_values(["t", "seq"])
         exp = pdf[pdf["amount"] < 0].sort_values(["t", "seq"])
         it, ia, iseq = inc["t"].to_numpy(), inc["amount"].to_numpy(), inc["seq"].to_numpy()
         free = np.ones(len(inc), dtype=bool)
-        out = []
-        for t, a, seq in zip(exp["t"].to_numpy(), -exp["amount"].to_numpy(), exp["seq"].to_numpy()):
-            lo, hi = np.searchsorted(it, t - window_us, "left"), np.searchsorted(it, t, "right")
-            ratio = a / ia[lo:hi]
-            fit = np.flatnonzero(free[lo:hi] & (ratio >= 1 - tol) & (ratio <= 1 + tol))
-            if len(fit):
-                i = lo + fit[0]
+        et, ea = exp["t"].to_numpy(), -exp["amount"].to_numpy()
+        since, until = np.searchsorted(it, et - window_us, "left").tolist(), np.searchsorted(it, et, "right").tolist()
+        open_ = _Earliest(ia)
+        v = open_.values
+        # bounds by division may be off by one value: the ratio itself decides
+        lows, highs = np.searchsorted(v, ea / (1 + tol), "left"), np.searchsorted(v, ea / (1 - tol), "right")
+        out, added, dropped = [], 0, 0
+        for k, (t, a, seq) in enumerate(zip(et.tolist(), ea.tolist(), exp["seq"].tolist())):
+            while added < until[k]:
+                open_.put(added, added)
+                added += 1
+            while dropped < since[k]:
+                open_.put(dropped, open_.none)
+                dropped += 1
+            lo, hi = int(lows[k]), int(highs[k])
+            while lo and a / v[lo - 1] <= 1 + tol:
+                lo -= 1
+            while lo < len(v) and a / v[lo] > 1 + tol:
+                lo += 1
+            while hi < len(v) and a / v[hi] >= 1 - tol:
+                hi += 1
+            while hi and a / v[hi - 1] < 1 - tol:
+                hi -= 1
+            i = open_.least(lo, hi) if lo < hi else open_.none
+            if i < open_.none:
                 free[i] = False
+                open_.put(i, open_.none)
                 out.append((key, sl, "done", it[i], iseq[i], ia[i], t, seq, a))
         end = (sl + 1) * SLICE_US
         for i in np.flatnonzero(free & (it >= end - window_us)):

@@ -56,30 +56,77 @@ def term_stats(post: DataFrame) -> DataFrame:
     return post.groupBy("term").agg(F.count("*").alias("df"))
 
 
+def impacts(articles: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, code, number, w): what each of ``terms`` adds to the score of an article; rarity is that of the whole corpus."""
+    every = durable(postings(articles))
+    length = every.groupBy("code", "number").agg(F.sum("tf").alias("dl"))
+    post = durable(every.join(terms, "term", "left_semi"))
+    size = articles.agg(F.count("*").alias("n_docs"))
+    avg = length.agg((F.sum("dl").cast("double")).alias("all_terms"))
+    rows = post.join(term_stats(post), "term").join(length, ["code", "number"]).join(F.broadcast(size)).join(F.broadcast(avg))  # one row each
+    n, df, tf = F.col("n_docs"), F.col("df"), F.col("tf")
+    idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
+    part = idf * (tf * (L.BM25_K1 + 1)) / (tf + L.BM25_K1 * (1 - L.BM25_B + L.BM25_B * F.col("dl") / (F.col("all_terms") / n)))
+    return rows.select("term", "code", "number", F.when(F.col("number").contains("-"), part * L.DERIVED_PENALTY).otherwise(part).alias("w"))
+
+
+#: Terms of a query whose sum gives the first bound; the result does not depend on it.
+FIRST_TERMS = 8
+#: Scores are compared to six digits of the best one; what is nearer than that must not be skipped.
+SCORE_STEP = 2e-6
+
+
+def _essential(asked: DataFrame, index: DataFrame, k: int) -> DataFrame:
+    """asked (query_id, _within, term) with ``cap`` (largest impact of the term), ``essential`` and ``bound``.
+
+    Whatever k articles reach by some terms is a bound for the query: by any one term, and by the sum of
+    the terms with the largest caps, which are the rare ones. Terms whose caps together stay below the
+    bound cannot bring an article up alone.
+    """
+    scope = F.explode(F.array(F.col("code"), F.lit(None).cast("string")))
+    ranked = B.topk(index.select("term", scope.alias("_within"), "code", "number", "w"), ["term", "_within"], [F.desc("w"), "code", "number"], k, "_r")
+    stats = ranked.groupBy("term", "_within").agg(F.max("w").alias("cap"), F.max(F.when(F.col("_r") == k, F.col("w"))).alias("kth")).withColumnsRenamed({"term": "_t", "_within": "_w"})
+    a = asked.join(stats, (F.col("term") == F.col("_t")) & F.col("_within").eqNullSafe(F.col("_w"))).drop("_t", "_w")
+    a = durable(a.withColumn("_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cap"), "term"))))
+    sums = _hits(a.where(F.col("_rank") <= FIRST_TERMS), index)
+    kth = B.topk(sums, ["query_id"], [F.desc("part"), "code", "number"], k, "_r").where(F.col("_r") == k).select("query_id", F.col("part").alias("kth_sum"))
+    whole = Window.partitionBy("query_id")
+    below = F.sum("cap").over(whole.orderBy("cap", "term").rowsBetween(Window.unboundedPreceding, 0))
+    a = a.join(kth, "query_id", "left").withColumn("slack", F.sum("cap").over(whole) * SCORE_STEP)
+    a = a.withColumn("bound", F.greatest(F.coalesce(F.max("kth").over(whole), F.lit(0.0)), F.coalesce("kth_sum", F.lit(0.0))) - F.col("slack"))
+    return a.withColumn("essential", below >= F.col("bound")).drop("kth", "kth_sum", "_rank")
+
+
+def _hits(asked: DataFrame, index: DataFrame) -> DataFrame:
+    """(query_id, code, number, part): sums of the impacts of the terms of each query."""
+    found = asked.join(index, "term").where(F.col("_within").isNull() | (F.col("_within") == F.col("code")))
+    return found.groupBy("query_id", "code", "number").agg(F.sum("w").alias("part"))
+
+
 def bm25(articles: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """Best ``k`` articles for every query of a table (query_id, query and, optionally, code).
 
-    A query with a code gets articles of that code only; rarity is that of the whole corpus.
+    A query with a code gets articles of that code only. Postings of common terms are not joined
+    as a whole: articles come in by the essential terms of a query, those go whose score cannot
+    reach the k-th any more even with all other terms, and the other terms are looked up for the
+    articles that are left. The result is that of adding up everything.
     """
-    post = durable(postings(articles))  # the index is read three times
-    length = post.groupBy("code", "number").agg(F.sum("tf").alias("dl"))
-    size = articles.agg(F.count("*").alias("n_docs"))
-    avg = length.agg((F.sum("dl").cast("double")).alias("all_terms"))
     within = F.col("code") if "code" in queries.columns else F.lit(None).cast("string")
     asked = queries.select("query_id", within.alias("_within"), F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    stats = term_stats(post.join(asked.select("term").distinct(), "term", "left_semi"))
-    hits = asked.join(post, "term").where(F.col("_within").isNull() | (F.col("_within") == F.col("code"))).join(stats, "term").join(length, ["code", "number"])
-    hits = hits.join(F.broadcast(size)).join(F.broadcast(avg))  # one row each
-    n, df, tf = F.col("n_docs"), F.col("df"), F.col("tf")
-    idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
-    part = idf * (tf * (L.BM25_K1 + 1)) / (tf + L.BM25_K1 * (1 - L.BM25_B + L.BM25_B * F.col("dl") / (F.col("all_terms") / n)))
-    s = hits.groupBy("query_id", "code", "number").agg(F.sum(part).alias("raw"))
-    derived = F.col("number").contains("-")
-    s = s.withColumn("raw", F.when(derived, F.col("raw") * L.DERIVED_PENALTY).otherwise(F.col("raw")))
+    index = durable(impacts(articles, asked.select("term").distinct()))  # read several times
+    asked = durable(_essential(asked, index, k))
+    found = _hits(asked.where("essential"), index)
+    rest = asked.groupBy("query_id").agg(F.sum(F.when(~F.col("essential"), F.col("cap")).otherwise(0.0)).alias("rest"), F.first("bound").alias("bound"), F.first("slack").alias("slack"))
+    found = durable(found.join(rest, "query_id"))
+    kth = B.topk(found.select("query_id", "code", "number", "part"), ["query_id"], [F.desc("part"), "code", "number"], k, "_r").where(F.col("_r") == k).select("query_id", F.col("part").alias("kth"))
+    reach = F.greatest("bound", F.coalesce(F.col("kth") - F.col("slack"), F.lit(0.0)))
+    left = durable(found.join(kth, "query_id", "left").where(F.col("part") + F.col("rest") >= reach).select("query_id", "code", "number", "part"))
+    more = left.join(asked.where("not essential").select("query_id", "term"), "query_id").join(index, ["term", "code", "number"])
+    s = left.select("query_id", "code", "number", F.col("part").alias("w")).union(more.select("query_id", "code", "number", "w")).groupBy("query_id", "code", "number").agg(F.sum("w").alias("raw"))
     best = s.groupBy("query_id").agg(F.max("raw").alias("best"))
     s = s.join(best, "query_id").withColumn("score", B.py_round(F.col("raw") / F.col("best"), 6)).drop("raw", "best")
     s = s.join(articles.select("code", "number", F.length("title").alias("_len")), ["code", "number"])
-    s = s.withColumn("_d", derived)
+    s = s.withColumn("_d", F.col("number").contains("-"))
     return B.topk(s, ["query_id"], [F.desc("score"), "_d", "_len", "code", "number"], k, "rank").drop("_d", "_len")
 
 

@@ -2,20 +2,27 @@
 
 import uuid
 
+from ..config import language as LN
 from ..config import layouts as Y
+from ..config import legal as LG
 from ..operators import base as B
 from ..operators import casework as C
+from ..operators import evidence as EV
+from ..operators import scoring as S
 from ..session import checkpoint_dir
 from ..sources import csv_files as CF
 from ..sources import sinks as SK
 from ..sources import statements as R
 from ..sources.book import ANALYSIS_SQL, LOGIN_SQL, TABLES
+from . import language as LA
 from . import oracle as O
 from .finance import subject_sql, squeeze
 from .registry import query
+from .scores import pc as PC
 
 F = B.F
 names = {t: t for t in TABLES}
+CITE = LN.CITATION.replace("(?iu)", "(?i)")
 O.fragment("analyses", ANALYSIS_SQL.format(**names))
 O.fragment("logins", LOGIN_SQL.format(**names))
 
@@ -29,6 +36,25 @@ query("period_totals", f"""select account_id, coalesce(m,'total') period, count(
     lambda b: C.period_totals(b.txn))
 query("risk_breakdown", "select account_id, composite_score, risk_level, account_type, velocity, structuring, merchant_risk, cross_reference, pattern_detector, patterns from {{composite}}")(
     lambda b: b.scored.select("account_id", "composite_score", "risk_level", "account_type", "velocity", "structuring", "merchant_risk", "cross_reference", "pattern_detector", "patterns"))
+O.fragment("scheme_refs", " union all ".join(f"select '{k}' pattern, regexp_extract_all('{v}', '{CITE}', 1) c, regexp_extract_all('{v}', '{CITE}', 2) n" for k, v in LG.PATTERN_REFERENCE.items()))
+# a code carries on to later bare numbers
+O.fragment("scheme_cited", """select distinct pattern, code, n as number from (select pattern, n, last_value(nullif(c, '') ignore nulls) over (partition by pattern order by i) code from (
+  select pattern, generate_subscripts(n, 1) i, unnest(c) c, unnest(n) n from {{scheme_refs}})) where code is not null""")
+# two codes have an article for every document, the third that schemes refer to has none
+O.fragment("two_codes", "select unnest(['ЗРК О ПОД/ФТ', 'УК РК']) code, doc_id::varchar as number, title, text from {{articles}}")
+
+
+def two_codes(b):
+    d = LA.articles(b).withColumn("number", F.col("doc_id").cast("string"))
+    return d.withColumn("code", F.explode(F.array(F.lit("ЗРК О ПОД/ФТ"), F.lit("УК РК"))))
+
+
+query("case_articles", """select account_id, p.pattern, p.seq, r.code, r.number, title, trim(substr(text, 1, 500)) || case when length(text) > 500 then '…' else '' end excerpt
+  from {{patterns}} p join {{scheme_cited}} r using (pattern) join {{two_codes}} a on a.code = r.code and a.number = r.number""")(lambda b: EV.scheme_articles(b.patterns, two_codes(b)))
+query("scheme_breakdown", f"""select account_id, pattern, seq, confidence, reason, {PC} counter_evidence, coalesce(listed, '') articles from {{{{patterns}}}} join (select account_id, account_type from {{{{composite}}}}) using (account_id)
+  join {{{{scheme_why}}}} using (account_id, pattern, seq) left join (select pattern, string_agg(r.code || ' ст. ' || r.number, '; ' order by r.code || ' ст. ' || r.number) listed from {{{{scheme_cited}}}} r
+  join {{{{two_codes}}}} a on a.code = r.code and a.number = r.number group by 1) using (pattern)""")(
+    lambda b: S.scheme_breakdown(b.scored, b.patterns, b.scheme_reasons, EV.scheme_articles(b.patterns, two_codes(b))))
 query("list_transactions", f"select account_id, seq, {O.stamp()} at_time, amount::double amount, type from {{{{txn}}}} where type = 'transfer_out' order by ts desc, seq desc, account_id limit 100 offset 20")(
     lambda b: C.list_transactions(b.txn, 20, 100, tx_type="transfer_out"))
 O.fragment("subject_rows", f"""select unique_identifier, subject_type, min(name) as name from (select name, {subject_sql('name')} subject_type, substr(regexp_replace(trim(regexp_replace(lower({squeeze('name')}), '[^a-zA-Zа-яА-ЯёЁ0-9\\s]', '', 'g')), '\\s+', '_', 'g'), 1, 150) || '_' || {subject_sql('name')} unique_identifier

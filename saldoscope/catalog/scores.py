@@ -78,30 +78,100 @@ O.fragment("evidence_counts", """select account_id, v.bursts, v.spikes, v.outflo
   join {{duplicate_score}} d using (account_id) join {{round_score}} r using (account_id) join {{mismatch_score}} p using (account_id) join {{behavioral_score}} b using (account_id)""")
 
 
+def said(template, *values):
+    parts = template.split("{}")
+    return " || ".join([f"'{parts[0]}'"] + [f"({v})::varchar || '{t}'" for v, t in zip(values, parts[1:])])
+
+
+def whole(c):
+    return f"format('{{{{:,.0f}}}}', ({c})::double)".replace("{{", "{").replace("}}", "}")
+
+
+def pct(c):
+    return f"printf('%.0f', ({c})*100.0::double)"
+
+
+WHY = {
+    "velocity": ("bursts",), "structuring": ("splits",), "merchant_risk": ("high_words",), "cross_reference": ("pairs",), "night_transactions": ("night_count", "large"),
+    "duplicate_payments": ("duplicates", whole("duplicate_amount")), "round_amounts": ("round_count", pct("round_ratio")), "profile_mismatch": ("mismatches",),
+}
+SCHEME_WHY = {
+    "money_laundering_layering": ("{{layering}}", whole("income_amount"), "destinations", pct("total_out/income_amount"), "outflows"),
+    "structuring": ("{{structuring_pattern}} join {{structuring_limits}} using (account_id)", "n", whole("threshold*0.9::double"), whole("threshold"), whole("threshold")),
+    "carding": ("{{carding}}", "n", "merchants"),
+    "pyramid_scheme": ("{{pyramid}}", "payers", whole("total_in"), whole("outflow")),
+    "human_trafficking_payments": ("{{many_payouts}}", "recipients", "n", whole("total_amount")),
+    "tax_evasion_cash": ("{{untraced_cash}}", whole("cash"), pct("cash/(electronic+1)"), whole("electronic")),
+}
+O.fragment("scheme_why", " union all ".join(f"select account_id, '{k}' pattern, seq, {said(L.PATTERN_REASONS[k], *v)} reason from {src}" for k, (src, *v) in SCHEME_WHY.items()))
+query("scheme_reasons", "select * from {{scheme_why}}")(lambda b: b.scheme_reasons)
+UNDER = "amount < 0 and -amount::double >= threshold*0.9::double and -amount::double < threshold"
+O.fragment("rows_of_schemes", f"""select distinct o.account_id, 'money_laundering_layering' pattern, null::bigint part, o.seq from {{{{layering}}}} l join {{{{txn}}}} i using (account_id, seq) join {{{{txn}}}} o on o.account_id = i.account_id
+    and o.amount < 0 and o.ts between i.ts and i.ts + interval 72 hour
+  union select account_id, 'money_laundering_layering', null, seq from {{{{layering}}}}
+  union all select account_id, 'structuring', null, seq from {{{{txn}}}} join {{{{structuring_limits}}}} using (account_id) where {UNDER} and account_id in (select account_id from {{{{structuring_pattern}}}})
+  union all select account_id, 'carding', min(seq) over (partition by account_id, run), seq from (select *, count(*) over (partition by account_id, run) c from {{{{card_rows}}}}) where c >= 5
+  union all select account_id, 'pyramid_scheme', null, t.seq from (select * from {{{{txn}}}} where {PERSON}) t join (select account_id, total_in from {{{{pyramid}}}}) p using (account_id)
+    where (amount > 0 and amount < 200000) or -amount::double > total_in*0.5::double
+  union all select account_id, 'human_trafficking_payments', null, seq from {{{{txn}}}} where amount between -100000 and -10000 and {PERSON} and account_id in (select account_id from {{{{many_payouts}}}})
+  union all select account_id, 'tax_evasion_cash', null, seq from {{{{txn}}}} where amount > 0 and {CASH} and account_id in (select account_id from {{{{untraced_cash}}}})""")
+query("scheme_rows", "select account_id, pattern, part, seq from {{rows_of_schemes}}")(lambda b: b.scheme_rows)
+O.fragment("why_rows", """select p.account_id, p.pattern, p.seq, coalesce(e.evidence, p.seq::varchar) evidence from {{patterns}} p left join (
+  select account_id, pattern, part, string_agg(seq, ',' order by seq) evidence from (select *, row_number() over (partition by account_id, pattern, part order by seq) k from {{rows_of_schemes}}
+  where pattern not in ('money_laundering_layering', 'pyramid_scheme')) where k <= 5 group by 1, 2, 3) e on e.account_id = p.account_id and e.pattern = p.pattern and (e.part is null or e.part = p.seq)""")
+
+
 def flag_sql(module, needs, bound):
     counter = " ".join(f"when '{k}' then '{t}'" for (m, k), t in L.COUNTER_EVIDENCE.items() if m == module)
     counter = f"case account_type {counter} else '' end" if counter else "''"
     sev = f"case when {module} >= {bound} then 'critical' else 'warning' end" if bound else "'warning'"
     share = O.rnd(f"{module}*{O.rnd(WEIGHT[module], 4)}", 2)
-    return f"select account_id, '{module}' as module, {sev} severity, least(1.0::double, {module}/100) confidence, {share} contribution, {counter} counter_evidence from {{{{composite}}}} join {{{{evidence_counts}}}} using (account_id) where {module} > 0 and {needs} > 0"
+    return f"select account_id, '{module}' as module, {sev} severity, {said(L.MODULE_REASONS[module], *WHY[module])} reason, '' evidence, least(1.0::double, {module}/100) confidence, {share} contribution, {counter} counter_evidence from {{{{composite}}}} join {{{{evidence_counts}}}} using (account_id) where {module} > 0 and {needs} > 0"
 
 
 pc = "case " + " ".join(f"when pattern = '{k}' and account_type in ('business_owner', 'freelancer') then '{v}'" for k, v in L.PATTERN_COUNTER_BUSINESS.items()) + " ".join(
     f" when pattern = '{k}' then '{v}'" for k, v in L.PATTERN_COUNTER.items()) + " end"
 query("explained_flags", " union all ".join(flag_sql(m, *v) for m, v in S.FLAG_MODULES.items())
-      + f" union all select account_id, 'pattern_detector', case when confidence >= 0.8 then 'critical' else 'warning' end, confidence, {O.rnd('contribution', 2)}, {pc} from {{{{patterns}}}} join (select account_id, account_type from {{{{composite}}}}) using (account_id)")(
-    lambda b: S.explained_flags(b.scored, b.evidence_counts, b.patterns).drop("seq"))
+      + f" union all select account_id, 'pattern_detector', case when confidence >= 0.8 then 'critical' else 'warning' end, reason, evidence, confidence, {O.rnd('contribution', 2)}, {pc} from {{{{patterns}}}} join (select account_id, account_type from {{{{composite}}}}) using (account_id)"
+        " join {{scheme_why}} using (account_id, pattern, seq) join {{why_rows}} using (account_id, pattern, seq)")(lambda b: b.explained_flags.drop("seq"))
 pairs = [(m, k, t) for (m, k), t in L.COUNTER_EVIDENCE.items()]
 query("counter_evidence", " union all ".join(f"select account_id, '{m}' as module, '{t}' as counter_evidence from {{{{profile}}}} where account_type = '{k}'" for m, k, t in pairs))(
     lambda b: b.profile.select("account_id", F.explode(F.filter(F.array(*[F.when(F.col("account_type") == k, F.struct(F.lit(m).alias("module"), F.lit(t).alias("counter_evidence"))) for m, k, t in pairs]),
                                                               lambda x: x.isNotNull())).alias("e")).select("account_id", "e.*"))
-query("red_flags")(lambda b: S.red_flags(b.scored, b.evidence_counts))
-query("pattern_flags", "select account_id, seq, '[' || (case pattern " + " ".join(f"when '{k}' then '{v}'" for k, v in L.PATTERN_TITLES.items()) + " end) || ']' flag, confidence from {{patterns}} where confidence >= 0.5")(
-    lambda b: S.pattern_flags(b.patterns))
-query("recommendations")(lambda b: S.recommendations(b.scored, b.evidence_counts, b.merchant_hits, b.patterns))
-query("txn_flags", """select account_id, seq, string_agg(module, ',' order by module) modules from (
-  select account_id, seq, 'structuring' as module from {{just_under}} union select account_id, seq, 'night_transactions' from {{large_night}} union select account_id, seq, 'profile_mismatch' from {{oversized}}
-  union select account_id, seq, 'profile_mismatch' from {{unexpected_activity}} union select account_id, seq, 'profile_mismatch' from {{income_anomalies}} union select account_id, seq, 'cross_reference' from {{pass_through_pairs}}
-  union select account_id, seq2, 'cross_reference' from {{pass_through_pairs}} union select account_id, seq, 'pattern_detector' from {{patterns}}) group by 1,2""")(lambda b: b.txn_flags)
+RED = [
+    ("bursts > 0", "'Обнаружены серии быстрых транзакций (' || bursts || ' случаев)'"), ("spikes > 0", "'Дни с аномальной активностью: ' || spikes"),
+    ("under > 0", "'Суммы близкие к порогу отчётности: ' || under"), ("splits > 0", "'Возможное дробление операций: ' || splits || ' групп'"), ("pairs > 0", "'Транзитные операции: ' || pairs"),
+    ("high_words > 0", "'Высокорисковые мерчанты: ' || coalesce(names, '')"), ("high_risk_pct > 10", f"printf('%.1f', {O.rnd('high_risk_pct', 1)}) || '% расходов — высокорисковые операции'"),
+    ("trend = 'volatile'", "'Нестабильный паттерн расходов'"), ("large > 0", "'Крупные ночные переводы (23:00-06:00): ' || large || ' операций'"), ("clusters > 0", "'Серии ночных транзакций: ' || clusters || ' кластеров'"),
+    ("duplicates > 0", f"'Дублирующие платежи: ' || duplicates || ' повторов на сумму ' || {whole('duplicate_amount')} || ' KZT'"), ("broadcasts > 0", "'Веерная отправка одинаковых сумм: ' || broadcasts || ' паттернов'"),
+    ("round_ratio > 0.3", f"'Высокая доля круглых сумм: ' || {pct('round_ratio')} || '% (' || round_count || ' транзакций)'"), ("runs > 0", "'Серии круглых сумм подряд: ' || runs || ' серий'"),
+    ("oversized > 0", "'Транзакции превышающие норму для профиля: ' || oversized || ' операций'"), ("unexpected > 0", "'Нехарактерная активность для типа аккаунта: ' || unexpected || ' случаев'"),
+    ("income_anomalies > 0", "'Аномальные поступления: ' || income_anomalies || ' операций'"),
+]
+O.fragment("risky_names", """select account_id, string_agg(name, ', ' order by k) names from (select account_id, name, row_number() over (partition by account_id order by amount desc, name) k
+  from {{merchant_hits}} where level = 'high') where k <= 3 group by 1""")
+query("red_flags", " union all ".join(f"select account_id, {i}::int ord, {text} flag from {{{{evidence_counts}}}} left join {{{{risky_names}}}} using (account_id) where {cond}" for i, (cond, text) in enumerate(RED, 1)))(
+    lambda b: S.red_flags(b.scored, b.evidence_counts, b.merchant_hits))
+TITLE = "(case pattern " + " ".join(f"when '{k}' then '{v}'" for k, v in L.PATTERN_TITLES.items()) + " end)"
+query("pattern_flags", f"select account_id, seq, '[' || {TITLE} || '] ' || reason flag, confidence from {{{{patterns}}}} join {{{{scheme_why}}}} using (account_id, pattern, seq) where confidence >= 0.5")(
+    lambda b: S.pattern_flags(b.patterns, b.scheme_reasons))
+TESTS = ["risk_level in ('high', 'critical')", "account_id in (select account_id from {{merchant_hits}} where level = 'high' and category = 'gambling')", "splits > 0", "pairs > 0", "night_transactions >= 30", "duplicates >= 3",
+         "broadcasts > 0", "round_amounts >= 30", "oversized > 0", "unexpected > 0"]
+O.fragment("advice_fixed", " union all ".join(f"select account_id, {i} k, '{t}' advice from {{{{composite}}}} join {{{{evidence_counts}}}} using (account_id) where {c}" for i, (c, t) in enumerate(zip(TESTS, L.ADVICE))))
+PLACE = "(case pattern " + " ".join(f"when '{k}' then {i}" for i, k in enumerate(L.PATTERN_TITLES)) + " end)"
+REPORT = "(case pattern " + " ".join(f"when '{k}' then 'Сообщить в ПОД/ФТ согласно {L.PATTERN_REFERENCE[k]} (схема: {v})'" for k, v in L.PATTERN_TITLES.items()) + " end)"
+query("recommendations", f"""select account_id, row_number() over (partition by account_id order by k, confidence desc, p, seq)::bigint ord, advice from (
+  select account_id, k, 0.0::double confidence, 0 p, 0 seq, advice from {{{{advice_fixed}}}}
+  union all select account_id, 99, confidence, {PLACE}, seq, {REPORT} from {{{{patterns}}}} where confidence >= 0.7
+  union all select account_id, 0, 0, 0, 0, '{L.NO_FINDINGS}' from {{{{composite}}}} where account_id not in (select account_id from {{{{advice_fixed}}}}) and account_id not in (select account_id from {{{{patterns}}}} where confidence >= 0.7))""")(
+    lambda b: S.recommendations(b.scored, b.evidence_counts, b.merchant_hits, b.patterns))
+query("module_breakdown", " union all ".join(f"select account_id, '{m}' as module, {m}::double score, {O.rnd(WEIGHT[m], 4)} weight, {O.rnd(f'{m}*{O.rnd(WEIGHT[m], 4)}', 2)} contribution from {{{{composite}}}}" for m in S.MODULES))(
+    lambda b: S.module_breakdown(b.scored, b.profile))
+query("txn_flags", f"""select account_id, seq, string_agg(module, ',' order by module) modules from (
+  select account_id, seq, 'structuring' as module from {{{{just_under}}}} union
+  select account_id, seq, 'structuring' from (select *, {O.CP_DESC} cpd, {O.day()} dd from {{{{str_rows}}}} where amount < 0) r join {{{{split_groups}}}} g using (account_id) where g.counterparty = r.cpd and g.day = r.dd union select account_id, seq, 'night_transactions' from {{{{large_night}}}} union select account_id, seq, 'profile_mismatch' from {{{{oversized}}}}
+  union select account_id, seq, 'profile_mismatch' from {{{{unexpected_activity}}}} union select account_id, seq, 'profile_mismatch' from {{{{income_anomalies}}}} union select account_id, seq, 'cross_reference' from {{{{pass_through_pairs}}}}
+  union select account_id, seq2, 'cross_reference' from {{{{pass_through_pairs}}}} union select account_id, seq, 'merchant_risk' from {{{{clean}}}} where amount < 0 and {O.any_of("upper(coalesce(description,''))", [w for ws in K.HIGH_RISK.values() for w in ws])}
+  union select account_id, seq, 'pattern_detector' from {{{{rows_of_schemes}}}}) group by 1,2""")(lambda b: b.txn_flags)
 query("assemble_report")(lambda b: b.report)
 query("case_facts")(lambda b: S.case_facts(b.scored, b.profile, b.evidence_counts))

@@ -59,3 +59,22 @@ ADVICE = [
     "Запросить пояснения по нехарактерной активности аккаунта",
 ]
 NO_FINDINGS = "Признаков значимых нарушений не обнаружено"
+# reasons: fixed texts, the braces take the numbers in order
+PATTERN_REASONS = {
+    "money_laundering_layering": "Поступление {} ₸ перераспределено на {} получателей в течение 72 часов ({}% суммы). Всего исходящих транзакций: {}.",
+    "structuring": "{} транзакций в диапазоне {}–{} ₸ (90–100% от порога отчётности {} ₸).",
+    "carding": "{} мелких покупок в иностранной валюте у {} мерчантов за 2 часа.",
+    "pyramid_scheme": "Поступления от {} физических лиц общей суммой {} ₸, затем крупный перевод {} ₸ одному получателю.",
+    "human_trafficking_payments": "Регулярные выплаты {} разным физическим лицам, итого {} переводов на {} ₸.",
+    "tax_evasion_cash": "Наличные поступления {} ₸ составляют {}% от прослеживаемого электронного дохода {} ₸.",
+}
+MODULE_REASONS = {
+    "velocity": "Burst транзакций: {}",
+    "structuring": "Дробление: {} групп",
+    "merchant_risk": "Высокорисковых мерчантов: {}",
+    "cross_reference": "Транзитных: {}",
+    "night_transactions": "Ночных транзакций: {}, крупных: {}",
+    "duplicate_payments": "Дублей: {}, сумма: {} KZT",
+    "round_amounts": "Круглых: {} ({}%)",
+    "profile_mismatch": "Несоответствий профилю: {}",
+}

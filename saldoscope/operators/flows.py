@@ -191,6 +191,12 @@ def merchant_hits(clean: DataFrame) -> DataFrame:
     return g.select(KEY, "level", "name", cat.alias("category"), "amount", "n")
 
 
+def risky_rows(clean: DataFrame) -> DataFrame:
+    """(account_id, seq) of payments that hold a high-risk word."""
+    words = [w for ws in K.HIGH_RISK.values() for w in ws]
+    return clean.filter(_out() & B.has_any(F.upper(F.coalesce("description", F.lit(""))), words)).select(KEY, "seq")
+
+
 def shell_companies(clean: DataFrame) -> DataFrame:
     text = F.upper(F.coalesce("description", F.lit("")))
     starts = '^(?:%s)' % B.word_pattern(K.LEGAL_PREFIXES)

@@ -123,10 +123,15 @@ def many_payouts(txn: DataFrame, prof: DataFrame) -> DataFrame:
                                                          B.py_round(conf, 2).alias("confidence"), B.py_round(conf * 60, 1).alias("contribution"))
 
 
-def untraced_cash(txn: DataFrame) -> DataFrame:
+def is_cash():
+    """A row that says it is cash."""
     cp = F.upper(B.cp_strict())
+    return F.col("is_atm") | F.col("is_cash_operation") | cp.contains("БАНКОМАТ") | cp.contains("ATM") | F.upper(F.coalesce("description", F.lit(""))).contains("НАЛИЧН")
+
+
+def untraced_cash(txn: DataFrame) -> DataFrame:
     flagged = F.col("is_atm") | F.col("is_cash_operation")
-    cash = flagged | cp.contains("БАНКОМАТ") | cp.contains("ATM") | F.upper(F.coalesce("description", F.lit(""))).contains("НАЛИЧН")
+    cash = is_cash()
     g = txn.filter("amount > 0").groupBy(KEY).agg(
         B.total(F.when(cash, F.col("amount"))).alias("cash"), B.total(F.when(~flagged, F.col("amount"))).alias("electronic"),
         F.count(F.when(cash, 1)).alias("n"), F.min(F.when(cash, F.col("seq"))).alias("seq"))

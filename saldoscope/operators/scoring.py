@@ -1,12 +1,13 @@
 """Weights, composite score, flags and the report."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import legal as L
 from ..config.limits import BASE_WEIGHTS, effective_weights
 from . import base as B
 from .base import KEY
+from .evidence import module_reasons
 
 MODULES = list(BASE_WEIGHTS)
 
@@ -94,10 +95,20 @@ def counts_wide(accounts: DataFrame, scores: dict) -> DataFrame:
     return out.withColumn("mismatches", capped)
 
 
-def explained_flags(scored: DataFrame, counts: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Flags with severity, confidence, share of the score and the counter-argument."""
+def pattern_counter():
+    counter = F.lit("")
+    for name, text in L.PATTERN_COUNTER.items():
+        counter = F.when(F.col("pattern") == name, text).otherwise(counter)
+    for name, text in L.PATTERN_COUNTER_BUSINESS.items():
+        counter = F.when((F.col("pattern") == name) & F.col("account_type").isin("business_owner", "freelancer"), text).otherwise(counter)
+    return counter
+
+
+def explained_flags(scored: DataFrame, counts: DataFrame, patterns: DataFrame, reasons: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Flags with severity, reason, confidence, share of the score and the counter-argument; those
+    of schemes name up to five rows as evidence."""
     d = scored.join(counts, KEY)
-    items = []
+    why, items = module_reasons(), []
     for module, (needs, bound) in FLAG_MODULES.items():
         s = F.col(module)
         severity = F.when(s >= bound, "critical").otherwise("warning") if bound else F.lit("warning")
@@ -106,16 +117,14 @@ def explained_flags(scored: DataFrame, counts: DataFrame, patterns: DataFrame) -
             if mod == module:
                 counter = F.when(F.col("account_type") == kind, text).otherwise(counter)
         items.append(F.when((s > 0) & (F.col(needs) > 0), F.struct(
-            F.lit(module).alias("module"), severity.alias("severity"), F.least(F.lit(1.0), s / 100).alias("confidence"),
+            F.lit(module).alias("module"), severity.alias("severity"), why[module].alias("reason"), F.lit("").alias("evidence"), F.least(F.lit(1.0), s / 100).alias("confidence"),
             B.py_round(s * B.py_round(weight_of(module), 4), 2).alias("contribution"), counter.alias("counter_evidence"))))
     flags = d.select(KEY, F.explode(F.filter(F.array(*items), lambda x: x.isNotNull())).alias("f")).select(KEY, F.lit(None).cast("long").alias("seq"), "f.*")
-    counter = F.lit("")
-    for name, text in L.PATTERN_COUNTER.items():
-        counter = F.when(F.col("pattern") == name, text).otherwise(counter)
-    for name, text in L.PATTERN_COUNTER_BUSINESS.items():
-        counter = F.when((F.col("pattern") == name) & F.col("account_type").isin("business_owner", "freelancer"), text).otherwise(counter)
-    found = patterns.join(scored.select(KEY, "account_type"), KEY).select(KEY, "seq", F.lit("pattern_detector").alias("module"), F.when(F.col("confidence") >= 0.8, "critical").otherwise("warning").alias("severity"),
-                            "confidence", B.py_round(F.col("contribution"), 2).alias("contribution"), counter.alias("counter_evidence"))
+    counter = pattern_counter()
+    key = [KEY, "pattern", "seq"]
+    found = patterns.join(scored.select(KEY, "account_type"), KEY).join(reasons, key).join(evidence, key)
+    found = found.select(KEY, "seq", F.lit("pattern_detector").alias("module"), F.when(F.col("confidence") >= 0.8, "critical").otherwise("warning").alias("severity"),
+                            "reason", "evidence", "confidence", B.py_round(F.col("contribution"), 2).alias("contribution"), counter.alias("counter_evidence"))
     return flags.unionByName(found)
 
 
@@ -123,9 +132,15 @@ def _money(c):
     return F.format_number(c, 0)
 
 
-def red_flags(scored: DataFrame, counts: DataFrame) -> DataFrame:
-    """Ordered flag texts of an account with their numbers."""
-    d = scored.join(counts, KEY)
+def risky_names(hits: DataFrame, k: int = 3) -> DataFrame:
+    """(account_id, names): the high-risk words with the largest sums."""
+    top = B.topk(hits.where("level = 'high'"), [KEY], [F.desc("amount"), "name"], k, "_r")
+    return top.groupBy(KEY).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "name"))), lambda x: x["name"]), ", ").alias("names"))
+
+
+def red_flags(scored: DataFrame, counts: DataFrame, hits: DataFrame) -> DataFrame:
+    """Ordered flag texts of an account with their numbers and the names of risky merchants."""
+    d = scored.join(counts, KEY).join(risky_names(hits), KEY, "left")
     n = lambda c: F.col(c).cast("string")
     rows = [
         (F.col("bursts") > 0, F.concat(F.lit("Обнаружены серии быстрых транзакций ("), n("bursts"), F.lit(" случаев)"))),
@@ -133,14 +148,14 @@ def red_flags(scored: DataFrame, counts: DataFrame) -> DataFrame:
         (F.col("under") > 0, F.concat(F.lit("Суммы близкие к порогу отчётности: "), n("under"))),
         (F.col("splits") > 0, F.concat(F.lit("Возможное дробление операций: "), n("splits"), F.lit(" групп"))),
         (F.col("pairs") > 0, F.concat(F.lit("Транзитные операции: "), n("pairs"))),
-        (F.col("high_words") > 0, F.concat(F.lit("Высокорисковые мерчанты: "), n("high_words"))),
-        (F.col("high_risk_pct") > 10, F.concat(F.format_number("high_risk_pct", 1), F.lit("% расходов — высокорисковые операции"))),
+        (F.col("high_words") > 0, F.concat(F.lit("Высокорисковые мерчанты: "), F.coalesce("names", F.lit("")))),
+        (F.col("high_risk_pct") > 10, F.concat(F.format_string("%.1f", B.py_round(F.col("high_risk_pct"), 1)), F.lit("% расходов — высокорисковые операции"))),
         (F.col("trend") == "volatile", F.lit("Нестабильный паттерн расходов")),
         (F.col("large") > 0, F.concat(F.lit("Крупные ночные переводы (23:00-06:00): "), n("large"), F.lit(" операций"))),
         (F.col("clusters") > 0, F.concat(F.lit("Серии ночных транзакций: "), n("clusters"), F.lit(" кластеров"))),
         (F.col("duplicates") > 0, F.concat(F.lit("Дублирующие платежи: "), n("duplicates"), F.lit(" повторов на сумму "), _money("duplicate_amount"), F.lit(" KZT"))),
         (F.col("broadcasts") > 0, F.concat(F.lit("Веерная отправка одинаковых сумм: "), n("broadcasts"), F.lit(" паттернов"))),
-        (F.col("round_ratio") > 0.3, F.concat(F.lit("Высокая доля круглых сумм: "), F.format_number(F.col("round_ratio") * 100, 0), F.lit("% ("), n("round_count"), F.lit(" транзакций)"))),
+        (F.col("round_ratio") > 0.3, F.concat(F.lit("Высокая доля круглых сумм: "), F.format_string("%.0f", F.rint(F.col("round_ratio") * 100)), F.lit("% ("), n("round_count"), F.lit(" транзакций)"))),
         (F.col("runs") > 0, F.concat(F.lit("Серии круглых сумм подряд: "), n("runs"), F.lit(" серий"))),
         (F.col("oversized") > 0, F.concat(F.lit("Транзакции превышающие норму для профиля: "), n("oversized"), F.lit(" операций"))),
         (F.col("unexpected") > 0, F.concat(F.lit("Нехарактерная активность для типа аккаунта: "), n("unexpected"), F.lit(" случаев"))),
@@ -150,27 +165,47 @@ def red_flags(scored: DataFrame, counts: DataFrame) -> DataFrame:
     return d.select(KEY, F.explode(F.filter(texts, lambda x: x.isNotNull())).alias("f")).select(KEY, "f.ord", "f.flag")
 
 
-def pattern_flags(patterns: DataFrame) -> DataFrame:
+def pattern_flags(patterns: DataFrame, reasons: DataFrame) -> DataFrame:
     """Flag lines of the schemes found with confidence of one half or more."""
     name = F.create_map(*[F.lit(x) for kv in L.PATTERN_TITLES.items() for x in kv])
-    return patterns.filter("confidence >= 0.5").select(KEY, "seq", F.concat(F.lit("["), name[F.col("pattern")], F.lit("]")).alias("flag"), "confidence")
+    d = patterns.filter("confidence >= 0.5").join(reasons, [KEY, "pattern", "seq"])
+    return d.select(KEY, "seq", F.concat(F.lit("["), name[F.col("pattern")], F.lit("] "), "reason").alias("flag"), "confidence")
 
 
 def recommendations(scored: DataFrame, counts: DataFrame, hits: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(account_id, ord, advice): fixed advice first, then a line for every sure scheme, the surest first."""
     gambling = hits.filter("level = 'high' and category = 'gambling'").select(KEY).distinct().withColumn("gambling", F.lit(True))
-    sure = patterns.filter("confidence >= 0.7").groupBy(KEY).agg(F.array_sort(F.collect_set("pattern")).alias("sure"))
-    d = scored.join(counts, KEY).join(gambling, KEY, "left").join(sure, KEY, "left")
+    d = scored.join(counts, KEY).join(gambling, KEY, "left")
     rows = [
         (F.col("risk_level").isin("high", "critical"), L.ADVICE[0]), (F.col("gambling"), L.ADVICE[1]), (F.col("splits") > 0, L.ADVICE[2]),
         (F.col("pairs") > 0, L.ADVICE[3]), (F.col("night_transactions") >= 30, L.ADVICE[4]), (F.col("duplicates") >= 3, L.ADVICE[5]),
         (F.col("broadcasts") > 0, L.ADVICE[6]), (F.col("round_amounts") >= 30, L.ADVICE[7]), (F.col("oversized") > 0, L.ADVICE[8]), (F.col("unexpected") > 0, L.ADVICE[9]),
     ]
     fixed = F.filter(F.array(*[F.when(cond, F.lit(text)) for cond, text in rows]), lambda x: x.isNotNull())
+    sure = patterns.filter("confidence >= 0.7")
+    d = d.select(KEY, fixed.alias("fixed")).join(sure.groupBy(KEY).agg(F.count("*").alias("sure")), KEY, "left")
+    told = d.withColumn("fixed", F.when((F.size("fixed") == 0) & F.col("sure").isNull(), F.array(F.lit(L.NO_FINDINGS))).otherwise(F.col("fixed")))
+    lines = told.select(KEY, F.posexplode("fixed").alias("pos", "advice")).select(KEY, (F.col("pos") + 1).cast("long").alias("ord"), "advice")
+    place = F.element_at(F.create_map(*[x for i, k in enumerate(L.PATTERN_TITLES) for x in (F.lit(k), F.lit(i))]), F.col("pattern"))
     ref = F.create_map(*[F.lit(x) for k in L.PATTERN_TITLES for x in (k, f"Сообщить в ПОД/ФТ согласно {L.PATTERN_REFERENCE[k]} (схема: {L.PATTERN_TITLES[k]})")])
-    extra = F.transform(F.coalesce("sure", F.array().cast("array<string>")), lambda p: ref[p])
-    both = F.concat(fixed, extra)
-    both = F.when(F.size(both) == 0, F.array(F.lit(L.NO_FINDINGS))).otherwise(both)
-    return d.select(KEY, F.posexplode(both).alias("pos", "advice")).select(KEY, (F.col("pos") + 1).alias("ord"), "advice")
+    rank = F.row_number().over(Window.partitionBy(KEY).orderBy(F.desc("confidence"), place, "seq"))
+    more = sure.select(KEY, rank.alias("r"), ref[F.col("pattern")].alias("advice")).join(told.select(KEY, F.size("fixed").alias("n")), KEY)
+    return lines.unionByName(more.select(KEY, (F.col("n") + F.col("r")).cast("long").alias("ord"), "advice"))
+
+
+def module_breakdown(scored: DataFrame, prof: DataFrame) -> DataFrame:
+    """(account_id, module, score, weight, contribution) of every module."""
+    w = weights(prof)
+    long = scored.select(KEY, F.explode(F.array(*[F.struct(F.lit(m).alias("module"), F.col(m).alias("score")) for m in MODULES])).alias("m")).select(KEY, "m.*")
+    return long.join(w, [KEY, "module"]).select(KEY, "module", "score", "weight", B.py_round(F.col("score") * F.col("weight"), 2).alias("contribution"))
+
+
+def scheme_breakdown(scored: DataFrame, patterns: DataFrame, reasons: DataFrame, articles: DataFrame) -> DataFrame:
+    """(account_id, pattern, seq, confidence, reason, counter_evidence, articles): schemes with the verified articles."""
+    key = [KEY, "pattern", "seq"]
+    listed = articles.groupBy(*key).agg(F.array_join(F.array_sort(F.collect_set(F.concat("code", F.lit(" ст. "), "number"))), "; ").alias("articles"))
+    d = patterns.join(scored.select(KEY, "account_type"), KEY).join(reasons, key).join(listed, key, "left")
+    return d.select(*key, "confidence", "reason", pattern_counter().alias("counter_evidence"), F.coalesce("articles", F.lit("")).alias("articles"))
 
 
 def txn_flags(evidence: dict) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..config.limits import ACCOUNT_TYPES, TYPE_LIMITS
 from ..operators import enrich as E
+from ..operators import evidence as EV
 from ..operators import entities as EN
 from ..operators import flows as W
 from ..operators import habits as H
@@ -309,13 +310,31 @@ class Book:
     def evidence_counts(self):
         return R.counts_wide(self.accounts, self.score_frames)
 
+    @shared
+    def schemes(self) -> dict:
+        """The schemes by name, with their numbers."""
+        return dict(zip(N.NAMES, [self.layering, self.structuring_pattern, self.carding, self.pyramid, self.many_payouts, self.untraced_cash]))
+
+    @shared
+    def scheme_rows(self):
+        return durable(EV.scheme_rows(self.txn, self.structuring_limits, self.schemes))
+
+    @shared
+    def scheme_reasons(self):
+        return durable(EV.scheme_reasons(self.schemes, self.structuring_limits))
+
+    @shared
+    def explained_flags(self):
+        return R.explained_flags(self.scored, self.evidence_counts, self.patterns, self.scheme_reasons, EV.scheme_evidence(self.patterns, self.scheme_rows))
+
     @shared
     def txn_flags(self):
         pairs = self.pass_pairs
         mismatch = self.oversized.select(KEY, "seq").unionByName(self.unexpected.select(KEY, "seq")).unionByName(self.income_anomalies.select(KEY, "seq"))
         both = pairs.select(KEY, "seq").unionByName(pairs.select(KEY, F.col("seq2").alias("seq")))
-        return R.txn_flags({"structuring": self.just_under, "night_transactions": self.large_night, "profile_mismatch": mismatch,
-                            "cross_reference": both, "pattern_detector": self.patterns})
+        split = self.just_under.select(KEY, "seq").unionByName(S.split_members(self.structuring_rows, self.split_groups).select(KEY, "seq"))
+        return R.txn_flags({"structuring": split, "night_transactions": self.large_night, "profile_mismatch": mismatch, "cross_reference": both,
+                            "merchant_risk": W.risky_rows(self.clean), "pattern_detector": self.scheme_rows})
 
     @shared
     def report(self):

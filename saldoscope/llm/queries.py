@@ -63,7 +63,8 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = merkle.compare_with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), F.col("root").alias("fingerprint"), F.col("edited_root").alias("edited_fingerprint"), "near_edited", "near_next")
+    return out.select("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), F.col("root").alias("fingerprint"), F.col("edited_root").alias("edited_fingerprint"), "near_edited", "near_next",
+                      F.col("edited_at").alias("edited_paragraphs"))
 
 
 def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -200,3 +200,31 @@ def disclosures(texts, context=80, contexts_needed=3, at=0.9):
             if told >= at - 1e-9:
                 out[w] = max(told, out.get(w, 0))
     return out
+
+
+def _xx(data, seed=42):
+    import xxhash
+    h = xxhash.xxh64(data, seed=seed % 2**64).intdigest()
+    return h - 2**64 if h >= 2**63 else h
+
+
+def tree_leaves(text, every=4, longest=16):
+    """Leaves of each line: runs of words that end where a word's hash says so, or after sixteen."""
+    out = []
+    for line in (text or "").split("\n"):
+        words, leaves, run = re.findall(r"\S+\s*|\s+", line, re.ASCII), [], []
+        for i, w in enumerate(words):
+            run.append(w)
+            if _xx(w.encode()) % every == 0 or i == len(words) - 1:
+                leaves += [tuple(run[k:k + longest]) for k in range(0, len(run), longest)]
+                run = []
+        out.append(tuple(leaves))
+    return out
+
+
+def tree_likeness(a, b):
+    """(likeness, numbers of the lines of b that a lacks), without descending."""
+    a, b = tree_leaves(a), tree_leaves(b)
+    x, y = {v for line in a for v in line}, {v for line in b for v in line}
+    total = len(x) + len(y)
+    return (1 - (len(x - y) + len(y - x)) / total if total else 1.0), [i for i, line in enumerate(b) if line not in a]

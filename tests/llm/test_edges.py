@@ -425,10 +425,29 @@ def test_edits_are_located(spark):
     new = [*old]
     new[13] = "changed"
     df = spark.createDataFrame([("\n".join(old), "\n".join(new))], "a string, b string")
-    both = merkle.with_tree(merkle.with_tree(df, "a"), "b", "edited_").select(merkle.edited_paragraphs().alias("e"), merkle.likeness(F.col("leaves"), F.col("edited_leaves")).alias("n")).first()
+    both = merkle.with_likeness(merkle.with_tree(merkle.with_tree(df, "a"), "b", "edited_"), "", "edited_", "n", "e").first()
     assert both.e == [13] and 0.9 < both.n < 1
 
 
+def test_likeness_survives_insertions(spark):
+    line = prose(3, 400)
+    lines = [prose(i, 12) for i in range(60)]
+    pairs = [(line, "inserted " + line), (line, line.replace(" ", " inserted ", 1)), ("\n".join(lines), "\n".join(["new line", *lines])), ("ha " * 2000, "ha " * 1000 + "x " + "ha " * 1000),
+             (line, line), (line, ""), ("", ""), (None, "a"), ("\n\n", "\n"), (prose(1, 50), prose(2, 50)), ("x" * 100_000, "x" * 100_000 + "y")]
+    rng = random.Random(8)
+    for _ in range(40):
+        a = [" ".join(rng.choices("abcdefgh", k=rng.randint(0, 30))) for _ in range(rng.randint(1, 40))]
+        b = [x if rng.random() < 0.9 else x + " z" for x in a]
+        pairs.append(("\n".join(a), "\n".join(b[rng.randint(0, 1):])))
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string").withColumns({"x": F.coalesce("a", F.lit("")), "y": F.coalesce("b", F.lit(""))})
+    got = {r.i: r for r in merkle.with_likeness(merkle.with_tree(merkle.with_tree(df, "x"), "y", "edited_"), "", "edited_", "n", "e").collect()}
+    for i, (a, b) in enumerate(pairs):
+        near, edited = brute.tree_likeness(a, b)
+        assert got[i].n == pytest.approx(near) and got[i].e == edited, i
+        assert (got[i].root == got[i].edited_root) == ((a or "") == (b or ""))
+    assert all(got[i].n > 0.9 for i in range(3)) and got[3].n >= 0.5
+
+
 # -- pipeline --------------------------------------------------------------------------------
 
 

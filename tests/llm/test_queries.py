@@ -101,6 +101,11 @@ def test_op10_edits(spark, docs):
     for d, text in docs:
         by_root.setdefault(got[d].fingerprint, set()).add(text)
     assert all(len(texts) == 1 for texts in by_root.values()) and len(by_root) == len({t for _, t in docs})
+    texts, order = dict(docs), sorted(d for d, _ in docs)
+    for d, after in zip(order, order[1:] + order[:1]):
+        near, edited = brute.tree_likeness(texts[d], want[d])
+        assert got[d].near_edited == pytest.approx(near) and list(got[d].edited_paragraphs) == edited
+        assert got[d].near_next == pytest.approx(brute.tree_likeness(texts[d], texts[after])[0])
     long = [r for r in got.values() if r.n_chars > 200]
     # the next document may be a copy, and a text of one repeated word has few distinct leaves
     assert sum(r.near_edited > r.near_next and 0.5 < r.near_edited <= 1 for r in long) >= 0.9 * len(long)

@@ -9,11 +9,15 @@
    with it: as many pairs as rows, whatever the size of the bucket. Pairs whose signatures
    agree in too few places are dropped (``sure_places``: more than five standard deviations below
    the threshold), the rest are verified on full sets.
-4. Members that are alike without being like the pivot: bucket mates form families (components
-   of all pivot pairs, verified or not). Families with more than one verified component are cut
-   into blocks of bounded bytes by set size, and only blocks of compatible sizes are compared,
-   on full sets, in one task per pair of blocks; a task returns a spanning forest of the links
-   that it finds, never all pairs. So no link between components is lost.
+4. Members that are alike without being like the pivot: where a pivot and its mates are in more than one
+   verified component, these go through an exact prefix join. Only shingles that stand in
+   two components or more can join them; a set that holds n shingles must share ceil(s * n) of those. Of
+   its shared shingles, rarest first, all but ceil(s * n) - 1 form the prefix, and two
+   sets that are alike share a shingle of both prefixes. Documents around a common boilerplate
+   have no prefix at all. Holders of a prefix shingle are cut into blocks of bounded bytes by
+   set size, and only blocks of compatible sizes are compared, on full sets, in one task per
+   pair of blocks; a task returns a spanning forest of the links that it finds, never all pairs.
+   So no link between components is lost.
 5. Components of all verified links by large-star and small-star.
 
 Sets are never gathered by bucket: for verification each document's set is computed from its
@@ -30,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import by_slice, cut, flat, grams, lower_ascii, mix, tune, words
@@ -270,15 +274,41 @@ def near_links(docs: DataFrame, reps: DataFrame, percent: int = PERCENT) -> Data
             .union(dealt.select(F.col("grp").alias("uid"), "grp", "blk", F.lit(0).alias("side")).distinct())
             .withColumn("comp", F.col("uid")))
     links = cut(_verified(docs, work.select("uid", "comp", "grp", "blk", "side"), percent))
-    done, family = components(links), components(pairs, "uid", "pivot")
-    return links.union(_rest(docs, sizes, done, family, percent))
+    return links.union(_rest(docs, sizes, components(links), pairs, percent))
 
 
-def _rest(docs: DataFrame, sizes: DataFrame, done: DataFrame, family: DataFrame, percent: int) -> DataFrame:
-    """Links between verified components of one family, found by comparing blocks."""
-    member = (family.select(F.col("node").alias("uid"), F.col("component").alias("fam"))
-              .join(done.select(F.col("node").alias("uid"), "component"), "uid", "left")
-              .select("uid", "fam", F.coalesce("component", "uid").alias("comp")).join(sizes, "uid"))
+def _open(done: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(uid, comp): pivots and their mates, where they are not all in one verified component."""
+    mine, its = (done.select(F.col("node").alias(n), F.col("component").alias(c)) for n, c in (("uid", "cu"), ("pivot", "cp")))
+    known = pairs.join(mine, "uid", "left").join(its, "pivot", "left").select("uid", "pivot", F.coalesce("cu", "uid").alias("cu"), F.coalesce("cp", "pivot").alias("cp"))
+    known = cut(known)
+    mixed = known.join(known.where("cu != cp").select("pivot").distinct(), "pivot", "left_semi")
+    return cut(mixed.select("uid", F.col("cu").alias("comp")).union(mixed.select("pivot", "cp")).distinct())
+
+
+def _prefixes(docs: DataFrame, member: DataFrame, percent: int) -> DataFrame:
+    """(uid, comp, fam): members by the shingles of their prefixes, where these are in two components or more."""
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = shingle_sets(batch.column("text"))
+        ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+        values = np.concatenate([*sets, np.zeros(0, np.uint64)]).astype(np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("comp"), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["uid", "comp", "items"])
+
+    sets = cut(docs.join(member, docs.doc_id == member.uid).select("uid", "comp", "text").mapInArrow(by_slice(one, "text"), "uid long, comp long, items array<long>"))
+    rows = sets.select("uid", "comp", F.size("items").alias("n"), F.explode("items").alias("fam"))
+    shared = rows.groupBy("fam").agg(F.count("*").alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("fam", "df")
+    held = rows.join(shared, "fam")
+    least = F.floor((F.col("n") * percent + 99) / 100)
+    enough = held.groupBy("uid").agg(F.count("*").alias("s"), F.first("n").alias("n")).where(F.col("s") >= least).select("uid", (F.col("s") - least + 1).alias("k"))
+    rank = F.row_number().over(Window.partitionBy("uid").orderBy("df", "fam"))
+    first = cut(held.join(enough, "uid").withColumn("r", rank).where("r <= k").select("uid", "comp", "fam"))
+    mixed = first.groupBy("fam").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("fam")
+    return first.join(mixed, "fam", "left_semi")
+
+
+def _rest(docs: DataFrame, sizes: DataFrame, done: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Links between verified components, found by comparing blocks of those that share a prefix shingle."""
+    member = _prefixes(docs, _open(done, pairs), percent).select("uid", "fam", "comp").join(sizes, "uid")
     # sizes of alike sets differ by one class at most
     member = cut(member.withColumn("cls", F.floor(F.log("n_shingles") / F.lit(float(np.log(100 / percent))))))
     comps = member.groupBy("fam", "comp").agg(F.count("*").alias("n"))

@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import functions as F
 
 from saldoscope.llm import queries as Q
-from saldoscope.llm import pii, repair, shards, spelling
+from saldoscope.llm import minhash, pii, repair, shards, spelling
 
 from . import brute
 
@@ -300,3 +300,44 @@ def test_disclosing_terms_against_dictionaries(spark):
         plain[",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(base + alone))] += 1
     assert Counter(r.l for r in spans.collect()) == plain
     assert pii.find_spans(docs.limit(0)).count() == 0 and pii.sanitise(docs.limit(0)).count() == 0
+
+
+# -- near-duplicates around a common text
+
+def boilerplate(n, seed, copies=True):
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    common = [[word() for _ in range(70)] for _ in range(3)]
+    out = []
+    for i in range(n):
+        kind = i % 6
+        if kind < 3 or not out:
+            out.append(common[kind % 3] + [word() for _ in range(60)])
+        elif kind == 3 and copies:  # an edited copy of an earlier text
+            t = list(rng.choice(out))
+            t[rng.randrange(len(t))] = word()
+            out.append(t)
+        elif kind == 4:  # a sliding chain: neighbours are alike, ends are not
+            out.append(out[-1][3:] + [word() for _ in range(3)])
+        else:  # parts of two boilerplates
+            out.append(common[0][:40] + common[1][:40] + [word() for _ in range(rng.randrange(40))])
+    return [" ".join(t) for t in out]
+
+
+def test_groups_around_boilerplate_against_all_pairs(spark):
+    texts = boilerplate(240, 3)
+    sets = [brute.shingles(t) for t in texts]
+    up = list(range(len(texts)))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((top(i), top(j)))
+                up[b] = a
+    got = minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), percent=80)
+    assert {r.doc_id: r.component_id for r in got.collect()} == {i: top(i) for i in range(len(texts))}

@@ -5,27 +5,28 @@ window). Their hashes are broadcast; training texts are scanned window by window
 hits are verified by comparing the words themselves, and the hit words of a document are the
 union of all occurrences.
 
-The broadcast is bounded: the items are dealt into slices of at most ``max_windows`` windows.
-With more than one slice the texts are scanned once for each and the hits of a document are
-merged by key, so a benchmark of any size is handled in full.
+The broadcast is bounded: the items are dealt into slices of about ``max_windows`` windows and
+``SLICE_TEXT`` bytes at most. A slice is a handful of arrays: sorted hashes, the word each window begins
+with, and the words of all items in one buffer, about 30 bytes a window. With more than one slice
+the texts are scanned by one after the other, and each adds to the hits that a row brings along:
+nothing is shuffled, and a benchmark of any size is handled in full.
 
-Nulls and empty texts have no words and no hits. Items without words are never found.
+Nulls and empty texts have no words and no hits. Items without words or without item id are never found.
 Repeated documents are answered row by row; item ids that repeat count once. Columns of the
 input that have the name of a result column are replaced.
 """
 
-
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import by_slice, flat, grams, lower_ascii, tune, words
+from .base import by_slice, cut, flat, grams, lower_ascii, ranges, tune, words
 
 N = 13
 MAX_WINDOWS = 1_000_000
+SLICE_TEXT = 1 << 25
 _FILTER_BITS = 22
 
 
@@ -37,29 +38,40 @@ def word_bytes() -> np.ndarray:
 
 
 class WindowSet:
-    """Windows of test items by length: hash -> (words, items); a bit table in front."""
+    """Windows of test items by length, as arrays; a bit table stands in front of the sorted hashes."""
 
     def __init__(self, rows: list[tuple[int, str]], n: int = N):
-        self.found: dict[int, dict[int, list[tuple[bytes, set[int]]]]] = {}
-        fold, inside = lower_ascii(), word_bytes()
-        for item, text in rows:
-            buf, _ = flat(pa.array([text], pa.string()), after="\n")
-            starts, ends, hashes = words(buf, inside, fold)
-            size = min(n, len(starts))
-            for at in range(len(starts) - size + 1) if size else ():
-                h = int(grams(hashes[at:at + size], size)[0])
-                spelled = spell(buf, starts, ends, at, size, fold)
-                same = self.found.setdefault(size, {}).setdefault(h, [])
-                items = next((ids for w, ids in same if w == spelled), None)
-                if items is None:
-                    same.append((spelled, items := set()))
-                items.add(item)
-        self.tables = {}
-        for size, hashes in self.found.items():
-            keys = np.array(sorted(hashes), np.uint64)
+        fold = lower_ascii()
+        self.ids = np.array([item for item, _ in rows], np.int64)
+        buf, offsets = flat(pa.array([text for _, text in rows], pa.string()), after="\n")
+        starts, ends, hashes = words(buf, word_bytes(), fold)
+        self.first = np.searchsorted(starts, offsets)
+        count = np.diff(self.first)
+        # all words, lower-cased, with one blank behind each: a window is one piece of it
+        lengths = ends - starts
+        self.place = np.concatenate([[0], np.cumsum(lengths + 1)])
+        self.spelled = np.full(int(self.place[-1]), 0x20, np.uint8)
+        self.spelled[ranges(self.place[:-1], lengths)] = fold[buf[ranges(starts, lengths)]]
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        sizes = np.minimum(count, n)
+        for size in np.unique(sizes[sizes > 0]).tolist():
+            mine = np.flatnonzero(sizes == size)
+            at = ranges(self.first[mine], count[mine] - size + 1)
+            keys = grams(hashes, size)[at]
+            order = np.argsort(keys, kind="stable")
+            keys = keys[order]
             bits = np.zeros(1 << _FILTER_BITS, bool)
             bits[(keys >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-            self.tables[size] = keys, bits
+            self.tables[size] = keys, at[order].astype(np.int32), bits
+
+    def items_of(self, size: int, h: int, spelled: bytes) -> set[int]:
+        """Items with a window of this hash and these words."""
+        keys, at, _ = self.tables[size]
+        out = set()
+        for w in at[np.searchsorted(keys, h, "left"):np.searchsorted(keys, h, "right")].tolist():
+            if self.spelled[self.place[w]:self.place[w + size] - 1].tobytes() == spelled:
+                out.add(int(self.ids[np.searchsorted(self.first, w, "right") - 1]))
+        return out
 
 
 def spell(buf, starts, ends, at: int, size: int, fold) -> bytes:
@@ -78,8 +90,9 @@ def _lists(values: list[list[int]]) -> pa.Array:
     return pa.array(values, pa.list_(pa.int64()))
 
 
-def scan(texts: pa.Array, known: WindowSet, n: int = N) -> tuple[list, list, list, list]:
-    """Per text: number of words, merged spans of hit words (from, to), and item ids."""
+def scan(texts: pa.Array, known: WindowSet, before: list[tuple] | None = None) -> tuple[list, list, list, list]:
+    """Per text: number of words, merged spans of hit words (from, to), and item ids; ``before``
+    has the spans and items that other slices have found."""
     fold, inside = lower_ascii(), word_bytes()
     buf, offsets = flat(texts, after="\n")
     starts, ends, hashes = words(buf, inside, fold)
@@ -87,7 +100,7 @@ def scan(texts: pa.Array, known: WindowSet, n: int = N) -> tuple[list, list, lis
     count = np.diff(first)
     spans: dict[int, list[tuple[int, int]]] = {}
     items: dict[int, set[int]] = {}
-    for size, (keys, bits) in known.tables.items():
+    for size, (keys, _, bits) in known.tables.items():
         g = grams(hashes, size)
         hit = np.flatnonzero(bits[(g >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
         if not len(hit):
@@ -97,11 +110,13 @@ def scan(texts: pa.Array, known: WindowSet, n: int = N) -> tuple[list, list, lis
         doc = np.searchsorted(first, hit, side="right") - 1
         whole = hit + size <= first[doc + 1]
         for at, d in zip(hit[whole].tolist(), doc[whole].tolist()):
-            spelled = spell(buf, starts, ends, at, size, fold)
-            for w, ids in known.found[size][int(g[at])]:
-                if w == spelled:
-                    spans.setdefault(d, []).append((at - int(first[d]), at + size - int(first[d])))
-                    items.setdefault(d, set()).update(ids)
+            if ids := known.items_of(size, g[at], spell(buf, starts, ends, at, size, fold)):
+                spans.setdefault(d, []).append((at - int(first[d]), at + size - int(first[d])))
+                items.setdefault(d, set()).update(ids)
+    for d, (a, b, ids) in enumerate(before or ()):
+        if a:
+            spans.setdefault(d, []).extend(zip(a, b))
+            items.setdefault(d, set()).update(ids)
     frm, to = [[] for _ in count], [[] for _ in count]
     for d, found in spans.items():
         for a, b in sorted(found):
@@ -117,46 +132,31 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: s
               n: int = N, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """``docs`` with n_words, hit_from, hit_to (spans of hit words) and items of every document."""
     spark = tune(docs.sparkSession)
-    docs = docs.drop(*[f for f in SCHEMA.fieldNames() if f != text])
+    out = docs.drop(*[f for f in SCHEMA.fieldNames() if f != text])
     known = (benchmark.where(F.col(item_text).isNotNull() & F.col(item).isNotNull())
              .select(F.col(item).cast("long").alias("item"), F.col(item_text).alias("words"), F.size(F.split(item_text, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long").alias("w")))
-    total = known.agg(F.sum("w")).first()[0] or 0
-    parts = max(1, -(-total // max_windows))
-    out = None
+    total = known.agg(F.sum("w").alias("w"), F.sum(F.octet_length("words")).alias("b")).first()
+    parts = max(1, -(-(total.w or 0) // max_windows), -(-(total.b or 0) // SLICE_TEXT))
     for k in range(parts):
         rows = known.where(F.pmod(F.xxhash64("item", "words"), F.lit(parts)) == k).select("item", "words")
-        sent = spark.sparkContext.broadcast(WindowSet([tuple(r) for r in rows.toLocalIterator()], n))
-        found = _scan_with(docs, sent, text, n)
-        out = found if out is None else _merge(out, found, docs.columns)
+        out = _scan_with(out, spark.sparkContext.broadcast(WindowSet([tuple(r) for r in rows.toLocalIterator()], n)), text)
+        if k % 2 and k < parts - 1:
+            out = cut(out)  # else each task would hold a process for every slice
     return out
 
 
-def _scan_with(docs: DataFrame, sent, text: str, n: int) -> DataFrame:
-    schema = T.StructType(docs.schema.fields + SCHEMA.fields)
+def _scan_with(docs: DataFrame, sent, text: str) -> DataFrame:
+    plain = [f for f in docs.schema.fields if f.name not in SCHEMA.fieldNames() or f.name == text]
+    again = len(plain) < len(docs.schema.fields)
+    names = [f.name for f in plain]
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        count, frm, to, ids = scan(batch.column(text), sent.value, n)
+        before = list(zip(*(batch.column(c).to_pylist() for c in ("hit_from", "hit_to", "items")))) if again else None
+        count, frm, to, ids = scan(batch.column(text), sent.value, before)
         more = [pa.array(count, pa.int64()), _lists(frm), _lists(to), _lists(ids)]
-        return pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *SCHEMA.names])
-
-    return docs.mapInArrow(by_slice(one, text), schema)
-
-
-def _merge(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
-    """Hits of two slices of the benchmark, joined row by row on the document's columns."""
-    both = a.unionByName(b)
-    spans = F.flatten(F.collect_list(F.arrays_zip(F.col("hit_from").alias("a"), F.col("hit_to").alias("b"))))
-    key = [F.xxhash64(*columns).alias("_h"), *columns]
-    grouped = both.groupBy(*key).agg(
-        F.max("n_words").alias("n_words"), F.array_sort(spans).alias("_s"), (F.count("*") / 2).cast("int").alias("_n"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    start = F.expr("cast(array() as array<struct<a:bigint,b:bigint>>)")
-    merged = F.aggregate("_s", start, lambda acc, s: F.when(
-        (F.size(acc) > 0) & (F.element_at(acc, -1)["b"] >= s["a"]),
-        F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["a"].alias("a"), F.greatest(F.element_at(acc, -1)["b"], s["b"]).alias("b")))),
-    ).otherwise(F.concat(acc, F.array(F.struct(s["a"].alias("a"), s["b"].alias("b"))))))
-    return (grouped.withColumn("_s", merged).withColumn("_k", F.explode(F.sequence(F.lit(1), F.greatest("_n", F.lit(1)))))
-            .select(*columns, "n_words", F.col("_s.a").alias("hit_from"), F.col("_s.b").alias("hit_to"), "items"))
+        return pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *more], names=[*names, *SCHEMA.names])
+
+    return docs.mapInArrow(by_slice(one, text), T.StructType(plain + SCHEMA.fields))
 
 
 def judge(hits: DataFrame) -> DataFrame:

@@ -139,8 +139,9 @@ def line_dedup(rows, least=8):
     docs = []
     for d, t in sorted(rows):
         lines = (t or "").split("\n")
-        full = [i for i, x in enumerate(lines) if x.strip(" ")]
-        docs.append((d, lines, full, [lines[i].strip(" ") for i in full]))
+        spaced = [re.findall(r"[^\x20\t\x0b\x0c\r]+", x) for x in lines]
+        full = [i for i, x in enumerate(spaced) if x]
+        docs.append((d, lines, full, [tuple(spaced[i]) for i in full]))
     places, out = {}, {}
     for n, (d, lines, full, body) in enumerate(docs):
         gone = set()
@@ -153,7 +154,7 @@ def line_dedup(rows, least=8):
                 e, f = p, q
                 while e + 1 < len(body) and f + 1 < len(other) and body[e + 1] == other[f + 1]:
                     e, f = e + 1, f + 1
-                if sum(len(x.split(" ")) for x in body[a:e + 1]) >= least:
+                if sum(map(len, body[a:e + 1])) >= least:
                     gone.update(range(a, e + 1))
             places.setdefault(line, []).append((n, p))
         drop = {full[i] for i in gone}

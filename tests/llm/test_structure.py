@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import functions as F
 
 from saldoscope.llm import queries as Q
-from saldoscope.llm import minhash, pii, repair, shards, spelling
+from saldoscope.llm import line_dedup, minhash, pii, repair, shards, spelling
 
 from . import brute
 
@@ -341,3 +341,12 @@ def test_groups_around_boilerplate_against_all_pairs(spark):
                 up[b] = a
     got = minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), percent=80)
     assert {r.doc_id: r.component_id for r in got.collect()} == {i: top(i) for i in range(len(texts))}
+
+
+def test_lines_divided_by_other_white_space(spark):
+    ten = [f"word{i}" for i in range(10)]
+    texts = [" ".join(ten), "first\n" + "\t".join(ten), "  ".join(ten) + "\r\nnext", "a  b   c    d", "a  b   c    d", "\t \r\n\x0c" + "\x0b".join(ten), "a b c\nd e f\ng h", "x\na\tb c\r\nd  e f\n g h \ny"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.deduplicate_lines(docs).collect()}
+    assert got == brute.line_dedup(list(enumerate(texts)))
+    assert got[1] == "first" and got[2] == "next" and got[4] == texts[4] and got[7] == "x\ny"

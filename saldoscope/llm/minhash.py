@@ -287,7 +287,7 @@ def _open(done: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, member: DataFrame, percent: int) -> DataFrame:
-    """(uid, comp, fam): members by the shingles of their prefixes, where these are in two components or more."""
+    """(uid, comp, fam): members in groups of those that share a shingle of their prefixes, where these are in two components or more."""
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(batch.column("text"))
         ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
@@ -302,8 +302,9 @@ def _prefixes(docs: DataFrame, member: DataFrame, percent: int) -> DataFrame:
     enough = held.groupBy("uid").agg(F.count("*").alias("s"), F.first("n").alias("n")).where(F.col("s") >= least).select("uid", (F.col("s") - least + 1).alias("k"))
     rank = F.row_number().over(Window.partitionBy("uid").orderBy("df", "fam"))
     first = cut(held.join(enough, "uid").withColumn("r", rank).where("r <= k").select("uid", "comp", "fam"))
-    mixed = first.groupBy("fam").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("fam")
-    return first.join(mixed, "fam", "left_semi")
+    mixed = first.groupBy("fam").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("uid").alias("anchor")).where("lo != hi").select("fam", "anchor")
+    # the shingles of alike sets have nearly the same holders: those with the same smallest holder are one group
+    return first.join(mixed, "fam").select("uid", "comp", F.col("anchor").alias("fam")).distinct()
 
 
 def _rest(docs: DataFrame, sizes: DataFrame, done: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:

@@ -231,14 +231,43 @@ query("empty_statements", "select account_id, owner from {{account}} where accou
 query("field_completeness", """select account_id, count(case when description <> '' then 1 end)/count(*)*100.0::double description, count(case when counterparty <> '' then 1 end)/count(*)*100.0::double counterparty,
   count(case when merchant_name <> '' then 1 end)/count(*)*100.0::double merchant_name, count(case when counterparty_type <> 'unknown' then 1 end)/count(*)*100.0::double classified,
   count(case when is_salary or is_atm or is_cash_operation then 1 end)/count(*)*100.0::double flagged from {{txn}} group by 1""")(lambda b: A.field_completeness(b.txn))
-# a second reading of the rows, with every seventh text damaged, against the rows themselves
-query("match_truth", f"""select sum(t)::bigint expected, sum(p)::bigint parsed, sum(least(t,p))::bigint recovered, sum(same)::bigint fully_correct, sum(greatest(p-t,0))::bigint spurious from (
-  select d, amount, sum(t) t, sum(p) p, sum(least(t,p)) same from (select {O.day()} d, amount, tx, sum(t) t, sum(p) p from (
-    select ts, amount, description tx, 1 t, 0 p from {{{{txn}}}} union all select ts, amount, case when seq % 7 = 0 then '?' else description end, 0, 1 from {{{{txn}}}}) group by 1,2,3) group by 1,2)""")(
-    lambda b: A.match_truth(b.txn.select(B.day().alias("day"), "amount", F.col("description").alias("text")),
-                            b.txn.select(B.day().alias("day"), "amount", F.when(F.col("seq") % 7 == 0, "?").otherwise(F.col("description")).alias("text"))))
+# a second reading of the rows: texts in other fields, spelled otherwise, damaged; some rows lost, some read twice
+READ_AGAIN = f"""select {O.day()} as day, amount, case when seq % 7 = 0 then '?' when seq % 7 = 1 then upper(description) when seq % 7 = 2 then 'операция' else strftime(ts, '%d.%m.%Y') || '  ' || description end description,
+  case when seq % 7 = 2 then description end party from {{{{txn}}}} where seq % 11 <> 0 union all select {O.day()}, amount, 'строка', null from {{{{txn}}}} where seq % 13 = 0"""
+
+
+def read_again(b):
+    x = F.col("seq") % 7
+    d = b.txn.withColumn("day", B.day())
+    text = F.when(x == 0, "?").when(x == 1, F.upper("description")).when(x == 2, "операция").otherwise(F.concat(F.date_format("ts", "dd.MM.yyyy"), F.lit("  "), F.col("description")))
+    once = d.where("seq % 11 <> 0").select("day", "amount", text.alias("description"), F.when(x == 2, F.col("description")).alias("counterparty"))
+    return once.unionByName(d.where("seq % 13 = 0").select("day", "amount", F.lit("строка").alias("description"), F.lit(None).cast("string").alias("counterparty")))
+
+
+SMALL = "lower(trim(regexp_replace(coalesce({c}, ''), '\\s+', ' ', 'g')))"
+O.fragment("true_texts", f"select {O.day()} as day, amount, {SMALL.format(c='description')} want, count(*) t from {{{{txn}}}} group by 1, 2, 3")
+O.fragment("read_texts", f"select day, amount, concat_ws(' ', nullif({SMALL.format(c='description')}, ''), nullif({SMALL.format(c='party')}, '')) have, count(*) p from ({READ_AGAIN}) group by 1, 2, 3")
+# a text may stand in several: each day and amount is walked in order of the true texts
+O.fragment("text_edges", "select day, amount, want, have, t, p, row_number() over (partition by day, amount order by want, have) k from {{true_texts}} join {{read_texts}} using (day, amount) where contains(have, want)")
+O.fragment("text_walk", """select distinct day, amount, 0 k, map {'': 0::bigint} used, 0::bigint took from {{text_edges}} union all
+  select day, amount, k + 1, map_concat(used, map {'w' || want: coalesce(used['w' || want], 0) + n, 'h' || have: coalesce(used['h' || have], 0) + n}), took + n
+  from (select w.*, e.want, e.have, least(e.t - coalesce(w.used['w' || e.want], 0), e.p - coalesce(w.used['h' || e.have], 0)) n from {{text_walk}} w join {{text_edges}} e on e.day = w.day and e.amount = w.amount and e.k = w.k + 1)""")
+query("match_truth", """select expected, parsed, recovered, (select sum(m) from (select max(took) m from {{text_walk}} group by day, amount))::bigint fully_correct, parsed - recovered spurious from (
+  select sum(t)::bigint expected, sum(p)::bigint parsed, sum(least(t, p))::bigint recovered from (select coalesce(a.t, 0) t, coalesce(b.p, 0) p from (select day, amount, sum(t) t from {{true_texts}} group by 1, 2) a
+  full join (select day, amount, sum(p) p from {{read_texts}} group by 1, 2) b using (day, amount)))""")(
+    lambda b: A.match_truth(b.txn.select(B.day().alias("day"), "amount", F.col("description").alias("text")), read_again(b)))
 query("class_metrics", """select label, support, predicted, hits, pr "precision", rc recall, case when pr+rc > 0 then 2*pr*rc/(pr+rc) else 0.0 end f1 from (
   select *, case when predicted > 0 then hits/predicted else 0.0 end pr, case when support > 0 then hits/support else 0.0 end rc from (
   select label, sum(e)::bigint support, sum(p)::bigint predicted, sum(h)::bigint hits from (
     select quality as label, 1 e, 0 p, (quality = toxic)::int h from labels union all select toxic, 0, 1, 0 from labels) group by 1))""")(
     lambda b: A.class_metrics(b.table("labels").select(F.col("quality").alias("expected"), F.col("toxic").alias("predicted"))))
+
+
+
+def judged(b):
+    return b.table("labels").select("doc_id", F.col("quality").alias("expected"), F.col("toxic").alias("predicted"))
+
+
+query("overall_metrics", f"""select sum(support)::bigint cases, sum(hits)::bigint correct, {O.rnd('sum(hits)/sum(support)*100.0::double', 6)} accuracy, {O.rnd('avg(f1)', 6)} macro_f1 from {{{{class_metrics}}}}""")(lambda b: A.overall_metrics(judged(b)))
+query("group_accuracy", """select coalesce(lang, '—') as "group", count(case when quality = toxic then 1 end) correct, count(*) cases from labels left join documents using (doc_id) group by 1""")(
+    lambda b: A.group_accuracy(judged(b).join(b.table("documents").select("doc_id", F.col("lang").alias("group")), "doc_id", "left")))

@@ -1,9 +1,10 @@
 """Financial analytics of an account and checks of a statement."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import keywords as K
+from ..session import drop, durable
 from . import base as B
 from . import habits as H
 from .base import KEY
@@ -170,15 +171,61 @@ def field_completeness(txn: DataFrame) -> DataFrame:
                                 share(F.col("counterparty_type") != "unknown").alias("classified"), share(F.col("is_salary") | F.col("is_atm") | F.col("is_cash_operation")).alias("flagged"))
 
 
+def _plain_text(c) -> Column:
+    return F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")))
+
+
+def _grams(c: Column, n: int) -> Column:
+    """Distinct pieces of ``n`` characters of a text."""
+    size = F.length(c) - n + 1
+    return F.when(size > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda i: F.substring(c, i, F.lit(n))))).otherwise(F.expr("cast(array() as array<string>)"))
+
+
+def _carried(t: DataFrame, p: DataFrame, key: list[str]) -> DataFrame:
+    """(key, want, have, t, p): true and parsed texts of one day and amount where the one stands inside the other.
+
+    A text can only stand inside one that has all of its pieces of three characters, so they meet
+    by its rarest piece of the day and amount; shorter texts meet as a whole.
+    """
+    have = F.col("have")
+    pieces = p.join(t.select(*key).distinct(), key, "left_semi").withColumn("gram", F.explode(F.concat(F.array(F.lit("")), *[_grams(have, n) for n in (1, 2, 3)])))
+    often = pieces.groupBy(*key, "gram").agg(F.count("*").alias("n"))
+    want = F.col("want")
+    asked = F.when(want == "", F.array(F.lit(""))).when(F.length(want) < 3, F.array(want)).otherwise(_grams(want, 3))
+    t = t.withColumn("asked", asked)
+    met = t.select(*key, "want", F.col("t"), F.size("asked").alias("all"), F.explode("asked").alias("gram")).join(often, [*key, "gram"])
+    rare = met.groupBy(*key, "want", "t", "all").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"), F.count("*").alias("found")).where("found = all")
+    return rare.join(pieces, [*key, "gram"]).where(F.contains(have, want)).select(*key, "want", "have", "t", "p")
+
+
 def match_truth(truth: DataFrame, parsed: DataFrame) -> DataFrame:
-    """Multiset match of true and parsed rows on (day, amount): rows whose texts agree pair up
-    first, the rest by position. Groups meet as counts, never as pairs."""
-    t = truth.groupBy("day", "amount", "text").agg(F.count("*").alias("t"))
-    p = parsed.groupBy("day", "amount", "text").agg(F.count("*").alias("p"))
-    g = t.join(p, ["day", "amount", "text"], "full").select("day", "amount", B.n0("t").alias("t"), B.n0("p").alias("p"))
-    g = g.groupBy("day", "amount").agg(F.sum("t").alias("t"), F.sum("p").alias("p"), F.sum(F.least("t", "p")).alias("same"))
-    return g.agg(F.sum("t").alias("expected"), F.sum("p").alias("parsed"), F.sum(F.least("t", "p")).alias("recovered"), F.sum("same").alias("fully_correct"),
-                 F.sum(F.greatest(F.col("p") - F.col("t"), F.lit(0))).alias("spurious"))
+    """How much of the true rows (day, amount, text) came through in parsed ones (day, amount, and any of
+    description, counterparty and merchant_name).
+
+    Rows match on the day and the amount in cents. First those whose text survives somewhere in
+    the parsed row: true texts in order take the first parsed text left that holds them. The
+    rest of a day and amount pair up as they are. Equal texts are one row with a count; in
+    each round every pair that prefers each other is settled, which gives what one pass in order gives.
+    """
+    key = ["day", "cents"]
+    cents = F.round(F.col("amount") * 100).cast("long").alias("cents")
+    parts = [B.blank_to_null(_plain_text(F.col(c))) for c in ("description", "counterparty", "merchant_name") if c in parsed.columns]
+    t = durable(truth.groupBy("day", cents, _plain_text(F.col("text")).alias("want")).agg(F.count("*").alias("t")))
+    p = durable(parsed.groupBy("day", cents, F.concat_ws(" ", *parts).alias("have")).agg(F.count("*").alias("p")))
+    both = t.groupBy(*key).agg(F.sum("t").alias("t")).join(p.groupBy(*key).agg(F.sum("p").alias("p")), key, "full")
+    out = both.agg(F.coalesce(F.sum("t"), F.lit(0)).alias("expected"), F.coalesce(F.sum("p"), F.lit(0)).alias("parsed"), F.coalesce(F.sum(F.least(B.n0("t"), B.n0("p"))), F.lit(0)).alias("recovered"))
+    edges, same = durable(_carried(t, p, key)), 0
+    while not edges.isEmpty():
+        first = edges.groupBy(*key, "want").agg(F.min("have").alias("have"))
+        mutual = edges.join(first, [*key, "want", "have"]).join(edges.groupBy(*key, "have").agg(F.min("want").alias("want")), [*key, "want", "have"])
+        mutual = durable(mutual.select(*key, "want", "have", F.least("t", "p").alias("took")))
+        same += mutual.agg(F.sum("took")).first()[0]
+        left = edges.join(mutual.select(*key, "want", F.col("took").alias("a")), [*key, "want"], "left").join(mutual.select(*key, "have", F.col("took").alias("b")), [*key, "have"], "left")
+        left = left.withColumn("t", F.col("t") - B.n0("a")).withColumn("p", F.col("p") - B.n0("b")).where("t > 0 and p > 0").select(edges.columns)
+        after = durable(left)
+        drop(edges)
+        edges = after
+    return out.select("*", F.lit(same).cast("long").alias("fully_correct"), (F.col("parsed") - F.col("recovered")).alias("spurious"))
 
 
 def class_metrics(pairs: DataFrame) -> DataFrame:
@@ -189,3 +236,15 @@ def class_metrics(pairs: DataFrame) -> DataFrame:
     s = g.select(F.explode(sides).alias("x")).groupBy("x.label").agg(F.sum("x.e").alias("support"), F.sum("x.p").alias("predicted"), F.sum("x.h").alias("hits"))
     pr, rc = safe_div(F.col("hits"), F.col("predicted")), safe_div(F.col("hits"), F.col("support"))
     return s.withColumn("precision", pr).withColumn("recall", rc).withColumn("f1", F.when(pr + rc > 0, 2 * pr * rc / (pr + rc)).otherwise(0.0))
+
+
+def overall_metrics(pairs: DataFrame) -> DataFrame:
+    """Cases, hits, accuracy and macro-F1 (the plain mean over all labels) of (expected, predicted)."""
+    per = class_metrics(pairs)
+    return per.agg(F.sum("support").alias("cases"), F.sum("hits").alias("correct"), B.py_round(F.sum("hits") / F.sum("support") * 100.0, 6).alias("accuracy"), B.py_round(F.avg("f1"), 6).alias("macro_f1"))
+
+
+def group_accuracy(pairs: DataFrame) -> DataFrame:
+    """Hits and cases by group of difficulty; rows without a group count as one."""
+    group = F.coalesce("group", F.lit("—")).alias("group")
+    return pairs.groupBy(group).agg(F.count(F.when(F.col("expected") == F.col("predicted"), 1)).alias("correct"), F.count("*").alias("cases"))

@@ -213,7 +213,7 @@ def near_words(words: DataFrame) -> DataFrame:
 def variants(words: DataFrame) -> DataFrame:
     """(word, n, n_near, form, form_n, root) of every word of a vocabulary."""
     words = cut(words)
-    pairs = near_words(words)
+    pairs = cut(near_words(words))  # read from both ends
     both = pairs.select(F.col("a").alias("_word"), F.col("b").alias("other"), F.col("n_b").alias("m")).union(pairs.select("b", "a", "n_a"))
     best = both.groupBy("_word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("m")).alias("m"), "other")).alias("best"))
     rows = words.join(best, F.col("word") == F.col("_word"), "left")

@@ -4,11 +4,14 @@ The checking SQL is that of the plain query, with the changed rows in place of t
 """
 
 from ..operators import analytics as A
+from ..operators import base as B
 from ..operators import habits as H
 from ..operators import patterns as P
 from ..operators import profile as PR
 from ..operators import text_signals as TS
+from ..sources import statements as R
 from . import oracle as O
+from .cases import printed
 from .registry import query
 
 F = P.F
@@ -77,3 +80,29 @@ for _name, _least in (("recurring_keys", 2), ("recurring_keys_from_one_gap", 1))
     query(f"{_name}_monthly", instead(_name, dups="dups_monthly"))(lambda b, least=_least: H.recurring_keys(b.dups.select(
         "account_id", "seq", F.expr(MONTHLY["ts"]).alias("ts"), F.lit(50000).cast("decimal(15,2)").alias("amount"), F.expr("concat('p', seq div 40)").alias("cp")), least)
         .withColumn("amount", F.col("amount").cast("double")))
+
+# sheets of four shapes: with a header, without one, with the date in the third column, with most dates broken
+SHAPE = "ascii(right(account_id, 1)) % 4"
+
+
+def shapes(b):
+    t = b.txn.withColumn("k", F.expr(SHAPE))
+    date = F.date_format("ts", "dd.MM.yyyy")
+    cp = F.coalesce("counterparty", F.lit(""))
+    usual = F.array(F.when((F.col("k") == 3) & (F.col("seq") % 3 != 0), "н/д").otherwise(date), printed(F.col("amount")), cp, F.coalesce("description", F.lit("")))
+    rows = t.select("account_id", (F.col("seq") * 2 + 2).alias("row_idx"), F.when(F.col("k") == 2, F.array(cp, F.lit("x"), date, printed(F.col("amount")))).otherwise(usual).alias("cells"))
+    head = t.where("k in (0, 3)").select("account_id").distinct().select("account_id", F.lit(1).cast("long").alias("row_idx"), F.array(*map(F.lit, ("Дата", "Сумма", "Контрагент", "Детали"))).alias("cells"))
+    return rows, head
+
+
+O.fragment("shaped", f"select *, {SHAPE} k, seq * 2 + 2 row_idx from {{{{txn}}}}")
+query("find_header_shapes", "select account_id, case when k in (0, 3) then 1 when k = 1 then min(row_idx) end::bigint header_row, k in (0, 3) has_names from {{shaped}} group by account_id, k")(
+    lambda b: (lambda s: R.find_header(s[0].unionByName(s[1])))(shapes(b)))
+query("infer_layout_shapes", """select account_id, case when k = 2 then 2 else 0 end::int date_col, case when k = 2 and not regexp_matches(arg_min(coalesce(counterparty, ''), row_idx), '[\\d\\s]') then 2 else 0 end::int amount_col
+  from {{shaped}} where k <> 3 or seq % 3 = 0 group by account_id, k""")(lambda b: (lambda s: R.infer_layout(s[0].unionByName(s[1])))(shapes(b)))
+query("validate_layout_shapes", """select account_id, case k when 2 then false when 3 then count(case when seq % 3 = 0 then 1 end) / count(*) >= 0.5 else true end date_ok, k <> 2 amount_ok from {{shaped}} group by account_id, k""")(
+    lambda b: R.validate_layout(shapes(b)[0], {"date": 0, "amount": 1}))
+# numbers in the text and another sum before the amount
+query("text_to_txn_decoys", f"select account_id, seq, {O.day()} as day, amount::double amount from {{{{txn}}}} where amount <> 0")(
+    lambda b: R.text_to_txn(b.txn.select("account_id", "seq", F.concat_ws(" ", F.date_format("ts", "dd.MM.yyyy"), "description", F.lit("остаток 7,77"), F.translate(printed(F.col("amount")), " ", "")).alias("line"))).select(
+        "account_id", "seq", B.day().alias("day"), B.dbl("amount").alias("amount")))

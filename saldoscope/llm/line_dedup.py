@@ -34,15 +34,16 @@ MIN_WORDS = 8
 REACH = MIN_WORDS  # lines: each has a word at least
 
 
-def bare(line: Column) -> Column:
-    """A line's words with one blank between; most lines are like that and are left as they are."""
-    return F.trim(F.when(line.rlike(r"[\x09\x0B-\x0D]|\x20\x20"), F.regexp_replace(line, r"[\x20\x09\x0B-\x0D]+", " ")).otherwise(line))
+def bare(text: Column) -> Column:
+    """A text with one blank for each other white space within its lines; most texts are left as they are."""
+    return F.when(text.rlike(r"[\x09\x0B-\x0D]|\x20\x20"), F.regexp_replace(text, r"[\x20\x09\x0B-\x0D]+", " ")).otherwise(text)
 
 
 def line_runs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, key (hash of the text), lines: array of (h, w) of the non-blank lines."""
-    lines = F.transform(F.transform(F.split(F.col(text), "\n", -1), bare), lambda l: F.struct(F.xxhash64(l).alias("h"), F.size(F.split(l, " ", -1)).alias("w"), (l != "").alias("full")))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), F.filter(lines, lambda x: x["full"]).alias("lines"))
+    lines = F.transform(F.split("__bare", "\n", -1), lambda l: F.struct(F.xxhash64(F.trim(l)).alias("h"), F.size(F.split(F.trim(l), " ", -1)).alias("w"), (F.trim(l) != "").alias("full")))
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), bare(F.col(text)).alias("__bare"))
+    rows = docs.select("doc_id", "key", F.filter(lines, lambda x: x["full"]).alias("lines"))
     return rows.where("size(lines) > 0").select("doc_id", "key", F.transform("lines", lambda x: F.struct(x["h"].alias("h"), x["w"].alias("w"))).alias("lines"))
 
 
@@ -116,7 +117,8 @@ def deduplicate_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     gone = gone.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "__gone")
     rows = docs.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__key")), "left")
     rows = rows.withColumn("__lines", F.when(F.col("__gone").isNotNull(), F.split(F.col(text), "\n", -1)))
-    full = F.filter(F.transform("__lines", lambda l, i: F.when(bare(l) != "", i)), lambda i: i.isNotNull())
+    spaced = F.split(F.when(F.col("__gone").isNotNull(), bare(F.col(text))), "\n", -1)
+    full = F.filter(F.transform(spaced, lambda l, i: F.when(F.trim(l) != "", i)), lambda i: i.isNotNull())
     rows = rows.withColumn("__full", full)
     dropped = F.transform("__gone", lambda k: F.get("__full", k))
     keep = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), dropped)

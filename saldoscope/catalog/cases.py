@@ -280,7 +280,14 @@ query("detect_issuer", f"""with texts_by_account as (select distinct description
   select account_id doc_id, case when p < 20 then 'unknown' else issuer end issuer, p/100.0::double confidence from (select *, row_number() over (partition by account_id order by p desc, o) k from ({issuer_sql()})) where k = 1""")(
     lambda b: R.detect_issuer(b.txn.select(F.concat_ws(" ", "description", "counterparty").alias("text")).distinct().withColumn("doc_id", F.col("text"))))
 
+# every other text comes from a CSV file
+query("detect_issuer_of_files", "select doc_id, case when length(doc_id) % 2 = 0 then 'unknown' else issuer end issuer, case when length(doc_id) % 2 = 0 then 0.0::double else confidence end confidence from {{detect_issuer}}")(
+    lambda b: R.detect_issuer(b.txn.select(F.concat_ws(" ", "description", "counterparty").alias("text")).distinct().withColumn("doc_id", F.col("text"))
+                              .withColumn("file_type", F.when(F.length("text") % 2 == 0, "CSV").otherwise("pdf"))))
+
 # ---- sinks
+query("analyses_with_modules", f"select account_id analysis_id, composite_score, risk_level, least(10, floor(composite_score/10)::int) risk_score, account_type, patterns, {', '.join(S.MODULES)} from {{{{composite}}}}")(
+    lambda b: SK.analyses_rows(b.report, b.scored).drop("report"))
 query("analyses_rows", "select account_id analysis_id, composite_score, risk_level, least(10, floor(composite_score/10)::int) risk_score from {{composite}}")(lambda b: SK.analyses_rows(b.report).drop("report"))
 query("upsert_subjects", "select unique_identifier, subject_type, min(name) as name from {{subject_rows}} group by 1,2")(
     lambda b: SK.upsert_subjects(b.subjects, b.subjects.filter("subject_type = 'individual'")))

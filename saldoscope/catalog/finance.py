@@ -114,6 +114,9 @@ query("classify_cascade", f"""select name, case when op then 'unknown' when tr a
   case when op then 0.0::double when tr and kind <> 'unknown' then confidence when known_kind is not null then 0.9::double else confidence end confidence,
   case when op then 'rule' when tr and kind <> 'unknown' then 'rule' when known_kind is not null then 'cache' else 'rule' end source
   from (select *, {operation_sql('name')} op, {TRADER.format(c='name')} tr from {{{{ruled}}}} left join {{{{lookup}}}} using (name) where name in (select name from {{{{names}}}}))""")(lambda b: b.classes)
+KIND_NAME = "case kind when 'merchant' then 'trade' when 'person' then 'people' when 'bank' then 'bank' end"
+query("apply_categories", f"""select account_id, coalesce(nullif(category, ''), {KIND_NAME}) category, count(*) n from {{{{txn}}}} t left join {{{{classify_cascade}}}} c on c.name = {KEYNAME} group by 1,2""")(
+    lambda b: E.apply_classification(b.txn, b.classes.withColumn("category", F.expr(KIND_NAME))).groupBy("account_id", "category").agg(F.count("*").alias("n")))
 query("apply_classification", f"""select account_id, case when counterparty_type = 'unknown' and kind is not null then kind else counterparty_type end counterparty_type, count(*) n,
   count(coalesce(nullif(t.merchant_name,''), c.merchant_name)) named from {{{{txn}}}} t left join {{{{classify_cascade}}}} c on c.name = {KEYNAME} group by 1,2""")(
     lambda b: E.apply_classification(b.txn, b.classes).groupBy("account_id", "counterparty_type").agg(F.count("*").alias("n"), F.count("merchant_name").alias("named")))

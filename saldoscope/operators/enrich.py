@@ -31,13 +31,15 @@ def classify(names: DataFrame, lookup: DataFrame) -> DataFrame:
 
 
 def apply_classification(txn: DataFrame, classes: DataFrame) -> DataFrame:
-    """Fill empty fields only; what the statement says stays."""
-    c = classes.select(F.col("name").alias("_key"), "kind", F.col("merchant_name").alias("_mn"), F.col("merchant_type").alias("_mt"))
+    """Fill empty fields only; what the statement says stays. Classes may come with a category."""
+    given = F.col("category") if "category" in classes.columns else F.lit(None).cast("string")
+    c = classes.select(F.col("name").alias("_key"), "kind", F.col("merchant_name").alias("_mn"), F.col("merchant_type").alias("_mt"), given.alias("_ct"))
     d = txn.withColumn("_key", _key()).join(c, "_key", "left")
     kind = F.when((F.col("counterparty_type") == "unknown") & F.col("kind").isNotNull(), F.col("kind")).otherwise(F.col("counterparty_type"))
     d = d.withColumn("counterparty_type", kind).withColumn("merchant_name", F.coalesce(B.blank_to_null("merchant_name"), F.col("_mn")))
     kept = B.blank_to_null("merchant_type") if "merchant_type" in txn.columns else F.lit(None).cast("string")
-    return d.withColumn("merchant_type", F.coalesce(kept, F.col("_mt"))).drop("_key", "kind", "_mn", "_mt")
+    category = B.blank_to_null("category") if "category" in txn.columns else F.lit(None).cast("string")
+    return d.withColumn("merchant_type", F.coalesce(kept, F.col("_mt"))).withColumn("category", F.coalesce(category, F.col("_ct"))).drop("_key", "kind", "_mn", "_mt", "_ct")
 
 
 def names_by_turnover(txn: DataFrame, k: int = 60) -> DataFrame:

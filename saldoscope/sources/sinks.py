@@ -9,9 +9,13 @@ from ..operators import scoring as R
 from ..session import durable, exists
 
 
-def analyses_rows(report: DataFrame) -> DataFrame:
-    """Stored analysis per account: score, level, legacy score and the report document."""
-    return report.select(F.col("account_id").alias("analysis_id"), "composite_score", "risk_level", R.legacy_risk_score(F.col("composite_score")).alias("risk_score"), "report")
+def analyses_rows(report: DataFrame, scored: DataFrame | None = None) -> DataFrame:
+    """Stored analysis per account: score, level, legacy score and the report document; with
+    ``scored`` also a column for the score of each module, and how many schemes were found."""
+    out = report.select(F.col("account_id").alias("analysis_id"), "composite_score", "risk_level", R.legacy_risk_score(F.col("composite_score")).alias("risk_score"), "report")
+    if scored is None:
+        return out
+    return out.join(scored.select(F.col("account_id").alias("analysis_id"), "account_type", "patterns", *R.MODULES), "analysis_id")
 
 
 BUCKETS = 256
@@ -36,9 +40,9 @@ def replace_by_id(rows: DataFrame, path: str, key: str, buckets: int = BUCKETS)
     dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
-def write_analyses(report: DataFrame, path: str) -> None:
+def write_analyses(report: DataFrame, path: str, scored: DataFrame | None = None) -> None:
     """Replace the analyses at hand and leave the others as they are."""
-    replace_by_id(analyses_rows(report), path, "analysis_id")
+    replace_by_id(analyses_rows(report, scored), path, "analysis_id")
 
 
 def write_txn(txn: DataFrame, path: str) -> None:

@@ -296,8 +296,9 @@ def map_rows_exchange(rows: DataFrame) -> DataFrame:
 
 
 def detect_issuer(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) -> issuer with the highest score; listed order breaks ties. The pattern
-    table is fixed, so it is part of the expression and no join is needed."""
+    """(doc_id, text) -> issuer with the highest score; listed order breaks ties. A CSV file (column
+    file_type, if there is one) says nothing of its issuer. The pattern table is fixed, so it is
+    part of the expression and no join is needed."""
     low = F.lower("text")
     point = lambda cond, w: F.when(cond, w).otherwise(0)
     scores = []
@@ -312,7 +313,8 @@ def detect_issuer(docs: DataFrame) -> DataFrame:
         scores.append(F.struct(F.least(s, F.lit(100)).alias("points"), F.lit(-i).alias("order"), F.lit(name).alias("issuer")))
     best = F.array_max(F.array(*scores))
     d = docs.withColumn("b", best)
-    return d.select("doc_id", F.when(F.col("b.points") < 20, "unknown").otherwise(F.col("b.issuer")).alias("issuer"), (F.col("b.points") / 100.0).alias("confidence"))
+    csv = F.coalesce(F.lower("file_type") == "csv", F.lit(False)) if "file_type" in docs.columns else F.lit(False)
+    return d.select("doc_id", F.when(csv | (F.col("b.points") < 20), "unknown").otherwise(F.col("b.issuer")).alias("issuer"), F.when(csv, 0.0).otherwise(F.col("b.points") / 100.0).alias("confidence"))
 
 
 def read_articles(spark: SparkSession, path: str) -> DataFrame:

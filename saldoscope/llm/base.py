@@ -4,6 +4,8 @@ All numpy work is done inside ``mapInArrow`` tasks on slices of a bounded number
 the memory of a task depends on the largest single document, never on a partition or a group.
 """
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 import zipfile
@@ -188,10 +190,20 @@ def gathered(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker process outlives its task and waits for others."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # a C library without it keeps its own pools
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def by_slice(fn: Callable[[pa.RecordBatch], pa.RecordBatch], column: str, limit: int = SLICE_BYTES, rows: int | None = None):
     """A ``mapInArrow`` function that applies ``fn`` to rows of bounded bytes of a column, and
     to about ``rows`` rows at most if what ``fn`` needs grows with their number."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = None
         for part in gathered(batches, column, limit, rows):
             yield fn(part)
+        part = None
+        give_back()
     return run

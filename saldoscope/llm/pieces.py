@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .base import by_slice, flat, ranges, tune
+from .base import by_slice, flat, give_back, ranges, tune
 
 MARKER = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -320,6 +320,7 @@ def _with_model(docs: DataFrame, column: str, model_path: str, fields: list, fn,
         for batch in batches:
             for at in range(0, batch.num_rows, 50):
                 yield one(batch.slice(at, 50))
+        give_back()
 
     schema = T.StructType([f for f in docs.schema.fields if f.name not in {x.name for x in fields}] + fields)
     kept = docs.select(*[f"`{f.name}`" for f in docs.schema.fields if f.name not in {x.name for x in fields}])

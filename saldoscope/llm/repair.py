@@ -49,7 +49,7 @@ INITIALS = "sua"
 LEGAL = {"su", "ua", "au"}
 _NEXT = (2, 2, 3, 2)
 _INF = 1 << 40
-_OK, _CUT_OFF, _GO = 0, 1, 2
+_CUT_OFF, _GO = 1, 2
 
 Vector = tuple[int, int, int, int]
 ACCEPT: Vector = (0, _INF, _INF, 0)

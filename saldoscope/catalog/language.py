@@ -3,7 +3,6 @@
 from ..config import keywords as K
 from ..config import language as L
 from ..config import names as NM
-from ..functions import names as N
 from ..operators import base as B
 from ..operators import privacy as PV
 from ..operators import statutes as ST

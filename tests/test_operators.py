@@ -171,3 +171,25 @@ def test_row_order_does_not_matter(spark):
     lim = spark.createDataFrame([("A", 4), ("B", 4)], "account_id string, burst_rows int")
     one, two = V.velocity_bursts(d, lim), V.velocity_bursts(d.orderBy(F.rand(1)), lim)
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
+
+
+def test_monthly_repeats_look_at_near_days_only(spark, monkeypatch):
+    """Payments without a partner a month off never become boxes; repeats equal all pairs."""
+    rnd = random.Random(5)
+    rows = [(rnd.choice("AB"), T0 + timedelta(minutes=rnd.randrange(0, 150 * 1440)), -rnd.choice([1, 2, 100, 101, 103, 104, 5000, 90000]), rnd.choice("pqr")) for _ in range(150)]
+    rows += [("A", T0 + timedelta(days=d, microseconds=u), -a, "edge") for d, u, a in ((0, 0, 100), (25, -1, 100), (61, -2, 100), (200, 0, 100), (225, 0, 103), (300, 0, 100), (336, 0, 100))]
+    lonely = [("C", T0 + timedelta(days=2 * i), -100 * 2 ** i, f"cp{i % 3}") for i in range(20)] + [(None, T0, -100, "p"), (None, T0 + timedelta(days=30), -100, "p")]
+    asked, hits = [], S._box_hits
+
+    def watch(points, keys, boxes, length):
+        asked.extend(points.collect())
+        return hits(points, keys, boxes, length)
+
+    monkeypatch.setattr(S, "_box_hits", watch)
+    got = {tuple(r) for r in S.recurring_points(book(spark, rows + lonely)).select("account_id", "cp", "t", "v").collect()}
+    pts = {(a, cp, us(t), -v * 100) for a, t, v, cp in rows}
+    day = 86_400_000_000
+    near = lambda p, q: p[:2] == q[:2] and 25 * day <= q[2] - p[2] < 36 * day and 97 * p[3] <= 100 * q[3] <= 103 * p[3]
+    want = {x for p in pts for q in pts if near(p, q) for x in (p, q)}
+    assert got == want and want
+    assert not [r for r in asked if r["account_id"] not in ("A", "B")]

@@ -1,5 +1,7 @@
 """Masking on a small hand-made book: names of any length, identifiers, unseen names, owners."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,3 +69,19 @@ def test_the_names_can_be_put_back(masked, spark):
     account = spark.createDataFrame([("A", "Иванов Иван Иванович")], "account_id string, owner string")
     back = PV.unmask_text(made.rows.select("account_id", "seq", F.col("description_masked").alias("masked")), tags, made.ids, account)
     assert {r.seq: r.restored for r in back.collect()}[2] == ROWS[1][1]
+
+
+def test_words_travel_without_their_text(spark):
+    """A long text must not be copied for each of its words; texts of one number keep their own names."""
+    long = "Перевод Зауре К. " + " ".join(f"слово{i}" for i in range(3000))
+    texts = spark.createDataFrame([("A", 1, long, 0), ("A", 1, "Для Ержан О.", 0), (None, 2, "Для Ержан О.", 0), ("B", 3, "Для ЕРЖАН О.", 0), ("A", 4, "Ержанов О.", 0)],
+                                  "account_id string, seq long, text string, field int")
+    tags = spark.createDataFrame([("A", "ЕРЖАН О.", "Ержан О.", "[PERSON_1]"), ("A", "ЗАУРЕ К.", "Зауре К.", "[PERSON_2]")], "account_id string, person string, display string, tag string")
+    owners = spark.createDataFrame([], "account_id string, variant string")
+    d = PV._without_names(texts, tags, owners)
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    kept = re.findall(r"Generate explode\(.*\), \[([^\]]*)\], (?:true|false), \[word#", plan)
+    assert kept and not any("text#" in columns for columns in kept)
+    got = {(r[0], r[1][:12]): r[2][:20] for r in d.select("account_id", "text", "named").collect()}
+    assert got == {("A", long[:12]): long.replace("Зауре К.", "[PERSON_2]")[:20], ("A", "Для Ержан О."): "Для [PERSON_1]", (None, "Для Ержан О."): "Для Ержан О.",
+                   ("B", "Для ЕРЖАН О."): "Для ЕРЖАН О.", ("A", "Ержанов О."): "Ержанов О."}

@@ -124,6 +124,16 @@ def stamp_us(c) -> Column:
     return stamp(F.timestamp_micros(c))
 
 
+def read_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are worked out once a row: a filter on them stays behind them.
+
+    Below a plain projection Spark would put the filter with all the text work inside, nested, and
+    do that work again above it.
+    """
+    out = df.withColumn("_once", F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+    return out.select("*", *[F.col(f"_once.{n}").alias(n) for n in columns]).drop("_once")
+
+
 def moments(prefix: str, c) -> list:
     """Count, sum and sum of squares: enough for mean and both deviations, and mergeable."""
     c = F.col(c) if isinstance(c, str) else c

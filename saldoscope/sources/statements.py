@@ -43,13 +43,22 @@ def two_digit_year(ts: Column) -> Column:
     return F.when(F.year(ts) > 2068, ts - F.expr("interval 100 years")).otherwise(ts)
 
 
+def date_head(c: Column) -> Column:
+    """The date a text begins with, in one of three shapes, else an empty text."""
+    return F.regexp_extract(F.replace(F.trim(c), F.lit("/"), F.lit(".")), r"^(\d{2}\.\d{2}\.\d{4}|\d{2}\.\d{2}\.\d{2}|\d{4}-\d{2}-\d{2})", 1)
+
+
+def read_head(head: Column) -> Column:
+    """Instant of a ``date_head``; the pattern follows from the shape, since one that fails costs an exception."""
+    long, _, iso = Y.DATE_FORMATS
+    year = F.substring(head, 7, 2)
+    short = F.concat(F.substring(head, 1, 6), F.when(year > "68", "19").otherwise("20"), year)
+    read = F.when(F.substring(head, 5, 1) == "-", F.try_to_timestamp(head, F.lit(iso))).when(F.length(head) == 10, F.try_to_timestamp(head, F.lit(long)))
+    return F.coalesce(read, F.when(F.substring(head, 3, 1) == ".", F.try_to_timestamp(short, F.lit(long))))
+
+
 def parse_date_any(c: Column) -> Column:
-    text = F.replace(F.trim(c), F.lit("/"), F.lit("."))
-    head = F.regexp_extract(text, r"^(\d{2}\.\d{2}\.\d{4}|\d{2}\.\d{2}\.\d{2}|\d{4}-\d{2}-\d{2})", 1)
-    short = F.regexp_extract(text, r"^(\d{2}\.\d{2}\.\d{2})", 1)
-    tries = [(head, f) for f in Y.DATE_FORMATS] + [(short, "dd.MM.yy")]
-    read = [F.try_to_timestamp(text, F.lit(f)) for text, f in tries]
-    return F.coalesce(*[two_digit_year(r) if "yyyy" not in f else r for r, (_, f) in zip(read, tries)])
+    return read_head(date_head(c))
 
 
 def parse_amount_any(c: Column) -> Column:
@@ -59,9 +68,8 @@ def parse_amount_any(c: Column) -> Column:
     minus = text.contains("-") | low.contains("списан") | low.contains("расход")
     digits = F.regexp_replace(text, r"[^\d,.]", "")
     both = digits.contains(",") & digits.contains(".")
-    v = F.when(both, F.replace(digits, F.lit(","), F.lit(""))).otherwise(F.replace(digits, F.lit(","), F.lit("."))).try_cast(MONEY)
-    v = F.coalesce(v, F.lit(0).cast(MONEY))
-    return F.when(minus, -F.abs(v)).otherwise(F.abs(v))
+    v = F.concat(F.when(minus, "-").otherwise(""), F.replace(digits, F.lit(","), F.when(both, "").otherwise(".")))
+    return F.coalesce(F.when(digits != "", v).try_cast(MONEY), F.lit(0).cast(MONEY))  # a cast of nothing costs an exception
 
 
 def infer_tx_type(text: Column, amount: Column) -> Column:
@@ -78,8 +86,7 @@ def project_rows(raw: DataFrame, at: dict[str, Column], split: Column, extras: d
     their own. Positions may differ from row to row and are null where a layout has no such column.
     """
     cell = lambda i: F.trim(F.coalesce(F.get("cells", i), F.lit("")))
-    credit, debit = parse_amount_any(cell(at["credit"])), parse_amount_any(cell(at["debit"]))
-    amount = F.when(split, F.when(credit != 0, credit).otherwise(-F.abs(debit))).otherwise(parse_amount_any(cell(at["amount"])))
+    amount = F.when(F.col("_split"), F.when(F.col("_credit") != 0, F.col("_credit")).otherwise(-F.abs("_debit"))).otherwise(F.col("_amount"))
     cp = cell(at["counterparty"])
     cp = F.when(cp.isin("—", "-", ""), F.lit(None)).otherwise(cp)
     operation = cell(at["type"])
@@ -89,8 +96,11 @@ def project_rows(raw: DataFrame, at: dict[str, Column], split: Column, extras: d
     if "payment_purpose" in extras:
         text = F.coalesce(B.blank_to_null(text), cell(extras["payment_purpose"]))
     text = F.coalesce(B.blank_to_null(text), F.trim(F.concat_ws(" ", B.blank_to_null(operation), cp)))
-    d = raw.select("account_id", "seq", parse_date_any(cell(at["date"])).alias("ts"), amount.alias("amount"), text.alias("description"), cp.alias("counterparty"), operation.alias("operation"),
+    d = raw.select("account_id", "seq", date_head(cell(at["date"])).alias("_date"), *[parse_amount_any(cell(at[r])).alias(f"_{r}") for r in ("credit", "debit", "amount")], split.alias("_split"),
+                   text.alias("description"), cp.alias("counterparty"), operation.alias("operation"),
                    *[B.blank_to_null(cell(i)).alias(r) for r, i in extras.items() if r != "counterparty"], *keep)
+    d = B.read_once(d, ts=read_head(F.col("_date")), amount=amount).drop("_date", "_credit", "_debit", "_amount", "_split")
+    d = d.select("account_id", "seq", "ts", "amount", *[c for c in d.columns if c not in ("account_id", "seq", "ts", "amount")])
     return d.withColumn("type", infer_tx_type(F.concat_ws(" ", B.blank_to_null("operation"), F.col("description")), F.col("amount"))).drop("operation")
 
 

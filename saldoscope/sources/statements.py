@@ -113,12 +113,11 @@ def rows_to_txn(raw: DataFrame, roles: dict, extras: dict | None = None) -> Data
 
 def text_to_txn(lines: DataFrame) -> DataFrame:
     """(account_id, seq, line): the amount is the last money figure after the date."""
-    first = F.regexp_extract("line", Y.DATE_REGEX, 1)
-    d = lines.withColumn("line", F.trim("line")).withColumn("_d", first).filter("_d <> ''")
-    tail = F.substring("line", F.instr("line", F.col("_d")) + F.length("_d"), F.length("line"))
-    d = d.withColumn("_tail", tail).withColumn("_money", F.regexp_extract_all("_tail", F.lit(Y.MONEY_REGEX), 1)).filter(F.size("_money") > 0)
-    d = d.withColumn("amount", parse_amount_any(F.element_at("_money", -1))).filter("amount <> 0")
-    return d.select("account_id", "seq", parse_date_any(F.col("_d")).alias("ts"), "amount", infer_tx_type(F.col("line"), F.col("amount")).alias("type"),
+    d = lines.select("account_id", "seq", F.trim("line").alias("line")).withColumn("_d", F.regexp_extract("line", Y.DATE_REGEX, 1))
+    d = d.withColumn("_tail", F.substring("line", F.instr("line", F.col("_d")) + F.length("_d"), F.length("line")))
+    d = d.withColumn("_money", F.try_element_at(F.regexp_extract_all("_tail", F.lit(Y.MONEY_REGEX), 1), F.lit(-1)))
+    d = B.read_once(d, amount=parse_amount_any(F.col("_money")), _date=date_head(F.col("_d"))).filter("_date <> '' and amount <> 0")
+    return d.select("account_id", "seq", read_head(F.col("_date")).alias("ts"), "amount", infer_tx_type(F.col("line"), F.col("amount")).alias("type"),
                     F.trim("_tail").alias("description"))
 
 

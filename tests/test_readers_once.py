@@ -31,3 +31,10 @@ def test_cells_are_parsed_once(spark):
     got = R.rows_to_txn(raw, R.resolve_layout(["Дата", "Описание", "Приход", "Расход", "Остаток"]))
     assert [(r.seq, r.ts, r.amount) for r in got.collect()] == [(1, datetime.datetime(2024, 1, 5), Decimal("-7.50"))]
     assert not text_work_below_a_filter(got)
+
+
+def test_lines_are_parsed_once(spark):
+    lines = spark.createDataFrame([("a", 1, " 05.01.2024 n 7,77 -1400,00"), ("a", 2, "no date 1,00"), ("a", 3, "05.01.2024 none"), ("a", 4, "05.01.2024 0,00"), ("a", 5, None)], "account_id string, seq long, line string")
+    got = R.text_to_txn(lines)
+    assert [(r.seq, r.amount, r.description) for r in got.collect()] == [(1, Decimal("-1400.00"), "n 7,77 -1400,00")]
+    assert not text_work_below_a_filter(got)

@@ -240,13 +240,15 @@ def fix_glued(c: Column) -> Column:
 def map_rows_ledger(rows: DataFrame) -> DataFrame:
     """Nine columns: date, processed, text, amount, currency, credit, debit, commission, card."""
     c = lambda i: F.trim(F.coalesce(F.get("cells", F.lit(i)), F.lit("")))
-    money = lambda i: F.coalesce(F.replace(F.regexp_replace(c(i), r"[₸$€\s ]", ""), F.lit(","), F.lit(".")).try_cast(MONEY), F.lit(0).cast(MONEY))
-    d = rows.select("account_id", "seq", F.coalesce(F.try_to_timestamp(c(0), F.lit("dd.MM.yyyy")), two_digit_year(F.try_to_timestamp(c(0), F.lit("dd.MM.yy")))).alias("ts"),
+    bare = lambda i: F.replace(F.regexp_replace(c(i), r"[₸$€\s ]", ""), F.lit(","), F.lit("."))
+    money = lambda i: F.coalesce(B.blank_to_null(bare(i)).try_cast(MONEY), F.lit(0).cast(MONEY))
+    ts = F.when(F.length(c(0)) == 8, two_digit_year(F.try_to_timestamp(c(0), F.lit("dd.MM.yy")))).when(c(0) != "", F.try_to_timestamp(c(0), F.lit("dd.MM.yyyy")))
+    d = rows.select("account_id", "seq", ts.alias("ts"),
                     fix_glued(F.replace(c(2), F.lit("\n"), F.lit(" "))).alias("description"), F.coalesce(B.blank_to_null(c(4)), F.lit("KZT")).alias("currency"),
                     money(5).alias("credit"), money(6).alias("debit"), money(7).alias("commission"), c(8).alias("reference"))
     fee = (F.col("commission") != 0) & (F.col("credit") == 0) & (F.col("debit") == 0)
     amount = F.when(fee, F.col("commission")).when(F.col("credit") > 0, F.col("credit")).otherwise(F.col("debit"))
-    d = d.filter("ts is not null").withColumn("amount", amount).filter("amount <> 0")
+    d = B.read_once(d.withColumnRenamed("ts", "_ts"), ts=F.col("_ts"), amount=amount).drop("_ts").filter("ts is not null and amount <> 0")
     low, text = F.lower("description"), F.col("description")
     by_word = F.lit(None).cast("string")
     for kind, words in reversed(Y.LEDGER_TYPES):

@@ -38,3 +38,12 @@ def test_lines_are_parsed_once(spark):
     got = R.text_to_txn(lines)
     assert [(r.seq, r.amount, r.description) for r in got.collect()] == [(1, Decimal("-1400.00"), "n 7,77 -1400,00")]
     assert not text_work_below_a_filter(got)
+
+
+def test_ledger_rows_are_parsed_once(spark):
+    row = lambda d, credit, debit, fee="": [d, "", "Оплата услуг Связь", "", "", credit, debit, fee, "*1"]
+    raw = spark.createDataFrame([("a", 1, row("05.01.2024", "1 400,00", "")), ("a", 2, row("05.01.72", "", "-7,5")), ("a", 3, row("", "1", "")), ("a", 4, row("05.01.2024", "", "")), ("a", 5, row("5.1.24", "1", "")), ("a", 6, row("05.01.2024", "", "", "3"))],
+                                "account_id string, seq long, cells array<string>")
+    got = R.map_rows_ledger(raw)
+    assert sorted((r.seq, r.ts.year, r.amount, r.type) for r in got.collect()) == [(1, 2024, Decimal("1400.00"), "expense"), (2, 1972, Decimal("-7.50"), "expense"), (6, 2024, Decimal("3.00"), "fee")]
+    assert not text_work_below_a_filter(got)

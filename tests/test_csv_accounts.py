@@ -20,12 +20,13 @@ def test_a_column_names_the_account(spark, tmp_path):
 
 def test_files_do_not_grow_with_accounts(spark):
     rows = [(f"C{i}", i % 3 if i % 7 else None, datetime(2024, 1, 1 + i % 28), Decimal(i % 5 - 2), ' "a" ,;' if i % 2 else None, "x|\ty") for i in range(400)]
+    rows.append((None, 1, datetime(2024, 1, 1), Decimal(3), None, "y"))
     txn = spark.createDataFrame(rows * 2, "account_id string, seq long, ts timestamp, amount decimal(15,2), counterparty string, description string")
     book = SimpleNamespace(spark=spark, txn=txn)
     folder = cases.csv_folder(book)
     assert sum(f.endswith(".csv") for _, _, files in os.walk(folder.removeprefix("file:")) for f in files) <= 16
     out = cases.csv_statements(book).collect()
-    assert len(out) == 800 and sum(r.place == 0 for r in out) == 2 * sum(r[3] == 0 for r in rows)
+    assert len(out) == 802 and sum(r.place == 0 for r in out) == 2 * sum(r[3] == 0 for r in rows)
     good = {(r.account_id, r.place): r for r in out if r.place}
-    assert set(good) == {(r[0], p) for r in rows if r[3] for p in (1, 2)}
+    assert set(good) == {(r[0] or cases.NO_ACCOUNT, p) for r in rows if r[3] for p in (1, 2)}
     assert {r.counterparty for r in good.values()} == {'"a" ,;', None}

@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import durable
+
 KEY = "account_id"
 HOUR_US = 3_600_000_000
 DAY_US = 24 * HOUR_US
@@ -178,6 +180,12 @@ def n0(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(0))
 
 
+def having(rows: DataFrame, wanted: DataFrame, keys) -> DataFrame:
+    """Rows whose keys stand in ``wanted``; a null key is a key like any other."""
+    named = wanted.select(*[F.col(k).alias(f"_w_{k}") for k in keys])
+    return rows.join(named, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_w_{k}")) for k in keys]), "left_semi")
+
+
 def sliced_cumsum(df: DataFrame, keys, t: str, order, values: dict, slice_us: int = DAY_US) -> DataFrame:
     """Running totals along time without putting a whole key into one task.
 
@@ -304,6 +312,20 @@ def carry_last(df: DataFrame, keys, order: str, mark, out: str, slice_width: int
     return d.drop("_mark", "_slice", "_before")
 
 
+def near_full_slots(rows: DataFrame, keys, width_us: int, measure: Column, least: Column) -> DataFrame:
+    """Rows that can lie in a window whose ``measure`` adds up to ``least``, found by one aggregate.
+
+    A window touches two neighbouring slots at most, so one of them holds half of it: rows stay in
+    such slots and in those beside them. The slots are written first, so that their true size
+    decides whether rows must be shuffled to meet them.
+    """
+    slot = F.floor(us() / F.lit(width_us))
+    full = rows.select(*keys, slot.alias("_slot"), measure.alias("_m")).groupBy(*keys, "_slot").agg(F.sum("_m").alias("_m")).filter(F.col("_m") * 2 >= least)
+    beside = F.explode(F.array(*[F.col("_slot") + i for i in (-1, 0, 1)])).alias("_slot")
+    near = durable(full.select(*keys, beside).distinct())
+    return rows.withColumn("_slot", slot).join(near, [*keys, "_slot"], "left_semi").drop("_slot")
+
+
 def prune_slots(instants: DataFrame, keys, width_us: int, measure: str, limits: DataFrame, limit: Column) -> DataFrame:
     """Drop instants that cannot lie in a window reaching ``limit``.
 

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import keywords as K
+from ..session import durable
 from . import base as B
 from .base import KEY
 
@@ -71,27 +72,39 @@ def looks_like_merchant(name):
 
 
 def family_counterparties(txn: DataFrame, months: int = 3, cv: float = 0.20) -> DataFrame:
-    """Private payees paid in several months with a steady amount."""
-    out = txn.filter("amount < 0").withColumn("cp", B.cp_strict())
-    out = out.filter((F.col("cp") != "") & ~looks_like_merchant(F.col("cp")))
+    """Private payees paid in several months with a steady amount.
+
+    Payees are first looked at as a whole, by one aggregate; months are counted and names looked up only
+    for those that have enough payments over a long enough time with a steady amount.
+    """
+    out = txn.filter("amount < 0").withColumn("cp", B.cp_strict()).filter(F.col("cp") != "")
+    out = out.withColumn("m", F.year("ts") * 12 + F.month("ts"))
     a = -F.col("amount")
-    per_month = out.groupBy(KEY, "cp", B.month().alias("m")).agg(F.count("*").alias("n"), F.sum(a).alias("s"), F.sum(a * a).alias("q"))
-    per = per_month.groupBy(KEY, "cp").agg(
-        F.count("*").alias("months"), F.sum("n").alias("a_n"),
-        F.sum("s").cast("double").alias("a_s"), F.sum("q").cast("double").alias("a_q"))
-    return per.filter((F.col("months") >= months) & (F.col("a_n") >= 3) & (B.std_pop("a") / B.mean_of("a") < cv)).select(
-        KEY, "cp", "months", F.col("a_n").alias("payments"), (B.std_pop("a") / B.mean_of("a")).alias("amount_cv"))
+    per = out.groupBy(KEY, "cp").agg(
+        F.count("*").alias("a_n"), F.sum(a).cast("double").alias("a_s"), F.sum(a * a).cast("double").alias("a_q"),
+        (F.max("m") - F.min("m") + 1 + F.max(F.when(F.col("m").isNull(), 1).otherwise(0))).alias("span"))
+    amount_cv = B.std_pop("a") / B.mean_of("a")
+    steady = per.filter((F.coalesce("span", F.lit(1)) >= months) & (F.col("a_n") >= 3) & (amount_cv < cv)).filter(~looks_like_merchant(F.col("cp")))
+    # written first, so that its true size decides whether the payments must be shuffled to meet it
+    steady = durable(steady.select(KEY, "cp", F.col("a_n").alias("payments"), amount_cv.alias("amount_cv")))
+    seen = B.having(out.select(KEY, "cp", "m"), steady, [KEY, "cp"]).distinct().groupBy(KEY, "cp").agg(F.count("*").alias("months"))
+    seen = seen.filter(F.col("months") >= months).withColumnsRenamed({KEY: "_key", "cp": "_cp"})
+    return steady.join(seen, F.col(KEY).eqNullSafe(F.col("_key")) & (F.col("cp") == F.col("_cp"))).select(KEY, "cp", "months", "payments", "amount_cv")
 
 
 def whitelist_reasons(txn: DataFrame, prof: DataFrame) -> DataFrame:
-    """Rows with the reason that takes them out of scoring, or null."""
-    flags = prof.select(KEY, (F.col("has_salary_flag") & (F.col("income_regularity") > 0.5)).alias("_steady"))
-    family = family_counterparties(txn).select(KEY, "cp", F.lit(True).alias("_family"))
+    """Rows with the reason that takes them out of scoring, or null.
+
+    What the rows meet is cut to the accounts and payees that matter and written first, so that its
+    true size decides whether whole rows must be shuffled.
+    """
+    flags = durable(prof.filter(F.col("has_salary_flag") & (F.col("income_regularity") > 0.5)).select(KEY, F.lit(True).alias("_steady")))
+    family = durable(family_counterparties(txn).select(KEY, "cp", F.lit(True).alias("_family")))
     up = F.concat_ws(" ", F.upper(F.col("cp")), F.upper(F.trim(F.coalesce("description", F.lit("")))))
     out = txn.withColumn("cp", B.cp_strict()).join(flags, KEY, "left").join(family, [KEY, "cp"], "left")
-    reason = (F.when((F.col("amount") > 0) & (F.col("is_salary") | B.has_any(up, K.SALARY) | F.coalesce("_steady", F.lit(False))), "salary")
-              .when((F.col("amount") < 0) & B.has_any(up, K.UTILITY + K.MORTGAGE + K.INSURANCE), "utility")
-              .when((F.col("amount") < 0) & B.has_any(up, K.TRANSPORT), "transport")
+    utility = K.UTILITY + K.MORTGAGE + K.INSURANCE
+    reason = (F.when((F.col("amount") > 0) & (F.col("is_salary") | F.coalesce("_steady", F.lit(False)) | B.has_any(up, K.SALARY)), "salary")
+              .when((F.col("amount") < 0) & B.has_any(up, utility + K.TRANSPORT), F.when(B.has_any(up, utility), "utility").otherwise("transport"))
               .when((F.col("amount") < 0) & F.coalesce("_family", F.lit(False)), "family"))
     return out.withColumn("whitelist_reason", reason).drop("cp", "_steady", "_family")
 

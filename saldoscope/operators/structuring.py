@@ -10,6 +10,10 @@ from . import base as B
 from .base import KEY
 
 
+#: Bounds of the tests: share of the threshold for one row and for a day's payments to one payee, least numbers of payments.
+UNDER_SHARE, SPLIT_SHARE, SPLIT_ROWS, SMURF_ROWS = 0.95, 0.8, 3, 6
+
+
 def structuring_limits(prof: DataFrame) -> DataFrame:
     """Reporting threshold and least significant amount, scaled by income."""
     inc = F.col("avg_monthly_income")
@@ -86,7 +90,10 @@ def recurring_points(txn: DataFrame, lo: int = 25, hi: int = 35) -> DataFrame:
     pts = pts.select(KEY, "cp", B.us().alias("t"), (F.abs("amount") * 100).cast("long").alias("v"))
     length = (hi - lo + 1) * B.DAY_US
     keys = [KEY, "cp"]
-    pts = _near_a_repeat(pts, keys, lo, hi).distinct()
+    span = F.max("t") - F.min("t")
+    twice = durable(pts.groupBy(*keys).agg(span.alias("span")).filter(F.col("span") >= lo * B.DAY_US).select(*keys))
+    pts = durable(pts.join(twice, keys, "left_semi"))
+    pts = durable(_near_a_repeat(pts, keys, lo, hi).distinct())
     v = F.col("v")
     later = pts.select(*keys, "t", "v", (F.col("t") + F.lit(lo * B.DAY_US)).alias("t1"),
                        F.ceil(v * 97 / 100).alias("v1"), F.floor(v * 103 / 100).alias("v2"))
@@ -95,17 +102,36 @@ def recurring_points(txn: DataFrame, lo: int = 25, hi: int = 35) -> DataFrame:
     return _box_hits(pts, keys, later.unionByName(earlier), length)
 
 
+def reachable(rows: DataFrame) -> DataFrame:
+    """Rows that one of the tests below can report, whatever the limits of the account.
+
+    No account has a threshold or a significant amount below the fixed ones, and leaving out monthly repeats
+    only makes days and amounts smaller. So a row counts if it comes near the threshold by itself,
+    lies on a day whose payments come near it, or has a rounded amount that was sent often enough.
+    """
+    a = F.abs("amount")
+    out, day, rounded = F.col("amount") < 0, F.to_date("ts"), F.bround(a, -2)
+    days = rows.filter(out).groupBy(KEY, day.alias("_d")).agg(F.count("*").alias("n"), B.total(a).alias("s"))
+    days = durable(days.filter((F.col("n") >= SPLIT_ROWS) & (F.col("s") >= REPORTING_THRESHOLD * SPLIT_SHARE)).select(KEY, "_d", F.lit(True).alias("_split")))
+    sent = rows.filter(out & (rounded.cast("double") >= SIGNIFICANT_FLOOR)).groupBy(KEY, rounded.alias("_r")).agg(F.count("*").alias("n"))
+    sent = durable(sent.filter(F.col("n") >= SMURF_ROWS).select(KEY, "_r", F.lit(True).alias("_smurf")))
+    d = rows.withColumn("_d", day).withColumn("_r", rounded).join(days, [KEY, "_d"], "left").join(sent, [KEY, "_r"], "left")
+    near = B.dbl(a) >= REPORTING_THRESHOLD * UNDER_SHARE
+    return d.filter(near | (out & (F.col("_split").isNotNull() | F.col("_smurf").isNotNull()))).drop("_d", "_r", "_split", "_smurf")
+
+
 def structuring_rows(clean: DataFrame) -> DataFrame:
-    """Rows the structuring tests look at: no regular words, no monthly repeats."""
-    rows = exclude_regular(clean).withColumn("cp", F.trim(B.cp_desc()))
-    rows = rows.withColumn("t", B.us()).withColumn("v", (F.abs("amount") * 100).cast("long"))
+    """Rows the structuring tests can report: no regular words, no monthly repeats."""
+    every = durable(exclude_regular(clean)).withColumn("cp", F.trim(B.cp_desc()))  # read several times; words are looked up once
+    rows = durable(reachable(every).withColumn("t", B.us()).withColumn("v", (F.abs("amount") * 100).cast("long")))
+    payees = durable(rows.select(KEY, "cp").distinct())
     # written first, so that its true size decides whether the rows must be shuffled to meet it
-    repeats = durable(recurring_points(exclude_regular(clean)))
+    repeats = durable(recurring_points(every.join(payees, [KEY, "cp"], "left_semi")))
     kept = rows.join(repeats, [KEY, "cp", "t", "v"], "left_anti")
     return kept.drop("cp", "t", "v")
 
 
-def just_under(rows: DataFrame, lim: DataFrame, share: float = 0.95) -> DataFrame:
+def just_under(rows: DataFrame, lim: DataFrame, share: float = UNDER_SHARE) -> DataFrame:
     a = F.abs(B.dbl("amount"))
     t = F.col("threshold")
     hit = rows.join(lim, KEY).filter((a >= t * share) & (a < t))
@@ -117,8 +143,8 @@ def split_groups(rows: DataFrame, lim: DataFrame, k: int = 10) -> DataFrame:
     """Same payee, same day, three or more payments adding up to most of the threshold."""
     g = rows.filter("amount < 0").groupBy(KEY, B.cp_desc().alias("counterparty"), B.day().alias("day")).agg(
         F.count("*").alias("transaction_count"), B.total(F.abs("amount")).alias("total_amount"))
-    g = g.filter("transaction_count >= 3").join(lim.select(KEY, "threshold"), KEY)
-    g = g.filter(F.col("total_amount") >= F.col("threshold") * 0.8)
+    g = g.filter(F.col("transaction_count") >= SPLIT_ROWS).join(lim.select(KEY, "threshold"), KEY)
+    g = g.filter(F.col("total_amount") >= F.col("threshold") * SPLIT_SHARE)
     g = B.topk(g, [KEY], [F.desc("total_amount"), "day", "counterparty"], k)
     return g.select(KEY, "rank_in_account", "counterparty", "day", "transaction_count", "total_amount",
                     (F.col("total_amount") >= F.col("threshold")).alias("exceeds_threshold"))
@@ -131,7 +157,7 @@ def split_members(rows: DataFrame, groups: DataFrame) -> DataFrame:
     return out.select(KEY, "rank_in_account", "seq", F.abs(B.dbl("amount")).alias("amount"))
 
 
-def smurfing(rows: DataFrame, lim: DataFrame, least: int = 6, k: int = 5) -> DataFrame:
+def smurfing(rows: DataFrame, lim: DataFrame, least: int = SMURF_ROWS, k: int = 5) -> DataFrame:
     """One rounded amount sent to many different payees."""
     out = rows.filter("amount < 0").withColumn("rounded", F.bround(F.abs("amount"), -2).cast("double"))
     per = out.groupBy(KEY, "rounded", B.cp_desc().alias("cp")).agg(

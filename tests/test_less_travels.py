@@ -51,3 +51,24 @@ def test_a_steady_payee_without_account_or_date(spark):
     rows += [("A", t, -500, "Мама", "x") for t in (T0, T0 + timedelta(days=31), None)] + [("B", t, -500, "Мама", "x") for t in (T0, None, None)]
     got = {(r.account_id, r.cp, r.months, r.payments, r.amount_cv) for r in P.family_counterparties(book(spark, rows)).collect()}
     assert got == {(None, "Мама", 3, 3, 0.0), ("A", "Мама", 3, 3, 0.0)}
+
+
+def test_structuring_looks_at_rows_within_reach(spark):
+    split = [("A", T0 + timedelta(hours=i), -300000, "p", "x") for i in range(3)]
+    smurf = [("A", T0 + timedelta(days=2 * i), -120000 - i, f"c{i}", "x") for i in range(1, 7)]
+    repeat = [("A", T0 + timedelta(days=60 + 30 * i), 960000, "r", "x") for i in range(2)]
+    other = [("A", T0 + timedelta(days=100), 999999, "q", "x"), ("A", T0, -5000, "s", "x"), ("B", T0, -999999, "s", "комиссия"), ("A", T0 + timedelta(days=40), -700000, "t", "x")]
+    got = S.structuring_rows(book(spark, split + smurf + repeat + other).select("account_id", "seq", "ts", "amount", "description", "counterparty"))
+    seqs = {r.seq for r in got.collect()}
+    assert set(range(9)) | {11} <= seqs and not seqs & {9, 10, 14}
+    lim = spark.createDataFrame([("A", 1e6, 1e5), ("B", 1e6, 1e5)], "account_id string, threshold double, min_significant double")
+    assert [r.seq for r in S.just_under(got.where("account_id = 'A'"), lim).collect()] == [11]
+    assert [(r.transaction_count, r.total_amount) for r in S.split_groups(got, lim).collect()] == [(3, 900000.0)]
+    assert [(r.amount, r.occurrence_count, r.unique_counterparties) for r in S.smurfing(got, lim).collect()] == [(120000.0, 6, 6)]
+
+
+def test_only_payees_a_month_apart_are_searched_for_repeats(spark, handed):
+    rows = [("A", T0, -100, "p", "x"), ("A", T0 + timedelta(days=30), -101, "p", "x")] + [("A", T0 + timedelta(days=i), -100, f"c{i % 9}", "x") for i in range(20)]
+    handed["watch"](S, "_near_a_repeat")
+    assert {(r.cp, r.v) for r in S.recurring_points(book(spark, rows)).collect()} == {("p", 10000), ("p", 10100)}
+    assert handed["_near_a_repeat"] == 2

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..config import keywords as K
 from ..config.limits import DUPLICATE_FLOOR, NIGHT_FLOOR, ROUND_FLOOR
+from ..session import durable
 from . import base as B
 from .base import KEY
 from .velocity import big_enough
@@ -104,10 +105,15 @@ def with_gaps(inst: DataFrame, keys, slice_us: int = 90 * B.DAY_US) -> DataFrame
 
 
 def exact_duplicates(cand: DataFrame, hours: int = 24, least: int = 3) -> DataFrame:
-    """First run of three or more equal payments to one payee inside 24 hours."""
+    """First run of three or more equal payments to one payee inside 24 hours.
+
+    Only payments made often enough are looked at for monthly repeats and runs; they are written
+    first, so that their true size decides how they meet.
+    """
     keys = [KEY, "cp", "amount"]
-    many = cand.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") >= least).select(*keys)
-    rows = cand.join(many, keys, "left_semi").join(recurring_keys(cand), keys, "left_anti")
+    many = durable(cand.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") >= least).select(*keys))
+    rows = durable(cand.join(many, keys, "left_semi"))
+    rows = rows.join(recurring_keys(rows), keys, "left_anti")
     inst = rows.groupBy(*keys, B.us("ts").alias("t")).agg(F.count("*").alias("n"), F.sum(F.lit(0)).alias("s"))
     fw = B.forward_totals(inst, keys, hours * B.HOUR_US, 30 * B.DAY_US).filter(F.col("n_w") >= least)
     first = fw.groupBy(*keys).agg(F.min("t").alias("t"), F.min_by("n_w", "t").alias("n"))
@@ -117,8 +123,13 @@ def exact_duplicates(cand: DataFrame, hours: int = 24, least: int = 3) -> DataFr
 
 
 def amount_broadcast(cand: DataFrame, hours: int = 48, least: int = 5) -> DataFrame:
-    """One amount sent to five or more payees, all within 48 hours."""
-    per = cand.groupBy(KEY, "amount", "cp").agg(F.count("*").alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b"))
+    """One amount sent to five or more payees, all within 48 hours.
+
+    Payees are told apart only for amounts that were paid often enough and within the time.
+    """
+    whole = cand.groupBy(KEY, "amount").agg(F.count("*").alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b"))
+    short = durable(whole.filter((F.col("n") >= least) & (B.us("b") - B.us("a") <= hours * B.HOUR_US)).select(KEY, "amount"))
+    per = B.having(cand, short, [KEY, "amount"]).groupBy(KEY, "amount", "cp").agg(F.count("*").alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b"))
     g = per.groupBy(KEY, "amount").agg(F.count("*").alias("recipient_count"), F.sum("n").alias("total_count"), F.min("a").alias("a"), F.max("b").alias("b"))
     span = B.us("b") - B.us("a")
     return g.filter((F.col("recipient_count") >= least) & (span <= hours * B.HOUR_US)).select(

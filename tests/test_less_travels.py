@@ -72,3 +72,13 @@ def test_only_payees_a_month_apart_are_searched_for_repeats(spark, handed):
     handed["watch"](S, "_near_a_repeat")
     assert {(r.cp, r.v) for r in S.recurring_points(book(spark, rows)).collect()} == {("p", 10000), ("p", 10100)}
     assert handed["_near_a_repeat"] == 2
+
+
+def test_only_frequent_payments_are_searched_for_duplicates(spark, handed):
+    cand = [("A", T0 + timedelta(hours=i), "p", 60000) for i in range(3)] + [("A", T0 + timedelta(days=i), f"c{i}", 60000 + i) for i in range(30)]
+    cand += [("B", T0 + timedelta(hours=i), f"c{i}", 70000) for i in range(5)] + [("C", T0 + timedelta(days=i), f"c{i}", 70000) for i in range(5)]
+    cand = spark.createDataFrame([(a, i, t, Decimal(v), cp) for i, (a, t, cp, v) in enumerate(cand)], "account_id string, seq long, ts timestamp, amount decimal(15,2), cp string")
+    handed["watch"](H, "recurring_keys")
+    assert [(r.account_id, r.counterparty, r.n) for r in H.exact_duplicates(cand).collect()] == [("A", "p", 3)]
+    assert handed["recurring_keys"] == 3
+    assert [(r.account_id, r.recipient_count, r.total_count) for r in H.amount_broadcast(cand).collect()] == [("B", 5, 5)]

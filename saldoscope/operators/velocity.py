@@ -21,7 +21,9 @@ def velocity_bursts(clean: DataFrame, limits: DataFrame, hours: int = 2, k: int
     """
     width = hours * B.HOUR_US
     lim = limits.select(KEY, "burst_rows")
-    busy = B.prune_slots(B.by_instant(clean, [KEY], F.abs("amount")), [KEY], width, "n", lim, F.col("burst_rows"))
+    least = lim.agg(F.min("burst_rows")).first()[0]  # one number
+    rows = B.near_full_slots(clean, [KEY], width, F.lit(1), F.lit(least))
+    busy = B.prune_slots(B.by_instant(rows, [KEY], F.abs("amount")), [KEY], width, "n", lim, F.col("burst_rows"))
     cand = B.forward_totals(busy, [KEY], width).join(lim, KEY).filter(F.col("n_w") >= F.col("burst_rows"))
     picks = big_enough(B.greedy_windows(cand, [KEY], width, k), clean, 5)
     return picks.select(KEY, "rank_in_account", B.stamp_us("t").alias("started_at"), F.col("t").alias("t"),

@@ -82,3 +82,11 @@ def test_only_frequent_payments_are_searched_for_duplicates(spark, handed):
     assert [(r.account_id, r.counterparty, r.n) for r in H.exact_duplicates(cand).collect()] == [("A", "p", 3)]
     assert handed["recurring_keys"] == 3
     assert [(r.account_id, r.recipient_count, r.total_count) for r in H.amount_broadcast(cand).collect()] == [("B", 5, 5)]
+
+
+def test_bursts_are_searched_near_full_hours(spark, handed):
+    rows = [("A", T0 + timedelta(minutes=i), -1, "p", "x") for i in range(12)] + [("A", T0 + timedelta(days=i, minutes=1), -1, "p", "x") for i in range(1, 40)]
+    lim = spark.createDataFrame([("A", 10), ("B", 50)], "account_id string, burst_rows int")
+    handed["watch"](B, "by_instant")
+    assert [r.transaction_count for r in V.velocity_bursts(book(spark, rows), lim).collect()] == [12]
+    assert handed["by_instant"] == 12

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators import base as B
 from ..operators.base import KEY
-from ..session import checkpoint_dir, exists
+from ..session import checkpoint_dir, durable, exists
 from ..sources.sinks import replace_by_id
 
 
@@ -153,8 +153,9 @@ def kept_by_id(stream: DataFrame, folder: str, key: str) -> DataFrame:
     """The table of an update-mode job: a row takes the place of the stored one with its id, so a
     batch that runs a second time after a restart changes nothing."""
     def put(batch: DataFrame, _: int) -> None:
-        if not batch.isEmpty():
-            replace_by_id(batch, f"{folder}/table", key)
+        rows = durable(batch)  # every action on a batch runs its whole job, state included
+        if not rows.isEmpty():
+            replace_by_id(rows, f"{folder}/table", key)
 
     _finish(stream.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start())
     spark = stream.sparkSession

@@ -198,6 +198,23 @@ def _carried(t: DataFrame, p: DataFrame, key: list[str]) -> DataFrame:
     return rare.join(pieces, [*key, "gram"]).where(F.contains(have, want)).select(*key, "want", "have", "t", "p")
 
 
+#: True times parsed texts of a day and amount up to which all are compared as they lie; larger ones meet by pieces.
+FEW_PAIRS = 250_000
+
+
+def _settled(edges: DataFrame, key: list[str]) -> DataFrame:
+    """One round: ``took`` of the pairs that prefer each other, and what is left of ``t`` and ``p``.
+
+    Pairs that can take no more lose their texts; those that took nothing either are left out.
+    """
+    by_want, by_have = Window.partitionBy(*key, "want"), Window.partitionBy(*key, "have")
+    d = edges.withColumn("_have", F.min("have").over(by_want)).withColumn("_want", F.min("want").over(by_have))
+    d = d.withColumn("took", F.when((F.col("have") == F.col("_have")) & (F.col("want") == F.col("_want")), F.least("t", "p")).otherwise(0))
+    d = d.withColumn("p", F.col("p") - F.max("took").over(by_have)).withColumn("t", F.col("t") - F.max("took").over(by_want))
+    open_ = (F.col("t") > 0) & (F.col("p") > 0)
+    return d.where(open_ | (F.col("took") > 0)).select(*[F.when(open_, F.col(c)).alias(c) for c in edges.columns], "took")
+
+
 def match_truth(truth: DataFrame, parsed: DataFrame) -> DataFrame:
     """How much of the true rows (day, amount, text) came through in parsed ones (day, amount, and any of
     description, counterparty and merchant_name).
@@ -206,25 +223,34 @@ def match_truth(truth: DataFrame, parsed: DataFrame) -> DataFrame:
     the parsed row: true texts in order take the first parsed text left that holds them. The
     rest of a day and amount pair up as they are. Equal texts are one row with a count; in
     each round every pair that prefers each other is settled, which gives what one pass in order gives.
+    The texts of a day and amount are compared directly while they are few, so only texts and
+    counts are shuffled; the first round follows in the same tasks.
     """
     key = ["day", "cents"]
     cents = F.round(F.col("amount") * 100).cast("long").alias("cents")
     parts = [B.blank_to_null(_plain_text(F.col(c))) for c in ("description", "counterparty", "merchant_name") if c in parsed.columns]
     t = durable(truth.groupBy("day", cents, _plain_text(F.col("text")).alias("want")).agg(F.count("*").alias("t")))
     p = durable(parsed.groupBy("day", cents, F.concat_ws(" ", *parts).alias("have")).agg(F.count("*").alias("p")))
-    both = t.groupBy(*key).agg(F.sum("t").alias("t")).join(p.groupBy(*key).agg(F.sum("p").alias("p")), key, "full")
-    out = both.agg(F.coalesce(F.sum("t"), F.lit(0)).alias("expected"), F.coalesce(F.sum("p"), F.lit(0)).alias("parsed"), F.coalesce(F.sum(F.least(B.n0("t"), B.n0("p"))), F.lit(0)).alias("recovered"))
-    edges, same = durable(_carried(t, p, key)), 0
-    while not edges.isEmpty():
-        first = edges.groupBy(*key, "want").agg(F.min("have").alias("have"))
-        mutual = edges.join(first, [*key, "want", "have"]).join(edges.groupBy(*key, "have").agg(F.min("want").alias("want")), [*key, "want", "have"])
-        mutual = durable(mutual.select(*key, "want", "have", F.least("t", "p").alias("took")))
-        same += mutual.agg(F.sum("took")).first()[0]
-        left = edges.join(mutual.select(*key, "want", F.col("took").alias("a")), [*key, "want"], "left").join(mutual.select(*key, "have", F.col("took").alias("b")), [*key, "have"], "left")
-        left = left.withColumn("t", F.col("t") - B.n0("a")).withColumn("p", F.col("p") - B.n0("b")).where("t > 0 and p > 0").select(edges.columns)
-        after = durable(left)
-        drop(edges)
-        edges = after
+    none = F.lit(0).cast("long")
+    both = t.select(*key, "t", none.alias("p")).unionByName(p.select(*key, none.alias("t"), "p"))
+    both = durable(both.groupBy(*key).agg(F.sum("t").alias("t"), F.sum("p").alias("p"), (F.count_if(F.col("t") > 0) * F.count_if(F.col("p") > 0)).alias("pairs")))
+    met = F.when(F.col("day").isNotNull() & F.col("cents").isNotNull(), F.least("t", "p"))  # a missing day or amount meets nothing
+    out = both.agg(F.coalesce(F.sum("t"), F.lit(0)).alias("expected"), F.coalesce(F.sum("p"), F.lit(0)).alias("parsed"), F.coalesce(F.sum(met), F.lit(0)).alias("recovered"))
+    many = durable(both.where(F.col("pairs") > FEW_PAIRS).select(*key))
+    crowded = not many.isEmpty()
+    few = lambda d: d.join(many, key, "left_anti") if crowded else d
+    table, same = durable(_settled(few(t).join(few(p), key).where(F.contains("have", "want")).select(*key, "want", "have", "t", "p"), key)), 0
+    large = durable(_carried(t.join(many, key, "left_semi"), p.join(many, key, "left_semi"), key)) if crowded else None
+    while True:
+        same += table.agg(F.coalesce(F.sum("took"), F.lit(0))).first()[0]
+        edges = table.where("t is not null").drop("took")
+        if large is not None:
+            edges, large = edges.unionByName(large), None
+        if edges.isEmpty():
+            break
+        after = durable(_settled(edges, key))
+        drop(table)
+        table = after
     return out.select("*", F.lit(same).cast("long").alias("fully_correct"), (F.col("parsed") - F.col("recovered")).alias("spurious"))
 
 

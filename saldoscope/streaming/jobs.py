@@ -7,7 +7,9 @@ holds now, the first into a growing table, the second into a table with one row
 
 import uuid
 from bisect import bisect_left
+from math import gcd
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -100,15 +102,90 @@ def daily_counts(txn: DataFrame, late: str = "1 day") -> DataFrame:
     return out.select(KEY, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", (F.col("plus") / 100.0).alias("income"), (F.col("minus") / 100.0).alias("expense"))
 
 
+#: Accounts share the state of their group, as a call for each account would cost more than its rows.
+ACCOUNT_GROUPS = 4096
+SLOTS = "part int, account_id string, slot long, t long, n long, paid long, s long"
+SLOT_STATE = "done long, accounts array<string>, code array<long>, slot array<long>, n array<long>, paid array<long>, s array<long>"
+BURSTS = "account_id string, w long, n long, s long"
+
+
+def _full_windows(d: pd.DataFrame, width: int, step: int, least: int) -> pd.DataFrame:
+    """(code, w, n, paid, s) of the windows with ``least`` rows; ``d`` are slots (code, slot, n, paid, s) in order.
+
+    Accounts follow each other on one line, further apart than a window reaches.
+    """
+    code, slot = d["code"].to_numpy(), d["slot"].to_numpy()
+    if not len(d):
+        return d.rename(columns={"slot": "w"})
+    base = slot.min() - width - step
+    span = slot.max() - base + width + step
+    at = code * span + slot - base
+    upto = np.vstack((np.zeros(3, dtype="int64"), d[["n", "paid", "s"]].to_numpy().cumsum(axis=0)))
+    # no window whose first slot this is has more rows
+    near = upto[np.searchsorted(at, at + width), 0] - upto[:-1, 0] >= least
+    starts = slot[near][:, None] // step * step - np.arange(-(-width // step)) * step
+    starts = np.unique(code[near][:, None] * span + starts - base)
+    sums = upto[np.searchsorted(at, starts + width)] - upto[np.searchsorted(at, starts)]
+    full = sums[:, 0] >= least
+    starts, sums = starts[full], sums[full]
+    return pd.DataFrame({"code": starts // span, "w": starts % span + base, "n": sums[:, 0], "paid": sums[:, 1], "s": sums[:, 2]})
+
+
 def burst_counts(txn: DataFrame, width: str = "2 hours", step: str = "10 minutes", least: int = 8, late: str = "30 minutes") -> DataFrame:
     """(account_id, start, n, total): windows of ``width``, one every ``step``, with ``least`` rows or more.
 
-    Every row lies in width / step windows; counts combine before the shuffle, so a burst of an
-    account of any size costs a task one row a window.
+    Windows overlap, but the slots between their edges do not: a row is counted in one slot, before the
+    shuffle as well, and the state of a stream holds the slots that an open window may need. A
+    window is given once the watermark has passed its end; a late row still counts in windows that are open.
     """
-    g = txn.withWatermark("ts", late).groupBy(KEY, F.window("ts", width, step).alias("w"))
-    out = g.agg(F.count("*").alias("n"), F.sum(F.abs(B.cents("amount"))).alias("s")).where(F.col("n") >= least)
-    return out.select(KEY, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", (F.col("s") / 100.0).alias("total"))
+    money = F.abs(B.cents("amount"))
+    if not txn.isStreaming:
+        out = txn.groupBy(KEY, F.window("ts", width, step).alias("w")).agg(F.count("*").alias("n"), F.sum(money).alias("s")).where(F.col("n") >= least)
+        return out.select(KEY, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", (F.col("s") / 100.0).alias("total"))
+    wide, pace = (pd.Timedelta(x) // pd.Timedelta(microseconds=1) for x in (width, step))
+    size = gcd(wide, pace)
+    reach, pace = wide // size, pace // size  # in slots
+    held_columns = ["code", "slot", "n", "paid", "s"]
+
+    def collapse(batches):
+        for d in batches:
+            slots = d.assign(slot=d["t"] // size).groupby(["part", KEY, "slot"], dropna=False, as_index=False, sort=False)
+            yield slots.agg({"t": "max", "n": "sum", "paid": "sum", "s": "sum"})
+
+    def run(key, batches, state):
+        mark = state.getCurrentWatermarkMs() * 1000
+        done, accounts, held = mark, [], pd.DataFrame({c: np.array([], dtype="int64") for c in held_columns})
+        if state.exists:
+            done, accounts, *columns = state.get
+            held = pd.DataFrame({c: np.array(v, dtype="int64") for c, v in zip(held_columns, columns)})
+        over = _full_windows(held, reach, pace, least)
+        end = (over["w"] + reach) * size
+        over = over[(end > done) & (end <= mark)]
+        if len(over):
+            named = pd.Series(accounts, dtype="object").take(over["code"]).to_numpy()
+            yield pd.DataFrame({"account_id": named, "w": over["w"].to_numpy() * size, "n": over["n"].to_numpy(), "s": over["s"].astype("Int64").mask(over["paid"] == 0).to_numpy(dtype="object")})
+        last = lambda d: (d["slot"] // pace * pace + reach) * size
+        held = held[last(held) > mark]
+        new = [d for d in batches] if not state.hasTimedOut else []
+        new = pd.concat([pd.DataFrame({"account_id": pd.Series(accounts, dtype="object").take(held["code"]).to_numpy(), **{c: held[c].to_numpy() for c in held_columns[1:]}}), *[d[["account_id", *held_columns[1:]]] for d in new]])
+        new = new[last(new) > mark]
+        if len(new):
+            code, names = pd.factorize(new["account_id"].to_numpy(dtype="object"), use_na_sentinel=False)
+            held = new.assign(code=code)[held_columns].astype("int64").groupby(["code", "slot"], as_index=False).sum()
+            ends = (_full_windows(held, reach, pace, least)["w"] + reach) * size
+            ends = ends[ends > mark]
+            state.update((mark, [x if isinstance(x, str) else None for x in names], *[held[c].tolist() for c in held_columns]))
+            # fires once the watermark is later than this
+            state.setTimeoutTimestamp(max(int(ends.min() if len(ends) else last(held).max()) // 1000 - 1, mark // 1000))
+        elif state.exists:
+            state.remove()
+
+    rows = txn.where(F.col("ts").isNotNull()).select(F.pmod(F.xxhash64(KEY), F.lit(ACCOUNT_GROUPS)).cast("int").alias("part"), KEY, F.unix_micros("ts").alias("t"), F.lit(1).cast("long").alias("n"),
+                                                     F.col("amount").isNotNull().cast("long").alias("paid"), F.coalesce(money, F.lit(0)).alias("s"))
+    # the last window of a row ends up to ``width`` after it: rows are late only when that has passed
+    slots = rows.mapInPandas(collapse, SLOTS).withColumn("ts", F.timestamp_micros(F.col("t") + wide)).withWatermark("ts", f"{wide} microseconds {late}")
+    out = slots.groupBy("part").applyInPandasWithState(run, BURSTS, SLOT_STATE, "append", "EventTimeTimeout")
+    return out.select(KEY, F.timestamp_micros("w").alias("start"), F.timestamp_micros(F.col("w") + wide).alias("end"), "n", (F.col("s") / 100.0).alias("total"))
 
 
 def split_payments(txn: DataFrame, limits: DataFrame, late: str = "1 day", least: int = 3, share: float = 0.8) -> DataFrame:

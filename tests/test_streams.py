@@ -72,6 +72,22 @@ def test_bursts_equal_batch_and_loop(spark, tmp_path, late):
     assert as_rows(out) == [w for w in want if w[2] <= over] and len(want) > 20
 
 
+def test_bursts_hold_slots_instead_of_windows(spark, tmp_path):
+    rows = [(a, i, T0 + timedelta(minutes=13 * i), v, "p") for a, v in (("A", 1.0), (None, -2.0), ("C", None)) for i in range(60)]
+    rows += [(a, 100 + i, T0 + timedelta(hours=3, seconds=i), v, "p") for a, v in (("A", 1.0), (None, -2.0), ("C", None)) for i in range(9)]
+    frame = txn(spark, rows)
+    frame.write.parquet(f"{tmp_path}/in")
+    stream = jobs.burst_counts(jobs.source(frame, f"{tmp_path}/in"))
+    query = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert max(op.numRowsTotal for p in query.recentProgress for op in p.stateOperators) <= 3
+    over = max(r[2] for r in rows) - timedelta(minutes=30)
+    key = lambda r: (str(r[0]), r[1])
+    want = jobs.burst_counts(frame).where(F.col("end") <= F.lit(over)).collect()
+    got = spark.read.schema(stream.schema).parquet(f"{tmp_path}/out").collect()
+    assert sorted(map(tuple, got), key=key) == sorted(map(tuple, want), key=key) and len(want) > 30
+
+
 def test_splits_are_put_in_place_by_id(spark, tmp_path):
     limits = spark.createDataFrame([("A", 1_000_000.0), ("B", 2_000_000.0)], "account_id string, threshold double")
     job = lambda d: jobs.split_payments(d, limits, late="2 days")

@@ -1,5 +1,8 @@
 """Statute corpus: splitting pages, BM25 search for a table of queries, citation checks."""
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,81 +55,153 @@ def postings(articles: DataFrame) -> DataFrame:
     return d.groupBy("code", "number", "term").agg(F.count("*").alias("tf"))
 
 
-def term_stats(post: DataFrame) -> DataFrame:
-    return post.groupBy("term").agg(F.count("*").alias("df"))
+#: Terms of queries up to which the postings of all other terms are left out before they travel.
+FEW_TERMS = 100_000
+#: Postings in one block of articles, and queries that meet a block at a time; results depend on neither.
+BLOCK_POSTINGS, BLOCK_QUERIES = 2_000_000, 200_000
+#: Scores are compared to six digits of the best one; what is nearer than that must not be cut.
+SCORE_STEP = 2e-6
+PART = "uid long, code string, number string, _len int, raw double"
 
 
-def impacts(articles: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, code, number, w): what each of ``terms`` adds to the score of an article; rarity is that of the whole corpus."""
-    every = durable(postings(articles))
-    length = every.groupBy("code", "number").agg(F.sum("tf").alias("dl"))
-    post = durable(every.join(terms, "term", "left_semi"))
-    size = articles.agg(F.count("*").alias("n_docs"))
-    avg = length.agg((F.sum("dl").cast("double")).alias("all_terms"))
-    rows = post.join(term_stats(post), "term").join(length, ["code", "number"]).join(F.broadcast(size)).join(F.broadcast(avg))  # one row each
-    n, df, tf = F.col("n_docs"), F.col("df"), F.col("tf")
-    idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
-    part = idf * (tf * (L.BM25_K1 + 1)) / (tf + L.BM25_K1 * (1 - L.BM25_B + L.BM25_B * F.col("dl") / (F.col("all_terms") / n)))
-    return rows.select("term", "code", "number", F.when(F.col("number").contains("-"), part * L.DERIVED_PENALTY).otherwise(part).alias("w"))
+def packed_postings(articles: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """(code, number, _len, dl, terms, tfs): one row per article, so a posting never travels alone.
 
+    ``dl`` counts all terms; ``terms``: the only ones that are listed, few enough to be broadcast.
+    """
+    title, kk = tokens(F.col("title")), tokens(F.col("title_kk"))
+    every = F.concat(title, title, title, kk, kk, kk, tokens(F.col("text")))
+    # dealt by article before words are counted: neither count needs another shuffle
+    d = articles.select("code", "number", "title", "title_kk", "text").repartition("code", "number")
+    d = d.select("code", "number", F.coalesce(F.length("title"), F.lit(-1)).alias("_len"), F.explode_outer(every).alias("term"))
+    d = d.groupBy("code", "number", "term").agg(F.count("term").cast("int").alias("tf"), F.min("_len").alias("_len"))
+    listed = F.col("term").isNotNull()
+    if terms is not None:
+        d = d.join(F.broadcast(terms.select("term", F.lit(True).alias("_asked"))), "term", "left")
+        listed = F.col("_asked")
+    d = d.groupBy("code", "number").agg(F.min("_len").alias("_len"), F.sum("tf").alias("dl"), F.collect_list(F.when(listed, F.struct("term", "tf"))).alias("p"))
+    return d.select("code", "number", "_len", "dl", F.col("p.term").alias("terms"), F.col("p.tf").alias("tfs"))
 
-#: Terms of a query whose sum gives the first bound; the result does not depend on it.
-FIRST_TERMS = 8
-#: Scores are compared to six digits of the best one; what is nearer than that must not be skipped.
-SCORE_STEP = 2e-6
+
+def _flat(column: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
+    """Elements of a list column, and the number of the row that each belongs to."""
+    lists = column.combine_chunks()
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return lists.flatten(), np.repeat(np.arange(len(lists)), sizes)
+
+
+def _numbers(values, kind="float64") -> np.ndarray:
+    return np.asarray(values.to_numpy(zero_copy_only=False) if isinstance(values, pa.Array) else values.to_numpy(), dtype=kind)
 
 
-def _essential(asked: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    """asked (query_id, _within, term) with ``cap`` (largest impact of the term), ``essential`` and ``bound``.
+def _best_of_block(k: int, mean_length: float):
+    """Best ``k`` articles of a block for each query of a slice, by adding up all of its terms.
 
-    Whatever k articles reach by some terms is a bound for the query: by any one term, and by the sum of
-    the terms with the largest caps, which are the rare ones. Terms whose caps together stay below the
-    bound cannot bring an article up alone.
+    Articles stand in the order that decides between equal scores; of articles with the very same score
+    only the first k can be among the best, and what is so near that rounding may make it equal stays.
     """
-    scope = F.explode(F.array(F.col("code"), F.lit(None).cast("string")))
-    ranked = B.topk(index.select("term", scope.alias("_within"), "code", "number", "w"), ["term", "_within"], [F.desc("w"), "code", "number"], k, "_r")
-    stats = ranked.groupBy("term", "_within").agg(F.max("w").alias("cap"), F.max(F.when(F.col("_r") == k, F.col("w"))).alias("kth")).withColumnsRenamed({"term": "_t", "_within": "_w"})
-    a = asked.join(stats, (F.col("term") == F.col("_t")) & F.col("_within").eqNullSafe(F.col("_w"))).drop("_t", "_w")
-    a = durable(a.withColumn("_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cap"), "term"))))
-    sums = _hits(a.where(F.col("_rank") <= FIRST_TERMS), index)
-    kth = B.topk(sums, ["query_id"], [F.desc("part"), "code", "number"], k, "_r").where(F.col("_r") == k).select("query_id", F.col("part").alias("kth_sum"))
-    whole = Window.partitionBy("query_id")
-    below = F.sum("cap").over(whole.orderBy("cap", "term").rowsBetween(Window.unboundedPreceding, 0))
-    a = a.join(kth, "query_id", "left").withColumn("slack", F.sum("cap").over(whole) * SCORE_STEP)
-    a = a.withColumn("bound", F.greatest(F.coalesce(F.max("kth").over(whole), F.lit(0.0)), F.coalesce("kth_sum", F.lit(0.0))) - F.col("slack"))
-    return a.withColumn("essential", below >= F.col("bound")).drop("kth", "kth_sum", "_rank")
-
-
-def _hits(asked: DataFrame, index: DataFrame) -> DataFrame:
-    """(query_id, code, number, part): sums of the impacts of the terms of each query."""
-    found = asked.join(index, "term").where(F.col("_within").isNull() | (F.col("_within") == F.col("code")))
-    return found.groupBy("query_id", "code", "number").agg(F.sum("w").alias("part"))
+    def run(articles: pa.Table, queries: pa.Table) -> pa.Table:
+        none = pa.table({c: pa.array([], t) for c, t in (("uid", pa.int64()), ("code", pa.string()), ("number", pa.string()), ("_len", pa.int32()), ("raw", pa.float64()))})
+        if not len(articles) or not len(queries):
+            return none
+        articles = articles.append_column("_d", pc.match_substring(articles["number"], "-"))
+        articles = articles.take(pc.sort_indices(articles, [(c, "ascending") for c in ("_d", "_len", "code", "number")]))
+        asked, asker = _flat(queries["terms"])
+        found, doc = _flat(articles["terms"])
+        if not len(found):
+            return none
+        found = found.dictionary_encode()
+        place = pc.fill_null(pc.index_in(asked, value_set=found.dictionary), -1).to_numpy(zero_copy_only=False)
+        rarity = _numbers(_flat(queries["idfs"])[0])
+        idf = np.full(len(found.dictionary), np.nan)
+        idf[place[place >= 0]] = rarity[place >= 0]
+        code, tf = found.indices.to_numpy(zero_copy_only=False), _numbers(_flat(articles["tfs"])[0])
+        order = np.flatnonzero(~np.isnan(idf[code]))
+        order = order[np.argsort(code[order], kind="stable")]
+        code, doc, tf = code[order], doc[order], tf[order]
+        w = idf[code] * (tf * (L.BM25_K1 + 1)) / (tf + L.BM25_K1 * (1 - L.BM25_B + L.BM25_B * _numbers(articles["dl"])[doc] / mean_length))
+        w = np.where(_numbers(articles["_d"], "bool")[doc], w * L.DERIVED_PENALTY, w)
+        edge = np.searchsorted(code, np.arange(len(idf) + 1))
+        scopes, scope = _flat(queries["withins"])[0], articles["code"].combine_chunks()
+        scope = (scope.combine_chunks() if isinstance(scope, pa.ChunkedArray) else scope).dictionary_encode()
+        inside = pc.fill_null(pc.index_in(scopes, value_set=scope.dictionary), -1).to_numpy(zero_copy_only=False)
+        anywhere, scope = scopes.is_null().to_numpy(zero_copy_only=False), scope.indices.to_numpy(zero_copy_only=False)
+        times = _numbers(_flat(queries["times"])[0])
+        first = np.searchsorted(asker, np.arange(len(queries) + 1))
+        slack = np.bincount(asker, rarity * times, len(queries)) * (L.BM25_K1 + 1) * SCORE_STEP
+        sums, whose, rows, raws = np.zeros(len(articles)), [], [], []
+        for q in range(len(queries)):
+            for i in range(first[q], first[q + 1]):
+                if place[i] >= 0:
+                    these = slice(edge[place[i]], edge[place[i] + 1])
+                    at, add = doc[these], w[these]
+                    if not anywhere[i]:
+                        same = scope[at] == inside[i]
+                        at, add = at[same], add[same]
+                    sums[at] += add * times[i] if times[i] != 1 else add
+            hit = np.flatnonzero(sums)
+            if not len(hit):
+                continue
+            raw = sums[hit]
+            sums[hit] = 0.0
+            if len(hit) > k:
+                near = raw >= np.partition(raw, len(raw) - k)[len(raw) - k] - slack[q]
+                hit, raw = hit[near], raw[near]
+            by = np.argsort(-raw, kind="stable")
+            hit, raw = hit[by], raw[by]
+            if len(hit) > k:
+                starts = np.flatnonzero(np.r_[True, raw[1:] != raw[:-1]])
+                early = np.arange(len(raw)) - np.repeat(starts, np.diff(np.r_[starts, len(raw)])) < k
+                hit, raw = hit[early], raw[early]
+            whose.append(np.full(len(hit), q))
+            rows.append(hit)
+            raws.append(raw)
+        if not rows:
+            return none
+        best = articles.select(["code", "number", "_len"]).take(pa.array(np.concatenate(rows)))
+        return pa.table({"uid": queries["uid"].take(pa.array(np.concatenate(whose))), **{c: best[c] for c in best.column_names}, "raw": np.concatenate(raws)}).cast(none.schema)
+    return run
 
 
 def bm25(articles: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """Best ``k`` articles for every query of a table (query_id, query and, optionally, code).
 
-    A query with a code gets articles of that code only. Postings of common terms are not joined
-    as a whole: articles come in by the essential terms of a query, those go whose score cannot
-    reach the k-th any more even with all other terms, and the other terms are looked up for the
-    articles that are left. The result is that of adding up everything.
+    A query with a code gets articles of that code only. Articles lie in blocks of bounded size; each
+    block meets the queries, adds up all terms and gives its best, of which the best of all are
+    taken. Queries with the same terms are answered once.
     """
+    spark = articles.sparkSession
     within = F.col("code") if "code" in queries.columns else F.lit(None).cast("string")
-    asked = queries.select("query_id", within.alias("_within"), F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    index = durable(impacts(articles, asked.select("term").distinct()))  # read several times
-    asked = durable(_essential(asked, index, k))
-    found = _hits(asked.where("essential"), index)
-    rest = asked.groupBy("query_id").agg(F.sum(F.when(~F.col("essential"), F.col("cap")).otherwise(0.0)).alias("rest"), F.first("bound").alias("bound"), F.first("slack").alias("slack"))
-    found = durable(found.join(rest, "query_id"))
-    kth = B.topk(found.select("query_id", "code", "number", "part"), ["query_id"], [F.desc("part"), "code", "number"], k, "_r").where(F.col("_r") == k).select("query_id", F.col("part").alias("kth"))
-    reach = F.greatest("bound", F.coalesce(F.col("kth") - F.col("slack"), F.lit(0.0)))
-    left = durable(found.join(kth, "query_id", "left").where(F.col("part") + F.col("rest") >= reach).select("query_id", "code", "number", "part"))
-    more = left.join(asked.where("not essential").select("query_id", "term"), "query_id").join(index, ["term", "code", "number"])
-    s = left.select("query_id", "code", "number", F.col("part").alias("w")).union(more.select("query_id", "code", "number", "w")).groupBy("query_id", "code", "number").agg(F.sum("w").alias("raw"))
-    best = s.groupBy("query_id").agg(F.max("raw").alias("best"))
-    s = s.join(best, "query_id").withColumn("score", B.py_round(F.col("raw") / F.col("best"), 6)).drop("raw", "best")
-    s = s.join(articles.select("code", "number", F.length("title").alias("_len")), ["code", "number"])
-    s = s.withColumn("_d", F.col("number").contains("-"))
+    asked = queries.where("query_id is not null").select("query_id", within.alias("_within"), F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
+    asked = asked.groupBy("query_id", "_within", "term").agg(F.count("*").alias("m"))
+    asked = asked.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", "_within", "m"))).alias("asks"))
+    asks = durable(asked)
+    uniq = durable(asks.select("asks").distinct().withColumn("uid", F.monotonically_increasing_id()))
+    ids = asks.join(uniq, "asks").select("query_id", "uid")
+    terms = uniq.select(F.explode("asks.term").alias("term")).distinct()
+    post = durable(packed_postings(articles, terms if terms.count() <= FEW_TERMS else None))
+    n_docs = articles.count()
+    size = post.agg(F.sum("dl").alias("dl"), F.sum(F.size("terms")).alias("n")).first()
+    blocks = max(-(-(size["n"] or 0) // BLOCK_POSTINGS), min(spark.sparkContext.defaultParallelism, -(-n_docs // 100)), 1)
+    parts = max(-(-uniq.count() // BLOCK_QUERIES), 1)
+    n, df = F.lit(n_docs), F.col("df")
+    rare = post.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")).select("term", F.log(1 + (n - df + 0.5) / (df + 0.5)).alias("idf"))
+    known = uniq.select("uid", F.explode("asks").alias("x")).select("uid", "x.*").join(rare, "term")
+    known = known.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("term", "_within", "m", "idf"))).alias("x"))
+    known = known.select("uid", F.col("x.term").alias("terms"), F.col("x._within").alias("withins"), F.col("x.m").alias("times"), F.col("x.idf").alias("idfs"))
+    known = durable(known)
+    each = lambda c, many: F.explode(F.sequence(F.lit(0), F.lit(many - 1))).alias(c)
+    left = post.where("code is not null and number is not null and size(terms) > 0").withColumn("block", F.pmod(F.xxhash64("code", "number"), F.lit(blocks)).cast("int")).select("*", each("part", parts))
+    right = known.withColumn("part", F.pmod(F.xxhash64("uid"), F.lit(parts)).cast("int")).select("*", each("block", blocks))
+    best = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(_best_of_block(k, (size["dl"] or 0) / n_docs if n_docs else 0.0), PART)
+    best = durable(best)
+    top = best.groupBy("uid").agg(F.max("raw").alias("best"))
+    score = B.py_round(F.col("raw") / F.col("best"), 6)
+    s = best.join(top, "uid").select("uid", "code", "number", "_len", score.alias("score"), F.col("number").contains("-").alias("_d"))
+    s = B.topk(s, ["uid"], [F.desc("score"), "_d", "_len", "code", "number"], k, "_r").select("uid", "code", "number", "score", "_d")
+    s = s.join(ids, "uid").drop("uid").join(articles.select("code", "number", F.length("title").alias("_len")), ["code", "number"])
+    s = s.select("code", "number", "query_id", "score", "_len", "_d")
     return B.topk(s, ["query_id"], [F.desc("score"), "_d", "_len", "code", "number"], k, "rank").drop("_d", "_len")
 
 

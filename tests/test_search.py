@@ -50,6 +50,42 @@ def test_skipping_search_equals_adding_up_everything(spark, with_code):
         assert [s for *_, s in sorted(got.get(q, []))] == pytest.approx([-w[0] for w in want], abs=2e-6)
 
 
+def test_search_writes_no_pair_of_query_and_article(spark, monkeypatch):
+    """All articles share the words of all queries: only the best of a block may travel, also where scores tie."""
+    rng = random.Random(3)
+    words = [f"zz{chr(97 + i)}" for i in range(8)]
+    articles = [("X", str(i), "", "", " ".join(words + rng.choices(words, k=rng.randint(1, 30)))) for i in range(200)] + [("X", f"c{i}", "", "", " ".join(words * 3)) for i in range(100)]
+    frame = spark.createDataFrame([*articles, (None, "n", "", "", "zza"), articles[7]], "code string, number string, title string, title_kk string, text string")
+    asked = [(q, " ".join(rng.sample(words, 6))) for q in range(150)] + [(q, " ".join(words)) for q in range(150, 300)] + [(0, words[0]), (None, words[1])]
+    written, durable = [], statutes.durable
+
+    def watch(df, *by):
+        out = durable(df, *by)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(statutes, "durable", watch)
+    monkeypatch.setattr(statutes, "BLOCK_POSTINGS", 900, raising=False)
+    monkeypatch.setattr(statutes, "BLOCK_QUERIES", 100, raising=False)
+    monkeypatch.setattr(statutes, "FEW_TERMS", 3, raising=False)
+    got = {}
+    for r in statutes.bm25(frame, spark.createDataFrame(asked, "query_id long, query string"), 4).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.code, r.number, r.score))
+    assert max(written) < 300 * 301 / 4 and None not in got and len(got) == 300
+    twice = [dict(zip(("code", "number", "title", "title_kk", "text"), a)) for a in articles]
+    twice[7] = dict(twice[7], text=f"{twice[7]['text']} {twice[7]['text']}")  # rows of one article are one article
+    n, total = 302, sum(len(a["text"].split()) for a in twice) + 1
+    docs = {(a["code"], a["number"]): Counter(a["text"].split()) for a in twice}
+    df = {t: sum(t in c for c in docs.values()) + (t == "zza") for t in words}
+    for q in (0, 5, 200):
+        ts = Counter(t for i, text in asked if i == q for t in set(text.split()))
+        raw = {key: sum(m * math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * c[t] * 2.5 / (c[t] + 1.5 * (0.25 + 0.75 * sum(c.values()) / (total / n))) for t, m in ts.items()) for key, c in docs.items()}
+        best = max(raw.values())
+        rows = [key for key in docs for _ in range(2 if key == ("X", "7") else 1)]
+        want = sorted(rows, key=lambda key: (-round(raw[key] / best, 6), *key))[:4]
+        assert [(c, m) for _, c, m, _ in sorted(got[q])] == want, q
+
+
 def slow_match(pdf, window, tol):
     rows = pdf.sort_values(["t", "seq"])
     inc = [(t, s, a) for t, s, a in zip(rows["t"], rows["seq"], rows["amount"]) if a > 0]

@@ -44,7 +44,9 @@ def tokens(c):
     kept = F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*L.STOPWORDS))
     # the leftmost match of the tail is the longest suffix that leaves four letters
     cut = lambda suffixes: "(?<=.{4})(?:" + "|".join(suffixes) + ")$"
-    return F.transform(kept, lambda w: F.when(w.rlike(f"[{L.KK_LETTERS}]"), F.regexp_replace(w, cut(L.KK_SUFFIXES), "")).otherwise(F.regexp_replace(w, cut(L.RU_SUFFIXES), "")))
+    # most words end in no last letter of a suffix and need no pattern
+    ends = F.lit("".join(sorted({x[-1] for x in (*L.RU_SUFFIXES, *L.KK_SUFFIXES)})))
+    return F.transform(kept, lambda w: F.when(~F.contains(ends, F.right(w, F.lit(1))), w).when(w.rlike(f"[{L.KK_LETTERS}]"), F.regexp_replace(w, cut(L.KK_SUFFIXES), "")).otherwise(F.regexp_replace(w, cut(L.RU_SUFFIXES), "")))
 
 
 def postings(articles: DataFrame) -> DataFrame:

@@ -44,13 +44,17 @@ def person_tags(txn: DataFrame, owners: DataFrame) -> DataFrame:
 
     The owner of the account has a tag of their own and gets no number. Numbers are running
     totals along the row order, taken slice by slice, so an account with very many people is
-    not numbered in one task.
+    not numbered in one task. Every distinct spelling is read once, not every row.
     """
-    raw = strip_markup(F.col("counterparty"), None)
-    name = F.when(trader_name(raw).isNotNull(), trader_name(raw)).when(is_person(raw), F.trim(raw))
+    spelled = B.read_once(txn.select("counterparty").distinct(), raw=strip_markup(F.col("counterparty"), None))
+    spelled = B.read_once(spelled, trader=trader_name(F.col("raw")))
+    name = F.when(F.col("trader").isNotNull(), F.col("trader")).when(is_person(F.col("raw")), F.trim("raw"))
+    spelled = B.read_once(spelled, name=name).filter("name is not null and name <> ''")
+    spelled = durable(spelled.select("counterparty", "name", F.upper("raw").alias("whole")))
     own = owners.select(KEY, F.upper("variant").alias("whole")).distinct()
-    d = txn.select(KEY, "seq", name.alias("name"), F.upper(raw).alias("whole")).filter("name is not null and name <> ''").join(own, [KEY, "whole"], "left_anti")
-    d = d.groupBy(KEY, F.upper("name").alias("person")).agg(F.min("seq").alias("first_seq"), F.min_by("name", "seq").alias("display"))
+    d = txn.groupBy(KEY, "counterparty").agg(F.min("seq").alias("seq")).join(spelled, "counterparty").join(own, [KEY, "whole"], "left_anti")
+    # the numbering reads it twice
+    d = durable(d.groupBy(KEY, F.upper("name").alias("person")).agg(F.min("seq").alias("first_seq"), F.min_by("name", "seq").alias("display")))
     d = B.sliced_cumsum(d, [KEY], "first_seq", ["first_seq", "person"], {"k": F.lit(1)}, SEQ_SLICE)
     return d.select(KEY, "person", "display", F.concat(F.lit("[PERSON_"), F.col("k").cast("string"), F.lit("]")).alias("tag"))
 
@@ -95,7 +99,11 @@ KINDS = [("IBAN", L.IBAN), ("CARD", L.CARD), ("PHONE", L.PHONE), ("IIN", L.IIN)]
 PERSON_IN_TEXT = rf"[{NM.CYR}]{{2,}}\s+[{NM.CYR}]\.\s*(?:[{NM.CYR}]\.)?"
 #: Kinds in the order they are looked for, and a sign that stands for a find meanwhile.
 PASSES = [(kind, pattern, chr(0x11 + i)) for i, (kind, pattern) in enumerate([*KINDS, ("PERSON", PERSON_IN_TEXT)])]
+#: Part of what every find of a kind holds, without looks behind: a text that lacks it needs no pass.
+SIGNS = {"IBAN": r"[A-Z]{2}\d{2}[A-Z0-9]{11}", "CARD": r"\d{4}[\s*-]{0,3}\d{4}|\*\d{4}", "PHONE": r"[78][\s-]?\(?\d{3}\)?[\s-]?\d{3}", "IIN": r"\d{12}", "PERSON": r"[^\x00-\x7F]\s+[^\x00-\x7F]\."}
 WORD = r"[\p{L}\p{N}_]+"
+#: Accounts of texts up to which names of other accounts are left out beforehand.
+FEW_ACCOUNTS = 100_000
 
 
 def literal(c):
@@ -109,6 +117,14 @@ def _folded(c):
     return F.translate(F.lower(F.upper(c)), "ς", "σ")
 
 
+def _of_accounts(names: DataFrame, texts: DataFrame) -> DataFrame:
+    """The names of accounts that have texts; where these are few, others leave before words are formed."""
+    accounts = durable(texts.select(KEY).distinct())
+    if accounts.count() > FEW_ACCOUNTS:
+        return names
+    return durable(names.join(F.broadcast(accounts), KEY, "left_semi"))
+
+
 def _without_names(texts: DataFrame, tags: DataFrame, owners: DataFrame) -> DataFrame:
     """Distinct texts of each account (first_seq, first_field), with names replaced (named).
 
@@ -118,7 +134,7 @@ def _without_names(texts: DataFrame, tags: DataFrame, owners: DataFrame) -> Data
     d = texts.groupBy(KEY, "text").agg(F.min(F.struct("seq", "field")).alias("f")).select(KEY, "text", F.col("f.seq").alias("seq"), F.col("f.field").alias("field"))
     names = owners.select(KEY, F.upper("variant").alias("name"), F.lit(CUSTOMER).alias("tag"), F.lit(1).alias("first"))
     names = names.unionByName(tags.select(KEY, F.col("person").alias("name"), "tag", F.lit(0).alias("first")))
-    names = names.withColumn("word", F.regexp_extract("name", WORD, 0)).where("word <> ''")
+    names = _of_accounts(names, texts).withColumn("word", F.regexp_extract("name", WORD, 0)).where("word <> ''")
     # words travel with a number of their text; texts that share one meet each other's names and refuse them
     d = d.withColumn("_h", F.xxhash64("text"))
     seen = d.select(KEY, "_h", F.explode(F.array_distinct(F.regexp_extract_all(F.upper("text"), F.lit(WORD), F.lit(0)))).alias("word"))
@@ -129,7 +145,8 @@ def _without_names(texts: DataFrame, tags: DataFrame, owners: DataFrame) -> Data
     told = F.when(F.col("name").isNotNull() & there, F.struct("first", F.length("name").alias("len"), "name", "tag"))
     d = met.groupBy(KEY, "_h", "text").agg(F.first("seq").alias("seq"), F.first("field").alias("field"), F.collect_set(told).alias("names")).drop("_h")
     d = d.withColumn("names", F.when(F.size("names") > 0, F.sort_array("names", asc=False)))
-    blank = F.translate("text", "".join(mark for _, _, mark in PASSES), " " * len(PASSES))
+    marks = "".join(mark for _, _, mark in PASSES)
+    blank = F.when(F.rlike("text", F.lit(f"[{marks}]")), F.translate("text", marks, " " * len(PASSES))).otherwise(F.col("text"))
     return d.withColumn("named", F.when(F.col("names").isNull(), blank).otherwise(F.aggregate("names", blank, lambda t, x: F.regexp_replace(t, literal(x["name"]), x["tag"]))))
 
 
@@ -140,14 +157,17 @@ def _finds(named: DataFrame) -> DataFrame:
     """
     d = named.withColumn("rest", F.col("named"))
     for kind, pattern, mark in PASSES:
-        d = d.withColumn(kind, F.regexp_extract_all("rest", F.lit(pattern), F.lit(0))).withColumn("rest", F.regexp_replace("rest", pattern, mark))
-    return d
+        d = d.withColumn("_sign", F.rlike("rest", F.lit(SIGNS[kind])))
+        d = d.withColumn(kind, F.when(F.col("_sign"), F.regexp_extract_all("rest", F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>")))
+        d = d.withColumn("rest", F.when(F.size(kind) > 0, F.regexp_replace("rest", pattern, mark)).otherwise(F.col("rest")))
+    return d.drop("_sign")
 
 
 def _numbered(found: DataFrame, tags: DataFrame) -> DataFrame:
     """Tag per account, kind and value, numbered by first appearance; people that are known
     by name keep their tag, others are counted on."""
-    g = found.groupBy(KEY, "kind", "id").agg(F.min(F.struct("seq", "field", "i", "found")).alias("f")).select(KEY, "kind", "id", "f.*")
+    # written, since it is read three times and the texts behind it should be worked on once
+    g = durable(found.groupBy(KEY, "kind", "id").agg(F.min(F.struct("seq", "field", "i", "found")).alias("f")).select(KEY, "kind", "id", "f.*"))
     known = tags.select(KEY, F.lit("PERSON").alias("kind"), F.col("person").alias("id"), F.col("tag").alias("given"))
     g = g.join(known, [KEY, "kind", "id"], "left")
     people = tags.groupBy(KEY).agg(F.count("*").alias("people"))
@@ -190,11 +210,13 @@ def mask_text(texts: DataFrame, tags: DataFrame, owners: DataFrame) -> Masked:
 
     Every distinct text of an account is worked on once.
     """
-    finds = durable(_finds(_without_names(_fielded(texts), tags, owners)))
-    found = _found(finds)
+    finds = durable(_finds(_without_names(_fielded(texts), tags, owners)).drop("named"))
+    any_find = F.greatest(*[F.size(kind) for kind, _, _ in PASSES]) > 0
+    busy = finds.where(any_find)
+    found = _found(busy)
     ids = durable(_numbered(found, tags))
     told = found.join(ids, [KEY, "kind", "id"]).groupBy(KEY, "text").agg(F.sort_array(F.collect_list(F.struct("kind", "i", "tag"))).alias("told"))
-    d = finds.join(told, [KEY, "text"], "left")
+    d = busy.join(told, [KEY, "text"], "left")
     def tags_of(kind):
         return F.transform(F.filter("told", lambda x: x["kind"] == kind), lambda x: x["tag"])
 
@@ -202,9 +224,12 @@ def mask_text(texts: DataFrame, tags: DataFrame, owners: DataFrame) -> Masked:
     for kind, _, mark in PASSES:
         given = tags_of(kind)
         out = F.when(F.size(kind) == 0, out).otherwise(F.array_join(F.zip_with(F.split(out, mark, -1), given, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), ""))
-    done = d.select(KEY, "text", out.alias("masked"))
+    # texts without a find are done, and those that stay as they are need not travel back to their rows
+    done = d.select(KEY, "text", out.alias("masked")).unionByName(finds.where(~any_find & (F.col("rest") != F.col("text"))).select(KEY, "text", F.col("rest").alias("masked")))
     customers = finds.where(F.exists("names", lambda x: x["first"] == 1)).select(KEY).distinct()
-    return Masked(texts.join(done, [KEY, "text"], "left"), ids.where("new").drop("new"), customers)
+    rows = texts.join(done.withColumn("_changed", F.lit(True)), [KEY, "text"], "left")
+    rows = rows.withColumn("masked", F.when(F.col("_changed"), F.col("masked")).when(F.col(KEY).isNotNull(), F.col("text"))).drop("_changed")
+    return Masked(rows, ids.where("new").drop("new"), customers)
 
 
 def mask_table(txn: DataFrame, tags: DataFrame, owners: DataFrame) -> Masked:

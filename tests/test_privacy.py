@@ -85,3 +85,47 @@ def test_words_travel_without_their_text(spark):
     got = {(r[0], r[1][:12]): r[2][:20] for r in d.select("account_id", "text", "named").collect()}
     assert got == {("A", long[:12]): long.replace("Зауре К.", "[PERSON_2]")[:20], ("A", "Для Ержан О."): "Для [PERSON_1]", (None, "Для Ержан О."): "Для Ержан О.",
                    ("B", "Для ЕРЖАН О."): "Для ЕРЖАН О.", ("A", "Ержанов О."): "Ержанов О."}
+
+
+def test_names_are_read_once_and_only_for_accounts_with_texts(spark, monkeypatch):
+    written, durable = [], PV.durable
+
+    def watch(df, *by):
+        out = durable(df, *by)
+        written.append((set(out.columns), out))
+        return out
+
+    monkeypatch.setattr(PV, "durable", watch)
+    names = ["Ержан О.", "ИП Зауре К.", "MAGNUM", "<|x|> Ержан  О.", None, ""]
+    txn = spark.createDataFrame([(a, i, names[i % 6]) for a in "AB" for i in range(6, 300)] + [(None, 7, "Ержан О.")], "account_id string, seq long, counterparty string")
+    owners = spark.createDataFrame([], "account_id string, variant string")
+    tags = PV.person_tags(txn, owners)
+    assert [out.count() for columns, out in written if "whole" in columns] == [3]  # spellings of people, not 589 rows
+    first, second = ("ЕРЖАН О.", "Ержан О.", "[PERSON_1]"), ("ЗАУРЕ К.", "Зауре К.", "[PERSON_2]")
+    assert {(r.account_id, r.person, r.display, r.tag) for r in tags.collect()} == {("A", *first), ("A", *second), ("B", *first), ("B", *second), (None, *first)}
+    texts = spark.createDataFrame([("A", 1, "Для Ержан О. 4111 1111 1111 1111"), ("A", 2, "просто текст"), ("A", 3, "знак \x12 тут"), (None, 4, "Ержан О."), ("A", 5, None), ("C", 6, "ИИН 950101300123"), ("A", 7, "Для Ержан О.")],
+                                  "account_id string, seq long, text string")
+    made = PV.mask_text(texts, tags, owners)
+    known = [out for columns, out in written if "first" in columns and "text" not in columns]
+    assert len(known) == 1 and {r.account_id for r in known[0].collect()} == {"A"}
+    finds = [columns for columns, out in written if "rest" in columns]
+    assert len(finds) == 1 and "named" not in finds[0]
+    assert {r.seq: r.masked for r in made.rows.collect()} == {1: "Для [PERSON_1] [CARD_1]", 2: "просто текст", 3: "знак   тут", 4: None, 5: None, 6: "ИИН [IIN_1]", 7: "Для [PERSON_1]"}
+
+
+def test_a_find_always_has_the_sign_of_its_kind(spark):
+    import random
+    rng = random.Random(5)
+    parts = ["KZ86125KZT5004100100", "4111 1111 1111 1111", "8 701 123 45 67", "Иванов И.", "4111", "*", " ", "-", "1111", "+7", "8", "(701)", "123", "45", "67", "950101300123", "Иванов", "Әлі", "И", ".", "ІҢ.", "\t", "x", "_"]
+    texts = spark.createDataFrame([(" ".join(rng.choices(parts, k=6)) if i % 2 else "".join(rng.choices(parts, k=9)),) for i in range(4000)] + [(None,)], "text string")
+    kinds = [kind for kind, _, _ in PV.PASSES]
+    d = texts.withColumn("named", F.col("text"))
+    rest, got = F.col("named"), PV._finds(d)
+    plain = d
+    for kind, pattern, mark in PV.PASSES:
+        plain = plain.withColumn(kind, F.coalesce(F.regexp_extract_all(rest, F.lit(pattern), F.lit(0)), F.array().cast("array<string>")))
+        rest = F.regexp_replace(rest, pattern, mark)
+    plain = plain.withColumn("rest", rest)
+    rows = lambda x: sorted(map(str, x.select("text", "rest", *kinds).collect()))
+    assert rows(got) == rows(plain)
+    assert all(got.where(F.size(kind) > 0).count() > 20 for kind in kinds)

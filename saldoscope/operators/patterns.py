@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..config import keywords as K
 from ..config.limits import LAYERING_FLOOR
+from ..session import durable
 from . import base as B
 from .base import KEY
 
@@ -38,12 +39,15 @@ def layering(txn: DataFrame, prof: DataFrame, hours: int = 72) -> DataFrame:
     For every income instant the number of payments, their sum and the number of payees in
     the window are read from one timeline of running totals. A payee counts from 72 hours
     before its first payment of a run until the last one, so payees are counted by starts
-    and ends of runs and no income-payment pair is formed.
+    and ends of runs and no income-payment pair is formed. Payments travel only where they lie
+    in the slot of 72 hours of such an income or in the next one, which no window leaves.
     """
     width = hours * B.HOUR_US
     inc = txn.filter(F.col("amount") >= LAYERING_FLOOR).select(KEY, "seq", B.us().alias("t"), B.dbl("amount").alias("income"))
-    outs = txn.filter(_out()).select(KEY, "ts", F.abs("amount").alias("a"), B.cp_strict().alias("cp"))
-    outs = outs.join(inc.select(KEY).distinct(), KEY, "left_semi")
+    slot = F.floor(F.col("t") / F.lit(width))
+    near = durable(inc.select(KEY, F.explode(F.array(slot, slot + 1)).alias("_slot")).distinct())
+    outs = txn.filter(_out()).select(KEY, "ts", F.floor(B.us() / F.lit(width)).alias("_slot"), F.abs("amount").alias("a"), B.cp_strict().alias("cp"))
+    outs = outs.join(near, [KEY, "_slot"], "left_semi").drop("_slot")
     inst = outs.groupBy(KEY, "cp", B.us().alias("t")).agg(F.count("*").alias("n"), F.sum(B.cents("a")).alias("s"))
     runs = B.islands(inst.filter("cp <> ''").select(KEY, "cp", "t"), [KEY, "cp"], width).groupBy(KEY, "cp", "run").agg(F.max("t").alias("last"))
     money = inst.schema["s"].dataType

@@ -258,29 +258,30 @@ class Book:
     def behavioral_score(self):
         return H.behavioral_score(self.accounts, self.trend, self.category_odd)
 
+    # schemes are a few rows, and patterns, reasons and evidence read them
     @shared
     def layering(self):
-        return N.layering(self.txn, self.profile)
+        return durable(N.layering(self.txn, self.profile))
 
     @shared
     def structuring_pattern(self):
-        return N.structuring_pattern(self.txn, self.structuring_limits)
+        return durable(N.structuring_pattern(self.txn, self.structuring_limits))
 
     @shared
     def carding(self):
-        return N.carding(self.txn)
+        return durable(N.carding(self.txn))
 
     @shared
     def pyramid(self):
-        return N.pyramid(self.txn)
+        return durable(N.pyramid(self.txn))
 
     @shared
     def many_payouts(self):
-        return N.many_payouts(self.txn, self.profile)
+        return durable(N.many_payouts(self.txn, self.profile))
 
     @shared
     def untraced_cash(self):
-        return N.untraced_cash(self.txn)
+        return durable(N.untraced_cash(self.txn))
 
     @shared
     def patterns(self):

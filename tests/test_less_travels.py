@@ -4,12 +4,16 @@ from datetime import datetime, timedelta
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from saldoscope.operators import base as B
 from saldoscope.operators import habits as H
+from saldoscope.operators import patterns as N
 from saldoscope.operators import profile as P
+from saldoscope.operators import scoring as R
 from saldoscope.operators import structuring as S
 from saldoscope.operators import velocity as V
+from saldoscope.plans.book import Book
 
 T0 = datetime(2024, 1, 1)
 COLS = "account_id string, seq long, ts timestamp, amount decimal(15,2), counterparty string, merchant_name string, description string, is_salary boolean"
@@ -89,3 +93,26 @@ def test_bursts_are_searched_near_full_hours(spark, handed):
     handed["watch"](B, "by_instant")
     assert [r.transaction_count for r in V.velocity_bursts(book(spark, rows), lim).collect()] == [12]
     assert handed["by_instant"] == 12
+
+
+def test_layering_looks_at_payments_near_an_income(spark, handed):
+    hour = lambda h: T0 + timedelta(hours=h)
+    rows = [("A", hour(70), 600000, "boss", "x")] + [("A", hour(h), -150000, cp, "x") for h, cp in ((71, "p"), (100, "q"), (141.9, "r"), (142, "s"))] + [("A", hour(142.1), -150000, "late", "x"), ("A", hour(69), -150000, "early", "x")]
+    rows += [("A", hour(h), -150000, f"c{h % 5}", "x") for h in range(400, 900, 7)] + [("B", hour(h), -150000, "p", "x") for h in range(60, 160, 9)] + [("A", None, -150000, "p", "x"), ("A", None, 700000, "boss", "x"), (None, hour(70), 600000, "boss", "x")]
+    prof = spark.createDataFrame([("A", "unknown"), ("B", "unknown")], "account_id string, account_type string")
+    handed["watch"](B, "islands")
+    got = N.layering(book(spark, rows), prof).collect()
+    assert [(r.account_id, r.seq, r.outflows, r.destinations, r.total_out) for r in got] == [("A", 0, 4, 4, 600000.0)]
+    assert handed["islands"] == 6
+
+
+def test_a_scheme_is_worked_out_once(spark):
+    extra = {"original_currency": "string", "currency": "string", "counterparty_type": "string", "type": "string", "category": "string", "is_atm": "boolean", "is_cash_operation": "boolean", "is_pension_benefit": "boolean", "is_deposit_operation": "boolean"}
+    txn = book(spark, [("A", T0 + timedelta(hours=i), -5000, f"p{i % 3}", "x") for i in range(8)] + [("A", T0, 900000, "q", "наличные")])
+    for name, kind in extra.items():
+        txn = txn.withColumn(name, F.lit({"currency": "USD"}.get(name) if kind == "string" else False).cast(kind))
+    b = Book(spark, None, txn=txn)
+    for name, df in b.schemes.items():
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString(), name
+    flags = sorted((r.seq, r.confidence) for r in R.pattern_flags(b.patterns, b.scheme_reasons).collect())
+    assert flags == [(0, 0.72), (8, 0.5)]

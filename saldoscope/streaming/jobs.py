@@ -6,7 +6,7 @@ holds now, the first into a growing table, the second into a table with one row
 """
 
 import uuid
-from bisect import bisect_left
+import zlib
 from math import gcd
 
 import numpy as np
@@ -22,7 +22,40 @@ from ..sources.sinks import replace_by_id
 
 # ---- limits on hits
 HITS = "account_id string, seq long, allowed boolean, retry_after long"
-HIT_STATE = "passed array<long>, waiting_t array<long>, waiting_seq array<long>"
+#: Hits that wait are packed, as they may be millions: ``n`` of them in order, see ``_packed``.
+HIT_STATE = "passed array<long>, n long, waiting binary"
+#: Answers handed on at a time.
+ANSWERS = 100_000
+
+
+def _packed(t: np.ndarray, seq: np.ndarray, known: np.ndarray) -> bytes:
+    """Times, numbers, and whether these are known, of hits in order of time; steps of time are small numbers."""
+    return zlib.compress(b"".join((np.diff(t, prepend=0).tobytes(), seq.tobytes(), known.tobytes())), 1)
+
+
+def _unpacked(packed: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    raw = zlib.decompress(packed)
+    return np.frombuffer(raw, "int64", n).cumsum(), np.frombuffer(raw, "int64", n, 8 * n), np.frombuffer(raw, "bool", n, 16 * n)
+
+
+def _let_through(t: np.ndarray, passed: list, limit: int, window: int) -> tuple[np.ndarray, np.ndarray, list]:
+    """Which hits of an account pass, how many seconds the others wait, and the passed times that still count.
+
+    From a refusal to the end of the oldest passed time's window every hit is refused, so those are answered at once.
+    """
+    ok, wait, i = np.zeros(len(t), "bool"), np.zeros(len(t), "int64"), 0
+    while i < len(t):
+        now = int(t[i])
+        passed = [p for p in passed if now - p < window]
+        if len(passed) < limit:
+            ok[i] = True
+            passed.append(now)
+            i += 1
+        else:
+            end = int(np.searchsorted(t, passed[0] + window))
+            wait[i:end] = np.maximum(((window - (t[i:end] - passed[0])) / 1e6).astype("int64"), 1)
+            i = end
+    return ok, wait, passed
 
 
 def rate_limit_stream(hits: DataFrame, limit: int, window_s: int, late: str = "10 minutes") -> DataFrame:
@@ -30,34 +63,40 @@ def rate_limit_stream(hits: DataFrame, limit: int, window_s: int, late: str = "1
 
     Hits wait in the state of their account until no earlier one can come, whatever the order
     and the number of pieces they arrive in. The state also holds at most ``limit`` passed times;
-    it goes when the last of them is out of the window.
+    it goes when the last of them is out of the window. A hit without a time is never passed and left out.
     """
     window = window_s * 1_000_000
 
     def run(key, batches, state):
-        passed, times, seqs = (list(x) for x in state.get) if state.exists else ([], [], [])
+        passed, parts = [], []
+        if state.exists:
+            passed, n, packed = state.get
+            passed, parts = list(passed), [_unpacked(packed, n)]
         for pdf in batches:
-            times += pdf["t"].tolist()
-            seqs += pdf["seq"].tolist()
-        waiting, out = sorted(zip(times, seqs)), []
+            parts.append((pdf["t"].to_numpy("int64", copy=True), pdf["seq"].to_numpy("int64", copy=True), pdf["known"].to_numpy("bool", copy=True)))
+        t, seq, known = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, kind) for i, kind in enumerate(("int64", "int64", "bool")))
+        if len(parts) > 1 or not state.exists:
+            order = np.lexsort((seq, known, t))
+            parts = None
+            t, seq, known = t[order], seq[order], known[order]
+        parts = order = None
         mark = state.getCurrentWatermarkMs() * 1000
-        ready = bisect_left(waiting, (mark,))
-        for t, seq in waiting[:ready]:
-            passed = [p for p in passed if t - p < window]
-            ok = len(passed) < limit
-            out.append((key[0], seq, ok, 0 if ok else max(int((window - (t - passed[0])) / 1e6), 1)))
-            if ok:
-                passed.append(t)
-        waiting, passed = waiting[ready:], [p for p in passed if mark - p < window]
-        if waiting or passed:
-            state.update((passed, [t for t, _ in waiting], [s for _, s in waiting]))
-            state.setTimeoutTimestamp(max((waiting[0][0] if waiting else passed[-1] + window) // 1000, mark // 1000 + 1))
+        ready = int(np.searchsorted(t, mark))
+        ok, wait, passed = _let_through(t[:ready], passed, limit, window)
+        passed, last = [p for p in passed if mark - p < window], ready < len(t)
+        if last or passed:
+            state.update((passed, len(t) - ready, _packed(t[ready:], seq[ready:], known[ready:])))
+            state.setTimeoutTimestamp(max((int(t[ready]) if last else passed[-1] + window) // 1000, mark // 1000 + 1))
         elif state.exists:
             state.remove()  # nothing of the account matters any more
-        if out:
-            yield pd.DataFrame(out, columns=["account_id", "seq", "allowed", "retry_after"])
-
-    rows = hits.withWatermark("ts", late).select("account_id", "seq", "ts", F.unix_micros("ts").alias("t"))
+        seq, known, t = seq[:ready].copy(), known[:ready].copy(), None
+        for i in range(0, ready, ANSWERS):
+            part = slice(i, i + ANSWERS)
+            number = seq[part] if known[part].all() else pd.Series(seq[part], dtype="Int64").mask(~known[part]).to_numpy(dtype="object", na_value=None)
+            yield pd.DataFrame({"account_id": key[0], "seq": number, "allowed": ok[part], "retry_after": wait[part]})
+
+    rows = hits.where("ts is not null").withWatermark("ts", late)
+    rows = rows.select("account_id", F.coalesce("seq", F.lit(0)).alias("seq"), F.col("seq").isNotNull().alias("known"), "ts", F.unix_micros("ts").alias("t"))
     return rows.groupBy("account_id").applyInPandasWithState(run, HITS, HIT_STATE, "append", "EventTimeTimeout")
 
 

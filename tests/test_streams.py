@@ -135,6 +135,26 @@ def test_hits_out_of_order_in_many_chunks(spark, tmp_path):
     assert [r.account_id for r in state] == ["end"]
 
 
+def test_waiting_hits_are_packed_and_answered_alike(spark, tmp_path, monkeypatch):
+    rnd = random.Random(11)
+    rows = [(rnd.choice("UUUV"), i, T0 + timedelta(seconds=rnd.randrange(4 * 86400) // 7 * 7), 1.0, "p") for i in range(4000)]
+    rows += [("U", 9_007_199_254_740_993 + i, T0 + timedelta(hours=i), 1.0, "p") for i in range(3)] + [(None, 4003 + i, T0 + timedelta(minutes=i), 1.0, "p") for i in range(9)]
+    odd = [("U", None, T0 + timedelta(days=5, minutes=i), 1.0, "p") for i in range(5)] + [("U", 5000, None, 1.0, "p")]
+    monkeypatch.setattr(jobs, "ANSWERS", 100, raising=False)
+    job = lambda d: jobs.rate_limit_stream(d.select("account_id", "seq", "ts"), 3, 3600, late="10 days")
+    feed = Feed(spark, tmp_path, job, jobs.replayed)
+    assert feed.add(txn(spark, rows[:2500])).count() == 0
+    assert feed.add(txn(spark, rows[2500:] + odd)).count() == 0
+    state = {r.account_id: r for r in spark.read.format("statestore").load(str(tmp_path / "checkpoint")).select("key.account_id", "value.groupState.*").collect()}
+    assert set(state) == {"U", "V", None} and sum(r.n for r in state.values()) == len(rows) + 5
+    assert sum(len(r.waiting) for r in state.values()) < 8 * len(rows)
+    out = feed.add(txn(spark, [("end", 1, T0 + timedelta(days=40), 1.0, "p")]))
+    got = sorted([(str(r[0]), *r[1:]) for r in out.collect()], key=str)
+    batch = C.rate_limit(txn(spark, rows + [("U", 10_000 + i, r[2], 1.0, "p") for i, r in enumerate(odd[:5])]).na.fill("None", ["account_id"]).select("account_id", "seq", "ts"), 3, 3600)
+    want = [(r.account_id, None if 10_000 <= r.seq < 10_005 else r.seq, r.allowed, r.retry_after) for r in batch.collect()]
+    assert got == sorted(want, key=str)
+
+
 def test_latest_progress_forgets_quiet_sessions(spark, tmp_path):
     rnd = random.Random(4)
     schema = "session_id long, step string, ts timestamp, seq long"

@@ -22,20 +22,18 @@ from ..sources.sinks import replace_by_id
 
 # ---- limits on hits
 HITS = "account_id string, seq long, allowed boolean, retry_after long"
-#: Hits that wait are packed, as they may be millions: ``n`` of them in order, see ``_packed``.
-HIT_STATE = "passed array<long>, n long, waiting binary"
+#: Hits that wait are packed, as they may be millions: steps of their times in order, numbers, and whether these are known.
+HIT_STATE = "passed array<long>, n long, t binary, seq binary, known binary"
 #: Answers handed on at a time.
 ANSWERS = 100_000
 
 
-def _packed(t: np.ndarray, seq: np.ndarray, known: np.ndarray) -> bytes:
-    """Times, numbers, and whether these are known, of hits in order of time; steps of time are small numbers."""
-    return zlib.compress(b"".join((np.diff(t, prepend=0).tobytes(), seq.tobytes(), known.tobytes())), 1)
+def _packed(values: np.ndarray) -> bytes:
+    return zlib.compress(np.ascontiguousarray(values).data, 1)
 
 
-def _unpacked(packed: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    raw = zlib.decompress(packed)
-    return np.frombuffer(raw, "int64", n).cumsum(), np.frombuffer(raw, "int64", n, 8 * n), np.frombuffer(raw, "bool", n, 16 * n)
+def _unpacked(packed: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed), kind)
 
 
 def _let_through(t: np.ndarray, passed: list, limit: int, window: int) -> tuple[np.ndarray, np.ndarray, list]:
@@ -68,30 +66,35 @@ def rate_limit_stream(hits: DataFrame, limit: int, window_s: int, late: str = "1
     window = window_s * 1_000_000
 
     def run(key, batches, state):
-        passed, parts = [], []
+        # column by column, so that what is copied is gone before the next copy is made
+        passed, held = [], {"t": [], "seq": [], "known": []}
         if state.exists:
-            passed, n, packed = state.get
-            passed, parts = list(passed), [_unpacked(packed, n)]
+            passed, _, steps, numbers, flags = state.get
+            passed, held = list(passed), {"t": [_unpacked(steps, "int64").cumsum()], "seq": [_unpacked(numbers, "int64")], "known": [_unpacked(flags, "bool")]}
+            steps = numbers = flags = None
         for pdf in batches:
-            parts.append((pdf["t"].to_numpy("int64", copy=True), pdf["seq"].to_numpy("int64", copy=True), pdf["known"].to_numpy("bool", copy=True)))
-        t, seq, known = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, kind) for i, kind in enumerate(("int64", "int64", "bool")))
-        if len(parts) > 1 or not state.exists:
+            for c, parts in held.items():
+                parts.append(pdf[c].to_numpy(parts[0].dtype if parts else None, copy=True))
+        new = len(held["t"]) > 1 or not state.exists
+        t, seq, known = (np.concatenate(held.pop(c) or [np.zeros(0, kind)]) for c, kind in (("t", "int64"), ("seq", "int64"), ("known", "bool")))
+        if new:
             order = np.lexsort((seq, known, t))
-            parts = None
-            t, seq, known = t[order], seq[order], known[order]
-        parts = order = None
+            t = t[order]
+            seq = seq[order]
+            known = known[order]
+            order = None
         mark = state.getCurrentWatermarkMs() * 1000
         ready = int(np.searchsorted(t, mark))
         ok, wait, passed = _let_through(t[:ready], passed, limit, window)
         passed, last = [p for p in passed if mark - p < window], ready < len(t)
         if last or passed:
-            state.update((passed, len(t) - ready, _packed(t[ready:], seq[ready:], known[ready:])))
+            state.update((passed, len(t) - ready, _packed(np.diff(t[ready:], prepend=0)), _packed(seq[ready:]), _packed(known[ready:])))
             state.setTimeoutTimestamp(max((int(t[ready]) if last else passed[-1] + window) // 1000, mark // 1000 + 1))
         elif state.exists:
             state.remove()  # nothing of the account matters any more
-        seq, known, t = seq[:ready].copy(), known[:ready].copy(), None
+        t = None
         for i in range(0, ready, ANSWERS):
-            part = slice(i, i + ANSWERS)
+            part = slice(i, min(i + ANSWERS, ready))
             number = seq[part] if known[part].all() else pd.Series(seq[part], dtype="Int64").mask(~known[part]).to_numpy(dtype="object", na_value=None)
             yield pd.DataFrame({"account_id": key[0], "seq": number, "allowed": ok[part], "retry_after": wait[part]})
 

@@ -147,7 +147,7 @@ def test_waiting_hits_are_packed_and_answered_alike(spark, tmp_path, monkeypatch
     assert feed.add(txn(spark, rows[2500:] + odd)).count() == 0
     state = {r.account_id: r for r in spark.read.format("statestore").load(str(tmp_path / "checkpoint")).select("key.account_id", "value.groupState.*").collect()}
     assert set(state) == {"U", "V", None} and sum(r.n for r in state.values()) == len(rows) + 5
-    assert sum(len(r.waiting) for r in state.values()) < 8 * len(rows)
+    assert sum(len(r.t) + len(r.seq) + len(r.known) for r in state.values()) < 8 * len(rows)
     out = feed.add(txn(spark, [("end", 1, T0 + timedelta(days=40), 1.0, "p")]))
     got = sorted([(str(r[0]), *r[1:]) for r in out.collect()], key=str)
     batch = C.rate_limit(txn(spark, rows + [("U", 10_000 + i, r[2], 1.0, "p") for i, r in enumerate(odd[:5])]).na.fill("None", ["account_id"]).select("account_id", "seq", "ts"), 3, 3600)
